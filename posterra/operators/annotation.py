@@ -92,7 +92,8 @@ def retained_introns(exons: DataFrame) -> DataFrame:
     spliced = pairs.select(*SITE, (F.col("end") + 1).alias("start"), (F.col("start2") - 1).alias("end"), F.col("start").alias("link_start"), F.col("end2").alias("link_end"), "tid")
     whole = exons.select(*SITE, F.col("start").alias("link_start"), F.col("end").alias("link_end"), "tid")
     found = _features(spliced.where("start <= end"), whole, "retained_intron")
-    return found.withColumnsRenamed({"including": "excluding", "excluding": "including"})
+    swapped = {"including": F.col("excluding"), "excluding": F.col("including")}
+    return found.select(*[swapped.get(c, F.col(c)).alias(c) for c in found.columns])
 
 
 def features(exons: DataFrame) -> DataFrame:

@@ -242,8 +242,8 @@ def rolling_gc(bases: DataFrame, width: int, by: Sequence[str] = ("tid",), order
 def three_prime_distance(exons: DataFrame, by: Sequence[str] = ("tid",)) -> DataFrame:
     """Transcript bases between each exon and the transcript's 3' end."""
     length = F.col("end") - F.col("start") + 1
-    after = Window.partitionBy(*by).orderBy("start").rowsBetween(1, Window.unboundedFollowing)
-    before = Window.partitionBy(*by).orderBy("start").rowsBetween(FIRST, -1)
+    after = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(1, Window.unboundedFollowing)
+    before = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(FIRST, -1)
     distance = F.when(F.col("strand") == "-", F.sum(length).over(before)).otherwise(F.sum(length).over(after))
     return exons.withColumn("distance", F.coalesce(distance, F.lit(0)))
 
