@@ -146,8 +146,10 @@ def _settle(got, ids: np.ndarray, fps: np.ndarray, parts: int) -> dict[int, tupl
     to_suffix = (mix(suffix["seed"]) % np.uint64(parts)).astype(np.int64)
     to_hash = np.repeat(to_suffix, count)
     for values, to, i in ((run, to_run, 0), (suffix, to_suffix, 1), (hashes, to_hash, 2)):
+        if not len(to):
+            continue
         order = np.argsort(to, kind="stable")
-        cut = np.flatnonzero(np.concatenate(([True], to[order][1:] != to[order][:-1]))) if len(to) else []
+        cut = np.flatnonzero(np.concatenate(([True], to[order][1:] != to[order][:-1])))
         for a, b in zip(cut, [*cut[1:], len(to)], strict=True):
             out.setdefault(int(to[order[a]]), list(empty))[i] = values[order[a:b]]
     return {k: tuple(v) for k, v in out.items()}
