@@ -68,3 +68,18 @@ def misaligned_probability(n_mismatch: Column, length: Column, aligned: float =
     log_wrong = F.log(F.lit(prior)) + n_mismatch * F.log(F.lit(misaligned)) + (length - n_mismatch) * F.log(F.lit(1 - misaligned))
     log_right = F.log(F.lit(1 - prior)) + n_mismatch * F.log(F.lit(aligned)) + (length - n_mismatch) * F.log(F.lit(1 - aligned))
     return 1 / (1 + F.exp(log_right - log_wrong))
+
+
+def aligned_blocks(pos: Column, ops: Column) -> Column:
+    """(start, end) closed runs of reference bases between skips; deletions belong to their run."""
+    kind = "array<struct<start:bigint,end:bigint>>"
+    start = F.struct(pos.cast("bigint").alias("at"), pos.cast("bigint").alias("from"), F.array().cast(kind).alias("out"))
+    closed = lambda acc: F.when(acc["at"] > acc["from"], F.concat(acc["out"], F.array(F.struct(acc["from"].alias("start"), (acc["at"] - 1).alias("end"))))).otherwise(acc["out"])
+
+    def step(acc: Column, o: Column) -> Column:
+        skip = o["op"] == "N"
+        size = F.when(o["op"].isin("M", "D", "N", "=", "X"), o["len"]).otherwise(0)
+        at = acc["at"] + size
+        return F.struct(at.alias("at"), F.when(skip, at).otherwise(acc["from"]).alias("from"), F.when(skip, closed(acc)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(ops, start, step, closed)
