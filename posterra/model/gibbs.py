@@ -103,6 +103,7 @@ def sample_components(weights: DataFrame, state: DataFrame, seed: int, round_: i
         tmix, cmix = component_draw(matrix, s["tmix"].to_numpy(), float(s["cmix"].iloc[0]), rng, mean, shape, s["effective"].to_numpy(), float(s["total"].iloc[0]))
         return pd.DataFrame({"sample": s["sample"], "component": s["component"], "tid": tids, "tmix": tmix, "cmix": cmix})
 
+    state = state.select(*[F.col(c).alias(c) for c in state.columns])
     grouped = weights.groupBy("sample", "component").cogroup(state.groupBy("sample", "component"))
     return grouped.applyInPandas(run, "sample int, component long, tid int, tmix double, cmix double")
 

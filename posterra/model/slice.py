@@ -18,7 +18,7 @@ class Counter:
     """Uniform numbers by row key; every call moves the counter."""
 
     def __init__(self, seed: int, round_: int, keys: np.ndarray):
-        self.state = self._mix(self._mix(np.asarray(keys).astype(np.int64).view(np.uint64) + np.uint64(seed % (1 << 64))) ^ (np.uint64(round_) * _GOLD))
+        self.state = self._mix(self._mix(np.asarray(keys).astype(np.int64).view(np.uint64) + np.uint64(seed % (1 << 64))) ^ np.uint64(round_ * int(_GOLD) % (1 << 64)))
         self.n = 0
 
     @staticmethod
@@ -30,7 +30,7 @@ class Counter:
     def uniform(self) -> np.ndarray:
         """In the open interval (0, 1)."""
         self.n += 1
-        bits = self._mix(self.state + np.uint64(self.n) * _GOLD)
+        bits = self._mix(self.state + np.uint64(self.n * int(_GOLD) % (1 << 64)))
         return ((bits >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)
 
 

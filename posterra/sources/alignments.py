@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -20,19 +21,21 @@ FLAG_LETTERS = {"p": 1, "P": 2, "u": 4, "U": 8, "r": 16, "R": 32, "1": 64, "2":
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """Records of SAM text; positions become 0-based, ``*`` stays as it is."""
     lines = spark.read.text(path).where(~F.col("value").startswith("@") & (F.trim("value") != ""))
-    p = F.split("value", "\t")
+    fields = F.split("value", "\t")
+    p = lambda i: F.get(fields, F.lit(i))
     letters = F.create_map(*[F.lit(x) for pair in FLAG_LETTERS.items() for x in pair])
-    symbolic = F.aggregate(F.filter(F.split(p[1], ""), lambda c: c != ""), F.lit(0), lambda acc, c: acc.bitwiseOR(F.coalesce(F.try_element_at(letters, c), F.lit(0))))
-    flag = F.coalesce(p[1].try_cast("int"), F.when(p[1].startswith("0x"), F.conv(F.substring(p[1], 3, 16), 16, 10).try_cast("int")), symbolic)
+    symbolic = F.aggregate(F.filter(F.split(p(1), ""), lambda c: c != ""), F.lit(0), lambda acc, c: acc.bitwiseOR(F.coalesce(F.try_element_at(letters, c), F.lit(0))))
+    flag = F.coalesce(p(1).try_cast("int"), F.when(p(1).startswith("0x"), F.conv(F.substring(p(1), 3, 16), 16, 10).try_cast("int")), symbolic)
     tag = lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.substring(t, 6, 1 << 30).alias("value"))
-    seq, qual, cigar = p[9], p[10], p[5]
+    seq, qual, cigar = p(9), p(10), p(5)
     by_cigar = F.aggregate(F.regexp_extract_all(cigar, F.lit(r"(\d+)[MIS=X]"), F.lit(1)), F.lit(0), lambda acc, n: acc + n.cast("int"))
     wrong = ((seq != "*") & (qual != "*") & (F.length(seq) != F.length(qual))) | ((seq != "*") & (cigar != "*") & (F.length(seq) != by_cigar))
-    checked = F.when(wrong, F.raise_error(F.concat(F.lit("sequence, quality and CIGAR disagree: "), p[0]))).otherwise(p[0])
+    checked = F.when(wrong, F.raise_error(F.concat(F.lit("sequence, quality and CIGAR disagree: "), p(0)))).otherwise(p(0))
+    lines = lines.where((F.size(fields) >= 11) | F.raise_error(F.concat(F.lit("too few fields: "), F.col("value"))).isNotNull())
     return lines.select(
-        checked.alias("qname"), flag.alias("flag"), p[2].alias("rname"), (p[3].cast("long") - 1).alias("pos"), p[4].cast("int").alias("mapq"), cigar.alias("cigar"),
-        F.when(p[6] == "=", p[2]).otherwise(p[6]).alias("rnext"), (p[7].cast("long") - 1).alias("pnext"), p[8].cast("long").alias("tlen"), seq.alias("seq"), qual.alias("qual"),
-        F.map_from_entries(F.transform(F.slice(p, 12, 1 << 20), tag)).alias("tags"),
+        checked.alias("qname"), flag.alias("flag"), p(2).alias("rname"), (p(3).cast("long") - 1).alias("pos"), p(4).cast("int").alias("mapq"), cigar.alias("cigar"),
+        F.when(p(6) == "=", p(2)).otherwise(p(6)).alias("rnext"), (p(7).cast("long") - 1).alias("pnext"), p(8).cast("long").alias("tlen"), seq.alias("seq"), qual.alias("qual"),
+        F.map_from_entries(F.transform(F.slice(fields, 12, 1 << 20), tag)).alias("tags"),
     )
 
 
@@ -169,13 +172,11 @@ class BamSource(DataSource):
         return BamReader(self.options)
 
 
-def _records_of(batches, names_only: bool = False):
+def _records_of(batches):
     for batch in batches:
         for content in batch["content"]:
             data = inflate(content)
             names, at = parse_header(data)
-            import pandas as pd
-
             rows = list(parse_records(data, at, names))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.ALIGNMENT.replace("map<string,string>", "map").split(", ")])
 

@@ -16,12 +16,12 @@ def read_gtf(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
     parts = F.split("value", "\t", 9)
     bad = F.raise_error(F.concat(F.lit("malformed annotation line: "), F.col("value"))).cast("array<string>")
-    rows = lines.select(F.when(F.size(parts) >= 9, parts).otherwise(bad).alias("p"))
-    value = lambda i: F.when(F.col("p")[i] != ".", F.col("p")[i])
+    rows = lines.select(F.when(F.size(parts) >= 9, parts).when(~F.col("value").startswith("#") & (F.trim("value") != ""), bad).alias("p"))
+    value = lambda i: F.when(F.get("p", F.lit(i)) != ".", F.get("p", F.lit(i)))
     return rows.select(
-        F.col("p")[0].alias("seqname"), F.col("p")[1].alias("source"), F.col("p")[2].alias("feature"), F.col("p")[3].cast("long").alias("start"), F.col("p")[4].cast("long").alias("end"),
-        F.coalesce(value(5).cast("double"), F.lit(0.0)).alias("score"), F.when(F.col("p")[6].isin("+", "-"), F.col("p")[6]).otherwise(".").alias("strand"),
-        F.coalesce(value(7).cast("int"), F.lit(-1)).alias("frame"), attribute_map(F.col("p")[8]).alias("attributes"),
+        F.get("p", F.lit(0)).alias("seqname"), F.get("p", F.lit(1)).alias("source"), F.get("p", F.lit(2)).alias("feature"), F.get("p", F.lit(3)).cast("long").alias("start"), F.get("p", F.lit(4)).cast("long").alias("end"),
+        F.coalesce(value(5).cast("double"), F.lit(0.0)).alias("score"), F.when(F.get("p", F.lit(6)).isin("+", "-"), F.get("p", F.lit(6))).otherwise(".").alias("strand"),
+        F.coalesce(value(7).cast("int"), F.lit(-1)).alias("frame"), attribute_map(F.get("p", F.lit(8))).alias("attributes"),
     )
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,9 +31,6 @@ def write(df: DataFrame, path: str, table: str, mode: str = "append") -> None:
 
 def inflated_floats(column):
     """zlib-deflated float arrays (an older sample format) to arrays."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def inflate(s: pd.Series) -> pd.Series:
         return s.map(lambda b: None if b is None else np.frombuffer(zlib.decompress(b), dtype="<f4"))
