@@ -7,18 +7,22 @@ drawn once; every ``INTERSECTED`` consecutive ones make a filter, and a pair pas
 filter only if its prefixes agree under all its orders, so that a frequent shingle (a
 passage that thousands of texts share) brings two texts together only where it is the
 smallest of both under each of four unrelated orders. A pair is a candidate if it passes
-one of the ``ORDERS / INTERSECTED`` filters. Whole prefixes (a fifth of each set) would
-make the filter lossless at fifty times the postings; with one shingle under
-``4 x 56`` orders a pair at exactly the threshold passes none with probability
-``(1 - 0.8 ** 4) ** 56 = 1.5e-13``, and less above it.
+one of the ``FILTERS`` filters. Whole prefixes (a fifth of each set) would make the filter
+lossless at several times the postings; with one shingle under ``3 x 36`` orders a pair at
+exactly the threshold passes none with probability ``(1 - 0.8 ** 3) ** 36 = 6e-12``, and
+less above it.
 
 Candidates are verified on the whole sets: 64-bit shingle hashes, integer comparison
 ``100 * common >= percent * union``. Equal sets are one class, found by a 128-bit
-fingerprint before anything else, so copies are never paired. Within a filter's group
-all are compared with the smallest member first; what then is still in different
-components is compared pair by pair, in blocks, with a bitmap bound in front: the parity
-bitmaps of two sets differ in at most as many bits as the sets differ in shingles. No
-group is limited and no pair of different components is left out.
+fingerprint before anything else, so copies are never paired. A group's leader is the
+member whose groups are largest in sum, for a family of near copies the text they were
+copied from; each set is compared first with the leader it shares most filters with, which
+brings most of a family into one component at one comparison a member. Members of a group
+that are then still in different components are compared by parity bitmaps, which differ in
+at most as many bits as the sets differ in shingles, in blocks of at most ``BLOCK`` by
+``BLOCK`` members that spread over tasks. First the ``BEST`` likeliest pairs of each
+component are verified, which merges what can be merged; then every pair of different
+components that the bitmaps allow. No group is limited and no such pair is left out.
 
 Cases: a null or empty text has no shingle, no link, and is its own component; a text
 under ``SHINGLE`` words is one shingle; equal rows are in one class; rows sharing a key
@@ -37,15 +41,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .session import checkpointed
+from ..operators.components import connected_components
+from .session import checkpointed, partitions, release
 from .textblocks import ASCII_LOWER, Block, RangeHasher, blocks, mix
 
 SHINGLE = 5
 PERCENT = 80
-INTERSECTED = 4
-FILTERS = 56
+INTERSECTED = 3
+FILTERS = 36
 BITMAP_WORDS = 16
+BLOCK = 1024
+BEST = 3
 #: Shingles of the members that one verification task compares with one leader.
 TASK_SHINGLES = 400_000
 
@@ -165,15 +171,16 @@ def _verify(percent: int):
     return compare
 
 
-def verified(texts: DataFrame, sizes: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The (a, b) of ``pairs`` whose texts' sets link; ``texts`` has (id, text), ``sizes`` (id, n)."""
-    pairs = pairs.join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+def verified(body: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sets link; ``body`` has (doc_id, th, text), ``classes`` (id, doc_id, th, n)."""
+    pairs = pairs.join(classes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
     shares = pairs.groupBy("a").agg(F.ceil(F.sum("nb") / TASK_SHINGLES).cast("int").alias("parts"))
     to = lambda leader, part: F.struct(F.col(leader).alias("leader"), part.alias("part"))
     members = pairs.join(shares, "a").select(F.col("b").alias("id"), to("a", F.pmod(F.xxhash64("b"), F.col("parts").cast("long")).cast("int")).alias("to"))
     leaders = shares.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.col("a").alias("id"), to("a", F.col("part")).alias("to"))
     wanted = members.unionByName(leaders).groupBy("id").agg(F.collect_list("to").alias("to"))
-    rows = texts.join(wanted, "id").select("id", "text", F.col("to.leader").alias("leaders"), F.col("to.part").alias("parts"))
+    wanted = wanted.join(classes.select("id", "doc_id", "th"), "id")
+    rows = body.join(wanted, ["doc_id", "th"]).select("id", "text", F.col("to.leader").alias("leaders"), F.col("to.part").alias("parts"))
     sets = rows.mapInArrow(_sets, "leader long, part int, member long, codes binary")
     return sets.groupBy("leader", "part").applyInPandas(_verify(percent), "a long, b long")
 
@@ -184,42 +191,106 @@ def _near(a: str, b: str):
     return sum(words[1:], words[0])
 
 
+def _across(batches: Iterator[pa.RecordBatch], percent: int, best: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of one block pair that lie in different components and that sizes and bitmaps allow.
+
+    With ``best`` only that many pairs a component, those with the fewest differing bits for their size.
+    """
+    tables = [pa.Table.from_batches([b]) for b in batches]
+    if not tables:
+        return
+    t = pa.concat_tables(tables)
+    task, side, id_, c, n = (t.column(i).to_numpy() for i in range(5))
+    maps = t.column(5).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITMAP_WORDS)
+    order = np.lexsort((id_, side, task))
+    task, side, id_, c, n, maps = task[order], side[order], id_[order], c[order], n[order], maps[order]
+    end = np.searchsorted(task, task, side="right")
+    ahead = end - 1 - np.arange(len(task))
+    upto = np.concatenate(([0], np.cumsum(ahead)))
+    found: list[tuple[np.ndarray, ...]] = []
+    row = 0
+    while row < len(task):
+        last = max(row + 1, int(np.searchsorted(upto, upto[row] + (1 << 20), side="right")) - 1)
+        x = np.repeat(np.arange(row, last), ahead[row:last])
+        y = np.arange(len(x)) - np.repeat(upto[row:last] - upto[row], ahead[row:last]) + x + 1
+        ok = (c[x] != c[y]) & ((side[x] < 0) | (side[x] != side[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        x, y = x[ok], y[ok]
+        bits = np.bitwise_count(maps[x] ^ maps[y]).sum(axis=1, dtype=np.int64)
+        ok = (100 + percent) * bits <= (100 - percent) * (n[x] + n[y])
+        found.append((x[ok], y[ok], bits[ok]))
+        row = last
+    x, y, bits = (np.concatenate([f[i] for f in found]) for i in range(3))
+    if best and len(x):
+        score = np.concatenate((bits / (n[x] + n[y]), bits / (n[x] + n[y])))
+        own, pair = np.concatenate((c[x], c[y])), np.concatenate((np.arange(len(x)), np.arange(len(x))))
+        order = np.lexsort((pair, score, own))
+        head = np.concatenate(([True], own[order][1:] != own[order][:-1]))
+        rank = np.arange(len(order)) - np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+        keep = np.unique(pair[order[rank < best]])
+        x, y, bits = x[keep], y[keep], bits[keep]
+    low, high = np.minimum(id_[x], id_[y]), np.maximum(id_[x], id_[y])
+    if len(low):
+        order = np.lexsort((high, low))
+        new = np.concatenate(([True], (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])))
+        keep = order[new]
+        yield pa.RecordBatch.from_arrays([pa.array(low[keep]), pa.array(high[keep])], names=["a", "b"])
+
+
+def across_components(posted: DataFrame, classes: DataFrame, part: DataFrame, percent: int, best: int) -> DataFrame:
+    """(a, b): pairs of members of one group in different components, as ``_across`` finds them."""
+    labelled = posted.select("k", "id").join(part.withColumnRenamed("node", "id"), "id", "left").select("k", "id", F.coalesce("component", "id").alias("c"))
+    open_ = labelled.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("least <> most").select("k", "blocks")
+    rows = labelled.join(open_, "k").join(classes.select("id", "n", "bitmap"), "id")
+    # member of block b meets the blocks from 0: pairs (min, max) of block numbers are tasks
+    own = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    task = F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other"))
+    side = F.when(F.col("own") == F.col("other"), F.lit(-1)).otherwise(F.col("own"))
+    rows = rows.select(task.alias("task"), side.alias("side"), "id", "c", "n", "bitmap")
+    dealt = rows.repartition(partitions(posted.sparkSession), "task")
+    return dealt.mapInArrow(lambda it: _across(it, percent, best), "a long, b long").distinct()
+
+
 def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, n, hi, lo) of every row (th: ``xxhash64`` of the text), and (n, hi, lo, component_id) of every class of equal sets."""
     body = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    keyed_body = body.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    described = checkpointed(keyed_body.mapInArrow(_describe, "doc_id long, th long, n long, hi long, lo long, keys array<long>, bitmap array<long>"))
+    spark = docs.sparkSession
+    body = body.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    described = checkpointed(body.mapInArrow(_describe, "doc_id long, th long, n long, hi long, lo long, keys array<long>, bitmap array<long>"))
     rows = described.select("doc_id", "th", "n", "hi", "lo")
     named = described.where("n > 0 and doc_id is not null")
     classes = named.groupBy("n", "hi", "lo").agg(F.min(F.struct("doc_id", "th")).alias("head"), F.first("keys").alias("keys"), F.first("bitmap").alias("bitmap"))
     classes = checkpointed(classes.select(F.xxhash64("n", "hi", "lo").alias("id"), "n", "hi", "lo", "head.doc_id", "head.th", "keys", "bitmap"))
-    texts = keyed_body.join(classes.select("doc_id", "th", "id"), ["doc_id", "th"]).select("id", "text")
-    sizes = classes.select("id", "n")
-
-    def fits(x: str, y: str):
-        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-    keyed = classes.select("id", "n", F.explode("keys").alias("k"))
-    groups = keyed.groupBy("k").agg(F.min("id").alias("lead"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    posted = checkpointed(keyed.join(groups.drop("size"), "k"))
-    star = posted.where("id <> lead").select("lead", "id", "n").distinct().join(classes.select(F.col("id").alias("lead"), F.col("n").alias("lead_n")), "lead")
-    star = checkpointed(star.where(fits("n", "lead_n")).select(F.col("lead").alias("a"), F.col("id").alias("b")))
-    links = checkpointed(verified(texts, sizes, star, percent))
-    part = connected_components(links)
-    # groups whose members the leader has not brought into one component: pairs across components
-    labelled = posted.where("id <> lead").join(part.withColumnRenamed("node", "id"), "id", "left").select("k", "id", "n", F.coalesce("component", "id").alias("c"))
-    open_ = labelled.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("k")
-    labelled = checkpointed(labelled.join(open_, "k"))
-    sides = labelled.select("k", "c").distinct()
-    across = sides.join(sides.withColumnRenamed("c", "c2"), "k").where("c < c2")
-    other = labelled.select("k", F.col("c").alias("c2"), F.col("id").alias("id2"), F.col("n").alias("n2"))
-    cross = labelled.join(across, ["k", "c"]).join(other, ["k", "c2"]).where(fits("n", "n2")).select("id", "id2", "n", "n2").distinct()
-    maps = classes.select("id", "bitmap")
-    cross = cross.join(maps.withColumnRenamed("bitmap", "ma"), "id").join(maps.select(F.col("id").alias("id2"), F.col("bitmap").alias("mb")), "id2")
-    cross = checkpointed(cross.where((100 + percent) * _near("ma", "mb") <= (100 - percent) * (F.col("n") + F.col("n2"))).select(F.col("id").alias("a"), F.col("id2").alias("b")))
-    if not cross.isEmpty():
-        more = verified(texts, sizes, cross, percent)
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that sizes and bitmaps allow."""
+        side = lambda name: classes.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("bitmap").alias(f"m{name}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+        return both.where(sizes & ((100 + percent) * _near("ma", "mb") <= (100 - percent) * (F.col("na") + F.col("nb")))).select("a", "b")
+
+    keyed = classes.select("id", F.explode("keys").alias("k"))
+    sizes = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    posted = keyed.join(sizes, "k")
+    central = posted.groupBy("id").agg(F.sum("size").alias("weight"))
+    posted = checkpointed(posted.select("k", "id").join(central, "id"))
+    leads = posted.groupBy("k").agg(F.max_by("id", F.struct("weight", "id")).alias("lead"))
+    best = posted.select("k", "id").join(leads, "k").where("id <> lead").groupBy("id", "lead").agg(F.count(F.lit(1)).alias("n"))
+    best = best.groupBy("id").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
+    tried = checkpointed(plausible(best.select(F.col("lead").alias("a"), F.col("id").alias("b"))))
+    part = connected_components(checkpointed(verified(body, classes, tried, percent)))
+    tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for most in (BEST, 0):
+        release(spark)
+        cross = checkpointed(across_components(posted, classes, part, percent, most).join(tried, ["a", "b"], "left_anti"))
+        if cross.isEmpty():
+            if most:
+                continue
+            break
+        more = verified(body, classes, cross, percent)
         part = connected_components(checkpointed(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+        tried = tried.unionByName(cross)
+    release(spark)
     found = classes.select("id", "n", "hi", "lo", "doc_id").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return rows, found.join(least, "component").select("n", "hi", "lo", "component_id")

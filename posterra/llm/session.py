@@ -1,26 +1,21 @@
-"""What the operators need of the session: a shared folder and partition counts."""
+"""What the operators need of the session: a shared folder, partition counts, released shuffle files."""
 
 from __future__ import annotations
 
-import tempfile
+import gc
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from ..session import checkpointed, shared_checkpoints
 
-def shared_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only where none is named (tests), make a local one."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="posterra-checkpoint-"))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` in the shared folder: lineage is cut and lost executors cost nothing."""
-    shared_checkpoints(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["checkpointed", "partitions", "release", "shared_checkpoints"]
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps, which it does when their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
