@@ -235,10 +235,11 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", leng
     """
     if not 1 <= seed <= length:
         raise ValueError("seed must lie between 1 and length")
-    parts = partitions(docs.sparkSession)
+    parts = 2 * partitions(docs.sparkSession)
     body = F.col(text).cast("string")
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(body).alias("fp"), body.alias("text")).where(F.col("text").isNotNull())
-    dealt = rows.mapInArrow(lambda it: _map(it, parts, length, seed), "part int, runs binary, suffixes binary, hashes binary").repartition(parts, "part")
+    # four numbers a task, so that tasks get about as many however the numbers are hashed
+    dealt = rows.mapInArrow(lambda it: _map(it, 4 * parts, length, seed), "part int, runs binary, suffixes binary, hashes binary").repartition(parts, "part")
     found = dealt.mapInArrow(_reduce, "doc long, fp long, runs array<long>")
     return found.groupBy("doc", "fp").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
