@@ -10,7 +10,9 @@ first. Over all queries q and points p below two nodes
     q.p <= cq.cp + rq |cp| + rp |cq| + rq rp
 
 so a pair is dropped when that bound is under the worst k-th score of the query node. Two
-leaves are compared by one exact matrix product. The k best of each block then meet in a
+leaves are compared by one exact matrix product. Where the points have no structure, as
+noise in many dimensions, splitting hardly shrinks the radii and a node stays a leaf, so
+that the search costs what the plain product of two blocks costs. The k best of each block then meet in a
 ranking by query, which sees at most k rows a block.
 
 Components are ``floor(1024 * x)`` as integers; a vector that is null, or holds a null, a
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 
 BLOCK = 8192
 QUERY_BLOCK = 4096
-LEAF = 128
-FANOUT = 12
+LEAF = 64
+FANOUT = 16
+#: A node is split if its children's radii, weighed by their points, come to at most this share of its own.
+SHRINK = 0.8
 SCALE = 1024
 
 
@@ -49,13 +53,15 @@ class Node:
         self.norm = float(np.sqrt((self.centre**2).sum()))
         self.children: list[Node] = []
         if len(rows) > LEAF and self.radius > 0:
-            owner = self._net(points, distance)
-            self.children = [Node(rows[owner == i], x) for i in range(owner.max() + 1) if (owner == i).any()]
-            if len(self.children) < 2:
-                self.children = []
-
-    def _net(self, points: np.ndarray, distance: np.ndarray) -> np.ndarray:
-        """Nearest net point of each point; net points are added farthest first until all lie within half the radius."""
+            owner, nearest = self._net(points, distance)
+            parts = [np.flatnonzero(owner == i) for i in range(owner.max() + 1)]
+            parts = [part for part in parts if len(part)]
+            # children that cover hardly less than their parent prune nothing: then the node is a leaf
+            if len(parts) > 1 and sum(len(part) * nearest[part].max() for part in parts) <= SHRINK * len(rows) * self.radius:
+                self.children = [Node(rows[part], x) for part in parts]
+
+    def _net(self, points: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Nearest net point of each point and its distance; net points are added farthest first until all lie within half the radius."""
         owner = np.zeros(len(points), np.int64)
         nearest = distance.copy()
         for i in range(1, FANOUT):
@@ -65,7 +71,7 @@ class Node:
             d = np.sqrt(((points - points[far]) ** 2).sum(axis=1))
             closer = d < nearest
             owner[closer], nearest[closer] = i, d[closer]
-        return owner
+        return owner, nearest
 
 
 class Search:
@@ -111,10 +117,21 @@ class Search:
         self.compared += got.size
         keys = np.broadcast_to(self.pk[b.rows], got.shape)
         got = np.where(keys == self.qk[a.rows][:, None], -np.inf, got)
-        score = np.concatenate((self.score[a.rows], got), axis=1)
-        key = np.concatenate((self.key[a.rows], keys), axis=1)
-        order = np.lexsort((key, -score), axis=1)[:, : self.k]
-        self.score[a.rows], self.key[a.rows] = np.take_along_axis(score, order, 1), np.take_along_axis(key, order, 1)
+        able = (got >= self.score[a.rows, -1:]) & (got > -np.inf)
+        if got.shape[1] > self.k:
+            able &= got >= np.partition(got, -self.k, axis=1)[:, -self.k :][:, :1]
+        row, column = np.nonzero(able)
+        if not len(row):
+            return
+        some = np.unique(row)
+        old = np.repeat(some, self.k)
+        row = np.concatenate((old, row))
+        score = np.concatenate((self.score[a.rows[some]].reshape(-1), got[able]))
+        key = np.concatenate((self.key[a.rows[some]].reshape(-1), keys[able]))
+        order = np.lexsort((key, -score, row))
+        head = np.searchsorted(row[order], some)
+        best = order[head[:, None] + np.arange(self.k)]
+        self.score[a.rows[some]], self.key[a.rows[some]] = score[best], key[best]
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
