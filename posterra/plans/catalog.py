@@ -33,13 +33,13 @@ def _rounded(df: DataFrame, digits: int, *keep: str) -> DataFrame:
 # --- summaries of the posterior cube ------------------------------------------------------------
 
 
-def _scaling(spark, d):
-    return scaling.quantile_scale(analog.quant(spark, d))
+def _unscaled(spark, d):
+    return scaling.unscaled(analog.quant(spark, d))
 
 
 @query
 def transcript_expression(spark, d):
-    out = summaries.transcript_expression(analog.quant(spark, d), _scaling(spark, d), analog.transcripts(spark, d), LEVEL)
+    out = summaries.transcript_expression(_unscaled(spark, d), None, analog.transcripts(spark, d), LEVEL)
     return _rounded(out, 4, "sample", "tid", "gene_id", "transcript_id")
 
 
@@ -56,13 +56,13 @@ def transcript_splicing(spark, d):
 
 @query
 def gene_expression(spark, d):
-    out = summaries.gene_expression(analog.quant(spark, d), _scaling(spark, d), analog.transcripts(spark, d), LEVEL)
+    out = summaries.gene_expression(_unscaled(spark, d), None, analog.transcripts(spark, d), LEVEL)
     return _rounded(out, 4, "sample", "gene_id", "gene_name", "transcript_ids")
 
 
 @query
 def feature_expression(spark, d):
-    return _rounded(summaries.feature_expression(analog.quant(spark, d), _scaling(spark, d), analog.features(spark, d), LEVEL), 4, "sample", "feature_id")
+    return _rounded(summaries.feature_expression(_unscaled(spark, d), None, analog.features(spark, d), LEVEL), 4, "sample", "feature_id")
 
 
 @query
@@ -168,7 +168,7 @@ def switch_divergence(spark, d):
 
 @query
 def quantile_normalization(spark, d):
-    return _rounded(_scaling(spark, d), 9, "draw", "sample")
+    return _rounded(scaling.quantile_scale(analog.quant(spark, d)), 9, "draw", "sample")
 
 
 @query
