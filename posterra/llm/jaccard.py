@@ -202,18 +202,21 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int, best: int) -> Itera
     t = pa.concat_tables(tables)
     task, side, id_, c, n = (t.column(i).to_numpy() for i in range(5))
     maps = t.column(5).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITMAP_WORDS)
-    order = np.lexsort((id_, side, task))
+    order = np.lexsort((id_, c, task))
     task, side, id_, c, n, maps = task[order], side[order], id_[order], c[order], n[order], maps[order]
+    # a row meets those of its task that stand after its own component
     end = np.searchsorted(task, task, side="right")
-    ahead = end - 1 - np.arange(len(task))
+    runs = np.append(np.flatnonzero((task[1:] != task[:-1]) | (c[1:] != c[:-1])) + 1, len(task))
+    after = np.repeat(runs, np.diff(np.concatenate(([0], runs))))
+    ahead = end - after
     upto = np.concatenate(([0], np.cumsum(ahead)))
     found: list[tuple[np.ndarray, ...]] = []
     row = 0
     while row < len(task):
         last = max(row + 1, int(np.searchsorted(upto, upto[row] + (1 << 20), side="right")) - 1)
         x = np.repeat(np.arange(row, last), ahead[row:last])
-        y = np.arange(len(x)) - np.repeat(upto[row:last] - upto[row], ahead[row:last]) + x + 1
-        ok = (c[x] != c[y]) & ((side[x] < 0) | (side[x] != side[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        y = np.arange(len(x)) - np.repeat(upto[row:last] - upto[row], ahead[row:last]) + after[x]
+        ok = ((side[x] < 0) | (side[x] != side[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
         x, y = x[ok], y[ok]
         bits = np.bitwise_count(maps[x] ^ maps[y]).sum(axis=1, dtype=np.int64)
         ok = (100 + percent) * bits <= (100 - percent) * (n[x] + n[y])
