@@ -132,7 +132,7 @@ def _predict(batches: Iterator[pa.RecordBatch], filters) -> Iterator[pa.RecordBa
 def predict(docs: DataFrame, filters: SlicedFilters, key: str = "doc_id", text: str = "text", folds: int = FOLDS) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(filters)
-    rows = docs.select(F.col(key).alias("doc_id"), held_out(F.col(key), folds).alias("held_out"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), held_out(F.col(key), folds).alias("held_out"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(lambda it: _predict(it, shared), "doc_id long, held_out boolean, lang_pred string, score double")
 
 

@@ -203,5 +203,5 @@ EDITS = "array<struct<start:int,end:int,replacement:string>>"
 def count(docs: DataFrame, key: str = "doc_id", text: str = "text", edits=None, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, n_segments, n_tokens, n_tokens_edited, n_reencoded); ``edits`` is a column of (start, end, replacement) arrays."""
     todo = F.lit(None).cast(EDITS) if edits is None else edits.cast(EDITS)
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), todo.alias("edits"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), todo.alias("edits"))
     return rows.mapInArrow(lambda it: _count(it, ranks, pattern), "doc_id long, n_segments long, n_tokens long, n_tokens_edited long, n_reencoded long")

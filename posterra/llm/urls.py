@@ -143,7 +143,7 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", model: Linea
     """(page_id, host, path, rule, verdict, score) of every row."""
     shared = pages.sparkSession.sparkContext.broadcast(model or train())
     host, path = host_and_path(F.col(url).cast("string"))
-    rows = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(key).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rows = rows.mapInArrow(lambda it: _scored(it, shared), "page_id long, host string, path string, score double")
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
