@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cigar, seq
+from ..model import bias, densities, gibbs, weights
+from ..model import slice as slices
 from ..operators import annotation, components, fragments, intervals, scaling
 from . import analog, summaries
 
@@ -500,3 +502,45 @@ def embedding_dot(spark, d):
     other = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("o"))
     dot = F.aggregate(F.zip_with("embedding", "o", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
     return _rounded(v.join(other, "vec_id").select("vec_id", dot.alias("dot")), 6, "vec_id")
+
+
+# --- models: no SQL; tested statistically -------------------------------------------------------
+
+
+@query
+def geometric_mle(spark, d):
+    """Rate of a truncated geometric fitted to line numbers."""
+    lines = analog.table(spark, d, "lineitem").select((F.col("l_linenumber") - 1).cast("int").alias("tpdist"), F.lit(7).alias("tlen"))
+    return spark.createDataFrame([(round(bias.three_prime_rate(lines), 9),)], "rate double")
+
+
+@query
+def transcript_weights(spark, d):
+    """Effective lengths of the orders' exon models."""
+    lengths = bias.LengthModel.fit(fragments.length_histogram(_lags(spark, d)), most=1000)
+    exons = _exons(spark, d).groupBy("tid").agg(F.sum(F.col("end") - F.col("start") + 1).alias("exonic_length"))
+    return weights.transcript_weights(exons.select(F.col("tid").cast("int").alias("tid"), "exonic_length"), lengths)
+
+
+@query
+def slice_sampler(spark, d):
+    """One slice update a transcript of its mean expression, given its draws."""
+    rows = analog.quant(spark, d).groupBy("tid").agg(F.avg(F.col("value").cast("double")).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+    def run(batches):
+        for b in batches:
+            mean, n = b["mean"].to_numpy(), b["n"].to_numpy()
+            density = lambda x: densities.gamma_mean(x, mean, n.astype(float))
+            yield b.assign(draw=slices.sample(density, mean, 1e-12, 1.0, slices.Counter(gibbs.SEED, 0, b["tid"].to_numpy()), width=mean))[["tid", "draw"]]
+
+    return rows.mapInPandas(run, "tid int, draw double")
+
+
+@query
+def gibbs_round(spark, d):
+    """One round of condition and experiment levels over the cube's first draw."""
+    quant = analog.quant(spark, d)
+    first = quant.agg(F.min("draw")).first()[0]
+    values = quant.where(F.col("draw") == first).select("tid", "condition", "sample", F.col("value").cast("double").alias("value"))
+    state = values.groupBy("tid", "condition").agg(F.avg("value").alias("mean")).select("tid", "condition", "mean", F.lit(1.0).alias("shape"), F.lit(1e-3).alias("experiment_mean"))
+    return gibbs.sample_means(values, state, gibbs.SEED, 0, 1.0, gibbs.Priors())
