@@ -1,9 +1,8 @@
 """Quality rules: base counts and an n-gram perplexity band per language.
 
 Two passes read the texts. The first counts character n-grams by language (exact,
-merged as sorted arrays within each task, then summed by Spark) over every text
-that has at most one symbol of ``[#*$%&|<>]`` in a hundred bytes, so that markup
-and rows of symbols don't become likely by being frequent. From the counts
+merged as sorted arrays within each task, then summed by Spark) over every text,
+so that no text is scored by a model that never saw it. From the counts
 Spark derives an interpolated modified Kneser-Ney model. It is stored as sorted
 hash arrays over a fixed number of slots, so what is broadcast has a bound
 (``2 * SLOTS`` entries of 8 bytes) that no corpus exceeds. The second pass scores
@@ -40,12 +39,6 @@ _IS_SYMBOL = np.zeros(256, dtype=bool)
 _IS_SYMBOL[list(b"#*$%&|<>")] = True
 
 
-def is_prose(block: Block) -> np.ndarray:
-    upto = np.zeros(len(block.buf) + 1, dtype=np.int64)
-    np.cumsum(_IS_SYMBOL[block.buf], out=upto[1:])
-    return 100 * np.diff(upto[block.offs]) <= np.diff(block.offs)
-
-
 # --- the language model -------------------------------------------------------------------------
 
 
@@ -136,7 +129,7 @@ def hashed_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER) -> HashedModel:
     """Count all texts and build the model; what reaches the driver is at most ``2 << SLOT_BITS`` rows."""
     source = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("grp"), F.col(text).cast("string").alias("text"))
-    counted = source.mapInArrow(lambda it: count_grams(it, order, use=is_prose), "grp string, gram long, cnt long")
+    counted = source.mapInArrow(lambda it: count_grams(it, order), "grp string, gram long, cnt long")
     counted = counted.groupBy("grp", "gram").agg(F.sum("cnt").alias("cnt"))
     model = kneser_ney(checkpointed(counted), order).select(F.xxhash64("grp").alias("g"), F.col("k").cast("long"), "gram", "logp", "backoff")
     slots = model.mapInArrow(hashed_slots, "is_backoff boolean, slot int, value float").groupBy("is_backoff", "slot").agg(F.max("value").alias("value"))

@@ -8,7 +8,7 @@ a small multiple of the block, whatever the batch or the partition holds.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -249,19 +249,13 @@ class GramCounter:
         self.keys, self.counts = keys[edge], np.add.reduceat(counts, edge)
 
 
-def count_grams(batches: Iterator[pa.RecordBatch], k: int, group: int = 0, text: int = 1, use: Callable[[Block], np.ndarray] | None = None) -> Iterator[pa.RecordBatch]:
-    """Counts of character k-grams by group (a string column) over all the batches of a task.
-
-    ``use`` tells which texts of a block count; by default all do.
-    """
+def count_grams(batches: Iterator[pa.RecordBatch], k: int, group: int = 0, text: int = 1) -> Iterator[pa.RecordBatch]:
+    """Counts of character k-grams by group (a string column) over all the batches of a task."""
     counters: dict[str, GramCounter] = {}
     for batch in batches:
         names = batch.column(group).to_pylist()
         for block in blocks(batch.column(text)):
             grams, doc = Characters.of(block).grams(k)
-            if use is not None:
-                ok = use(block)[doc]
-                grams, doc = grams[ok], doc[ok]
             own = names[block.first : block.first + len(block)]
             distinct = sorted(set(own))
             number = np.array([distinct.index(x) for x in own], dtype=np.int64)[doc] if len(doc) else doc

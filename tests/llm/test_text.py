@@ -303,6 +303,15 @@ def test_perplexity_rejects_noise_and_keeps_prose(spark):
     assert not any(got[i].kept for i in range(150, 155) if not got[i].base_failed)
 
 
+def test_symbol_heavy_clean_source_stays(spark):
+    rng = np.random.default_rng(12)
+    text = lambda syllables, n, least: ["".join(rng.choice(syllables, rng.integers(least, least + 3))) for _ in range(n)]
+    prose = [" ".join(text(["ka", "lo", "mi", "ter", "sun", "ve", "dor", "pel"], 120, 1)) for _ in range(100)]
+    tables = ["\n".join(f"| {a} | ${b} |" for a, b in zip(text(["zyx", "qu", "wub", "jif"], 60, 6), rng.integers(100, 99999, 60), strict=True)) for _ in range(50)]
+    got = quality.assess(frame(spark, list(enumerate(prose + tables)))).collect()
+    assert all(r.kept for r in got if not r.base_failed) and sum(not r.base_failed for r in got if r.doc_id >= 100) > 40
+
+
 # --- tokens and pieces --------------------------------------------------------------------------
 
 TRICKY = [None, "", " ", "a  b", "\n", "a\n b\tc", "ﬁ é ｆ", "x\u00a0y z", "\x00a b", "  lead", "trail  ", "😀 é́ don't it's", "word" * 300, "a b c  d   e\n\n f", "1 2 3,4 $5 #6"]
