@@ -3,10 +3,15 @@
 Two passes read the texts. The first counts character n-grams by language (exact,
 merged as sorted arrays within each task, then summed by Spark) over every text,
 so that no text is scored by a model that never saw it. From the counts
-Spark derives an interpolated modified Kneser-Ney model. It is stored as sorted
-hash arrays over a fixed number of slots, so what is broadcast has a bound
-(``2 * SLOTS`` entries of 8 bytes) that no corpus exceeds. The second pass scores
-every text against its own language's model and counts the base rules. The band
+Spark derives an interpolated modified Kneser-Ney model. Each of its n-grams is held
+under a 64-bit hash of language and n-gram, and looked up by the whole hash, so a
+gram never takes the value of another (two of ``n`` grams share a hash with
+probability ``n ** 2 / 2 ** 65``). The second pass scores every text against its own
+language's model and counts the base rules. As every text was counted, every n-gram
+of the highest order is found and its probability, which has the lower orders in it,
+is all that scoring needs. A model of more than ``ENTRIES`` n-grams is dealt by hash
+into parts of about that many; the texts are read once for each part, of which only
+one is gathered and broadcast at a time, and what the parts add to a text is summed. The band
 of a language is its median log2 perplexity plus and minus a multiple of the
 median absolute deviation; each distinct text counts once, so copies don't move it.
 
@@ -31,7 +36,8 @@ from .session import checkpointed
 from .textblocks import SYMBOL_BITS, Block, Characters, Words, blocks, byte_hasher, count_grams, mix
 
 ORDER = 4
-SLOT_BITS = 22
+#: N-grams of one part of the model: 12 bytes each on the driver, at most 48 in a task's table.
+ENTRIES = 1 << 22
 #: Half width of a band in scaled median absolute deviations, and its least value in bits.
 BAND = 12.0
 LEAST_BAND = 1.5
@@ -88,92 +94,95 @@ def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
     return reduce(DataFrame.unionByName, models)
 
 
-def slot(key: np.ndarray) -> np.ndarray:
-    return (mix(key) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def gram_keys(grams: np.ndarray, group_hash: np.ndarray) -> np.ndarray:
+    """64-bit hash of each packed gram of a language."""
+    return mix(grams ^ mix(group_hash.view(np.uint64)))
 
 
-def level_salt(group_hash: np.ndarray, k: int | np.ndarray) -> np.ndarray:
-    """What a language's grams of order k are xored with before they are hashed to a slot."""
-    return mix(group_hash.view(np.uint64) + np.asarray(k, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C1))
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(language hash, gram, logp) to (key, logp)."""
+    for b in batches:
+        g, gram = (b.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(2))
+        yield pa.RecordBatch.from_arrays([pa.array(gram_keys(gram, g).view(np.int64)), b.column(2)], names=["key", "logp"])
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER) -> DataFrame:
+    """(key, logp) of every n-gram of the highest order, counted over all texts."""
+    source = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("grp"), F.col(text).cast("string").alias("text"))
+    counted = source.mapInArrow(lambda it: count_grams(it, order), "grp string, gram long, cnt long")
+    counted = counted.groupBy("grp", "gram").agg(F.sum("cnt").alias("cnt"))
+    model = kneser_ney(checkpointed(counted), order).where((F.col("k") == order) & F.col("logp").isNotNull())
+    return checkpointed(model.select(F.xxhash64("grp").alias("g"), "gram", F.col("logp").cast("float")).mapInArrow(_keyed, "key long, logp float"))
 
 
 @dataclass
-class HashedModel:
-    """Sorted slot numbers with log2 probabilities, and the same for back-off weights."""
+class Part:
+    """The n-grams whose key is ``number`` modulo ``parts``."""
 
-    logp_slots: np.ndarray
+    keys: np.ndarray
     logp: np.ndarray
-    backoff_slots: np.ndarray
-    backoff: np.ndarray
+    number: int = 0
+    parts: int = 1
     order: int = ORDER
 
-    def dense(self) -> tuple[np.ndarray, np.ndarray]:
-        out = []
-        for slots, values in ((self.logp_slots, self.logp), (self.backoff_slots, self.backoff)):
-            full = np.full(1 << SLOT_BITS, np.nan, dtype=np.float32)
-            full[slots] = values
-            out.append(full)
-        return out[0], out[1]
 
-
-def hashed_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(grp hash, k, gram, logp, backoff) to (is_backoff, slot, value)."""
-    for b in batches:
-        g, k, gram = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        s = slot(gram.view(np.uint64) ^ level_salt(g, k))
-        is_backoff = np.asarray(b.column(3).is_null())
-        value = np.where(is_backoff, b.column(4).to_numpy(zero_copy_only=False), b.column(3).to_numpy(zero_copy_only=False))
-        yield pa.RecordBatch.from_arrays([pa.array(is_backoff), pa.array(s.astype(np.int32)), pa.array(value.astype(np.float32))], names=["is_backoff", "slot", "value"])
-
-
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER) -> HashedModel:
-    """Count all texts and build the model; what reaches the driver is at most ``2 << SLOT_BITS`` rows."""
-    source = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("grp"), F.col(text).cast("string").alias("text"))
-    counted = source.mapInArrow(lambda it: count_grams(it, order), "grp string, gram long, cnt long")
-    counted = counted.groupBy("grp", "gram").agg(F.sum("cnt").alias("cnt"))
-    model = kneser_ney(checkpointed(counted), order).select(F.xxhash64("grp").alias("g"), F.col("k").cast("long"), "gram", "logp", "backoff")
-    slots = model.mapInArrow(hashed_slots, "is_backoff boolean, slot int, value float").groupBy("is_backoff", "slot").agg(F.max("value").alias("value"))
-    got = slots.toArrow()
-    is_backoff, at, value = (got.column(c).to_numpy() for c in ("is_backoff", "slot", "value"))
-    arrays = []
-    for which in (False, True):
-        rows = np.flatnonzero(is_backoff == which)
-        rows = rows[np.argsort(at[rows])]
-        arrays += [at[rows], value[rows]]
-    return HashedModel(*arrays, order=order)
+def parts(model: DataFrame, order: int = ORDER, entries: int = ENTRIES) -> Iterator[Part]:
+    """The model in parts of about ``entries`` n-grams, gathered one after the other."""
+    n = max(1, -(-model.count() // entries))
+    for i in range(n):
+        got = model.where(F.pmod("key", F.lit(n).cast("long")) == i).toArrow()
+        yield Part(got.column("key").to_numpy().view(np.uint64), got.column("logp").to_numpy(), i, n, order)
+
+
+class Table:
+    """Values by 64-bit hash, in open addressing at most half full; what is absent is NaN."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(1, int(2 * len(keys)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        home = self._home(keys)
+        order = np.argsort(home, kind="stable")
+        at = np.arange(len(keys))
+        place = np.maximum.accumulate(home[order] - at) + at
+        size = max(1 << bits, int(place[-1]) + 1 if len(place) else 0) + 1
+        self.keys, self.values = np.zeros(size, dtype=np.uint64), np.full(size, np.nan, dtype=np.float32)
+        self.keys[place], self.values[place] = keys[order], values[order]
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> self.shift).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._home(keys)
+        out = self.values[at]
+        left = np.flatnonzero((self.keys[at] != keys) & ~np.isnan(out))
+        at = at[left]
+        while len(left):
+            at += 1
+            value = self.values[at]
+            out[left] = value
+            on = (self.keys[at] != keys[left]) & ~np.isnan(value)
+            left, at = left[on], at[on]
+        return out
 
 
 class Scorer:
-    """Sums of log2 probabilities of blocks under a hashed model."""
+    """Sums of log2 probabilities of blocks under a part of the model."""
 
-    def __init__(self, model: HashedModel):
-        self.order = model.order
-        self.logp, self.backoff = model.dense()
+    def __init__(self, part: Part):
+        self.part, self.table = part, Table(part.keys, part.logp)
 
     def __call__(self, block: Block, group_hash: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log2 probability and number of scored characters of each text."""
-        grams, doc = Characters.of(block).grams(self.order)
-        total = np.zeros(len(block))
+        """log2 probability of those of each text's n-grams that are in the part, and the number of all."""
+        grams, doc = Characters.of(block).grams(self.part.order)
         count = np.bincount(doc, minlength=len(block))
-        if not len(grams):
-            return total, count
-        salt = {k: level_salt(group_hash, k) for k in range(self.order + 1)}
-        score = self.logp[slot(grams ^ salt[self.order][doc])]
-        left = np.flatnonzero(np.isnan(score))
-        bits = np.zeros(len(left), dtype=np.float32)
-        k = self.order
-        while len(left) and k > 1:
-            context = grams[left] >> np.uint64(SYMBOL_BITS)
-            context &= np.uint64((1 << (SYMBOL_BITS * (k - 1))) - 1)
-            bits += np.nan_to_num(self.backoff[slot(context ^ salt[k - 1][doc[left]])], nan=0.0)
-            k -= 1
-            lower = grams[left] & np.uint64((1 << (SYMBOL_BITS * k)) - 1)
-            found = self.logp[slot(lower ^ salt[k][doc[left]])]
-            hit = ~np.isnan(found)
-            score[left[hit]] = bits[hit] + found[hit]
-            left, bits = left[~hit], bits[~hit]
-        score[left] = bits - SYMBOL_BITS
-        return np.bincount(doc, weights=score, minlength=len(block)), count
+        keys = gram_keys(grams, group_hash[doc])
+        if self.part.parts > 1:
+            own = keys.view(np.int64) % self.part.parts == self.part.number
+            keys, doc = keys[own], doc[own]
+        score = self.table(keys)
+        if np.isnan(score).any():
+            raise ValueError("a text has an n-gram that was not counted: the documents changed between two reads")
+        return np.bincount(doc, weights=score, minlength=len(block)).astype(np.float64), count
 
 
 # --- base rules ---------------------------------------------------------------------------------
@@ -240,35 +249,50 @@ def _repeated_words(words: Words, hashes: np.ndarray, n: int) -> np.ndarray:
     return np.diff(upto[words.ptr])
 
 
-BASE_SCHEMA = "doc_id long, lang string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log2_ppl double"
+BASE_SCHEMA = "doc_id long, lang string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, bits double, n_scored long"
+BITS_SCHEMA = "lang string, text_hash long, bits double"
 
 
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    scorer = Scorer(model.value)
+def _score(batches: Iterator[pa.RecordBatch], part) -> Iterator[pa.RecordBatch]:
+    """Rows of ``BASE_SCHEMA`` with the bits of the first part, or of ``BITS_SCHEMA`` with those of another."""
+    scorer = Scorer(part.value)
+    first = part.value.number == 0
     for batch in batches:
-        parts: dict[str, list[np.ndarray]] = {}
+        found: dict[str, list[np.ndarray]] = {}
         groups = batch.column(3).to_numpy(zero_copy_only=False)
         for block in blocks(batch.column(4)):
-            got = base_counts(block)
+            got = base_counts(block) if first else {}
             bits, count = scorer(block, groups[block.first : block.first + len(block)])
-            got["log2_ppl"] = np.where(count > 0, -bits / np.maximum(count, 1), np.nan)
+            got |= {"bits": bits, "n_scored": count.astype(np.int64)} if first else {"bits": bits}
             for name, values in got.items():
-                parts.setdefault(name, []).append(values)
-        if parts:
-            columns = {k: pa.array(np.concatenate(v)) for k, v in parts.items()}
-            columns["log2_ppl"] = pa.array(np.concatenate(parts["log2_ppl"]), from_pandas=True)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), *columns.values()], names=["doc_id", "lang", "text_hash", *columns]
-            )
+                found.setdefault(name, []).append(values)
+        if found:
+            columns = {k: pa.array(np.concatenate(v)) for k, v in found.items()}
+            named = {n: batch.column(i) for i, n in enumerate(("doc_id", "lang", "text_hash")) if first or n != "doc_id"} | columns
+            yield pa.RecordBatch.from_arrays([*named.values()], names=[*named])
 
 
-def scored(docs: DataFrame, model: HashedModel, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Base counts and log2 perplexity a character of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scored(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", entries: int = ENTRIES) -> DataFrame:
+    """Base counts and log2 perplexity a character of every row; ``model`` was fitted to the same documents."""
+    spark = docs.sparkSession
     grp = F.coalesce(F.col(lang).cast("string"), F.lit(""))
     body = F.col(text).cast("string")
     source = docs.select(F.col(key).cast("long").alias("doc_id"), grp.alias("lang"), F.xxhash64(body).alias("text_hash"), F.xxhash64(grp).alias("grp"), body.alias("text"))
-    return source.mapInArrow(lambda it: _score(it, shared), BASE_SCHEMA)
+    rows, more = None, []
+    for part in parts(model, entries=entries):
+        shared = spark.sparkContext.broadcast(part)
+        out = source.mapInArrow(lambda it, shared=shared: _score(it, shared), BASE_SCHEMA if part.number == 0 else BITS_SCHEMA)
+        if part.number == 0:
+            rows = checkpointed(out)
+        else:
+            more.append(checkpointed(out.groupBy("lang", "text_hash").agg(F.max("bits").alias("more"))))
+        shared.destroy()
+    if more:
+        # equal texts got equal bits, so one of them stands for all
+        added = reduce(DataFrame.unionByName, more).groupBy("lang", "text_hash").agg(F.sum("more").alias("more"))
+        rows = rows.join(added, ["lang", "text_hash"]).withColumn("bits", F.col("bits") + F.col("more"))
+    names = BASE_SCHEMA.split(", ")[:8]
+    return rows.select(*[n.split()[0] for n in names], F.when(F.col("n_scored") > 0, -F.col("bits") / F.col("n_scored")).alias("log2_ppl"))
 
 
 def bands(rows: DataFrame, width: float = BAND, least: float = LEAST_BAND) -> DataFrame:
@@ -284,9 +308,9 @@ def base_failed():
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def assess(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", width: float = BAND, least: float = LEAST_BAND) -> DataFrame:
+def assess(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", width: float = BAND, least: float = LEAST_BAND, entries: int = ENTRIES) -> DataFrame:
     """One row per document: base counts, base_failed, log2_ppl, the band and kept."""
-    rows = checkpointed(scored(docs, fit(docs, text, lang), key, text, lang))
+    rows = scored(docs, fit(docs, text, lang), key, text, lang, entries)
     inside = F.col("log2_ppl").isNull() | F.col("ppl_low").isNull() | F.col("log2_ppl").between(F.col("ppl_low"), F.col("ppl_high"))
     out = rows.join(F.broadcast(bands(rows, width, least)), "lang", "left")
     return out.select(

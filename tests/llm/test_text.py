@@ -312,6 +312,60 @@ def test_symbol_heavy_clean_source_stays(spark):
     assert all(r.kept for r in got if not r.base_failed) and sum(not r.base_failed for r in got if r.doc_id >= 100) > 40
 
 
+def brute_perplexity(rows):
+    """log2 perplexity of (language, text) rows under an interpolated modified Kneser-Ney model of all of them."""
+    symbols = [tuple(symbols_of(t or "")) for _, t in rows]
+    models = {}
+    for lang in {l for l, _ in rows}:
+        level = {4: collections.Counter(s[i : i + 4] for (l, _), s in zip(rows, symbols, strict=True) if l == lang for i in range(len(s) - 3))}
+        for k in (3, 2, 1):
+            level[k] = collections.Counter(g[1:] for g in level[k + 1])
+        p = {(): 1 / 4096}
+        for k in (1, 2, 3, 4):
+            n = collections.Counter(level[k].values())
+            y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else 0.5
+            d = [0, *(max(0.1, min(i, i - (i + 1) * y * n[i + 1] / n[i] if n[i] else 0.5 * i)) for i in (1, 2, 3))]
+            total, held = collections.Counter(), collections.Counter()
+            for g, c in level[k].items():
+                total[g[:-1]] += c
+                held[g[:-1]] += d[min(c, 3)]
+            p |= {g: max(c - d[min(c, 3)], 0) / total[g[:-1]] + held[g[:-1]] / total[g[:-1]] * p[g[1:]] for g, c in level[k].items()}
+        models[lang] = p
+    bits = [[-np.log2(models[l][s[i : i + 4]]) for i in range(len(s) - 3)] for (l, _), s in zip(rows, symbols, strict=True)]
+    return [float(np.mean(b)) if b else None for b in bits]
+
+
+def symbols_of(text):
+    out = []
+    for c in text:
+        low = c.lower() if len(c.lower()) == 1 else c
+        v = 0x20 if c.isspace() or c < " " else 0x30 if c.isdigit() else ord(low)
+        out.append(v if v < 2048 else 2048 + (v * 2654435761 >> 7) % 2048)
+    return out
+
+
+def test_perplexity_of_many_grams(spark):
+    rng = np.random.default_rng(13)
+    rows = [("ja" if i % 3 else "zh", "".join(map(chr, rng.integers(0x4E00, 0x9000, 8000))) + " plain words" * 20) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, l) for i, (l, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    want = brute_perplexity(rows)
+    got = {r.doc_id: r.log2_ppl for r in quality.assess(docs).collect()}
+    assert [got[i] for i in range(40)] == pytest.approx(want, abs=1e-5)
+
+
+def test_model_in_parts(spark, texts):
+    rows = texts + texts[:3] + list(enumerate(["| a | $1 | b | $2 |\n" * 20, "été " * 60], 500))
+    docs = frame(spark, rows)
+    want = {i: p for (i, _), p in zip(rows, brute_perplexity([("en", t) for _, t in rows]), strict=True)}
+    model = quality.fit(docs)
+    assert len(list(quality.parts(model, entries=10))) > 3
+    for entries in (10, quality.ENTRIES):
+        got = quality.assess(docs, entries=entries).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert (r.log2_ppl is None and want[r.doc_id] is None) or r.log2_ppl == pytest.approx(want[r.doc_id], abs=1e-5)
+
+
 # --- tokens and pieces --------------------------------------------------------------------------
 
 TRICKY = [None, "", " ", "a  b", "\n", "a\n b\tc", "ﬁ é ｆ", "x\u00a0y z", "\x00a b", "  lead", "trail  ", "😀 é́ don't it's", "word" * 300, "a b c  d   e\n\n f", "1 2 3,4 $5 #6"]
