@@ -415,6 +415,13 @@ def connected_components(spark, d):
     return components.connected_components(edges)
 
 
+@query
+def connected_components_of_all_lines(spark, d):
+    """Orders and parts tied by any line; too many edges for recursive SQL, so it has none."""
+    edges = analog.table(spark, d, "lineitem").select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"))
+    return components.connected_components(edges)
+
+
 # --- sequences, attributes, CIGAR ---------------------------------------------------------------
 
 

@@ -49,5 +49,20 @@ def test_models_run_and_repeat(spark, entry, name):
     assert one == two and one
 
 
+def test_components_of_all_lines(spark, entry, con):
+    above = {}
+
+    def top(x):
+        while above.setdefault(x, x) != x:
+            above[x] = x = above[above[x]]
+        return x
+
+    for a, b in con.execute("SELECT DISTINCT l_orderkey * 2, l_partkey * 2 + 1 FROM lineitem").fetchall():
+        a, b = top(a), top(b)
+        above[max(a, b)] = min(a, b)
+    got = entry.queries()["connected_components_of_all_lines"](spark, SF).collect()
+    assert sorted(map(tuple, got)) == sorted((x, top(x)) for x in list(above))
+
+
 def test_entry(spark, entry):
     assert entry.entry(spark).count() > 0
