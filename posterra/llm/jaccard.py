@@ -26,8 +26,8 @@ components that the bitmaps allow. No group is limited and no such pair is left
 
 Cases: a null or empty text has no shingle, no link, and is its own component; a text
 under ``SHINGLE`` words is one shingle; equal rows are in one class; rows sharing a key
-are judged row by row, each by its own set; a row with a null key takes the component of
-its set if another row has it, else null, and names none; columns other than the named
+are judged row by row, each by its own set; a row with a null key links like any other but
+names no component, so the component of rows that all lack a key is null; columns other than the named
 ones are ignored; an empty table gives no rows.
 """
 
@@ -180,7 +180,11 @@ def verified(body: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int
     leaders = shares.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.col("a").alias("id"), to("a", F.col("part")).alias("to"))
     wanted = members.unionByName(leaders).groupBy("id").agg(F.collect_list("to").alias("to"))
     wanted = wanted.join(classes.select("id", "doc_id", "th"), "id")
-    rows = body.join(wanted, ["doc_id", "th"]).select("id", "text", F.col("to.leader").alias("leaders"), F.col("to.part").alias("parts"))
+    columns = ["id", "text", F.col("to.leader").alias("leaders"), F.col("to.part").alias("parts")]
+    rows = body.join(wanted, ["doc_id", "th"]).select(*columns)
+    # any number of rows without a key may have the text of a class's head; one is enough
+    loose = body.where("doc_id is null").join(wanted.where("doc_id is null").drop("doc_id"), "th").select(*columns)
+    rows = rows.unionByName(loose.dropDuplicates(["id"]))
     sets = rows.mapInArrow(_sets, "leader long, part int, member long, codes binary")
     return sets.groupBy("leader", "part").applyInPandas(_verify(percent), "a long, b long")
 
@@ -254,15 +258,22 @@ def across_components(posted: DataFrame, classes: DataFrame, part: DataFrame, pe
     return dealt.mapInArrow(lambda it: _across(it, percent, best), "a long, b long").distinct()
 
 
+def _head():
+    """The first row of a group by (key, text hash); rows without a key come last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("loose"), "doc_id", "th")).alias("head")
+
+
 def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, th, n, hi, lo) of every row (th: ``xxhash64`` of the text), and (n, hi, lo, component_id) of every class of equal sets."""
+    """(doc_id, th, n, hi, lo) of every row (th: ``xxhash64`` of the text), and (n, hi, lo, component, component_id) of every class of equal sets.
+
+    ``component_id`` is the least key in the component, null if there is none; ``component`` tells those apart.
+    """
     body = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     spark = docs.sparkSession
     body = body.select("doc_id", "text", F.xxhash64("text").alias("th"))
     described = checkpointed(body.mapInArrow(_describe, "doc_id long, th long, n long, hi long, lo long, keys array<long>, bitmap array<long>"))
     rows = described.select("doc_id", "th", "n", "hi", "lo")
-    named = described.where("n > 0 and doc_id is not null")
-    classes = named.groupBy("n", "hi", "lo").agg(F.min(F.struct("doc_id", "th")).alias("head"), F.first("keys").alias("keys"), F.first("bitmap").alias("bitmap"))
+    classes = described.where("n > 0").groupBy("n", "hi", "lo").agg(_head(), F.first("keys").alias("keys"), F.first("bitmap").alias("bitmap"))
     classes = checkpointed(classes.select(F.xxhash64("n", "hi", "lo").alias("id"), "n", "hi", "lo", "head.doc_id", "head.th", "keys", "bitmap"))
 
     def plausible(pairs: DataFrame) -> DataFrame:
@@ -296,7 +307,7 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     release(spark)
     found = classes.select("id", "n", "hi", "lo", "doc_id").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rows, found.join(least, "component").select("n", "hi", "lo", "component_id")
+    return rows, found.join(least, "component").select("n", "hi", "lo", "component", "component_id")
 
 
 def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -306,11 +317,10 @@ def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "tex
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the first by (key, text hash), once; rows without a shingle or a component stay."""
+    """The rows of ``docs`` that stay: of each component the first by (key, text hash), once, null keys last; rows without a shingle stay."""
     rows, classes = linked_classes(docs, key, text, percent)
-    named = rows.join(classes, ["n", "hi", "lo"], "left")
-    first = named.where("component_id is not null").groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("head")).select("head.doc_id", "head.th")
-    alone = rows.where("n = 0 or doc_id is null").join(classes.select("n", "hi", "lo"), ["n", "hi", "lo"], "left_anti").select("doc_id", "th")
+    first = rows.join(classes, ["n", "hi", "lo"]).groupBy("component").agg(_head()).select("head.doc_id", "head.th")
+    alone = rows.where("n = 0").select("doc_id", "th")
     stay = checkpointed(first.unionByName(alone).distinct())
     keyed = docs.withColumns({"__doc": F.col(f"`{key}`").cast("long"), "__th": F.xxhash64(F.col(f"`{text}`").cast("string"))})
     same = keyed["__doc"].eqNullSafe(stay["doc_id"]) & (keyed["__th"] == stay["th"])

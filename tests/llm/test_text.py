@@ -152,6 +152,22 @@ def test_component_odd_cases(spark):
     assert sorted(r.doc_id for r in kept) == [3, 9, 10, 11] and kept[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars", "keys", "n", "hi"}
 
 
+def test_rows_without_a_key_link(spark):
+    base = words(200, 21)
+    middle, far, lone = base.copy(), base.copy(), words(100, 22)
+    for at in (20, 60, 100):
+        middle[at] = far[at] = "one"
+    for at in (40, 80, 120):
+        far[at] = "two"
+    near = lone.copy()
+    near[50] = "three"
+    rows = [(9, " ".join(far)), (5, " ".join(base)), (None, " ".join(middle)), (None, " ".join(middle)), (None, " ".join(lone)), (None, " ".join(near)), (None, " ".join(lone).upper()), (None, "A b c"), (None, "a  B C"), (None, ""), (5, "another text")]
+    got = collections.Counter((r.doc_id, r.component_id) for r in jaccard.similarity_components(frame(spark, rows)).collect())
+    assert got == {(9, 5): 1, (5, 5): 2, (None, 5): 2, (None, None): 6}
+    kept = sorted((r.doc_id or 0, r.text.lower().split()) for r in jaccard.one_of_each(frame(spark, rows)).collect())
+    assert kept[0] == (0, []) and kept[1] == (0, ["a", "b", "c"]) and kept[2][1] in (lone, near) and kept[3:] == sorted([(5, base), (5, ["another", "text"])])
+
+
 # --- personal data ------------------------------------------------------------------------------
 
 BASE = {
