@@ -6,7 +6,7 @@ shingles, the prefix of a set is its smallest shingle, and two sets of Jaccard s
 drawn once; every ``INTERSECTED`` consecutive ones make a filter, and a pair passes a
 filter only if its prefixes agree under all its orders, so that a frequent shingle (a
 passage that thousands of texts share) brings two texts together only where it is the
-smallest of both under each of four unrelated orders. A pair is a candidate if it passes
+smallest of both under each of three unrelated orders. A pair is a candidate if it passes
 one of the ``FILTERS`` filters. Whole prefixes (a fifth of each set) would make the filter
 lossless at several times the postings; with one shingle under ``3 x 36`` orders a pair at
 exactly the threshold passes none with probability ``(1 - 0.8 ** 3) ** 36 = 6e-12``, and
