@@ -49,13 +49,13 @@ KINDS = (*BASE_KINDS, *ADDED_KINDS)
 
 #: Generator: kind, pattern, and a cheap test that a text must pass to be searched.
 GENERATORS = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+ ?[(\[{] ?(?i:at) ?[)\]}] ?[A-Za-z0-9-]{2,63}+(?: ?[(\[{] ?(?i:dot) ?[)\]}] ?[A-Za-z0-9-]{2,63}+|\.[A-Za-z0-9-]{2,63}+){1,4}", r"[(\[{] ?(?i:at) ?[)\]}]"),
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}+ (?i:at) [A-Za-z0-9-]{2,63}+(?: (?i:dot) [A-Za-z0-9-]{2,63}+){1,4}", r" (?i:dot) "),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,}+ ?[(\[{] ?(?i:at) ?[)\]}] ?[A-Za-z0-9-]{2,63}+(?: ?[(\[{] ?(?i:dot) ?[)\]}] ?[A-Za-z0-9-]{2,63}+|\.[A-Za-z0-9-]{2,63}+){1,4}", r"[(\[{] ?(?i:at) ?[)\]}]"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,}+ (?i:at) [A-Za-z0-9-]{2,63}+(?: (?i:dot) [A-Za-z0-9-]{2,63}+){1,4}", r" (?i:dot) "),
     ("phone", r"(?<![0-9A-Za-z.,+-])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])", r"[0-9]{4}"),
     ("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", r"[0-9]-[0-9]{2}-[0-9]"),
     ("ip6", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", r":[0-9A-Fa-f]{1,4}:"),
     ("iban", r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![0-9A-Za-z])", r"[A-Z]{2}[0-9]{2}"),
-    ("secret", r"(?<![0-9A-Za-z_+/-])[0-9A-Za-z_+/-]{16,128}+(?![0-9A-Za-z_+/-])", r"(?i:token|secret|passw|key|auth)"),
+    ("secret", r"(?<![0-9A-Za-z_+/-])[0-9A-Za-z_+/-]{16,}+(?![0-9A-Za-z_+/-])", r"(?i:token|secret|passw|key|auth)"),
 )
 
 _POSITIVE = r"(?i)(?:phone|tel|call|mobile|fax|cell|contact|reach|mail|write|ssn|social|security|address|host|ip|iban|account|bank|token|secret|passw\w*|key|auth\w*)\W{0,4}(?:\w{1,4}\W{0,3})?$"

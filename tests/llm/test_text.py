@@ -218,6 +218,14 @@ def test_candidates(spark):
     assert red[0] == "call me at [PHONE] please" and red[9] == "[EMAIL], [CARD]!" and red[10] is None and red[4] == plain
 
 
+def test_long_candidates(spark):
+    digits = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"
+    name = "anna.b" * 20
+    rows = [(n, f'token = "{(digits * 50)[:n]}" here') for n in (128, 129, 500, 2000)] + [(1, f"write to {name} (at) mail (dot) com")]
+    red = {r.doc_id: r.text for r in pii.redact(frame(spark, rows)).collect()}
+    assert {red[n] for n in (128, 129, 500, 2000)} == {'token = "[SECRET]" here'} and red[1] == "write to [EMAIL]"
+
+
 def test_native_plan(spark):
     plan = pii.find(frame(spark, [(1, "x")]).select("doc_id", "text").where("doc_id > 0"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
