@@ -390,6 +390,32 @@ def test_model_in_parts(spark, texts):
             assert (r.log2_ppl is None and want[r.doc_id] is None) or r.log2_ppl == pytest.approx(want[r.doc_id], abs=1e-5)
 
 
+def test_verdicts_against_brute_force(spark):
+    rng = np.random.default_rng(14)
+    syllables = {"en": ["ka", "lo", "mi", "ter", "sun", "ve"], None: ["zyx", "qu", "wub", "jif", "ost", "ne"]}
+    text = lambda lang, n, least: ["".join(rng.choice(syllables[lang], rng.integers(least, least + 3))) for _ in range(n)]
+    rows = [(lang, " ".join(text(lang, int(rng.integers(40, 120)), 2))) for lang in syllables for _ in range(30)]
+    rows += [("en", "\n".join(f"| {a} | ${b} |" for a, b in zip(text("en", 60, 6), rng.integers(100, 99999, 60), strict=True))) for _ in range(10)]
+    rows += [(lang, "".join(rng.choice(list("qxzjvkwpyhbg#$&| "), 900))) for lang in syllables for _ in range(2)]
+    rows += [rows[0], rows[0], ("en", None), ("en", "ab")]
+    ppl = brute_perplexity([(lang or "", t) for lang, t in rows])
+    failed = [brute_quality(t)[-1] for _, t in rows]
+    low, high = {}, {}
+    for lang in syllables:
+        x = sorted({t: p for (l, t), p, f in zip(rows, ppl, failed, strict=True) if l == lang and p is not None and not f}.values())
+        middle = x[(len(x) - 1) // 2]
+        half = max(1.5, 12 * 1.4826 * sorted(abs(v - middle) for v in x)[(len(x) - 1) // 2])
+        low[lang], high[lang] = middle - half, middle + half
+    want = [not f and (p is None or low[l] <= p <= high[l]) for (l, _), p, f in zip(rows, ppl, failed, strict=True)]
+    docs = spark.createDataFrame([(i, t, l) for i, (l, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.assess(docs).collect()}
+    for i, (lang, _) in enumerate(rows):
+        assert got[i].kept == want[i] and (got[i].log2_ppl is None) == (ppl[i] is None)
+        assert ppl[i] is None or got[i].log2_ppl == pytest.approx(ppl[i], abs=1e-5)
+        assert (got[i].ppl_low, got[i].ppl_high) == pytest.approx((low[lang], high[lang]), abs=1e-4)
+    assert all(want[60:70]) and not any(want[i] for i in range(70, 74) if not failed[i]) and not all(failed[70:74])
+
+
 # --- tokens and pieces --------------------------------------------------------------------------
 
 TRICKY = [None, "", " ", "a  b", "\n", "a\n b\tc", "ﬁ é ｆ", "x\u00a0y z", "\x00a b", "  lead", "trail  ", "😀 é́ don't it's", "word" * 300, "a b c  d   e\n\n f", "1 2 3,4 $5 #6"]
