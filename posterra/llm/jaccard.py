@@ -1,28 +1,27 @@
-"""Exact-verified Jaccard self-join of texts on word shingles, by several global orders.
+"""Exact Jaccard self-join of texts on word shingles, by prefixes under several global orders.
 
 The set of a text is its distinct ``SHINGLE``-word shingles. Under a global order of all
-shingles, the prefix of a set is its smallest shingle, and two sets of Jaccard similarity
-``j`` share it with probability ``j`` over the orders. ``ORDERS`` independent orders are
-drawn once; every ``INTERSECTED`` consecutive ones make a filter, and a pair passes a
-filter only if its prefixes agree under all its orders, so that a frequent shingle (a
-passage that thousands of texts share) brings two texts together only where it is the
-smallest of both under each of three unrelated orders. A pair is a candidate if it passes
-one of the ``FILTERS`` filters. Whole prefixes (a fifth of each set) would make the filter
-lossless at several times the postings; with one shingle under ``3 x 36`` orders a pair at
-exactly the threshold passes none with probability ``(1 - 0.8 ** 3) ** 36 = 6e-12``, and
-less above it.
+shingles the prefix of a set of ``n`` is its first ``n - ceil(0.8 n) + 1`` shingles, and two
+sets of Jaccard similarity 0.8 or more share a shingle of their prefixes, whatever the order.
+There are ``ORDERS`` orders. All put shingles that many texts hold last (by levels of a
+count table of fixed size, which every task adds to and every task gets), so that a passage
+that thousands share stands in a prefix only where little else does; within a level each
+order is another hash. A pair is a candidate if its prefixes meet under the first order
+(posting lists) *and* under every other (arrays of the two sets); then sizes and parity
+bitmaps, which differ in at most as many bits as the sets in shingles, must allow it. No
+filter loses a link.
 
 Candidates are verified on the whole sets: 64-bit shingle hashes, integer comparison
 ``100 * common >= percent * union``. Equal sets are one class, found by a 128-bit
-fingerprint before anything else, so copies are never paired. A group's leader is the
-member whose groups are largest in sum, for a family of near copies the text they were
-copied from; each set is compared first with the leader it shares most filters with, which
-brings most of a family into one component at one comparison a member. Members of a group
-that are then still in different components are compared by parity bitmaps, which differ in
-at most as many bits as the sets differ in shingles, in blocks of at most ``BLOCK`` by
-``BLOCK`` members that spread over tasks. First the ``BEST`` likeliest pairs of each
-component are verified, which merges what can be merged; then every pair of different
-components that the bitmaps allow. No group is limited and no such pair is left out.
+fingerprint before anything else, so copies are never paired. Only classes that share a
+posting list have their sets kept. A list's leader is the member whose lists are largest in
+sum, for a family of near copies the text they were copied from; each set is compared first
+with the leader it shares most lists with, which brings most of a family into one component
+at one comparison a member. Members of a list that are then still in different components
+are compared in blocks of at most ``BLOCK`` by ``BLOCK`` that spread over tasks: first the
+``BEST`` likeliest pairs of each component, which merges what can be merged, then every
+pair of different components that the filters allow. No list is limited and no such pair is
+left out.
 
 Cases: a null or empty text has no shingle, no link, and is its own component; a text
 under ``SHINGLE`` words is one shingle; equal rows are in one class; rows sharing a key
@@ -33,6 +32,7 @@ ones are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,17 +47,18 @@ from .textblocks import ASCII_LOWER, Block, RangeHasher, blocks, mix
 
 SHINGLE = 5
 PERCENT = 80
-INTERSECTED = 3
-FILTERS = 36
+ORDERS = 3
 BITMAP_WORDS = 16
 BLOCK = 1024
 BEST = 3
-#: Shingles of the members that one verification task compares with one leader.
+#: Shingles and sets that one verification task compares with one leader.
 TASK_SHINGLES = 400_000
+TASK_SETS = 256
+#: Slots of the count table behind the orders, and of one row of it; the table is 4 MB however much was counted.
+SLOTS = 1 << 22
+CHUNK = 1 << 12
 
-_RNG = np.random.default_rng(577215664)
-_ORDERS = _RNG.integers(1, 1 << 63, (INTERSECTED * FILTERS, 2), dtype=np.uint64)
-_ORDERS[:, 1] |= np.uint64(1)
+_SALTS = np.random.default_rng(577215664).integers(1, 1 << 63, ORDERS, dtype=np.uint64)
 
 
 def shingle_sets(block: Block, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -85,20 +86,27 @@ def fingerprints(codes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
-def filter_keys(codes: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """(texts, FILTERS) keys; a row of an empty set is meaningless."""
-    n = len(offs) - 1
-    keys = np.zeros((n, FILTERS), dtype=np.uint64)
-    full = np.flatnonzero(offs[1:] > offs[:-1])
-    if not len(full):
-        return keys
-    starts = offs[:-1][full]
-    for f in range(FILTERS):
-        key = np.full(len(full), f + 1, dtype=np.uint64)
-        for xor, factor in _ORDERS[f * INTERSECTED : (f + 1) * INTERSECTED]:
-            key = mix(key + np.minimum.reduceat((codes ^ xor) * factor, starts))
-        keys[full, f] = key
-    return keys
+def class_ids(codes: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """A number for each set, of its size and fingerprint."""
+    hi, lo = fingerprints(codes, offs)
+    return mix(hi.view(np.uint64) + mix(lo.view(np.uint64) + np.diff(offs).astype(np.uint64))).view(np.int64)
+
+
+def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Shingles of a set of ``n`` of which one at least is in every set it links with, under any order."""
+    return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
+
+
+def prefixes(codes: np.ndarray, offs: np.ndarray, order: int, levels: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix of every set under one order, and the offsets of the sets."""
+    level = levels[codes >> np.uint64(64 - SLOTS.bit_length() + 1)].astype(np.uint64)
+    rank = (level << np.uint64(58)) | (mix(codes ^ _SALTS[order]) >> np.uint64(6))
+    doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
+    by = np.lexsort((rank, doc))
+    length = prefix_length(np.diff(offs), percent)
+    upto = np.concatenate(([0], np.cumsum(length)))
+    at = np.arange(upto[-1]) - np.repeat(upto[:-1] - offs[:-1], length)
+    return codes[by[at]], upto
 
 
 def bitmaps(codes: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -109,52 +117,94 @@ def bitmaps(codes: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.packbits(parity.reshape(n, bits), axis=1).view(np.int64)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+# --- passes over the texts ----------------------------------------------------------------------
+
+_MARKED = "doc_id long, th long, n long, hi long, lo long, id long, chunk int, counts binary"
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size, fingerprint and class of every text; then, in rows of their own, the task's counts of shingles by slot."""
+    counts = np.zeros(SLOTS, dtype=np.uint32)
     for batch in batches:
         for block in blocks(batch.column(1)):
             codes, offs = shingle_sets(block)
             hi, lo = fingerprints(codes, offs)
-            keys, maps = filter_keys(codes, offs).view(np.int64), bitmaps(codes, offs)
+            slot, count = np.unique((codes >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64), return_counts=True)
+            counts[slot] += count.astype(np.uint32)
             n = len(block)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).slice(block.first, n), batch.column(2).slice(block.first, n), pa.array(np.diff(offs).astype(np.int64)), pa.array(hi), pa.array(lo),
-                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * FILTERS), pa.array(keys.reshape(-1))),
-                    pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BITMAP_WORDS), pa.array(maps.reshape(-1))),
-                ],
-                names=["doc_id", "th", "n", "hi", "lo", "keys", "bitmap"],
-            )
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, leaders) rows to (leader, part, member, n, set) rows; leaders are packed as ``id``, ``part`` arrays."""
+            own = [batch.column(i).slice(block.first, n) for i in (0, 2)]
+            numbers = [pa.array(x) for x in (np.diff(offs).astype(np.int64), hi, lo, class_ids(codes, offs))]
+            yield pa.RecordBatch.from_arrays([*own, *numbers, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=[x.split()[0] for x in _MARKED.split(", ")])
+    rows = counts.reshape(-1, CHUNK)
+    used = np.flatnonzero(rows.any(axis=1))
+    if len(used):
+        none = pa.nulls(len(used), pa.int64())
+        packed = pa.array([zlib.compress(rows[i].tobytes(), 1) for i in used], pa.binary())
+        yield pa.RecordBatch.from_arrays([none] * 6 + [pa.array(used.astype(np.int32)), packed], names=[x.split()[0] for x in _MARKED.split(", ")])
+
+
+def _levels(batches: Iterator[pa.RecordBatch], usual: float) -> Iterator[pa.RecordBatch]:
+    """Sums of a task's chunks, as levels: 0 up to a few times the usual count, one more for each doubling beyond."""
+    sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        names = batch.column(0).to_pylist()
-        leaders, parts = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = np.frombuffer(zlib.decompress(packed), dtype=np.uint32)
+            sums[chunk] = sums[chunk] + own if chunk in sums else own.astype(np.uint64)
+    for chunk, total in sums.items():
+        level = np.log2(np.maximum(total / (4 * usual + 16), 1)).astype(np.uint8)
+        if level.any():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["chunk", "levels"])
+
+
+def _post(batches: Iterator[pa.RecordBatch], shared, percent: int) -> Iterator[pa.RecordBatch]:
+    """(k, id): the first-order prefix of every class that the task meets, once."""
+    levels = shared.value
+    seen: set[int] = set()
+    for batch in batches:
+        for block in blocks(batch.column(0)):
+            codes, offs = shingle_sets(block)
+            ids = class_ids(codes, offs)
+            new = np.zeros(len(ids), dtype=bool)
+            for i in np.flatnonzero(offs[1:] > offs[:-1]).tolist():
+                if (name := int(ids[i])) not in seen:
+                    seen.add(name)
+                    new[i] = True
+            codes, ids = codes[np.repeat(new, np.diff(offs))], ids[new]
+            keys, upto = prefixes(codes, np.concatenate(([0], np.cumsum(np.diff(offs)[new]))), 0, levels, percent)
+            if len(keys):
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(ids, np.diff(upto)))], names=["k", "id"])
+
+
+_SETS = "id long, n long, codes binary, bitmap array<long>, prefix2 array<int>, prefix3 array<int>"
+
+
+def _sets(batches: Iterator[pa.RecordBatch], shared, percent: int) -> Iterator[pa.RecordBatch]:
+    """(id, text) to the class's set, its bitmap and its prefixes under the other orders; each class once."""
+    levels = shared.value
+    seen: set[int] = set()
+    for batch in batches:
+        names = batch.column(0).to_numpy()
         for block in blocks(batch.column(1)):
+            own = names[block.first : block.first + len(block)]
+            fresh = [i for i, name in enumerate(own.tolist()) if not (name in seen or seen.add(name))]
+            if not fresh:
+                continue
             codes, offs = shingle_sets(block)
-            rows: list[tuple] = []
-            size = 0
-            for i in range(len(block)):
-                own = codes[offs[i] : offs[i + 1]].tobytes()
-                for leader, part in zip(leaders[block.first + i], parts[block.first + i], strict=True):
-                    rows.append((leader, part, names[block.first + i], own))
-                    size += len(own)
-                if size > 1 << 23:
-                    yield _set_batch(rows)
-                    rows, size = [], 0
-            if rows:
-                yield _set_batch(rows)
+            lists = [*(prefixes(codes, offs, o, levels, percent) for o in range(1, ORDERS))]
+            lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys.astype(np.uint32).view(np.int32))) for keys, at in lists]
+            maps = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * BITMAP_WORDS), pa.array(bitmaps(codes, offs).reshape(-1)))
+            whole = pa.array([codes[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)], pa.binary())
+            out = pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.diff(offs).astype(np.int64)), whole, maps, *lists], names=[x.split()[0] for x in _SETS.split(", ")])
+            yield out if len(fresh) == len(own) else out.take(pa.array(fresh))
 
 
-def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
-    a, b, c, d = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], names=["leader", "part", "member", "codes"])
+# --- verification -------------------------------------------------------------------------------
 
 
 def _verify(percent: int):
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         leader = int(group["leader"].iloc[0])
+        group = group.drop_duplicates("member")
         sets = [np.frombuffer(x, dtype=np.uint64) for x in group["codes"]]
         own = group["member"].to_numpy() == leader
         base = sets[int(np.flatnonzero(own)[0])]
@@ -171,30 +221,55 @@ def _verify(percent: int):
     return compare
 
 
-def verified(body: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets link; ``body`` has (doc_id, th, text), ``classes`` (id, doc_id, th, n)."""
-    pairs = pairs.join(classes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    shares = pairs.groupBy("a").agg(F.ceil(F.sum("nb") / TASK_SHINGLES).cast("int").alias("parts"))
-    to = lambda leader, part: F.struct(F.col(leader).alias("leader"), part.alias("part"))
-    members = pairs.join(shares, "a").select(F.col("b").alias("id"), to("a", F.pmod(F.xxhash64("b"), F.col("parts").cast("long")).cast("int")).alias("to"))
-    leaders = shares.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select(F.col("a").alias("id"), to("a", F.col("part")).alias("to"))
-    wanted = members.unionByName(leaders).groupBy("id").agg(F.collect_list("to").alias("to"))
-    wanted = wanted.join(classes.select("id", "doc_id", "th"), "id")
-    columns = ["id", "text", F.col("to.leader").alias("leaders"), F.col("to.part").alias("parts")]
-    rows = body.join(wanted, ["doc_id", "th"]).select(*columns)
-    # any number of rows without a key may have the text of a class's head; one is enough
-    loose = body.where("doc_id is null").join(wanted.where("doc_id is null").drop("doc_id"), "th").select(*columns)
-    rows = rows.unionByName(loose.dropDuplicates(["id"]))
-    sets = rows.mapInArrow(_sets, "leader long, part int, member long, codes binary")
-    return sets.groupBy("leader", "part").applyInPandas(_verify(percent), "a long, b long")
-
-
 def _near(a: str, b: str):
     """Number of bits in which two bitmaps differ; linked sets differ in at least as many shingles."""
     words = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(BITMAP_WORDS)]
     return sum(words[1:], words[0])
 
 
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The (a, b, nb) of ``pairs`` that meet under every other order too and that sizes and bitmaps allow."""
+    others = [f"prefix{o}" for o in range(2, ORDERS + 1)]
+    side = lambda name: sets.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("bitmap").alias(f"m{name}"), *[F.col(p).alias(f"{p}{name}") for p in others])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    able = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * _near("ma", "mb") <= (100 - percent) * (F.col("na") + F.col("nb")))
+    for p in others:
+        able &= F.arrays_overlap(f"{p}a", f"{p}b")
+    return both.where(able).select("a", "b", "nb")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The (a, b) of ``pairs`` (a, b, nb) whose sets link."""
+    shares = pairs.groupBy("a").agg(F.greatest(F.ceil(F.sum("nb") / TASK_SHINGLES), F.ceil(F.count(F.lit(1)) / TASK_SETS)).cast("int").alias("parts"))
+    members = pairs.join(shares, "a").select(F.col("a").alias("leader"), F.pmod(F.xxhash64("b"), F.col("parts").cast("long")).cast("int").alias("part"), F.col("b").alias("id"))
+    leaders = shares.select(F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("id"))
+    rows = members.unionByName(leaders).join(sets.select("id", "codes"), "id").select("leader", "part", F.col("id").alias("member"), "codes")
+    return rows.groupBy("leader", "part").applyInPandas(_verify(percent), "a long, b long")
+
+
+# --- components ---------------------------------------------------------------------------------
+
+
+def _roots(parents: DataFrame) -> DataFrame:
+    """(node, component) of a forest of (node, up), each node with one ``up``; roots are not listed."""
+    while True:
+        above = parents.select(F.col("node").alias("up"), F.col("up").alias("higher"))
+        moved = checkpointed(parents.join(above, "up", "left").select("node", F.coalesce("higher", "up").alias("up"), F.col("higher").isNotNull().alias("moved")))
+        parents = moved.select("node", "up")
+        if moved.where("moved").isEmpty():
+            return parents.withColumnRenamed("up", "component")
+
+
+def _merged(part: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after links between nodes of different components; nodes not listed are their own."""
+    of = lambda side: part.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
+    joined = checkpointed(connected_components(between))
+    renamed = part.join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    # a component's own name may be no node of ``part``
+    return checkpointed(renamed.unionByName(joined.join(part, "node", "left_anti")))
+
+
 def _across(batches: Iterator[pa.RecordBatch], percent: int, best: int) -> Iterator[pa.RecordBatch]:
     """Pairs of one block pair that lie in different components and that sizes and bitmaps allow.
 
@@ -243,11 +318,11 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int, best: int) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(low[keep]), pa.array(high[keep])], names=["a", "b"])
 
 
-def across_components(posted: DataFrame, classes: DataFrame, part: DataFrame, percent: int, best: int) -> DataFrame:
-    """(a, b): pairs of members of one group in different components, as ``_across`` finds them."""
+def across_components(posted: DataFrame, sets: DataFrame, part: DataFrame, percent: int, best: int) -> DataFrame:
+    """(a, b): pairs of members of one list in different components, as ``_across`` finds them."""
     labelled = posted.select("k", "id").join(part.withColumnRenamed("node", "id"), "id", "left").select("k", "id", F.coalesce("component", "id").alias("c"))
     open_ = labelled.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("least <> most").select("k", "blocks")
-    rows = labelled.join(open_, "k").join(classes.select("id", "n", "bitmap"), "id")
+    rows = labelled.join(open_, "k").join(sets.select("id", "n", "bitmap"), "id")
     # member of block b meets the blocks from 0: pairs (min, max) of block numbers are tasks
     own = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -264,62 +339,68 @@ def _head():
 
 
 def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, th, n, hi, lo) of every row (th: ``xxhash64`` of the text), and (n, hi, lo, component, component_id) of every class of equal sets.
+    """(doc_id, th, n, id) of every row (th: ``xxhash64`` of the text), and (id, component, component_id) of every class of equal sets.
 
     ``component_id`` is the least key in the component, null if there is none; ``component`` tells those apart.
     """
-    body = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     spark = docs.sparkSession
+    body = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     body = body.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    described = checkpointed(body.mapInArrow(_describe, "doc_id long, th long, n long, hi long, lo long, keys array<long>, bitmap array<long>"))
-    rows = described.select("doc_id", "th", "n", "hi", "lo")
-    classes = described.where("n > 0").groupBy("n", "hi", "lo").agg(_head(), F.first("keys").alias("keys"), F.first("bitmap").alias("bitmap"))
-    classes = checkpointed(classes.select(F.xxhash64("n", "hi", "lo").alias("id"), "n", "hi", "lo", "head.doc_id", "head.th", "keys", "bitmap"))
-
-    def plausible(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that sizes and bitmaps allow."""
-        side = lambda name: classes.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("bitmap").alias(f"m{name}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-        return both.where(sizes & ((100 + percent) * _near("ma", "mb") <= (100 - percent) * (F.col("na") + F.col("nb")))).select("a", "b")
-
-    keyed = classes.select("id", F.explode("keys").alias("k"))
-    sizes = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    posted = keyed.join(sizes, "k")
-    central = posted.groupBy("id").agg(F.sum("size").alias("weight"))
-    posted = checkpointed(posted.select("k", "id").join(central, "id"))
+    marked = checkpointed(body.mapInArrow(_mark, _MARKED))
+    rows = marked.where("chunk is null").select("doc_id", "th", "n", "id")
+    usual = (rows.agg(F.sum("n")).first()[0] or 0) / SLOTS
+    levels = np.zeros(SLOTS, dtype=np.uint8)
+    summed = marked.where("chunk is not null").select("chunk", "counts").repartition(partitions(spark), "chunk").mapInArrow(lambda it: _levels(it, usual), "chunk int, levels binary")
+    for chunk, own in zip(*(column.to_pylist() for column in summed.toArrow().columns), strict=True):
+        levels[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(own, dtype=np.uint8)
+    shared = spark.sparkContext.broadcast(levels)
+    classes = checkpointed(rows.where("n > 0").groupBy("id").agg(_head()).select("id", "head.doc_id", "head.th"))
+
+    keyed = body.select("text").mapInArrow(lambda it: _post(it, shared, percent), "k long, id long")
+    # tasks may post one class each: lists of one class only are seen once those are one
+    several = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
+    posted = checkpointed(keyed.join(several, "k").distinct())
+    size = posted.groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    posted = posted.join(size, "k")
+    posted = checkpointed(posted.join(posted.groupBy("id").agg(F.sum("size").alias("weight")), "id").select("k", "id", "weight"))
+    release(spark)
+
+    wanted = posted.select("id").distinct().join(classes, "id")
+    found = body.join(wanted.withColumnsRenamed({"doc_id": "d", "th": "t"}), body["doc_id"].eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
+    sets = checkpointed(found.select("id", "text").mapInArrow(lambda it: _sets(it, shared, percent), _SETS))
+    release(spark)
+
     leads = posted.groupBy("k").agg(F.max_by("id", F.struct("weight", "id")).alias("lead"))
     best = posted.select("k", "id").join(leads, "k").where("id <> lead").groupBy("id", "lead").agg(F.count(F.lit(1)).alias("n"))
     best = best.groupBy("id").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
-    tried = checkpointed(plausible(best.select(F.col("lead").alias("a"), F.col("id").alias("b"))))
-    part = connected_components(checkpointed(verified(body, classes, tried, percent)))
+    tried = checkpointed(plausible(best.select(F.col("lead").alias("a"), F.col("id").alias("b")), sets, percent))
+    # weights grow from a set to its leader, so these links are a forest
+    part = _roots(checkpointed(verified(tried, sets, percent).select(F.col("b").alias("node"), F.col("a").alias("up"))))
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for most in (BEST, 0):
         release(spark)
-        cross = checkpointed(across_components(posted, classes, part, percent, most).join(tried, ["a", "b"], "left_anti"))
+        cross = checkpointed(plausible(across_components(posted, sets, part, percent, most).join(tried, ["a", "b"], "left_anti"), sets, percent))
         if cross.isEmpty():
-            if most:
-                continue
-            break
-        more = verified(body, classes, cross, percent)
-        part = connected_components(checkpointed(part.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
-        tried = tried.unionByName(cross)
+            continue
+        part = _merged(part, checkpointed(verified(cross, sets, percent)))
+        tried = tried.unionByName(cross.select("a", "b"))
     release(spark)
-    found = classes.select("id", "n", "hi", "lo", "doc_id").join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    found = classes.join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return rows, found.join(least, "component").select("n", "hi", "lo", "component", "component_id")
+    return rows, found.join(least, "component").select("id", "component", "component_id")
 
 
 def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     rows, classes = linked_classes(docs, key, text, percent)
-    return rows.join(classes, ["n", "hi", "lo"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows = rows.withColumn("id", F.when(F.col("n") > 0, F.col("id")))
+    return rows.join(classes, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the first by (key, text hash), once, null keys last; rows without a shingle stay."""
+    """The rows of ``docs`` that stay: of each component the first by (key, text hash), once, null keys last; rows without a shingle stay, equal ones once."""
     rows, classes = linked_classes(docs, key, text, percent)
-    first = rows.join(classes, ["n", "hi", "lo"]).groupBy("component").agg(_head()).select("head.doc_id", "head.th")
+    first = rows.where("n > 0").join(classes, "id").groupBy("component").agg(_head()).select("head.doc_id", "head.th")
     alone = rows.where("n = 0").select("doc_id", "th")
     stay = checkpointed(first.unionByName(alone).distinct())
     keyed = docs.withColumns({"__doc": F.col(f"`{key}`").cast("long"), "__th": F.xxhash64(F.col(f"`{text}`").cast("string"))})
