@@ -12,9 +12,9 @@ bitmaps, which differ in at most as many bits as the sets in shingles, must allo
 filter loses a link.
 
 Candidates are verified on the whole sets: 64-bit shingle hashes, integer comparison
-``100 * common >= percent * union``. Equal sets are one class, found by a 128-bit
-fingerprint before anything else, so copies are never paired. Only classes that share a
-posting list have their sets kept. A list's leader is the member whose lists are largest in
+``100 * common >= percent * union``; only candidates' texts are read for it. Equal sets are
+one class, found by a 128-bit fingerprint before anything else, so copies are never paired.
+A list's leader is the member whose lists are largest in
 sum, for a family of near copies the text they were copied from; each set is compared first
 with the leader it shares most lists with, which brings most of a family into one component
 at one comparison a member. Members of a list that are then still in different components
@@ -144,58 +144,56 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _levels(batches: Iterator[pa.RecordBatch], usual: float) -> Iterator[pa.RecordBatch]:
-    """Sums of a task's chunks, as levels: 0 up to a few times the usual count, one more for each doubling beyond."""
+    """Sums of a task's chunks, as levels: 0 up to what is usual by chance, one more for each doubling beyond."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             own = np.frombuffer(zlib.decompress(packed), dtype=np.uint32)
             sums[chunk] = sums[chunk] + own if chunk in sums else own.astype(np.uint64)
     for chunk, total in sums.items():
-        level = np.log2(np.maximum(total / (4 * usual + 16), 1)).astype(np.uint8)
+        level = np.log2(np.maximum(total / (usual + 4 * usual**0.5 + 4), 1)).astype(np.uint8)
         if level.any():
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["chunk", "levels"])
 
 
-def _post(batches: Iterator[pa.RecordBatch], shared, percent: int) -> Iterator[pa.RecordBatch]:
-    """(k, id): the first-order prefix of every class that the task meets, once."""
+_DESCRIBED = "id long, n long, bitmap array<long>, prefix1 array<long>, prefix2 array<int>, prefix3 array<int>"
+
+
+def _lists(values: np.ndarray, upto: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(values))
+
+
+def _describe(batches: Iterator[pa.RecordBatch], shared, percent: int) -> Iterator[pa.RecordBatch]:
+    """Bitmap and prefixes of every class that the task meets, once; but for the first order 32 bits of each shingle, which can only add candidates."""
     levels = shared.value
     seen: set[int] = set()
     for batch in batches:
         for block in blocks(batch.column(0)):
             codes, offs = shingle_sets(block)
             ids = class_ids(codes, offs)
-            new = np.zeros(len(ids), dtype=bool)
-            for i in np.flatnonzero(offs[1:] > offs[:-1]).tolist():
-                if (name := int(ids[i])) not in seen:
-                    seen.add(name)
-                    new[i] = True
-            codes, ids = codes[np.repeat(new, np.diff(offs))], ids[new]
-            keys, upto = prefixes(codes, np.concatenate(([0], np.cumsum(np.diff(offs)[new]))), 0, levels, percent)
-            if len(keys):
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(ids, np.diff(upto)))], names=["k", "id"])
-
-
-_SETS = "id long, n long, codes binary, bitmap array<long>, prefix2 array<int>, prefix3 array<int>"
+            new = np.array([n > 0 and not (name in seen or seen.add(name)) for name, n in zip(ids.tolist(), np.diff(offs).tolist(), strict=True)], dtype=bool)
+            if not new.any():
+                continue
+            codes, ids, n = codes[np.repeat(new, np.diff(offs))], ids[new], np.diff(offs)[new]
+            offs = np.concatenate(([0], np.cumsum(n)))
+            maps = _lists(bitmaps(codes, offs).reshape(-1), np.arange(len(n) + 1) * BITMAP_WORDS)
+            first, *others = (prefixes(codes, offs, o, levels, percent) for o in range(ORDERS))
+            lists = [_lists(first[0].view(np.int64), first[1]), *(_lists(keys.astype(np.uint32).view(np.int32), upto) for keys, upto in others)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), maps, *lists], names=[x.split()[0] for x in _DESCRIBED.split(", ")])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], shared, percent: int) -> Iterator[pa.RecordBatch]:
-    """(id, text) to the class's set, its bitmap and its prefixes under the other orders; each class once."""
-    levels = shared.value
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to the class's set, once a task."""
     seen: set[int] = set()
     for batch in batches:
-        names = batch.column(0).to_numpy()
+        names = batch.column(0).to_pylist()
         for block in blocks(batch.column(1)):
-            own = names[block.first : block.first + len(block)]
-            fresh = [i for i, name in enumerate(own.tolist()) if not (name in seen or seen.add(name))]
-            if not fresh:
-                continue
             codes, offs = shingle_sets(block)
-            lists = [*(prefixes(codes, offs, o, levels, percent) for o in range(1, ORDERS))]
-            lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys.astype(np.uint32).view(np.int32))) for keys, at in lists]
-            maps = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * BITMAP_WORDS), pa.array(bitmaps(codes, offs).reshape(-1)))
-            whole = pa.array([codes[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)], pa.binary())
-            out = pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.diff(offs).astype(np.int64)), whole, maps, *lists], names=[x.split()[0] for x in _SETS.split(", ")])
-            yield out if len(fresh) == len(own) else out.take(pa.array(fresh))
+            own = names[block.first : block.first + len(block)]
+            fresh = [i for i, name in enumerate(own) if not (name in seen or seen.add(name))]
+            if fresh:
+                whole = pa.array([codes[offs[i] : offs[i + 1]].tobytes() for i in fresh], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in fresh], pa.int64()), whole], names=["id", "codes"])
 
 
 # --- verification -------------------------------------------------------------------------------
@@ -227,23 +225,25 @@ def _near(a: str, b: str):
     return sum(words[1:], words[0])
 
 
-def plausible(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+def plausible(pairs: DataFrame, described: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The (a, b, nb) of ``pairs`` that meet under every other order too and that sizes and bitmaps allow."""
     others = [f"prefix{o}" for o in range(2, ORDERS + 1)]
-    side = lambda name: sets.select(F.col("id").alias(name), F.col("n").alias(f"n{name}"), F.col("bitmap").alias(f"m{name}"), *[F.col(p).alias(f"{p}{name}") for p in others])
+    side = lambda name: described.groupBy("id").agg(*[F.first(x).alias(f"{x}_{name}") for x in ("n", "bitmap", *others)]).withColumnRenamed("id", name)
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    able = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & ((100 + percent) * _near("ma", "mb") <= (100 - percent) * (F.col("na") + F.col("nb")))
+    able = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * _near("bitmap_a", "bitmap_b") <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
     for p in others:
-        able &= F.arrays_overlap(f"{p}a", f"{p}b")
-    return both.where(able).select("a", "b", "nb")
+        able &= F.arrays_overlap(f"{p}_a", f"{p}_b")
+    return both.where(able).select("a", "b", F.col("n_b").alias("nb"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The (a, b) of ``pairs`` (a, b, nb) whose sets link."""
+def verified(body: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The (a, b) of ``pairs`` (a, b, nb) whose sets link; ``body`` has (doc_id, th, text), ``classes`` (id, doc_id, th)."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes, "id").withColumnsRenamed({"doc_id": "d", "th": "t"})
+    sets = body.join(wanted, body["doc_id"].eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("id", "text").mapInArrow(_codes, "id long, codes binary")
     shares = pairs.groupBy("a").agg(F.greatest(F.ceil(F.sum("nb") / TASK_SHINGLES), F.ceil(F.count(F.lit(1)) / TASK_SETS)).cast("int").alias("parts"))
     members = pairs.join(shares, "a").select(F.col("a").alias("leader"), F.pmod(F.xxhash64("b"), F.col("parts").cast("long")).cast("int").alias("part"), F.col("b").alias("id"))
     leaders = shares.select(F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("id"))
-    rows = members.unionByName(leaders).join(sets.select("id", "codes"), "id").select("leader", "part", F.col("id").alias("member"), "codes")
+    rows = members.unionByName(leaders).join(sets, "id").select("leader", "part", F.col("id").alias("member"), "codes")
     return rows.groupBy("leader", "part").applyInPandas(_verify(percent), "a long, b long")
 
 
@@ -318,11 +318,11 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int, best: int) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(low[keep]), pa.array(high[keep])], names=["a", "b"])
 
 
-def across_components(posted: DataFrame, sets: DataFrame, part: DataFrame, percent: int, best: int) -> DataFrame:
+def across_components(posted: DataFrame, described: DataFrame, part: DataFrame, percent: int, best: int) -> DataFrame:
     """(a, b): pairs of members of one list in different components, as ``_across`` finds them."""
     labelled = posted.select("k", "id").join(part.withColumnRenamed("node", "id"), "id", "left").select("k", "id", F.coalesce("component", "id").alias("c"))
     open_ = labelled.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("least <> most").select("k", "blocks")
-    rows = labelled.join(open_, "k").join(sets.select("id", "n", "bitmap"), "id")
+    rows = labelled.join(open_, "k").join(described.groupBy("id").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "id")
     # member of block b meets the blocks from 0: pairs (min, max) of block numbers are tasks
     own = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -356,8 +356,9 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     shared = spark.sparkContext.broadcast(levels)
     classes = checkpointed(rows.where("n > 0").groupBy("id").agg(_head()).select("id", "head.doc_id", "head.th"))
 
-    keyed = body.select("text").mapInArrow(lambda it: _post(it, shared, percent), "k long, id long")
-    # tasks may post one class each: lists of one class only are seen once those are one
+    described = checkpointed(body.select("text").mapInArrow(lambda it: _describe(it, shared, percent), _DESCRIBED))
+    keyed = described.select("id", F.explode("prefix1").alias("k"))
+    # tasks may describe one class each: that a list has one class only is seen once those are one
     several = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
     posted = checkpointed(keyed.join(several, "k").distinct())
     size = posted.groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -365,24 +366,19 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     posted = checkpointed(posted.join(posted.groupBy("id").agg(F.sum("size").alias("weight")), "id").select("k", "id", "weight"))
     release(spark)
 
-    wanted = posted.select("id").distinct().join(classes, "id")
-    found = body.join(wanted.withColumnsRenamed({"doc_id": "d", "th": "t"}), body["doc_id"].eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")))
-    sets = checkpointed(found.select("id", "text").mapInArrow(lambda it: _sets(it, shared, percent), _SETS))
-    release(spark)
-
     leads = posted.groupBy("k").agg(F.max_by("id", F.struct("weight", "id")).alias("lead"))
     best = posted.select("k", "id").join(leads, "k").where("id <> lead").groupBy("id", "lead").agg(F.count(F.lit(1)).alias("n"))
     best = best.groupBy("id").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
-    tried = checkpointed(plausible(best.select(F.col("lead").alias("a"), F.col("id").alias("b")), sets, percent))
+    tried = checkpointed(plausible(best.select(F.col("lead").alias("a"), F.col("id").alias("b")), described, percent))
     # weights grow from a set to its leader, so these links are a forest
-    part = _roots(checkpointed(verified(tried, sets, percent).select(F.col("b").alias("node"), F.col("a").alias("up"))))
+    part = _roots(checkpointed(verified(body, classes, tried, percent).select(F.col("b").alias("node"), F.col("a").alias("up"))))
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for most in (BEST, 0):
         release(spark)
-        cross = checkpointed(plausible(across_components(posted, sets, part, percent, most).join(tried, ["a", "b"], "left_anti"), sets, percent))
+        cross = checkpointed(plausible(across_components(posted, described, part, percent, most).join(tried, ["a", "b"], "left_anti"), described, percent))
         if cross.isEmpty():
             continue
-        part = _merged(part, checkpointed(verified(cross, sets, percent)))
+        part = _merged(part, checkpointed(verified(body, classes, cross, percent)))
         tried = tried.unionByName(cross.select("a", "b"))
     release(spark)
     found = classes.join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
