@@ -7,8 +7,8 @@ There are ``ORDERS`` orders. All put shingles that many texts hold last (by leve
 count table of fixed size, which every task adds to and every task gets), so that a passage
 that thousands share stands in a prefix only where little else does; within a level each
 order is another hash. A pair is a candidate if its prefixes meet under the first order
-(posting lists) *and* under every other (arrays of the two sets); then sizes and parity
-bitmaps, which differ in at most as many bits as the sets in shingles, must allow it. No
+(posting lists, by classes of size) *and* under every other (arrays of the two sets); then
+sizes and parity bitmaps, which differ in at most as many bits as the sets in shingles, must allow it. No
 filter loses a link.
 
 Candidates are verified on the whole sets: 64-bit shingle hashes, integer comparison
@@ -156,30 +156,41 @@ def _levels(batches: Iterator[pa.RecordBatch], usual: float) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["chunk", "levels"])
 
 
-_DESCRIBED = "id long, n long, bitmap array<long>, prefix1 array<long>, prefix2 array<int>, prefix3 array<int>"
+def _unseen(codes: np.ndarray, offs: np.ndarray, seen: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Those sets of a block that are not empty and whose class the task has not met: codes, offsets, classes."""
+    ids, n = class_ids(codes, offs), np.diff(offs)
+    new = np.array([k > 0 and not (name in seen or seen.add(name)) for name, k in zip(ids.tolist(), n.tolist(), strict=True)], dtype=bool)
+    return codes[np.repeat(new, n)], np.concatenate(([0], np.cumsum(n[new]))), ids[new]
 
 
-def _lists(values: np.ndarray, upto: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(values))
+def _post(batches: Iterator[pa.RecordBatch], shared, percent: int) -> Iterator[pa.RecordBatch]:
+    """(k, id, n): the first-order prefix of every class that the task meets, once."""
+    seen: set[int] = set()
+    for batch in batches:
+        for block in blocks(batch.column(0)):
+            codes, offs, ids = _unseen(*shingle_sets(block), seen)
+            keys, upto = prefixes(codes, offs, 0, shared.value, percent)
+            if len(keys):
+                of = [pa.array(np.repeat(x, np.diff(upto))) for x in (ids, np.diff(offs))]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *of], names=["k", "id", "n"])
+
+
+_DESCRIBED = "id long, n long, bitmap array<long>, prefix2 array<int>, prefix3 array<int>"
 
 
 def _describe(batches: Iterator[pa.RecordBatch], shared, percent: int) -> Iterator[pa.RecordBatch]:
-    """Bitmap and prefixes of every class that the task meets, once; but for the first order 32 bits of each shingle, which can only add candidates."""
-    levels = shared.value
+    """Bitmap and prefixes under the other orders of every class that the task meets, once; 32 bits of each shingle, which can only add candidates."""
     seen: set[int] = set()
     for batch in batches:
         for block in blocks(batch.column(0)):
-            codes, offs = shingle_sets(block)
-            ids = class_ids(codes, offs)
-            new = np.array([n > 0 and not (name in seen or seen.add(name)) for name, n in zip(ids.tolist(), np.diff(offs).tolist(), strict=True)], dtype=bool)
-            if not new.any():
-                continue
-            codes, ids, n = codes[np.repeat(new, np.diff(offs))], ids[new], np.diff(offs)[new]
-            offs = np.concatenate(([0], np.cumsum(n)))
-            maps = _lists(bitmaps(codes, offs).reshape(-1), np.arange(len(n) + 1) * BITMAP_WORDS)
-            first, *others = (prefixes(codes, offs, o, levels, percent) for o in range(ORDERS))
-            lists = [_lists(first[0].view(np.int64), first[1]), *(_lists(keys.astype(np.uint32).view(np.int32), upto) for keys, upto in others)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), maps, *lists], names=[x.split()[0] for x in _DESCRIBED.split(", ")])
+            codes, offs, ids = _unseen(*shingle_sets(block), seen)
+            if len(ids):
+                lists = [(bitmaps(codes, offs).reshape(-1), np.arange(len(ids) + 1) * BITMAP_WORDS)]
+                for o in range(1, ORDERS):
+                    keys, upto = prefixes(codes, offs, o, shared.value, percent)
+                    lists.append((keys.astype(np.uint32).view(np.int32), upto))
+                columns = [pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(values)) for values, upto in lists]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(offs)), *columns], names=[x.split()[0] for x in _DESCRIBED.split(", ")])
 
 
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +239,7 @@ def _near(a: str, b: str):
 def plausible(pairs: DataFrame, described: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The (a, b, nb) of ``pairs`` that meet under every other order too and that sizes and bitmaps allow."""
     others = [f"prefix{o}" for o in range(2, ORDERS + 1)]
-    side = lambda name: described.groupBy("id").agg(*[F.first(x).alias(f"{x}_{name}") for x in ("n", "bitmap", *others)]).withColumnRenamed("id", name)
+    side = lambda name: described.select(F.col("id").alias(name), *[F.col(x).alias(f"{x}_{name}") for x in ("n", "bitmap", *others)])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     able = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * _near("bitmap_a", "bitmap_b") <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
     for p in others:
@@ -322,7 +333,7 @@ def across_components(posted: DataFrame, described: DataFrame, part: DataFrame,
     """(a, b): pairs of members of one list in different components, as ``_across`` finds them."""
     labelled = posted.select("k", "id").join(part.withColumnRenamed("node", "id"), "id", "left").select("k", "id", F.coalesce("component", "id").alias("c"))
     open_ = labelled.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("least <> most").select("k", "blocks")
-    rows = labelled.join(open_, "k").join(described.groupBy("id").agg(F.first("n").alias("n"), F.first("bitmap").alias("bitmap")), "id")
+    rows = labelled.join(open_, "k").join(described.select("id", "n", "bitmap"), "id")
     # member of block b meets the blocks from 0: pairs (min, max) of block numbers are tasks
     own = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -356,15 +367,21 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     shared = spark.sparkContext.broadcast(levels)
     classes = checkpointed(rows.where("n > 0").groupBy("id").agg(_head()).select("id", "head.doc_id", "head.th"))
 
-    described = checkpointed(body.select("text").mapInArrow(lambda it: _describe(it, shared, percent), _DESCRIBED))
-    keyed = described.select("id", F.explode("prefix1").alias("k"))
-    # tasks may describe one class each: that a list has one class only is seen once those are one
-    several = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
-    posted = checkpointed(keyed.join(several, "k").distinct())
+    keyed = body.select("text").mapInArrow(lambda it: _post(it, shared, percent), "k long, id long, n long")
+    several = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("all")).where("all > 1").select("k")
+    # sets that link are of one size class or of two next to each other: each is listed under its own and the next
+    size_class = F.floor(F.ln("n") / (max(np.log(100 / percent), 1e-6) * 1.0001))
+    near = keyed.join(several, "k").select("id", F.explode(F.array(F.xxhash64("k", size_class), F.xxhash64("k", size_class + 1))).alias("k"))
+    # tasks may post one class each: that a list has one class only is seen once those are one
+    posted = checkpointed(near.distinct())
+    release(spark)
     size = posted.groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     posted = posted.join(size, "k")
     posted = checkpointed(posted.join(posted.groupBy("id").agg(F.sum("size").alias("weight")), "id").select("k", "id", "weight"))
     release(spark)
+    described = body.select("text").mapInArrow(lambda it: _describe(it, shared, percent), _DESCRIBED).join(posted.select("id").distinct(), "id")
+    described = checkpointed(described.groupBy("id").agg(*[F.first(x.split()[0]).alias(x.split()[0]) for x in _DESCRIBED.split(", ")[1:]]))
+    release(spark)
 
     leads = posted.groupBy("k").agg(F.max_by("id", F.struct("weight", "id")).alias("lead"))
     best = posted.select("k", "id").join(leads, "k").where("id <> lead").groupBy("id", "lead").agg(F.count(F.lit(1)).alias("n"))
