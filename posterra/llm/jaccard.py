@@ -3,16 +3,18 @@
 The set of a text is its distinct ``SHINGLE``-word shingles. Under a global order of all
 shingles the prefix of a set of ``n`` is its first ``n - ceil(0.8 n) + 1`` shingles, and two
 sets of Jaccard similarity 0.8 or more share a shingle of their prefixes, whatever the order.
+Under the first order prefixes are longer by ``s - 1``, and then share ``s`` shingles at
+least; a set of which fewer are listed with any other set has no partner and goes at once.
 There are ``ORDERS`` orders. All put shingles that many texts hold last (by levels of a
 count table of fixed size, which every task adds to and every task gets), so that a passage
 that thousands share stands in a prefix only where little else does; within a level each
 order is another hash. A pair is a candidate if its prefixes meet under the first order
-(posting lists, by classes of size) *and* under every other (arrays of the two sets); then
+(posting lists) *and* under every other (arrays of the two sets); then
 sizes and parity bitmaps, which differ in at most as many bits as the sets in shingles, must allow it. No
 filter loses a link.
 
 Candidates are verified on the whole sets: 64-bit shingle hashes, integer comparison
-``100 * common >= percent * union``; only candidates' texts are read for it. Equal sets are
+``100 * common >= percent * union``; only sets that may have a partner are kept. Equal sets are
 one class, found by a 128-bit fingerprint before anything else, so copies are never paired.
 A list's leader is the member whose lists are largest in
 sum, for a family of near copies the text they were copied from; each set is compared first
@@ -61,6 +63,12 @@ CHUNK = 1 << 12
 _SALTS = np.random.default_rng(577215664).integers(1, 1 << 63, ORDERS, dtype=np.uint64)
 
 
+def by_text(values: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The order by text, then value."""
+    order = np.argsort(values)
+    return order[np.argsort(doc[order].astype(np.uint16 if doc.max(initial=0) < 1 << 16 else np.int64), kind="stable")]
+
+
 def shingle_sets(block: Block, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of a block's texts, sorted by text then hash, and the offsets of the texts."""
     low = Block(block.first, ASCII_LOWER[block.buf], block.offs, block.valid)
@@ -70,7 +78,7 @@ def shingle_sets(block: Block, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
     short = np.flatnonzero((words.counts > 0) & (words.counts < k))
     codes = np.concatenate((hasher.of(at, at + k), hasher.of(words.ptr[short], words.ptr[short + 1])))
     doc = np.concatenate((doc, short))
-    order = np.lexsort((codes, doc))
+    order = by_text(codes, doc)
     codes, doc = codes[order], doc[order]
     new = np.concatenate(([True], (codes[1:] != codes[:-1]) | (doc[1:] != doc[:-1]))) if len(codes) else np.zeros(0, bool)
     return codes[new], np.searchsorted(doc[new], np.arange(len(block) + 1))
@@ -92,18 +100,23 @@ def class_ids(codes: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return mix(hi.view(np.uint64) + mix(lo.view(np.uint64) + np.diff(offs).astype(np.uint64))).view(np.int64)
 
 
-def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Shingles of a set of ``n`` of which one at least is in every set it links with, under any order."""
-    return np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
+def shared_prefix(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Shingles that the first-order prefixes of a set of ``n`` and of any that links with it share at least: their prefixes are that much longer, less one."""
+    return np.maximum(1, n * (100 - percent) // 400)
+
+
+def prefix_length(n: np.ndarray, percent: int = PERCENT, shared: np.ndarray | int = 1) -> np.ndarray:
+    """Shingles of a set of ``n`` of which ``shared`` at least are in the like of every set it links with, under any order."""
+    return np.where(n > 0, np.minimum(n, n - -(-percent * n // 100) + shared), 0)
 
 
 def prefixes(codes: np.ndarray, offs: np.ndarray, order: int, levels: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """The prefix of every set under one order, and the offsets of the sets."""
     level = levels[codes >> np.uint64(64 - SLOTS.bit_length() + 1)].astype(np.uint64)
     rank = (level << np.uint64(58)) | (mix(codes ^ _SALTS[order]) >> np.uint64(6))
-    doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    by = np.lexsort((rank, doc))
-    length = prefix_length(np.diff(offs), percent)
+    n = np.diff(offs)
+    by = by_text(rank, np.repeat(np.arange(len(n)), n))
+    length = prefix_length(n, percent, 1 if order else shared_prefix(n, percent))
     upto = np.concatenate(([0], np.cumsum(length)))
     at = np.arange(upto[-1]) - np.repeat(upto[:-1] - offs[:-1], length)
     return codes[by[at]], upto
@@ -164,22 +177,21 @@ def _unseen(codes: np.ndarray, offs: np.ndarray, seen: set[int]) -> tuple[np.nda
 
 
 def _post(batches: Iterator[pa.RecordBatch], shared, percent: int) -> Iterator[pa.RecordBatch]:
-    """(k, id, n): the first-order prefix of every class that the task meets, once."""
+    """(k, id): the first-order prefix of every class that the task meets, once."""
     seen: set[int] = set()
     for batch in batches:
         for block in blocks(batch.column(0)):
             codes, offs, ids = _unseen(*shingle_sets(block), seen)
             keys, upto = prefixes(codes, offs, 0, shared.value, percent)
             if len(keys):
-                of = [pa.array(np.repeat(x, np.diff(upto))) for x in (ids, np.diff(offs))]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *of], names=["k", "id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(ids, np.diff(upto)))], names=["k", "id"])
 
 
-_DESCRIBED = "id long, n long, bitmap array<long>, prefix2 array<int>, prefix3 array<int>"
+_SETS = "id long, n long, codes binary, bitmap array<long>, prefix2 array<int>, prefix3 array<int>"
 
 
-def _describe(batches: Iterator[pa.RecordBatch], shared, percent: int) -> Iterator[pa.RecordBatch]:
-    """Bitmap and prefixes under the other orders of every class that the task meets, once; 32 bits of each shingle, which can only add candidates."""
+def _sets(batches: Iterator[pa.RecordBatch], shared, percent: int) -> Iterator[pa.RecordBatch]:
+    """Set, bitmap and prefixes under the other orders of every class that the task meets, once; 32 bits of each shingle of these, which can only add candidates."""
     seen: set[int] = set()
     for batch in batches:
         for block in blocks(batch.column(0)):
@@ -190,21 +202,8 @@ def _describe(batches: Iterator[pa.RecordBatch], shared, percent: int) -> Iterat
                     keys, upto = prefixes(codes, offs, o, shared.value, percent)
                     lists.append((keys.astype(np.uint32).view(np.int32), upto))
                 columns = [pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(values)) for values, upto in lists]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(offs)), *columns], names=[x.split()[0] for x in _DESCRIBED.split(", ")])
-
-
-def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) to the class's set, once a task."""
-    seen: set[int] = set()
-    for batch in batches:
-        names = batch.column(0).to_pylist()
-        for block in blocks(batch.column(1)):
-            codes, offs = shingle_sets(block)
-            own = names[block.first : block.first + len(block)]
-            fresh = [i for i, name in enumerate(own) if not (name in seen or seen.add(name))]
-            if fresh:
-                whole = pa.array([codes[offs[i] : offs[i + 1]].tobytes() for i in fresh], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in fresh], pa.int64()), whole], names=["id", "codes"])
+                whole = pa.array([codes[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(offs)), whole, *columns], names=[x.split()[0] for x in _SETS.split(", ")])
 
 
 # --- verification -------------------------------------------------------------------------------
@@ -236,10 +235,10 @@ def _near(a: str, b: str):
     return sum(words[1:], words[0])
 
 
-def plausible(pairs: DataFrame, described: DataFrame, percent: int = PERCENT) -> DataFrame:
+def plausible(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The (a, b, nb) of ``pairs`` that meet under every other order too and that sizes and bitmaps allow."""
     others = [f"prefix{o}" for o in range(2, ORDERS + 1)]
-    side = lambda name: described.select(F.col("id").alias(name), *[F.col(x).alias(f"{x}_{name}") for x in ("n", "bitmap", *others)])
+    side = lambda name: sets.select(F.col("id").alias(name), *[F.col(x).alias(f"{x}_{name}") for x in ("n", "bitmap", *others)])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     able = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * _near("bitmap_a", "bitmap_b") <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
     for p in others:
@@ -247,14 +246,12 @@ def plausible(pairs: DataFrame, described: DataFrame, percent: int = PERCENT) ->
     return both.where(able).select("a", "b", F.col("n_b").alias("nb"))
 
 
-def verified(body: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The (a, b) of ``pairs`` (a, b, nb) whose sets link; ``body`` has (doc_id, th, text), ``classes`` (id, doc_id, th)."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(classes, "id").withColumnsRenamed({"doc_id": "d", "th": "t"})
-    sets = body.join(wanted, body["doc_id"].eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("id", "text").mapInArrow(_codes, "id long, codes binary")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The (a, b) of ``pairs`` (a, b, nb) whose sets link."""
     shares = pairs.groupBy("a").agg(F.greatest(F.ceil(F.sum("nb") / TASK_SHINGLES), F.ceil(F.count(F.lit(1)) / TASK_SETS)).cast("int").alias("parts"))
     members = pairs.join(shares, "a").select(F.col("a").alias("leader"), F.pmod(F.xxhash64("b"), F.col("parts").cast("long")).cast("int").alias("part"), F.col("b").alias("id"))
     leaders = shares.select(F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("id"))
-    rows = members.unionByName(leaders).join(sets, "id").select("leader", "part", F.col("id").alias("member"), "codes")
+    rows = members.unionByName(leaders).join(sets.select("id", "codes"), "id").select("leader", "part", F.col("id").alias("member"), "codes")
     return rows.groupBy("leader", "part").applyInPandas(_verify(percent), "a long, b long")
 
 
@@ -329,11 +326,11 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int, best: int) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(low[keep]), pa.array(high[keep])], names=["a", "b"])
 
 
-def across_components(posted: DataFrame, described: DataFrame, part: DataFrame, percent: int, best: int) -> DataFrame:
+def across_components(posted: DataFrame, sets: DataFrame, part: DataFrame, percent: int, best: int) -> DataFrame:
     """(a, b): pairs of members of one list in different components, as ``_across`` finds them."""
     labelled = posted.select("k", "id").join(part.withColumnRenamed("node", "id"), "id", "left").select("k", "id", F.coalesce("component", "id").alias("c"))
     open_ = labelled.groupBy("k").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("least <> most").select("k", "blocks")
-    rows = labelled.join(open_, "k").join(described.select("id", "n", "bitmap"), "id")
+    rows = labelled.join(open_, "k").join(sets.select("id", "n", "bitmap"), "id")
     # member of block b meets the blocks from 0: pairs (min, max) of block numbers are tasks
     own = F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -365,37 +362,39 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     for chunk, own in zip(*(column.to_pylist() for column in summed.toArrow().columns), strict=True):
         levels[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(own, dtype=np.uint8)
     shared = spark.sparkContext.broadcast(levels)
-    classes = checkpointed(rows.where("n > 0").groupBy("id").agg(_head()).select("id", "head.doc_id", "head.th"))
+    classes = checkpointed(rows.where("n > 0").groupBy("id").agg(F.first("n").alias("n"), _head()).select("id", "n", "head.doc_id", "head.th"))
 
-    keyed = body.select("text").mapInArrow(lambda it: _post(it, shared, percent), "k long, id long, n long")
-    several = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("all")).where("all > 1").select("k")
-    # sets that link are of one size class or of two next to each other: each is listed under its own and the next
-    size_class = F.floor(F.ln("n") / (max(np.log(100 / percent), 1e-6) * 1.0001))
-    near = keyed.join(several, "k").select("id", F.explode(F.array(F.xxhash64("k", size_class), F.xxhash64("k", size_class + 1))).alias("k"))
+    keyed = body.select("text").mapInArrow(lambda it: _post(it, shared, percent), "k long, id long")
     # tasks may post one class each: that a list has one class only is seen once those are one
-    posted = checkpointed(near.distinct())
+    several = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("k")
+    posted = checkpointed(keyed.join(several, "k").distinct())
     release(spark)
-    size = posted.groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    posted = posted.join(size, "k")
+    # a set shares that many shingles of its prefix with any that links with it, the smaller of the two has four fifths of its size at least
+    least = F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * percent / 100) * (100 - percent) / 400))
+    able = posted.groupBy("id").agg(F.count(F.lit(1)).alias("open")).join(classes.select("id", "n"), "id").where(F.col("open") >= least).select("id")
+    posted = posted.join(able, "id")
+    posted = posted.join(posted.groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "k")
     posted = checkpointed(posted.join(posted.groupBy("id").agg(F.sum("size").alias("weight")), "id").select("k", "id", "weight"))
     release(spark)
-    described = body.select("text").mapInArrow(lambda it: _describe(it, shared, percent), _DESCRIBED).join(posted.select("id").distinct(), "id")
-    described = checkpointed(described.groupBy("id").agg(*[F.first(x.split()[0]).alias(x.split()[0]) for x in _DESCRIBED.split(", ")[1:]]))
+    wanted = posted.select("id").distinct().join(classes, "id").select(F.col("doc_id").alias("d"), F.col("th").alias("t"))
+    texts = body.join(wanted, body["doc_id"].eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left_semi").select("text")
+    found = texts.mapInArrow(lambda it: _sets(it, shared, percent), _SETS)
+    sets = checkpointed(found.groupBy("id").agg(*[F.first(x.split()[0]).alias(x.split()[0]) for x in _SETS.split(", ")[1:]]))
     release(spark)
 
     leads = posted.groupBy("k").agg(F.max_by("id", F.struct("weight", "id")).alias("lead"))
     best = posted.select("k", "id").join(leads, "k").where("id <> lead").groupBy("id", "lead").agg(F.count(F.lit(1)).alias("n"))
     best = best.groupBy("id").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
-    tried = checkpointed(plausible(best.select(F.col("lead").alias("a"), F.col("id").alias("b")), described, percent))
+    tried = checkpointed(plausible(best.select(F.col("lead").alias("a"), F.col("id").alias("b")), sets, percent))
     # weights grow from a set to its leader, so these links are a forest
-    part = _roots(checkpointed(verified(body, classes, tried, percent).select(F.col("b").alias("node"), F.col("a").alias("up"))))
+    part = _roots(checkpointed(verified(tried, sets, percent).select(F.col("b").alias("node"), F.col("a").alias("up"))))
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for most in (BEST, 0):
         release(spark)
-        cross = checkpointed(plausible(across_components(posted, described, part, percent, most).join(tried, ["a", "b"], "left_anti"), described, percent))
+        cross = checkpointed(plausible(across_components(posted, sets, part, percent, most).join(tried, ["a", "b"], "left_anti"), sets, percent))
         if cross.isEmpty():
             continue
-        part = _merged(part, checkpointed(verified(body, classes, cross, percent)))
+        part = _merged(part, checkpointed(verified(cross, sets, percent)))
         tried = tried.unionByName(cross.select("a", "b"))
     release(spark)
     found = classes.join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
