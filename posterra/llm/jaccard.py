@@ -34,7 +34,6 @@ ones are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from . import slots
 from .session import checkpointed, partitions, release
 from .textblocks import ASCII_LOWER, Block, RangeHasher, blocks, mix
 
@@ -56,9 +56,8 @@ BEST = 3
 #: Shingles and sets that one verification task compares with one leader.
 TASK_SHINGLES = 400_000
 TASK_SETS = 256
-#: Slots of the count table behind the orders, and of one row of it; the table is 4 MB however much was counted.
+#: Slots of the count table behind the orders: 4 MB however much was counted.
 SLOTS = 1 << 22
-CHUNK = 1 << 12
 
 _SALTS = np.random.default_rng(577215664).integers(1, 1 << 63, ORDERS, dtype=np.uint64)
 
@@ -132,7 +131,7 @@ def bitmaps(codes: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 # --- passes over the texts ----------------------------------------------------------------------
 
-_MARKED = "doc_id long, th long, n long, hi long, lo long, id long, chunk int, counts binary"
+_MARKED = "doc_id long, th long, n long, hi long, lo long, id long, chunk int, packed binary"
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,25 +147,13 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = [batch.column(i).slice(block.first, n) for i in (0, 2)]
             numbers = [pa.array(x) for x in (np.diff(offs).astype(np.int64), hi, lo, class_ids(codes, offs))]
             yield pa.RecordBatch.from_arrays([*own, *numbers, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=[x.split()[0] for x in _MARKED.split(", ")])
-    rows = counts.reshape(-1, CHUNK)
-    used = np.flatnonzero(rows.any(axis=1))
-    if len(used):
-        none = pa.nulls(len(used), pa.int64())
-        packed = pa.array([zlib.compress(rows[i].tobytes(), 1) for i in used], pa.binary())
-        yield pa.RecordBatch.from_arrays([none] * 6 + [pa.array(used.astype(np.int32)), packed], names=[x.split()[0] for x in _MARKED.split(", ")])
+    if (rows := slots.packed(counts)) is not None:
+        yield pa.RecordBatch.from_arrays([pa.nulls(rows.num_rows, pa.int64())] * 6 + rows.columns, names=[x.split()[0] for x in _MARKED.split(", ")])
 
 
-def _levels(batches: Iterator[pa.RecordBatch], usual: float) -> Iterator[pa.RecordBatch]:
-    """Sums of a task's chunks, as levels: 0 up to what is usual by chance, one more for each doubling beyond."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = np.frombuffer(zlib.decompress(packed), dtype=np.uint32)
-            sums[chunk] = sums[chunk] + own if chunk in sums else own.astype(np.uint64)
-    for chunk, total in sums.items():
-        level = np.log2(np.maximum(total / (usual + 4 * usual**0.5 + 4), 1)).astype(np.uint8)
-        if level.any():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["chunk", "levels"])
+def _level(usual: float):
+    """Sums of slots as levels: 0 up to what is usual by chance, one more for each doubling beyond."""
+    return lambda total: np.log2(np.maximum(total / (usual + 4 * usual**0.5 + 4), 1))
 
 
 def _unseen(codes: np.ndarray, offs: np.ndarray, seen: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,29 +164,38 @@ def _unseen(codes: np.ndarray, offs: np.ndarray, seen: set[int]) -> tuple[np.nda
 
 
 def _post(batches: Iterator[pa.RecordBatch], shared, percent: int) -> Iterator[pa.RecordBatch]:
-    """(k, id): the first-order prefix of every class that the task meets, once."""
+    """(k, id): the first-order prefix of every class that the task meets, once; with a filter of lists, only what it lets through."""
+    levels, lists = shared.value
     seen: set[int] = set()
     for batch in batches:
         for block in blocks(batch.column(0)):
             codes, offs, ids = _unseen(*shingle_sets(block), seen)
-            keys, upto = prefixes(codes, offs, 0, shared.value, percent)
+            keys, upto = prefixes(codes, offs, 0, levels, percent)
+            of = np.repeat(ids, np.diff(upto))
+            if lists is not None:
+                able = slots.may_hold(lists, keys)
+                keys, of = keys[able], of[able]
             if len(keys):
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(ids, np.diff(upto)))], names=["k", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(of)], names=["k", "id"])
 
 
 _SETS = "id long, n long, codes binary, bitmap array<long>, prefix2 array<int>, prefix3 array<int>"
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shared, percent: int) -> Iterator[pa.RecordBatch]:
-    """Set, bitmap and prefixes under the other orders of every class that the task meets, once; 32 bits of each shingle of these, which can only add candidates."""
+    """Set, bitmap and prefixes under the other orders of every class that the filter lets through, once a task; 32 bits of each shingle of the prefixes, which can only add candidates."""
+    levels, wanted = shared.value
     seen: set[int] = set()
     for batch in batches:
         for block in blocks(batch.column(0)):
             codes, offs, ids = _unseen(*shingle_sets(block), seen)
+            able = slots.may_hold(wanted, ids)
+            n = np.diff(offs)
+            codes, offs, ids = codes[np.repeat(able, n)], np.concatenate(([0], np.cumsum(n[able]))), ids[able]
             if len(ids):
                 lists = [(bitmaps(codes, offs).reshape(-1), np.arange(len(ids) + 1) * BITMAP_WORDS)]
                 for o in range(1, ORDERS):
-                    keys, upto = prefixes(codes, offs, o, shared.value, percent)
+                    keys, upto = prefixes(codes, offs, o, levels, percent)
                     lists.append((keys.astype(np.uint32).view(np.int32), upto))
                 columns = [pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(values)) for values, upto in lists]
                 whole = pa.array([codes[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)], pa.binary())
@@ -357,17 +353,16 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     marked = checkpointed(body.mapInArrow(_mark, _MARKED))
     rows = marked.where("chunk is null").select("doc_id", "th", "n", "id")
     usual = (rows.agg(F.sum("n")).first()[0] or 0) / SLOTS
-    levels = np.zeros(SLOTS, dtype=np.uint8)
-    summed = marked.where("chunk is not null").select("chunk", "counts").repartition(partitions(spark), "chunk").mapInArrow(lambda it: _levels(it, usual), "chunk int, levels binary")
-    for chunk, own in zip(*(column.to_pylist() for column in summed.toArrow().columns), strict=True):
-        levels[chunk * CHUNK : (chunk + 1) * CHUNK] = np.frombuffer(own, dtype=np.uint8)
-    shared = spark.sparkContext.broadcast(levels)
+    levels = slots.gathered(marked.where("chunk is not null").select("chunk", "packed"), SLOTS, "u4", _level(usual))
+    share = lambda *tables: spark.sparkContext.broadcast(tables)
     classes = checkpointed(rows.where("n > 0").groupBy("id").agg(F.first("n").alias("n"), _head()).select("id", "n", "head.doc_id", "head.th"))
 
-    keyed = body.select("text").mapInArrow(lambda it: _post(it, shared, percent), "k long, id long")
+    texts = body.select("text")
+    posts = lambda tables: texts.mapInArrow(lambda it: _post(it, tables, percent), "k long, id long")
+    several = checkpointed(posts(share(levels, None)).groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("k"))
+    release(spark)
     # tasks may post one class each: that a list has one class only is seen once those are one
-    several = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("k")
-    posted = checkpointed(keyed.join(several, "k").distinct())
+    posted = checkpointed(posts(share(levels, slots.key_filter(several))).join(several, "k").distinct())
     release(spark)
     # a set shares that many shingles of its prefix with any that links with it, the smaller of the two has four fifths of its size at least
     least = F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * percent / 100) * (100 - percent) / 400))
@@ -376,9 +371,8 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     posted = posted.join(posted.groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "k")
     posted = checkpointed(posted.join(posted.groupBy("id").agg(F.sum("size").alias("weight")), "id").select("k", "id", "weight"))
     release(spark)
-    wanted = posted.select("id").distinct().join(classes, "id").select(F.col("doc_id").alias("d"), F.col("th").alias("t"))
-    texts = body.join(wanted, body["doc_id"].eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left_semi").select("text")
-    found = texts.mapInArrow(lambda it: _sets(it, shared, percent), _SETS)
+    wanted = posted.select("id").distinct()
+    found = texts.mapInArrow(lambda it, tables=share(levels, slots.key_filter(wanted)): _sets(it, tables, percent), _SETS).join(wanted, "id")
     sets = checkpointed(found.groupBy("id").agg(*[F.first(x.split()[0]).alias(x.split()[0]) for x in _SETS.split(", ")[1:]]))
     release(spark)
 
