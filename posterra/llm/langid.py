@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .session import checkpointed
-from .textblocks import Block, Characters, blocks, count_grams, letter_table, mix
+from .textblocks import Block, Characters, blocks, count_grams, has_letter, mix
 
 GRAM = 4
 LEAST_SHARE = 2e-5
@@ -93,11 +93,8 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
 
 def classify(filters: SlicedFilters, block: Block, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
     """Number of the predicted language of each text (-1: unknown) and its score."""
-    characters = Characters.of(block)
-    letters = np.zeros(len(characters.points) + 1, dtype=np.int64)
-    np.cumsum(letter_table()[characters.points], out=letters[1:])
-    has_letter = np.diff(letters[characters.offs]) > 0
-    grams, doc = characters.grams(gram)
+    lettered = has_letter(block)
+    grams, doc = Characters.of(block).grams(gram)
     n = np.bincount(doc, minlength=len(block))
     edge = np.searchsorted(doc, np.arange(len(block) + 1))
     estimate = np.zeros((len(filters.languages), len(block)))
@@ -112,8 +109,8 @@ def classify(filters: SlicedFilters, block: Block, gram: int = GRAM) -> tuple[np
         return np.full(len(block), -1), np.zeros(len(block))
     best = estimate.argmax(axis=0)
     score = np.clip(estimate[best, np.arange(len(block))], 0.0, 1.0)
-    best[~has_letter] = -1
-    score[~has_letter] = 0.0
+    best[~lettered] = -1
+    score[~lettered] = 0.0
     return best, score
 
 

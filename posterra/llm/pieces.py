@@ -10,7 +10,9 @@ resulting edges (start, length, piece) are sorted by position. Then they are rel
 * ``unigram``: left to right, the best score to reach each position over its incoming
   edges, for all units in step;
 * ``bpe``: of the edges that join two neighbouring symbols the best scored one (ties: the
-  leftmost) is taken in every unit at once, until no edge joins two symbols.
+  leftmost) is taken in every unit at once, until no edge joins two symbols; a unit of more
+  than ``LONG`` characters takes its edges from a heap instead, in time that grows with its
+  length and not with the square.
 
 Characters that no piece covers become byte pieces. Decoding gathers the bytes of all
 pieces of a batch. Units already encoded are remembered by a worker up to ``REMEMBERED``.
@@ -24,6 +26,8 @@ leading blank, and must have byte pieces; another is refused.
 from __future__ import annotations
 
 import hashlib
+import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +39,7 @@ from .textblocks import blocks, byte_hasher
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 REMEMBERED = 1 << 19
+LONG = 256
 BLANK = "▁".encode()
 
 
@@ -99,6 +104,40 @@ def occurrences(text: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, n
     return start[order], piece[order]
 
 
+def _merge_long(edges: np.ndarray, code: np.ndarray, score: np.ndarray, width: int) -> np.ndarray:
+    """Bounds of the symbols of one unit that starts with the bounds ``edges``; ``code`` has start * width + length of its edges, sorted."""
+    codes, scores, at = code.tolist(), score.tolist(), edges.tolist()
+    n = len(at) - 1
+    following, before, alive = list(range(1, n + 2)), list(range(-1, n)), [True] * n
+    heap: list[tuple[float, int, int]] = []
+
+    def offer(i: int, j: int) -> None:
+        """The pair of the symbols from bound i to j and on to the next bound."""
+        if i >= 0 and j < n:
+            begin, end = at[i], at[following[j]]
+            if end - begin < width:
+                key = begin * width + end - begin
+                k = bisect_left(codes, key)
+                if k < len(codes) and codes[k] == key:
+                    heapq.heappush(heap, (-scores[k], i, end))
+
+    for i in range(n - 1):
+        offer(i, i + 1)
+    while heap:
+        _, i, end = heapq.heappop(heap)
+        # an offer holds as long as two whole symbols still end there
+        if not alive[i] or following[i] >= n or at[following[following[i]]] != end:
+            continue
+        j = following[i]
+        alive[j] = False
+        following[i] = following[j]
+        if following[i] < n:
+            before[following[i]] = i
+        offer(before[i], i)
+        offer(i, following[i])
+    return np.array([at[i] for i in range(n) if alive[i]] + [at[n]], dtype=np.int64)
+
+
 def relax_bpe(text: np.ndarray, unit_starts: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ids (-1: no piece) of the symbols of all units; units are separated by zero bytes."""
     start, piece = occurrences(text, vocabulary)
@@ -121,6 +160,15 @@ def relax_bpe(text: np.ndarray, unit_starts: np.ndarray, vocabulary: Vocabulary)
 
     done_left, done_end = [], []
     score = np.append(vocabulary.scores[piece], -np.inf)
+    size = np.bincount(unit, minlength=len(unit_starts)) if len(unit) else np.zeros(len(unit_starts), np.int64)
+    for u in np.flatnonzero(size > LONG):
+        own = slice(np.searchsorted(unit, u), np.searchsorted(unit, u, side="right"))
+        a, b = np.searchsorted(start, [left[own][0], ends[own][-1]])
+        merged = _merge_long(np.append(left[own], ends[own][-1]), code[a:b], score[a:b], int(width))
+        done_left.append(merged[:-1])
+        done_end.append(merged[1:])
+    short = size[unit] <= LONG
+    left, ends, unit = left[short], ends[short], unit[short]
     while len(left):
         pair = np.flatnonzero(unit[1:] == unit[:-1])
         e = edge(left[pair], ends[pair + 1])

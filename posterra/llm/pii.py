@@ -14,7 +14,9 @@ set a threshold a kind at ``PRECISION``). A candidate at or over its kind's thre
 selected unless it overlaps a base span or a better candidate.
 
 The patterns are possessive forms of the plain ones with a guard at their start, which
-match the same spans in time linear in the text.
+match the same spans in time linear in the text. Places are running totals in runs of
+``RUN`` matches, and spans are compared within groups that touch, so that many matches in
+one text cost little more than as many in many texts.
 
 Cases: a null text counts as empty; ties between overlapping candidates go to the
 leftmost, then the longest; equal rows get equal rows; a null key is passed through;
@@ -34,6 +36,8 @@ from .boosting import Boosted, fit, threshold
 
 PRECISION = 0.98
 CONTEXT = 24
+#: Elements of a run of running totals.
+RUN = 256
 
 LOCAL = "A-Za-z0-9._%+-"
 EMAIL = rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -74,21 +78,62 @@ def _paired(text: Column, matches: Column, pattern: str) -> Column:
     return F.when(F.size(matches) > 0, F.struct(matches.alias("m"), F.split(text, pattern, -1).alias("g")))
 
 
-def _placed(pair: Column) -> Column:
-    """The matches with their places, from matches ``m`` and the gaps ``g`` around them."""
-    empty = F.struct(F.lit(0).alias("p"), F.expr(f"cast(array() as array<{_MATCH}>)").alias("out"))
+def _steps(pair: Column) -> Column:
+    """Characters from each match's gap on to its end."""
+    return F.zip_with(pair["m"], F.slice(pair["g"], F.lit(1), F.size(pair["m"])), lambda m, g: F.length(g) + F.length(m))
 
-    def step(acc: Column, i: Column) -> Column:
-        value, gap = F.get(pair["m"], i), F.get(pair["g"], i)
-        start = acc["p"] + F.length(gap)
-        end = start + F.length(value)
-        item = F.struct(
-            start.alias("s"), end.alias("e"), value.alias("v"), F.right(gap, F.lit(CONTEXT)).alias("before"), F.left(F.coalesce(F.get(pair["g"], i + 1), F.lit("")), F.lit(CONTEXT)).alias("after")
-        )
-        return F.struct(end.alias("p"), F.concat(acc["out"], F.array(item).cast(f"array<{_MATCH}>")).alias("out"))
 
-    placed = F.aggregate(F.sequence(F.lit(0), F.size(pair["m"]) - 1), empty, step, lambda acc: acc["out"])
-    return F.when(pair.isNull(), F.expr(f"cast(array() as array<{_MATCH}>)")).otherwise(placed)
+def _runs(values: Column, value, join) -> Column:
+    """Running totals of an array, in runs of ``RUN`` that start anew: struct (all: of the run, upto: before each element).
+
+    An array that grows is copied with every element; runs of fixed length keep that linear.
+    """
+    start = F.struct(F.lit(0).alias("all"), F.expr("cast(array() as array<int>)").alias("upto"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct(join(acc["all"], value(x)).alias("all"), F.concat(acc["upto"], F.array(acc["all"])).alias("upto"))
+
+    numbers = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int"))
+    return F.when(F.size(values) > 0, F.transform(numbers, lambda r: F.aggregate(F.slice(values, r * RUN + 1, F.lit(RUN)), start, step)))
+
+
+def _joined(runs: Column, join) -> Column:
+    """The total before each element, from ``_runs``; runs of runs keep even this short."""
+    start = F.struct(F.lit(0).alias("all"), F.expr("cast(array() as array<int>)").alias("upto"))
+    of_runs = F.aggregate(runs, start, lambda acc, r: F.struct(join(acc["all"], r["all"]).alias("all"), F.concat(acc["upto"], F.array(acc["all"])).alias("upto")), lambda acc: acc["upto"])
+    return F.flatten(F.zip_with(runs, of_runs, lambda r, before: F.transform(r["upto"], lambda x: join(before, x))))
+
+
+def _placed(pair: Column, before: Column) -> Column:
+    """The matches with their places, from matches ``m`` and the gaps ``g`` around them, and the place before each gap."""
+    n = F.size(pair["m"])
+    zipped = F.arrays_zip(pair["m"].alias("v"), F.slice(pair["g"], F.lit(1), n).alias("gap"), F.slice(pair["g"], F.lit(2), n).alias("next"), before.alias("p"))
+
+    def item(z: Column) -> Column:
+        start = z["p"] + F.length(z["gap"])
+        return F.struct(start.alias("s"), (start + F.length(z["v"])).alias("e"), z["v"].alias("v"), F.right(z["gap"], F.lit(CONTEXT)).alias("before"), F.left(F.coalesce(z["next"], F.lit("")), F.lit(CONTEXT)).alias("after"))
+
+    return F.when(pair.isNotNull(), F.transform(zipped, item)).otherwise(F.expr(f"cast(array() as array<{_MATCH}>)"))
+
+
+def _with_places(rows: DataFrame, keep: list[Column], patterns: dict[str, str], text: str) -> DataFrame:
+    """Columns ``__<name>`` of matches to arrays of placed matches. Each step is a projection of its own and uses what it needs twice, so that none is put into a lambda and done anew for each element."""
+    names = [f"__{k}" for k in patterns]
+    plus = lambda a, b: a + b
+    rows = rows.select(*keep, *[_paired(F.col(text), F.col(n), p).alias(n) for n, p in zip(names, patterns.values(), strict=True)])
+    rows = rows.select(*keep, *names, *[F.when(F.col(n).isNotNull(), _steps(F.col(n))).alias(f"{n}_a") for n in names])
+    rows = rows.select(*keep, *names, *[_runs(F.col(f"{n}_a"), lambda x: x, plus).alias(f"{n}_a") for n in names])
+    return rows.select(*keep, *[_placed(F.col(n), _joined(F.col(f"{n}_a"), plus)).alias(n) for n in names])
+
+
+def _clustered(rows: DataFrame, keep: list[str], spans: str) -> DataFrame:
+    """``__clusters``: the spans (sorted by start) in groups that touch no other group; null without a span."""
+    rows = rows.select(*keep, spans, _runs(F.col(spans), lambda x: x["e"], F.greatest).alias("__a"))
+    rows = rows.select(*keep, spans, F.when(F.size(spans) > 0, _joined(F.col("__a"), F.greatest)).alias("__a"))
+    heads = F.filter(F.transform(F.arrays_zip(F.col(spans).alias("x"), F.col("__a").alias("p")), lambda z, i: F.when((i == 0) | (z["x"]["s"] >= z["p"]), i)), lambda i: i.isNotNull())
+    rows = rows.select(*keep, spans, F.when(F.size(spans) > 0, heads).alias("__a"))
+    after = F.concat(F.slice("__a", F.lit(2), F.size("__a")), F.array(F.size(spans)))
+    return rows.select(*keep, F.when(F.size(spans) > 0, F.zip_with("__a", after, lambda a, b: F.slice(F.col(spans), a + 1, b - a))).alias("__clusters"))
 
 
 def _digits(value: Column) -> Column:
@@ -203,10 +248,10 @@ def fitted(spark: SparkSession, precision: float = PRECISION) -> tuple[Boosted,
         rows = training_rows()
         values = ", ".join(f"({i}, {quoted(s)}, {quoted(kind)}, {label})" for i, (s, kind, label) in enumerate(rows))
         table = spark.sql(f"SELECT * FROM VALUES {values} AS t(i, text, kind, label)").coalesce(1)
-        pairs = table.select("i", "label", "kind", "text", *[m.alias(f"g{g}") for g, m in enumerate(_candidates(F.col("text")))])
-        pairs = pairs.select("i", "label", "kind", *[_paired(F.col("text"), F.col(f"g{g}"), p).alias(f"g{g}") for g, (_, p, _) in enumerate(GENERATORS)])
-        placed = pairs.select("i", "label", "kind", *[_placed(F.col(f"g{g}")).alias(f"g{g}") for g in range(len(GENERATORS))])
-        rows_of = lambda g: F.transform(f"g{g}", lambda c: F.array(*_features(g, c).values()))
+        own = [F.col(c) for c in ("i", "label", "kind", "text")]
+        matched = table.select(*own, *[m.alias(f"__g{g}") for g, m in enumerate(_candidates(F.col("text")))])
+        placed = _with_places(matched, own, {f"g{g}": p for g, (_, p, _) in enumerate(GENERATORS)}, "text")
+        rows_of = lambda g: F.transform(f"__g{g}", lambda c: F.array(*_features(g, c).values()))
         every = F.flatten(F.array(*[rows_of(g) for g in range(len(GENERATORS))]))
         got = placed.select("i", "label", "kind", F.explode(every).alias("f")).collect()
         kinds = np.array([GENERATORS[int(r.f[0])][0] for r in got])
@@ -225,6 +270,7 @@ def _overlap(a: Column, b: Column) -> Column:
 
 
 _SPAN = "array<struct<k:int,s:int,e:int,score:double>>"
+_PLACE = "array<struct<s:int,e:int,k:int,score:double>>"
 
 
 def annotated(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> DataFrame:
@@ -240,8 +286,7 @@ def annotated(docs: DataFrame, text: str = "text", precision: float = PRECISION)
     step = docs.select(*own, body.alias("__t"))
     step = step.select("*", *[_matches(F.col("__t"), p, g).alias(f"__{k}") for k, (p, g) in base.items()], *[m.alias(f"__g{g}") for g, m in enumerate(_candidates(F.col("__t")))])
     patterns = {**{k: p for k, (p, _) in base.items()}, **{f"g{g}": p for g, (_, p, _) in enumerate(GENERATORS)}}
-    step = step.select(*own, *[_paired(F.col("__t"), F.col(f"__{k}"), p).alias(f"__{k}") for k, p in patterns.items()])
-    step = step.select(*own, *[_placed(F.col(f"__{k}")).alias(f"__{k}") for k in BASE_KINDS], *[_placed(F.col(f"__g{g}")).alias(f"__g{g}") for g in range(len(GENERATORS))])
+    step = _with_places(step, own, patterns, "__t")
 
     def plain(k: str) -> Column:
         number = KINDS.index(k)
@@ -259,13 +304,18 @@ def annotated(docs: DataFrame, text: str = "text", precision: float = PRECISION)
         F.concat(*[plain(k) for k in BASE_KINDS]).alias("__base"),
         F.concat(*[F.when(F.size(f"__g{g}") > 0, chosen(g, kind)).otherwise(F.expr(f"cast(array() as {_SPAN})")) for g, (kind, _, _) in enumerate(GENERATORS)]).alias("__new"),
     )
-    free = F.filter("__new", lambda c: ~F.exists("__base", lambda b: _overlap(c, b)))
-    step = step.select(*own, "__base", free.alias("__new"))
+    by_place = lambda spans: F.transform(spans, lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["k"].alias("k"), c["score"].alias("score"))).cast(_PLACE)
+    # where nothing was added, nothing has to be chosen
+    step = step.select(*own, "__base", F.when(F.size("__new") > 0, F.array_sort(F.concat(by_place("__base"), by_place("__new")))).alias("__spans"))
+    step = _clustered(step, [*own, F.col("__base")], "__spans")
+    free = lambda c: F.filter(c, lambda x: x["score"].isNotNull() & ~F.exists(c, lambda y: y["score"].isNull() & _overlap(x, y)))
+    step = step.select(*own, "__base", F.transform("__clusters", free).alias("__clusters"))
     better = lambda c, o: _overlap(c, o) & (
         (o["score"] > c["score"]) | ((o["score"] == c["score"]) & ((o["s"] < c["s"]) | ((o["s"] == c["s"]) & ((o["e"] > c["e"]) | ((o["e"] == c["e"]) & (o["k"] < c["k"]))))))
     )
-    best = F.array_distinct(F.filter("__new", lambda c: ~F.exists("__new", lambda o: better(c, o))))
-    return step.select(*own, "__base", F.array_sort(F.concat("__base", best)).alias("__all"))
+    best = F.flatten(F.transform("__clusters", lambda f: F.array_distinct(F.filter(f, lambda c: ~F.exists(f, lambda o: better(c, o))))))
+    by_kind = F.transform(best, lambda c: F.struct(c["k"].alias("k"), c["s"].alias("s"), c["e"].alias("e"), c["score"].alias("score"))).cast(_SPAN)
+    return step.select(*own, "__base", F.array_sort(F.concat("__base", F.coalesce(by_kind, F.expr(f"cast(array() as {_SPAN})")))).alias("__all"))
 
 
 def _listed(spans: Column) -> Column:
@@ -284,19 +334,25 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", precision: fl
 
 
 def redact(docs: DataFrame, text: str = "text", precision: float = PRECISION) -> DataFrame:
-    """``docs`` with every selected span of ``text`` replaced by its kind in brackets; a null text stays null."""
+    """``docs`` with every selected span of ``text`` replaced by its kind in brackets; a null text stays null.
+
+    Of overlapping spans the first is named, and what the others cover goes with it.
+    """
+    own = [F.col(f"`{c}`") for c in docs.columns]
     rows = annotated(docs, text, precision)
-    body = F.col(f"`{text}`").cast("string")
-    by_place = F.array_sort(F.transform("__all", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["k"].alias("k"))))
+    place = F.transform("__all", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["k"].alias("k"), c["score"].alias("score"))).cast(_PLACE)
+    rows = _clustered(rows.select(*own, F.array_sort(place).alias("__spans")), own, "__spans")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    start = F.struct(F.lit(0).alias("p"), F.lit("").alias("out"))
-
-    def step(acc: Column, c: Column) -> Column:
-        # of overlapping spans the first is named, the rest of the others goes with it
-        new = c["s"] >= acc["p"]
-        piece = F.concat(F.substring(body, acc["p"] + 1, F.greatest(c["s"] - acc["p"], F.lit(0))), F.get(names, c["k"]))
-        return F.struct(F.greatest(acc["p"], c["e"]).alias("p"), F.when(new, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate(by_place, start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["p"] + 1, F.length(body))))
-    out = F.when(F.size("__all") > 0, done).otherwise(body)
+    whole = F.transform("__clusters", lambda c: F.struct(c[0]["s"].alias("s"), F.array_max(F.transform(c, lambda x: x["e"])).alias("e"), F.get(names, c[0]["k"]).alias("name")))
+    rows = rows.select(*own, whole.alias("__r"))
+    rows = rows.select(*own, F.zip_with("__r", F.concat(F.array(F.lit(0)), F.transform("__r", lambda r: r["e"])), lambda r, p: F.struct(r["s"].alias("s"), r["e"].alias("e"), r["name"].alias("name"), p.alias("p"))).alias("__r"))
+    body = F.col(f"`{text}`").cast("string")
+    # the text is cut at every RUN-th region first, so that no region is looked for from the start of a long text
+    numbers = F.sequence(F.lit(0), F.floor((F.size("__r") - 2) / RUN).cast("int"))
+    rows = rows.select(*own, "__r", F.when(F.size("__r") > 1, F.transform(numbers, lambda i: F.filter(F.slice("__r", i * RUN + 1, F.lit(RUN)), lambda r: r["s"].isNotNull()))).alias("__c"))
+    part = lambda c: F.struct(c.alias("r"), F.substring(body, c[0]["p"] + 1, F.element_at(c, -1)["e"] - c[0]["p"]).alias("t"))
+    rows = rows.select(*own, F.element_at("__r", -1)["p"].alias("__end"), F.transform("__c", part).alias("__c"))
+    piece = lambda c: lambda r: F.concat(F.substring(c["t"], r["p"] - c["r"][0]["p"] + 1, r["s"] - r["p"]), r["name"])
+    done = F.concat(F.array_join(F.transform("__c", lambda c: F.array_join(F.transform(c["r"], piece(c)), "")), ""), F.substring(body, F.col("__end") + 1, F.length(body)))
+    out = F.when(F.col("__c").isNotNull(), done).otherwise(body)
     return rows.select(*[out.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

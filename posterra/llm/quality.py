@@ -29,7 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import checkpointed
@@ -38,9 +38,9 @@ from .textblocks import SYMBOL_BITS, Block, Characters, Words, blocks, byte_hash
 ORDER = 4
 #: N-grams of one part of the model: 12 bytes each on the driver, at most 48 in a task's table.
 ENTRIES = 1 << 22
-#: Half width of a band in scaled median absolute deviations, and its least value in bits.
+#: Half width of a band in scaled median absolute deviations, and its least values in bits, below and above.
 BAND = 12.0
-LEAST_BAND = 1.5
+LEAST_BAND = (1.5, 1.5)
 _IS_SYMBOL = np.zeros(256, dtype=bool)
 _IS_SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -48,50 +48,42 @@ _IS_SYMBOL[list(b"#*$%&|<>")] = True
 # --- the language model -------------------------------------------------------------------------
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(grp, k, gram, logp, backoff) of an interpolated modified Kneser-Ney model.
+def kneser_ney(counts: DataFrame, order: int = ORDER) -> list[DataFrame]:
+    """(grp, gram, ctx, p, gamma) of each order, from 1, of an interpolated modified Kneser-Ney model.
 
-    ``counts`` has (grp, gram, cnt) for the highest order. Lower orders count the
-    distinct symbols to the left. ``backoff`` is the weight of a gram as a context
-    (null where it never was one). Each order is cut off from the plan of those before
-    it, which would else be planned again with every order.
+    ``counts`` has (grp, gram, cnt) for the highest order. Lower orders count the distinct
+    symbols to the left. ``p`` has the lower orders in it; ``gamma`` is the weight of the
+    lower order after the context ``ctx``. Each order is cut off from the plan of those
+    before it, which would else be planned again with every order.
     """
     mask = lambda k: (1 << (SYMBOL_BITS * k)) - 1
     level = {order: counts.select("grp", "gram", F.col("cnt").cast("double").alias("c"))}
     for k in range(order - 1, 0, -1):
-        level[k] = checkpointed(
-            level[k + 1]
-            .groupBy("grp", F.col("gram").bitwiseAND(F.lit(mask(k))).alias("gram"))
-            .agg(F.count(F.lit(1)).cast("double").alias("c"))
-        )
-    lower = None
-    models = []
+        level[k] = checkpointed(level[k + 1].groupBy("grp", F.col("gram").bitwiseAND(F.lit(mask(k))).alias("gram")).agg(F.count(F.lit(1)).cast("double").alias("c")))
+    few = [F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
+    of = reduce(DataFrame.unionByName, [level[k].select("grp", F.lit(k).alias("k"), "c") for k in level]).groupBy("grp", "k").agg(*few)
+    y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
+    discount = lambda i: F.greatest(
+        F.lit(0.1), F.least(F.lit(float(i)), F.coalesce(i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(0.5 * i)))
+    )
+    # one row a language and order
+    of = checkpointed(of.select("grp", "k", *[discount(i).alias(f"d{i}") for i in (1, 2, 3)]))
+    models: list[DataFrame] = []
     for k in range(1, order + 1):
-        t = level[k]
-        n = [F.sum((F.col("c") == i).cast("double")).alias(f"n{i}") for i in (1, 2, 3, 4)]
-        of = t.groupBy("grp").agg(*n)
-        y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
-        discount = lambda i: F.greatest(
-            F.lit(0.1), F.least(F.lit(float(i)), F.coalesce(i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(0.5 * i)))
-        )
-        of = of.select("grp", *[discount(i).alias(f"d{i}") for i in (1, 2, 3)])
-        t = t.join(of, "grp")
-        t = t.withColumn("d", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")))
-        t = t.withColumn("ctx", F.shiftrightunsigned("gram", SYMBOL_BITS))
-        context = t.groupBy("grp", "ctx").agg(F.sum("c").alias("tot"), F.sum("d").alias("held"))
-        context = context.select("grp", "ctx", "tot", (F.col("held") / F.col("tot")).alias("gamma"))
-        t = t.join(context, ["grp", "ctx"])
-        if lower is None:
+        t = level[k].join(F.broadcast(of.where(F.col("k") == k)), "grp")
+        d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
+        t = t.select("grp", "gram", "c", d.alias("d"), F.shiftrightunsigned("gram", SYMBOL_BITS).alias("ctx"))
+        # a context has at most as many rows as there are symbols
+        context = Window.partitionBy("grp", "ctx")
+        t = t.withColumns({"tot": F.sum("c").over(context), "gamma": F.sum("d").over(context)}).withColumn("gamma", F.col("gamma") / F.col("tot"))
+        if k == 1:
             t = t.withColumn("low", F.lit(1.0 / (1 << SYMBOL_BITS)))
         else:
-            t = t.withColumn("suffix", F.col("gram").bitwiseAND(F.lit(mask(k - 1)))).join(
-                lower.select("grp", F.col("gram").alias("suffix"), F.col("p").alias("low")), ["grp", "suffix"]
-            )
+            lower = models[-1].select("grp", F.col("gram").alias("suffix"), F.col("p").alias("low"))
+            t = t.withColumn("suffix", F.col("gram").bitwiseAND(F.lit(mask(k - 1)))).join(lower, ["grp", "suffix"])
         p = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("tot") + F.col("gamma") * F.col("low")
-        lower = checkpointed(t.select("grp", "gram", p.alias("p")))
-        models.append(lower.select("grp", F.lit(k).alias("k"), "gram", F.log2("p").alias("logp"), F.lit(None).cast("double").alias("backoff")))
-        models.append(context.select("grp", F.lit(k - 1).alias("k"), F.col("ctx").alias("gram"), F.lit(None).cast("double").alias("logp"), F.log2("gamma").alias("backoff")))
-    return reduce(DataFrame.unionByName, models)
+        models.append(checkpointed(t.select("grp", "gram", "ctx", p.alias("p"), "gamma")))
+    return models
 
 
 def gram_keys(grams: np.ndarray, group_hash: np.ndarray) -> np.ndarray:
@@ -111,8 +103,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = OR
     source = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("grp"), F.col(text).cast("string").alias("text"))
     counted = source.mapInArrow(lambda it: count_grams(it, order), "grp string, gram long, cnt long")
     counted = counted.groupBy("grp", "gram").agg(F.sum("cnt").alias("cnt"))
-    model = kneser_ney(checkpointed(counted), order).where((F.col("k") == order) & F.col("logp").isNotNull())
-    return checkpointed(model.select(F.xxhash64("grp").alias("g"), "gram", F.col("logp").cast("float")).mapInArrow(_keyed, "key long, logp float"))
+    model = kneser_ney(checkpointed(counted), order)[-1]
+    return checkpointed(model.select(F.xxhash64("grp").alias("g"), "gram", F.log2("p").cast("float").alias("logp")).mapInArrow(_keyed, "key long, logp float"))
 
 
 @dataclass
@@ -254,7 +246,7 @@ BITS_SCHEMA = "lang string, text_hash long, bits double"
 
 
 def _score(batches: Iterator[pa.RecordBatch], part) -> Iterator[pa.RecordBatch]:
-    """Rows of ``BASE_SCHEMA`` with the bits of the first part, or of ``BITS_SCHEMA`` with those of another."""
+    """Rows of ``BASE_SCHEMA`` with the bits of the first part and any columns after the fifth, or of ``BITS_SCHEMA`` with the bits of another part."""
     scorer = Scorer(part.value)
     first = part.value.number == 0
     for batch in batches:
@@ -269,22 +261,29 @@ def _score(batches: Iterator[pa.RecordBatch], part) -> Iterator[pa.RecordBatch]:
         if found:
             columns = {k: pa.array(np.concatenate(v)) for k, v in found.items()}
             named = {n: batch.column(i) for i, n in enumerate(("doc_id", "lang", "text_hash")) if first or n != "doc_id"} | columns
+            if first:
+                named |= {n: batch.column(i) for i, n in enumerate(batch.schema.names) if i > 4}
             yield pa.RecordBatch.from_arrays([*named.values()], names=[*named])
 
 
-def scored(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", entries: int = ENTRIES) -> DataFrame:
-    """Base counts and log2 perplexity a character of every row; ``model`` was fitted to the same documents."""
+def scored(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", entries: int = ENTRIES, carry: bool = False) -> DataFrame:
+    """Base counts and log2 perplexity a symbol of every row; ``model`` was fitted to the same documents.
+
+    With ``carry`` the columns of ``docs`` follow as ``c0``, ``c1`` and so on.
+    """
     spark = docs.sparkSession
     grp = F.coalesce(F.col(lang).cast("string"), F.lit(""))
     body = F.col(text).cast("string")
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), grp.alias("lang"), F.xxhash64(body).alias("text_hash"), F.xxhash64(grp).alias("grp"), body.alias("text"))
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)] if carry else []
+    kinds = "".join(f", c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)) if carry else ""
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), grp.alias("lang"), F.xxhash64(body).alias("text_hash"), F.xxhash64(grp).alias("grp"), body.alias("text"), *own)
     rows, more = None, []
     for part in parts(model, entries=entries):
         shared = spark.sparkContext.broadcast(part)
-        out = source.mapInArrow(lambda it, shared=shared: _score(it, shared), BASE_SCHEMA if part.number == 0 else BITS_SCHEMA)
         if part.number == 0:
-            rows = checkpointed(out)
+            rows = checkpointed(source.mapInArrow(lambda it, shared=shared: _score(it, shared), BASE_SCHEMA + kinds))
         else:
+            out = source.select("doc_id", "lang", "text_hash", "grp", "text").mapInArrow(lambda it, shared=shared: _score(it, shared), BITS_SCHEMA)
             more.append(checkpointed(out.groupBy("lang", "text_hash").agg(F.max("bits").alias("more"))))
         shared.destroy()
     if more:
@@ -292,28 +291,39 @@ def scored(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "
         added = reduce(DataFrame.unionByName, more).groupBy("lang", "text_hash").agg(F.sum("more").alias("more"))
         rows = rows.join(added, ["lang", "text_hash"]).withColumn("bits", F.col("bits") + F.col("more"))
     names = BASE_SCHEMA.split(", ")[:8]
-    return rows.select(*[n.split()[0] for n in names], F.when(F.col("n_scored") > 0, -F.col("bits") / F.col("n_scored")).alias("log2_ppl"))
+    return rows.select(*[n.split()[0] for n in names], F.when(F.col("n_scored") > 0, -F.col("bits") / F.col("n_scored")).alias("log2_ppl"), *[f"c{i}" for i in range(len(own))])
 
 
-def bands(rows: DataFrame, width: float = BAND, least: float = LEAST_BAND) -> DataFrame:
+def bands(rows: DataFrame, width: float = BAND, least: tuple[float, float] = LEAST_BAND) -> DataFrame:
     """(lang, ppl_low, ppl_high) over the distinct texts that pass the base rules."""
     texts = rows.where(F.col("log2_ppl").isNotNull() & ~base_failed()).groupBy("lang", "text_hash").agg(F.min("log2_ppl").alias("x"))
+    texts = checkpointed(texts.select("lang", "x"))
     middle = texts.groupBy("lang").agg(F.percentile_approx("x", 0.5, 10000).alias("mid"))
     spread = texts.join(F.broadcast(middle), "lang").groupBy("lang", "mid").agg(F.percentile_approx(F.abs(F.col("x") - F.col("mid")), 0.5, 10000).alias("mad"))
-    half = F.greatest(F.lit(least), width * 1.4826 * F.col("mad"))
-    return spread.select("lang", (F.col("mid") - half).alias("ppl_low"), (F.col("mid") + half).alias("ppl_high"))
+    half = lambda i: F.greatest(F.lit(least[i]), width * 1.4826 * F.col("mad"))
+    return checkpointed(spread.select("lang", (F.col("mid") - half(0)).alias("ppl_low"), (F.col("mid") + half(1)).alias("ppl_high")))
 
 
 def base_failed():
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def assess(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", width: float = BAND, least: float = LEAST_BAND, entries: int = ENTRIES) -> DataFrame:
-    """One row per document: base counts, base_failed, log2_ppl, the band and kept."""
-    rows = scored(docs, fit(docs, text, lang), key, text, lang, entries)
+def _judged(rows: DataFrame, width: float, least: tuple[float, float]) -> DataFrame:
     inside = F.col("log2_ppl").isNull() | F.col("ppl_low").isNull() | F.col("log2_ppl").between(F.col("ppl_low"), F.col("ppl_high"))
     out = rows.join(F.broadcast(bands(rows, width, least)), "lang", "left")
+    return out.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & inside})
+
+
+def assess(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", width: float = BAND, least: tuple[float, float] = LEAST_BAND, entries: int = ENTRIES) -> DataFrame:
+    """One row per document: base counts, base_failed, log2_ppl, the band and kept."""
+    out = _judged(scored(docs, fit(docs, text, lang), key, text, lang, entries), width, least)
     return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & inside).alias("kept"),
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.when(F.col("lang") != "", F.col("lang")).alias("lang"), "text_hash", "log2_ppl", "ppl_low", "ppl_high",
     )
+
+
+def kept_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", width: float = BAND, least: tuple[float, float] = LEAST_BAND, entries: int = ENTRIES) -> DataFrame:
+    """The rows of ``docs`` that ``assess`` keeps, which it carries along, so that nothing is joined to them."""
+    out = _judged(scored(docs, fit(docs, text, lang), key, text, lang, entries, carry=True), width, least)
+    return out.where("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -6,22 +6,27 @@ at a minimiser: the ``SEED``-word window with the smallest hash among the
 the same minimiser, at the same distance from their start, wherever they stand. So a
 kept suffix, sorted by its seed, meets every passage equal to one of its own among its
 neighbours, and a match only has to be extended left to the passage's start and right
-to its end. The extensions that a suffix must answer for are the passages whose
-minimiser it is, a run of consecutive starts; each carries one hash of its whole
-``LENGTH`` words.
-
-Suffixes are dealt by the seed's hash. Within a task they are sorted by (seed, distance,
-hash of the passage) and neighbours compared; matched passages of a text are then joined
-to maximal spans. Before the exchange every block of texts settles what repeats within
-the block: one copy is sent, the others are known as later ones. A seed therefore brings
-no more records to its task than there are blocks, however many copies a passage has.
+to its end. The passages that a suffix must answer for are those whose minimiser it is,
+a run of consecutive starts, and it carries the words they span.
+
+The first pass counts seeds in a table of ``SLOTS`` slots, of one size however much is
+counted. A suffix whose slot has no other is alone with its seed and is not sent; what
+shares a slot by chance is sent for nothing, which only costs. The second pass deals the
+others by seed. Within a task suffixes are sorted by (seed, distance, passage), neighbours
+that agree are extended left and right over their words, and a match counts where the
+extension covers the passage; matched passages of a text are then joined to maximal spans.
+Before the exchange every block of texts settles what repeats within the block: one copy is
+sent, the others are known as later ones. So a seed brings no more records to its task than
+there are blocks, however many copies a passage has; and a suffix whose slot counts more
+than ``HOT`` is sent passage by passage, dealt by the passage, so that a common line with
+many continuations spreads over tasks. The number of tasks follows the words to be sent.
 
 Cases: a null or empty text, or one under ``LENGTH`` words, has no passage; of equal
 passages the first by (doc_id, text hash, position) is kept, the others are cut; rows
 that share doc_id and text count as one document and get equal results; rows with a null
-doc_id come after all others; columns other than the named ones pass through untouched;
-an empty table gives no rows. Words are compared by 64-bit hashes, passages by the
-64-bit hash of the seed with a 32-bit hash of the whole.
+doc_id come after all others; columns other than the named ones pass through untouched,
+but for those that bear the name of a result, which the result replaces; an empty table
+gives no rows. Words are compared by 32-bit hashes, which for a passage is 1,600 bits.
 """
 
 from __future__ import annotations
@@ -33,13 +38,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import partitions
+from . import slots
+from .session import partitions, release
 from .textblocks import Block, RangeHasher, blocks, mix
 
 LENGTH = 50
 SEED = 8
+#: Slots of the table of seeds, 16 MB on the driver and in a task.
+SLOTS = 1 << 24
+#: Suffixes of a slot beyond which they are dealt by passage.
+HOT = 1 << 12
+#: Words of suffixes that one task compares.
+TASK_WORDS = 1 << 23
 _NULL_ID = np.int64(np.iinfo(np.int64).max)
 
+RESULTS = ("kept_text", "n_words", "n_repeated", "n_cut", "repeated_spans", "cut_spans")
 RUN = np.dtype([("doc", "<i8"), ("fp", "<i8"), ("start", "<i4"), ("count", "<i4"), ("first", "u1")])
 SUFFIX = np.dtype([("seed", "<u8"), ("doc", "<i8"), ("fp", "<i8"), ("pos", "<i4"), ("start", "<i4"), ("count", "<i4"), ("local", "u1")])
 
@@ -60,7 +73,7 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def passages(block: Block, length: int, seed: int):
-    """Of every passage of a block: text, first word within the text, seed hash, minimiser (within the text), hash."""
+    """Of every passage of a block: text, first word within the text, seed hash, minimiser (within the text), hash, first word within the block."""
     words = block.words()
     hasher = RangeHasher(words.hashes(block.buf))
     at, doc = words.windows(length)
@@ -70,7 +83,7 @@ def passages(block: Block, length: int, seed: int):
     seeds = hasher.of(k, k + seed)
     minimiser = window_minima(seeds, length - seed + 1)[at]
     first = words.ptr[doc]
-    return doc, at - first, seeds[minimiser], minimiser - first, hasher.of(at, at + length)
+    return doc, at - first, seeds[minimiser], minimiser - first, hasher.of(at, at + length), at
 
 
 def _ranked(ids: np.ndarray, fps: np.ndarray) -> np.ndarray:
@@ -91,25 +104,25 @@ def _runs(doc: np.ndarray, start: np.ndarray, first: np.ndarray) -> tuple[np.nda
     return edge, np.diff(np.append(edge, len(doc)))
 
 
-def _map(batches: Iterator[pa.RecordBatch], parts: int, length: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """One row per (block, task): runs settled within the block, suffixes, passage hashes; and words per text."""
+def _slot(seeds: np.ndarray) -> np.ndarray:
+    return (mix(seeds) >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def _settled(batches: Iterator[pa.RecordBatch], length: int, seed: int):
+    """Of every block with a passage: runs settled within it, suffixes, the words they span."""
     for batch in batches:
         ids = batch.column(0).fill_null(int(_NULL_ID)).to_numpy(zero_copy_only=False)
         fps = batch.column(1).to_numpy(zero_copy_only=False)
         for block in blocks(batch.column(2)):
-            out = {}
             got = passages(block, length, seed)
             if got is not None:
-                own_ids, own_fps = ids[block.first : block.first + len(block)], fps[block.first : block.first + len(block)]
-                out = _settle(got, own_ids, own_fps, parts)
-            if out:
-                part = np.array(list(out), dtype=np.int32)
-                columns = [pa.array([x[i].tobytes() for x in out.values()], pa.binary()) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([pa.array(part), *columns], names=["part", "runs", "suffixes", "hashes"])
+                own = slice(block.first, block.first + len(block))
+                yield _settle(got, ids[own], fps[own])
 
 
-def _settle(got, ids: np.ndarray, fps: np.ndarray, parts: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    doc, start, seed, minimiser, full = got
+def _settle(got, ids: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of later copies; suffixes of those that speak for equal passages; the block's number of the first word of each suffix's first passage."""
+    doc, start, seed, minimiser, full, at = got
     rank = _ranked(ids, fps)
     # identical passages of the block: the first by (rank, start) speaks for them all
     order = np.lexsort((start, rank[doc], full))
@@ -124,8 +137,6 @@ def _settle(got, ids: np.ndarray, fps: np.ndarray, parts: int) -> dict[int, tupl
     speaks[order[head]] = True
     local[order[head]] = shared
     later[order[~is_copy_row]] = True
-    out: dict[int, list[np.ndarray]] = {}
-    empty = (np.zeros(0, RUN), np.zeros(0, SUFFIX), np.zeros(0, "<u4"))
     # settled: later copies
     rows = np.flatnonzero(later)
     edge, count = _runs(doc[rows], start[rows], np.zeros(len(rows)))
@@ -141,42 +152,111 @@ def _settle(got, ids: np.ndarray, fps: np.ndarray, parts: int) -> dict[int, tupl
     suffix = np.zeros(len(lead), SUFFIX)
     for name, values in (("seed", seed[lead]), ("doc", ids[doc[lead]]), ("fp", fps[doc[lead]]), ("pos", minimiser[lead]), ("start", start[lead]), ("count", count), ("local", local[lead])):
         suffix[name] = values
-    hashes = (full[s] >> np.uint64(32)).astype("<u4")
-    to_run = (mix(run["doc"].view(np.uint64) ^ run["fp"].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-    to_suffix = (mix(suffix["seed"]) % np.uint64(parts)).astype(np.int64)
-    to_hash = np.repeat(to_suffix, count)
-    for values, to, i in ((run, to_run, 0), (suffix, to_suffix, 1), (hashes, to_hash, 2)):
-        if not len(to):
-            continue
-        order = np.argsort(to, kind="stable")
-        cut = np.flatnonzero(np.concatenate(([True], to[order][1:] != to[order][:-1])))
-        for a, b in zip(cut, [*cut[1:], len(to)], strict=True):
-            out.setdefault(int(to[order[a]]), list(empty))[i] = values[order[a:b]]
-    return {k: tuple(v) for k, v in out.items()}
-
-
-def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sort a task's suffixes, compare neighbours, return runs of repeated passages."""
-    runs, suffixes, hashes = [], [], []
+    return run, suffix, at[lead]
+
+
+def _tally(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """The task's counts of suffixes by slot. A suffix that is a repeat within its block already counts twice."""
+    counts = np.zeros(SLOTS, dtype=np.uint16)
+    for _, suffix, _ in _settled(batches, length, seed):
+        slot, n = np.unique(_slot(np.concatenate((suffix["seed"], suffix["seed"][suffix["local"] == 1]))), return_counts=True)
+        counts[slot] = np.minimum(counts[slot] + n.astype(np.int64), 65535)
+    if (rows := slots.packed(counts)) is not None:
+        yield rows
+
+
+def _grade(total: np.ndarray) -> np.ndarray:
+    """0 up to one suffix, 1 to be sent, more to be sent by passage; beyond 1 it says how many there are, to a power of two."""
+    return np.where(total > 1, np.maximum(1, np.log2(total + 1)), 0)
+
+
+def _map(batches: Iterator[pa.RecordBatch], shared, parts: int, length: int, seed: int) -> Iterator[pa.RecordBatch]:
+    """One row per (block, task): runs settled within the block, suffixes, the words that these span."""
+    grades = shared.value
+    for batch in batches:
+        ids = batch.column(0).fill_null(int(_NULL_ID)).to_numpy(zero_copy_only=False)
+        fps = batch.column(1).to_numpy(zero_copy_only=False)
+        for block in blocks(batch.column(2)):
+            got = passages(block, length, seed)
+            if got is None:
+                continue
+            own = slice(block.first, block.first + len(block))
+            run, suffix, at = _settle(got, ids[own], fps[own])
+            grade = grades[_slot(suffix["seed"])]
+            suffix, at, grade = suffix[grade > 0], at[grade > 0], grade[grade > 0]
+            # of a hot slot each passage goes by itself
+            hot = grade >= HOT.bit_length()
+            n = np.where(hot, suffix["count"], 1)
+            single = np.repeat(hot, n)
+            shift = np.arange(len(single)) - np.repeat(np.cumsum(n) - n, n)
+            suffix, at = np.repeat(suffix, n), np.repeat(at, n) + shift
+            suffix["start"] += shift.astype(np.int32)
+            suffix["count"][single] = 1
+            words = (block.words().hashes(block.buf) >> np.uint64(32)).astype("<u4")
+            size = suffix["count"].astype(np.int64) + (length - 1)
+            upto = np.concatenate(([0], np.cumsum(size)))
+            spanned = words[np.arange(upto[-1]) - np.repeat(upto[:-1] - at, size)]
+            deal = mix(suffix["seed"])
+            if single.any():
+                alone = np.flatnonzero(single)
+                whole = RangeHasher(spanned.astype(np.uint64)).of(upto[alone], upto[alone] + length)
+                deal[alone] = mix(deal[alone] ^ whole)
+            to_run = (mix(run["doc"].view(np.uint64) ^ run["fp"].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            to_suffix = (deal % np.uint64(parts)).astype(np.int64)
+            out: dict[int, list[np.ndarray]] = {}
+            for values, to, i in ((run, to_run, 0), (suffix, to_suffix, 1), (spanned, np.repeat(to_suffix, size), 2)):
+                if not len(to):
+                    continue
+                order = np.argsort(to, kind="stable")
+                cut = np.flatnonzero(np.concatenate(([True], to[order][1:] != to[order][:-1])))
+                for a, b in zip(cut, [*cut[1:], len(to)], strict=True):
+                    out.setdefault(int(to[order[a]]), [np.zeros(0, RUN), np.zeros(0, SUFFIX), np.zeros(0, "<u4")])[i] = values[order[a:b]]
+            if out:
+                columns = [pa.array([x[i].tobytes() for x in out.values()], pa.binary()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(out), dtype=np.int32)), *columns], names=["part", "runs", "suffixes", "words"])
+
+
+def _reduce(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Sort a task's suffixes, extend matches of neighbours, return runs of repeated passages."""
+    runs, suffixes, words = [], [], []
     for batch in batches:
-        for kind, dtype, to in (("runs", RUN, runs), ("suffixes", SUFFIX, suffixes), ("hashes", "<u4", hashes)):
+        for kind, dtype, to in (("runs", RUN, runs), ("suffixes", SUFFIX, suffixes), ("words", "<u4", words)):
             to += [np.frombuffer(x, dtype=dtype) for x in batch.column(batch.schema.get_field_index(kind)).to_pylist()]
     run = np.concatenate(runs) if runs else np.zeros(0, RUN)
     suffix = np.concatenate(suffixes) if suffixes else np.zeros(0, SUFFIX)
-    full = np.concatenate(hashes) if hashes else np.zeros(0, "<u4")
-    del runs, suffixes, hashes
+    word = np.concatenate(words) if words else np.zeros(0, "<u4")
+    del runs, suffixes, words
     yield from _sent(run)
     if len(suffix):
-        yield from _sent(_compare(suffix, full))
+        yield from _sent(_compare(suffix, word, length))
+
+
+def extended(words: np.ndarray, x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray, step: int = 1 << 22) -> np.ndarray:
+    """Whether the matches of the seeds at words x and y reach ``left`` words to the left and ``right`` to the right."""
+    out = np.zeros(len(x), dtype=bool)
+    size = left + right
+    upto = np.concatenate(([0], np.cumsum(size)))
+    a = 0
+    while a < len(x):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + step, side="right")) - 1)
+        shift = np.arange(upto[b] - upto[a]) - np.repeat(upto[a:b] - upto[a] + left[a:b], size[a:b])
+        same = words[np.repeat(x[a:b], size[a:b]) + shift] == words[np.repeat(y[a:b], size[a:b]) + shift]
+        out[a:b] = np.add.reduceat(same, upto[a:b] - upto[a]) == size[a:b]
+        a = b
+    return out
 
 
-def _compare(suffix: np.ndarray, full: np.ndarray) -> np.ndarray:
+def _compare(suffix: np.ndarray, words: np.ndarray, length: int) -> np.ndarray:
+    size = suffix["count"].astype(np.int64) + (length - 1)
+    base = np.cumsum(size) - size
     owner = np.repeat(np.arange(len(suffix)), suffix["count"])
-    within = np.arange(len(full)) - np.repeat(np.cumsum(suffix["count"]) - suffix["count"], suffix["count"])
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(suffix["count"]) - suffix["count"], suffix["count"])
     start = suffix["start"][owner] + within
     distance = suffix["pos"][owner] - start
     rank = _ranked(suffix["doc"], suffix["fp"])
-    key = mix(suffix["seed"][owner] ^ (full.astype(np.uint64) << np.uint64(8)) ^ mix(full.astype(np.uint64) + np.uint64(1))) + distance.astype(np.uint64)
+    first_word = base[owner] + within
+    full = RangeHasher(words.astype(np.uint64)).of(first_word, first_word + length)
+    key = mix(suffix["seed"][owner] ^ mix(full)) + distance.astype(np.uint64)
     order = np.argsort(key, kind="stable")
     same = np.concatenate(([False], key[order][1:] == key[order][:-1]))
     follows = np.append(same[1:], False)
@@ -187,6 +267,11 @@ def _compare(suffix: np.ndarray, full: np.ndarray) -> np.ndarray:
     by = np.lexsort((start[rows], rank[owner[rows]], key[rows]))
     rows = rows[by]
     head = np.concatenate(([True], key[rows][1:] != key[rows][:-1])) if len(rows) else np.zeros(0, bool)
+    # a row goes with its neighbour above if the match of their seeds extends over the whole passage
+    below = np.flatnonzero(~head)
+    if len(below):
+        x, y = rows[below], rows[below - 1]
+        head[below] = ~extended(words, first_word[x] + distance[x], first_word[y] + distance[y], distance[x], length - distance[x])
     lead = rows[np.maximum.accumulate(np.where(head, np.arange(len(rows)), 0))] if len(rows) else rows
     as_first = (rank[owner[rows]] == rank[owner[lead]]) & (start[rows] == start[lead])
     # a group of equal rows of one document alone is no repeat unless its block found one
@@ -235,12 +320,18 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", leng
     """
     if not 1 <= seed <= length:
         raise ValueError("seed must lie between 1 and length")
-    parts = 2 * partitions(docs.sparkSession)
+    spark = docs.sparkSession
     body = F.col(text).cast("string")
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(body).alias("fp"), body.alias("text")).where(F.col("text").isNotNull())
+    grades = slots.gathered(rows.mapInArrow(lambda it: _tally(it, length, seed), "chunk int, packed binary"), SLOTS, "u2", _grade)
+    release(spark)
+    shared = spark.sparkContext.broadcast(grades)
+    # a grade g stands for fewer than 2 ** (g + 1) suffixes of about one and a half passages
+    n = sum(int(slots_at) << (grade + 1) for grade, slots_at in enumerate(np.bincount(grades)) if grade)
+    parts = max(partitions(spark), -(-n * 3 * length // (2 * TASK_WORDS)))
     # four numbers a task, so that tasks get about as many however the numbers are hashed
-    dealt = rows.mapInArrow(lambda it: _map(it, 4 * parts, length, seed), "part int, runs binary, suffixes binary, hashes binary").repartition(parts, "part")
-    found = dealt.mapInArrow(_reduce, "doc long, fp long, runs array<long>")
+    dealt = rows.mapInArrow(lambda it: _map(it, shared, 4 * parts, length, seed), "part int, runs binary, suffixes binary, words binary").repartition(parts, "part")
+    found = dealt.mapInArrow(lambda it: _reduce(it, length), "doc long, fp long, runs array<long>")
     return found.groupBy("doc", "fp").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
@@ -285,7 +376,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
                 new[row] = _without(block, words.starts[a:b], words.ends[a:b], later, i)
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:-2], pa.array(new, pa.string()), *(pa.array(c) for c in counts), *(pa.array([w[j] for w in where], pa.string()) for j in (0, 1))],
-            names=[*batch.schema.names[:-2], "kept_text", "n_words", "n_repeated", "n_cut", "repeated_spans", "cut_spans"],
+            names=[*batch.schema.names[:-2], *(f"__{name}" for name in RESULTS)],
         )
 
 
@@ -299,12 +390,24 @@ def _without(block: Block, starts: np.ndarray, ends: np.ndarray, later: np.ndarr
     return block.buf[block.offs[i] : block.offs[i + 1]][keep].tobytes().decode("utf-8", "replace")
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """All columns of ``docs``, then kept_text, n_words, n_repeated, n_cut and both span lists (word numbers)."""
+def _cut_rows(docs: DataFrame, key: str, text: str, length: int, seed: int) -> DataFrame:
+    """The columns of ``docs`` and the results, their names behind two underscores."""
     runs = repeated_runs(docs, key, text, length, seed)
     body = F.col(text).cast("string")
     keyed = docs.select("*", F.coalesce(F.col(key).cast("long"), F.lit(int(_NULL_ID))).alias("__doc"), F.xxhash64(body).alias("__fp"), body.alias("__text"))
     joined = keyed.join(runs.select(F.col("doc").alias("__doc"), F.col("fp").alias("__fp"), F.col("runs").alias("__runs")), ["__doc", "__fp"], "left")
     joined = joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__text", "__runs")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(lambda it: _cut(it, length), f"{kinds}, kept_text string, n_words long, n_repeated long, n_cut long, repeated_spans string, cut_spans string")
+    return joined.mapInArrow(lambda it: _cut(it, length), f"{kinds}, __kept_text string, __n_words long, __n_repeated long, __n_cut long, __repeated_spans string, __cut_spans string")
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """The columns of ``docs`` that bear no result's name, then kept_text, n_words, n_repeated, n_cut and both span lists (word numbers)."""
+    rows = _cut_rows(docs, key, text, length, seed)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c not in RESULTS], *[F.col(f"__{name}").alias(name) for name in RESULTS])
+
+
+def first_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
+    """``docs`` with later passages cut from ``text``; rows that are left without a word go, rows that had none stay."""
+    rows = _cut_rows(docs, key, text, length, seed).where((F.col("__n_cut") == 0) | (F.col("__n_cut") < F.col("__n_words")))
+    return rows.select(*[F.col("__kept_text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])

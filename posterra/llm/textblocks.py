@@ -158,25 +158,21 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
 
 # --- characters ---------------------------------------------------------------------------------
 
-SYMBOL_BITS = 12
-_CHAR_TABLE: np.ndarray | None = None
+SYMBOL_BITS = 16
+_UNIT_TABLE: np.ndarray | None = None
 _LETTER_TABLE: np.ndarray | None = None
 
 
-def _char_table() -> np.ndarray:
-    """Code point to symbol: lower case, digits as 0, white space as a blank; 2,048 and over are hashed."""
-    global _CHAR_TABLE
-    if _CHAR_TABLE is None:
-        out = np.zeros(0x110000, dtype=np.uint16)
-        for c in range(0x3000):
-            s = chr(c).lower() if not 0xD800 <= c < 0xE000 else " "
-            v = ord(s) if len(s) == 1 else c
-            v = 0x20 if chr(c).isspace() or c < 0x20 else 0x30 if chr(c).isdigit() else v
-            out[c] = v if v < 2048 else 2048 + (v * 2654435761 >> 7) % 2048
-        rest = np.arange(0x3000, 0x110000, dtype=np.int64)
-        out[0x3000:] = 2048 + (rest * 2654435761 >> 7) % 2048
-        _CHAR_TABLE = out
-    return _CHAR_TABLE
+def _unit_table() -> np.ndarray:
+    """UTF-16 unit to symbol: lower case, digits as 0, white space and controls as a blank; every other unit is itself."""
+    global _UNIT_TABLE
+    if _UNIT_TABLE is None:
+        out = np.arange(0x10000, dtype=np.uint16)
+        for c in [*range(0xD800), *range(0xE000, 0x10000)]:
+            s, low = chr(c), chr(c).lower()
+            out[c] = 0x20 if s.isspace() or c < 0x20 else 0x30 if s.isdigit() else ord(low) if len(low) == 1 and ord(low) < 0x10000 else c
+        _UNIT_TABLE = out
+    return _UNIT_TABLE
 
 
 def letter_table() -> np.ndarray:
@@ -187,27 +183,34 @@ def letter_table() -> np.ndarray:
     return _LETTER_TABLE
 
 
+def has_letter(block: Block) -> np.ndarray:
+    """Whether each text of a block has a letter."""
+    points = np.frombuffer(block.text().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    lead = (block.buf & 0xC0) != 0x80
+    upto = np.zeros(len(block.buf) + 1, dtype=np.int64)
+    np.cumsum(lead, out=upto[1:])
+    letters = np.zeros(len(points) + 1, dtype=np.int64)
+    np.cumsum(letter_table()[points], out=letters[1:])
+    return np.diff(letters[upto[block.offs]]) > 0
+
+
 @dataclass
 class Characters:
-    """Code points of a block; ``offs`` are the texts' offsets in code points."""
+    """Symbols of a block, one a UTF-16 unit, so that no two characters share one but for case, digits and blanks; ``offs`` are the texts' offsets."""
 
-    points: np.ndarray
+    symbols: np.ndarray
     offs: np.ndarray
 
     @staticmethod
     def of(block: Block) -> Characters:
-        lead = (block.buf & 0xC0) != 0x80
+        units = ((block.buf & 0xC0) != 0x80).astype(np.int64) + (block.buf >= 0xF0)
         upto = np.zeros(len(block.buf) + 1, dtype=np.int64)
-        np.cumsum(lead, out=upto[1:])
-        points = np.frombuffer(block.text().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        return Characters(points, upto[block.offs])
-
-    def symbols(self) -> np.ndarray:
-        return _char_table()[self.points].astype(np.uint64)
+        np.cumsum(units, out=upto[1:])
+        return Characters(_unit_table()[np.frombuffer(block.text().encode("utf-16-le", "surrogatepass"), dtype=np.uint16)], upto[block.offs])
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Packed k-grams of symbols that lie within one text, and the text of each."""
-        s = self.symbols()
+        s = self.symbols.astype(np.uint64)
         n = len(s) - k + 1
         if n <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)

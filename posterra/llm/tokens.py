@@ -1,8 +1,9 @@
 """Token counts that survive edits: a tree over each document's pre-token segments.
 
-A text is cut before every space that an ASCII letter follows. The pre-token pattern never
-puts such a space inside a pre-token, nor looks beyond it from the left, so the tokens of a
-text are those of its segments, one after the other. Segments are the leaves of a sum tree
+A text is cut before every space (0x20) that a character other than white space follows, and
+between full-width punctuation and an ideograph, whatever the script. The pre-token pattern
+never puts such a place inside a pre-token, nor looks beyond it from the left, so the tokens
+of a text are those of its segments, one after the other. Segments are the leaves of a sum tree
 of (characters, tokens). An edit finds its first and last leaf by descending the tree,
 re-encodes the text of those leaves (and of the one before, where the edit removes the
 space that ended it), and updates the sums on the paths to the root.
@@ -13,7 +14,8 @@ never counts), and the leaves of all texts are looked up at once.
 
 Cases: a null text has null counts, an empty one zero; edits outside the text are clipped
 to it; edits of a text apply one after the other, each to the result of those before; a
-null or empty list of edits leaves the counts; equal rows get equal rows; columns other
+null or empty list of edits leaves the counts; an edit that is null or lacks its start or end
+is none; one without a replacement deletes; equal rows get equal rows; columns other
 than the named ones pass through or are ignored; an empty table gives no rows. Special
 tokens' strings count as ordinary text.
 """
@@ -34,8 +36,14 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern that belongs to the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 REMEMBERED = 1 << 20
-_LETTER = np.zeros(256, dtype=bool)
-_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+#: First bytes of characters, without those of white space and those that more bytes must tell from it.
+_SOLID = np.ones(256, dtype=bool)
+_SOLID[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = False
+_SOLID[0x80:0xC0] = False
+
+
+#: Full-width marks that end a segment before an ideograph: U+3001, U+3002, U+FF01, U+FF0C, U+FF1A, U+FF1B, U+FF1F.
+_MARKS = frozenset("\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f")
 
 
 def encoder(ranks: str = RANKS, pattern: str = PATTERN) -> Callable[[str], list[int]]:
@@ -48,18 +56,33 @@ def encoder(ranks: str = RANKS, pattern: str = PATTERN) -> Callable[[str], list[
 
 def segment_starts(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte starts of all segments of a block, and the first segment of each text (one more at the end)."""
-    cut = np.zeros(len(buf) + 1, dtype=bool)
-    if len(buf):
-        cut[: len(buf) - 1] = (buf[:-1] == 0x20) & _LETTER[buf[1:]]
+    n = len(buf)
+    b = np.concatenate((buf, np.zeros(4, np.uint8)))
+    one, two, three = b[1 : n + 1], b[2 : n + 2], b[3 : n + 3]
+    solid = _SOLID[one] & (one != 0)
+    solid |= (one == 0xC2) & (two != 0x85) & (two != 0xA0)
+    # U+1680, U+2000 to U+206F and U+3000 are white space or near it
+    solid |= ((one == 0xE1) & (two != 0x9A)) | ((one == 0xE2) & (two > 0x81)) | ((one == 0xE3) & ((two != 0x80) | (three != 0x80)))
+    cut = np.zeros(n + 1, dtype=bool)
+    cut[:n] = (buf == 0x20) & solid
+    # the bytes of ``_MARKS`` before those of U+4E00 to U+9FFF
+    mark = ((buf == 0xE3) & (one == 0x80) & ((two == 0x81) | (two == 0x82))) | ((buf == 0xEF) & (one == 0xBC) & np.isin(two, (0x81, 0x8C, 0x9A, 0x9B, 0x9F)))
+    after = np.flatnonzero(mark) + 3
+    after = after[after < n]
+    cut[after[((b[after] == 0xE4) & (b[after + 1] >= 0xB8)) | ((b[after] > 0xE4) & (b[after] <= 0xE9))]] = True
     full = offs[:-1][offs[1:] > offs[:-1]]
-    # a letter at the start of the next text ends no segment of this one
-    ends = offs[1:][offs[1:] > offs[:-1]] - 1
-    cut[ends] = False
+    # what the next text begins with ends no segment of this one
+    cut[offs[1:][offs[1:] > offs[:-1]] - 1] &= buf[offs[1:][offs[1:] > offs[:-1]] - 1] != 0x20
     cut[full] = True
-    starts = np.flatnonzero(cut[: len(buf)])
+    starts = np.flatnonzero(cut[:n])
     return starts, np.searchsorted(starts, offs)
 
 
+def _cuts_before(text: str) -> bool:
+    """Whether a segment may begin with ``text`` whatever stands before it, but for ideographs after full-width marks."""
+    return len(text) > 1 and text[0] == " " and not text[1].isspace() and not 0x2000 <= ord(text[1]) <= 0x206F and text[1] != "\0"
+
+
 class TokenTree:
     """Sums of characters and tokens over the segments of one text."""
 
@@ -126,9 +149,13 @@ class TokenTree:
         last, last_at = self._leaf(max(start, end - 1))
         old = "".join(self.leaves[first : last + 1])
         new = old[: start - at] + replacement + old[end - at :]
-        while first > 0 and not (len(new) > 1 and new[0] == " " and new[1].isascii() and new[1].isalpha()):
+        while first > 0 and not _cuts_before(new):
             first -= 1
             new = self.leaves[first] + new
+        # what follows began a segment after a mark that may be gone
+        while last + 1 < len(self.leaves) and not _cuts_before(self.leaves[last + 1]) and new[-1:] not in _MARKS:
+            last += 1
+            new += self.leaves[last]
         for leaf in range(first + 1, last + 1):
             if self.leaves[leaf]:
                 self._set(leaf, "", 0)
@@ -138,6 +165,8 @@ class TokenTree:
 
 
 def split(text: str) -> list[str]:
+    if not text:
+        return []
     data = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
     starts, _ = segment_starts(data, np.array([0, len(data)]))
     raw = data.tobytes()
@@ -190,7 +219,8 @@ def _count(batches: Iterator[pa.RecordBatch], ranks: str, pattern: str) -> Itera
                     edges = [*(starts[a:b] - block.offs[i]).tolist(), len(raw)]
                     tree = TokenTree([raw[x:y].decode("utf-8", "replace") for x, y in zip(edges, edges[1:], strict=False)], tokens[a:b], encode)
                     for e in todo:
-                        tree.edit(e["start"], e["end"], e["replacement"] or "")
+                        if e is not None and e["start"] is not None and e["end"] is not None:
+                            tree.edit(e["start"], e["end"], e["replacement"] or "")
                     after, encoded = tree.total, tree.encoded_chars
                 for column, value in zip(out, (int(b - a), total, after, encoded), strict=True):
                     column.append(value)
@@ -205,3 +235,53 @@ def count(docs: DataFrame, key: str = "doc_id", text: str = "text", edits=None,
     todo = F.lit(None).cast(EDITS) if edits is None else edits.cast(EDITS)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), todo.alias("edits"))
     return rows.mapInArrow(lambda it: _count(it, ranks, pattern), "doc_id long, n_segments long, n_tokens long, n_tokens_edited long, n_reencoded long")
+
+
+TREES = "doc_id long, text string, chars array<int>, tokens array<int>, n_tokens long, n_reencoded long"
+
+
+def _planted(batches: Iterator[pa.RecordBatch], ranks: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    counter = Counter(encoder(ranks, pattern))
+    for batch in batches:
+        for block in blocks(batch.column(1)):
+            starts, ptr, tokens = counter(block)
+            lead = np.concatenate(([0], np.cumsum((block.buf & 0xC0) != 0x80)))
+            chars = np.diff(lead[np.append(starts, len(block.buf))])
+            sums = np.concatenate(([0], np.cumsum(tokens)))
+            lists = [pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(x.astype(np.int32)), mask=pa.array(~block.valid)) for x in (chars, tokens)]
+            own = [batch.column(i).slice(block.first, len(block)) for i in (0, 1)]
+            total = pa.array(sums[ptr[1:]] - sums[ptr[:-1]], mask=~block.valid)
+            yield pa.RecordBatch.from_arrays([*own, *lists, total, pa.array(np.where(block.valid, np.diff(lead[block.offs]), 0))], names=[x.split()[0] for x in TREES.split(", ")])
+
+
+def _grown(batches: Iterator[pa.RecordBatch], ranks: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    encode = encoder(ranks, pattern)
+    names = [x.split()[0] for x in TREES.split(", ")]
+    for batch in batches:
+        out = []
+        for key, text, chars, tokens, edits in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if text is None:
+                out.append((key, None, None, None, None, 0))
+                continue
+            edges = np.concatenate(([0], np.cumsum(chars, dtype=np.int64))).tolist()
+            tree = TokenTree([text[a:b] for a, b in zip(edges, edges[1:], strict=False)], np.array(tokens, dtype=np.int64), encode)
+            for e in edits or ():
+                if e is not None and e["start"] is not None and e["end"] is not None:
+                    tree.edit(e["start"], e["end"], e["replacement"] or "")
+            kept = [i for i, leaf in enumerate(tree.leaves) if leaf]
+            out.append((key, tree.text(), [len(tree.leaves[i]) for i in kept], [int(tree.tokens[tree.size + i]) for i in kept], tree.total, tree.encoded_chars))
+        columns = list(zip(*out, strict=True)) or [()] * 6
+        kinds = (pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def plant(docs: DataFrame, key: str = "doc_id", text: str = "text", ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
+    """(doc_id, text, chars, tokens, n_tokens, n_reencoded): a segment tree's leaves for every document, to be kept as a table; null texts have null leaves."""
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(lambda it: _planted(it, ranks, pattern), TREES)
+
+
+def grow(trees: DataFrame, edits, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
+    """The kept trees after ``edits``: leaves that no edit touches keep their counts, ``n_reencoded`` characters were encoded anew."""
+    rows = trees.select("doc_id", "text", "chars", "tokens", edits.cast(EDITS).alias("edits"))
+    return rows.mapInArrow(lambda it: _grown(it, ranks, pattern), TREES)

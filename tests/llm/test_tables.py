@@ -12,9 +12,9 @@ SF = "/root/testdata/sf0.001"
 def test_pack_exactly_once_and_within_capacity():
     rng = np.random.default_rng(1)
     sizes = np.sort(rng.integers(1, 4097, 3000))[::-1]
-    bins, offsets, final = packing.pack(sizes)
+    bins, offsets, final, opened = packing.pack(sizes)
     used = np.bincount(bins, weights=sizes)
-    assert (used <= final).all() and set(final.tolist()) <= set(packing.CAPACITIES)
+    assert (used <= final).all() and (final <= opened).all() and set(final.tolist()) <= set(packing.CAPACITIES)
     smaller = {512: 0, 1024: 512, 2048: 1024, 4096: 2048}
     assert all(u > smaller[int(c)] for u, c in zip(used, final, strict=True))
     for b in range(len(final)):
@@ -24,10 +24,56 @@ def test_pack_exactly_once_and_within_capacity():
     assert used.sum() / final.sum() > 0.98
 
 
+def brute_pack(sizes, capacities):
+    """Best fit by its definition: every open bin and every capacity is looked at for every item."""
+    bins, opened, where = [], [], []
+    for i, size in enumerate(sizes):
+        fits = [(c - sum(b) - size, j) for j, (b, c) in enumerate(zip(bins, opened, strict=True)) if sum(b) + size <= c]
+        if fits:
+            j = min(fits)[1]
+        else:
+            best = None
+            for c in capacities:
+                if c >= size:
+                    left = c - size
+                    for x in sizes[i + 1 :]:
+                        left -= x if x <= left else 0
+                    price = (c * (1 + c / packing.ATTENTION) + packing.BIN_COST) / (c - left)
+                    best = min(best or (price, c), (price, c))
+            j = len(bins)
+            bins.append([])
+            opened.append(best[1])
+        bins[j].append(size)
+        where.append(j)
+    return where, [min(c for c in capacities if c >= sum(b)) for b in bins], opened
+
+
+def test_pack_against_brute_force():
+    rng = np.random.default_rng(7)
+    for case in range(40):
+        capacities = [(512, 1024, 2048, 4096), (10, 16, 25), (100,)][case % 3]
+        sizes = sorted(rng.integers(1, capacities[-1] + 1, int(rng.integers(1, 60))).tolist() + [capacities[0] // 2] * (case % 4), reverse=True)
+        bins, _, final, opened = packing.pack(np.array(sizes), capacities)
+        assert (bins.tolist(), final.tolist(), opened.tolist()) == brute_pack(sizes, capacities)
+
+
+def test_sizes_compete_on_documents(spark):
+    """Several sizes are opened, and together they cost less than any one of them alone could."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    items = packing.best_fit(docs).toPandas()
+    bins = items.groupby("bin_id").agg(capacity=("capacity", "first"), opened=("opened", "first"))
+    assert len(set(bins["opened"])) >= 3
+    joint = sum(packing.cost(int(c)) for c in bins["capacity"])
+    alone = packing.best_fit(docs, capacities=(4096,)).select("bin_id").distinct().count() * packing.cost(4096)
+    assert joint < alone
+
+
 def test_opening_takes_the_cheapest():
-    assert packing.opening(100, 0, (512, 1024)) == 512
-    assert packing.opening(600, 10_000, (512, 1024, 2048)) == 2048
-    assert packing.opening(512, 0, (512, 1024)) == 512
+    assert packing.opening(100, [], 0, (512, 1024)) == 512
+    assert packing.opening(600, [400] * 5, 5, (512, 1024, 2048)) == 1024
+    assert packing.opening(600, [700] * 5, 5, (1024, 2048)) == 2048
+    assert packing.opening(512, [], 0, (512, 1024)) == 512
+    assert packing.fill(10, [1, 2, 4, 4, 7], 5) == 10 and packing.fill(3, [], 0) == 0
 
 
 def test_best_fit_cases(spark):
@@ -40,26 +86,36 @@ def test_best_fit_cases(spark):
 
 def brute(vectors, k):
     ok = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    out = set()
+    out = []
     for q, a in {(i, tuple(v)) for i, v in ok if i % 100 == 0}:
         scores = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), i) for i, b in ok if i != q)[:k]
-        out |= {(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)}
-    return out
+        out += [(q, r, i, -s) for r, (s, i) in enumerate(scores, 1)]
+    return sorted(out)
 
 
-@pytest.mark.parametrize("block", [7, 5000])
-def test_top_k(spark, block):
+@pytest.mark.parametrize(("block", "cells"), [(7, 5), (5000, 64)])
+def test_top_k(spark, block, cells):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(6, 8)) * 3
     vectors = [(i, (centres[i % 6] + 0.05 * rng.normal(size=8)).tolist()) for i in range(420)]
-    vectors += [(500, None), (501, [None] * 8), (502, [float("nan")] * 8), (503, [float("inf")] * 8), (600, vectors[3][1]), (601, vectors[3][1]), (700, [0.5]), (None, vectors[0][1]), (800, [])]
+    vectors += [(500, None), (501, [None] * 8), (502, [float("nan")] * 8), (503, [float("inf")] * 8), (600, vectors[3][1]), (601, vectors[3][1]), (700, [0.5]), (None, vectors[0][1]), (800, []), (900, [1.0, 0.0]), (900, [0.0, 1.0]), (900, [0.0, 1.0])]
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in vectors], "vec_id long, embedding array<float>, rank int, score string")
-    got = topk.top_k(df, F.col("vec_id") % 100 == 0, block=block, query_block=3).collect()
+    got = topk.top_k(df, F.col("vec_id") % 100 == 0, block=block, query_block=3, cells=cells).collect()
     exact = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in vectors]
-    assert {tuple(r) for r in got} == brute(exact, 10) and len(got) == len({tuple(r) for r in got})
+    assert sorted(tuple(r) for r in got) == brute(exact, 10)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_cells_are_skipped(spark):
+    """Queries of clustered vectors go to few cells besides their own."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16)) * 5
+    df = spark.createDataFrame([(i, (centres[i % 12] + 0.1 * rng.normal(size=16)).tolist()) for i in range(2400)], "vec_id long, embedding array<double>")
+    search = topk.TopK(df, F.col("vec_id") % 100 == 0, "vec_id", "embedding", 10, 64, 64, 24)
+    assert search.reached() < 0.5
+    assert sorted(tuple(r) for r in search.result.collect()) == brute([(r.vec_id, r.embedding) for r in df.collect()], 10)
+
+
 def test_dual_tree_prunes_and_large_components(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(40, 16)) * 2000
