@@ -12,40 +12,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from posterra.llm import jaccard, packing, pii, quality, suffixes
-from posterra.llm.session import checkpointed, shared_checkpoints
+from posterra.llm.session import shared_checkpoints
 
 
-def _with_text(docs: DataFrame, rows: DataFrame, text) -> DataFrame:
-    """The columns of ``docs`` with a new text and its length."""
-    new = {"text": text, "n_chars": F.length(text).cast("long")}
-    return rows.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
+def _measured(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``n_chars`` set to the length of the text, which a stage has changed; null texts have a null length."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the perplexity band reject go."""
-    kept = checkpointed(quality.assess(docs).where("kept").select("doc_id", "text_hash").distinct())
-    keyed = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
-    return keyed.join(kept, keyed["doc_id"].eqNullSafe(kept["doc_id"]) & (keyed["__hash"] == kept["text_hash"]), "left_semi").select(*docs.columns)
+    """Documents that the base rules or the perplexity band reject go, null and empty texts among them; equal rows share their fate, null keys stay as they are."""
+    return quality.kept_rows(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
+    """One document of each group of near duplicates stays, the one with the smallest doc_id (null keys last); of repeated rows one, texts without a word included."""
     return jaccard.one_of_each(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each repeated passage the first stays; a document left without a word goes."""
-    rows = suffixes.deduplicate(docs)
-    return _with_text(docs, rows.where((F.col("n_cut") == 0) | (F.col("n_cut") < F.col("n_words"))), F.col("kept_text"))
+    """Of each repeated passage the first stays; a document left without a word goes. Null and short texts have no passage; equal rows get equal results."""
+    return _measured(suffixes.first_passages(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets."""
-    rows = pii.redact(docs)
-    return _with_text(docs, rows, F.col("text"))
+    """Personal data is replaced by its kind in brackets; a null text stays null, all rows stay."""
+    return _measured(pii.redact(docs))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each document or piece of one: its bin, place and words. Texts without a word are in no bin; every repeated row is an item of its own."""
     return packing.best_fit(docs)
 
 
