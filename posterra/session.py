@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,11 +22,13 @@ def session(name: str = "posterra", master: str | None = None, shuffle_partition
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; only where none is named (tests), make a local one."""
+    """Use the cluster's shared checkpoint folder; only where none is named and all runs in this process (tests), make a local one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="posterra-checkpoint-"))
 
 
