@@ -101,7 +101,7 @@ def class_ids(codes: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def shared_prefix(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Shingles that the first-order prefixes of a set of ``n`` and of any that links with it share at least: their prefixes are that much longer, less one."""
-    return np.maximum(1, n * (100 - percent) // 400)
+    return np.maximum(1, n * (100 - percent) // 160)
 
 
 def prefix_length(n: np.ndarray, percent: int = PERCENT, shared: np.ndarray | int = 1) -> np.ndarray:
@@ -164,16 +164,25 @@ def _unseen(codes: np.ndarray, offs: np.ndarray, seen: set[int]) -> tuple[np.nda
 
 
 def _post(batches: Iterator[pa.RecordBatch], shared, percent: int) -> Iterator[pa.RecordBatch]:
-    """(k, id): the first-order prefix of every class that the task meets, once; with a filter of lists, only what it lets through."""
+    """(k, id): the first-order prefix of every class that the task meets, once.
+
+    With a filter of the lists that several texts are in: the plain prefix of those classes
+    alone that have enough of the longer one in such lists.
+    """
     levels, lists = shared.value
     seen: set[int] = set()
     for batch in batches:
         for block in blocks(batch.column(0)):
             codes, offs, ids = _unseen(*shingle_sets(block), seen)
             keys, upto = prefixes(codes, offs, 0, levels, percent)
-            of = np.repeat(ids, np.diff(upto))
-            if lists is not None:
+            size = np.diff(upto)
+            of = np.repeat(ids, size)
+            if lists is not None and len(keys):
                 able = slots.may_hold(lists, keys)
+                n = np.diff(offs)
+                # any set that links with one of n has four fifths of n, and shares what that one's prefix must share
+                enough = np.diff(np.concatenate(([0], np.cumsum(able)))[upto]) >= shared_prefix(n * percent // 100, percent)
+                able &= np.repeat(enough, size) & (np.arange(len(keys)) - np.repeat(upto[:-1], size) < np.repeat(prefix_length(n, percent), size))
                 keys, of = keys[able], of[able]
             if len(keys):
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(of)], names=["k", "id"])
@@ -355,19 +364,15 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     usual = (rows.agg(F.sum("n")).first()[0] or 0) / SLOTS
     levels = slots.gathered(marked.where("chunk is not null").select("chunk", "packed"), SLOTS, "u4", _level(usual))
     share = lambda *tables: spark.sparkContext.broadcast(tables)
-    classes = checkpointed(rows.where("n > 0").groupBy("id").agg(F.first("n").alias("n"), _head()).select("id", "n", "head.doc_id", "head.th"))
+    classes = checkpointed(rows.where("n > 0").groupBy("id").agg(_head()).select("id", "head.doc_id"))
 
     texts = body.select("text")
     posts = lambda tables: texts.mapInArrow(lambda it: _post(it, tables, percent), "k long, id long")
     several = checkpointed(posts(share(levels, None)).groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("k"))
     release(spark)
     # tasks may post one class each: that a list has one class only is seen once those are one
-    posted = checkpointed(posts(share(levels, slots.key_filter(several))).join(several, "k").distinct())
+    posted = checkpointed(posts(share(levels, slots.key_filter(several))).distinct())
     release(spark)
-    # a set shares that many shingles of its prefix with any that links with it, the smaller of the two has four fifths of its size at least
-    least = F.greatest(F.lit(1), F.floor(F.floor(F.col("n") * percent / 100) * (100 - percent) / 400))
-    able = posted.groupBy("id").agg(F.count(F.lit(1)).alias("open")).join(classes.select("id", "n"), "id").where(F.col("open") >= least).select("id")
-    posted = posted.join(able, "id")
     posted = posted.join(posted.groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "k")
     posted = checkpointed(posted.join(posted.groupBy("id").agg(F.sum("size").alias("weight")), "id").select("k", "id", "weight"))
     release(spark)
