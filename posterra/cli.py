@@ -31,6 +31,9 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--strand", choices=("none", "forward", "reverse"), default="none")
     a.add_argument("--min-align-pr", type=float, default=0.1)
     a.add_argument("--exclude-seqs", default="")
+    a.add_argument("--genome", help="FASTA file, from which sequence and GC bias are learned")
+    a.add_argument("--bias-training-seqs", help="file of names of the sequences that bias models learn from")
+    a.add_argument("--no-fragmentation", action="store_true", help="no correction for random fragmentation")
     a.add_argument("--no-priors", action="store_true")
     for name, default in vars(gibbs.Priors()).items():
         a.add_argument(f"--{name.replace('_', '-')}", type=float, default=default)
@@ -81,9 +84,11 @@ def main(argv: list[str] | None = None) -> int:
         reads = {r.sample: alignments.read_alignments(spark, r.filename) for r in samples.collect()}
         priors = gibbs.Priors(**{k: getattr(args, k) for k in vars(gibbs.Priors())})
         options = analyze.Options(
-            args.num_samples, args.burn_in, args.rounds, args.seed, args.strand, "FR", args.min_align_pr, not args.no_priors, tuple(x for x in args.exclude_seqs.split(",") if x), args.dry_run, priors
+            args.num_samples, args.burn_in, args.rounds, args.seed, args.strand, "FR", args.min_align_pr, not args.no_priors, tuple(x for x in args.exclude_seqs.split(",") if x), args.dry_run, not args.no_fragmentation, priors
         )
-        analyze.run(spark, _exons(spark, args), samples, reads, args.output, options, " ".join(argv or sys.argv))
+        genome = annotation.read_fasta(spark, args.genome) if args.genome else None
+        training = annotation.read_names(spark, args.bias_training_seqs) if args.bias_training_seqs else None
+        analyze.run(spark, _exons(spark, args), samples, reads, args.output, options, " ".join(argv or sys.argv), genome, training)
     elif args.command == "summarize":
         out = registry.summarize(spark, args.store, args.strategy, registry.Choices(args.credible, args.effect_size, args.normalize, args.groups))
         store.write_tsv(out, args.output or f"{args.strategy}.tsv")

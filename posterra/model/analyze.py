@@ -14,8 +14,7 @@ from ..functions import cigar as C
 from ..operators import annotation, components, fragments, scaling
 from ..session import checkpointed
 from ..sources import store
-from . import gibbs, weights
-from .bias import LengthModel
+from . import gibbs, library, weights
 
 
 @dataclass
@@ -30,6 +29,7 @@ class Options:
     use_priors: bool = True
     exclude: tuple[str, ...] = ()
     dry_run: bool = False
+    fragmentation: bool = True
     priors: gibbs.Priors = field(default_factory=gibbs.Priors)
 
 
@@ -60,26 +60,31 @@ def count_reads(alignments: DataFrame, transcripts: DataFrame, strandedness: str
     return fragments.gene_counts(pairs, transcripts)
 
 
-def likelihood(alignments: DataFrame, transcripts: DataFrame, options: Options) -> tuple[DataFrame, DataFrame, LengthModel]:
-    """(tid, frag, w) of one sample, (tid, weight), and the length model."""
+def likelihood(alignments: DataFrame, transcripts: DataFrame, options: Options, genome: DataFrame | None = None, training: DataFrame | None = None) -> tuple[DataFrame, DataFrame, library.Library]:
+    """(tid, frag, w) of one sample, (tid, weight), and the library's models; ``transcripts`` has ``sequence`` if there is a genome."""
     usable = fragments.properly_paired(fragments.mapped(alignments, options.exclude))
     t = transcripts.select("tid", "gene_id", "seqname", F.col("strand").alias("t_strand"), "min_start", "max_end", "exons")
-    pairs = checkpointed(fragments.compatibility(fragment_rows(usable, options.library), t, options.strandedness))
-    lengths = LengthModel.fit(fragments.length_histogram(pairs.where("frag_len > 0").groupBy("frag").agg(F.min("frag_len").alias("length"))))
-    effective = weights.transcript_weights(transcripts, lengths)
-    agrees = F.col("strand") == F.col("t_strand")
-    specificity = 0.5 if options.strandedness == "none" else pairs.agg(F.avg(F.when(agrees, 1.0).otherwise(0.0))).first()[0] or 0.5
-    rows = pairs.select("frag", "qname", "tid", F.col("seqname").alias("locus"), "align_pr", "frag_len", agrees.alias("agrees"), F.lit(1.0).alias("bias"))
-    w = weights.fragment_weights(rows, effective, lengths, specificity)
+    pairs = library.placed(fragments.compatibility(fragment_rows(usable, options.library), t, options.strandedness))
+    pairs = checkpointed(pairs.select("frag", "qname", "seqname", "strand", "start", "end", "tid", "t_strand", "frag_len", "five", "align_pr"))
+    models = library.train(pairs, transcripts, options.strandedness != "none", genome, options.fragmentation, training, options.seed)
+    effective = library.effective_lengths(transcripts, models)
+    rows = pairs.select("frag", "qname", "tid", F.col("seqname").alias("locus"), "align_pr", "frag_len", (F.col("strand") == F.col("t_strand")).alias("agrees"))
+    rows = rows.join(library.fragment_bias(pairs, transcripts, models), ["frag", "tid"])
+    w = weights.fragment_weights(rows, effective, models.lengths, models.specificity)
     full = w.join(rows.select("frag", "tid", "qname", "locus", "align_pr"), ["frag", "tid"])
     matrix = weights.weight_matrix(full.select(F.col("qname").alias("frag"), "tid", F.col("frag").alias("locus"), "align_pr", "w"), options.least_alignment_pr)
-    return matrix, effective, lengths
+    return matrix, effective, models
 
 
-def run(spark: SparkSession, exons: DataFrame, samples: DataFrame, alignments: dict[int, DataFrame], path: str, options: Options | None = None, command: str = "") -> None:
+def run(
+    spark: SparkSession, exons: DataFrame, samples: DataFrame, alignments: dict[int, DataFrame], path: str, options: Options | None = None, command: str = "",
+    genome: DataFrame | None = None, training: DataFrame | None = None,
+) -> None:
     """Analyse an experiment and write every draw to the store at ``path``.
 
-    samples: the design table; alignments: alignment rows by sample number.
+    samples: the design table; alignments: alignment rows by sample number; genome: (seqname,
+    seq), without which sequence and GC bias are not corrected; training: (seqname) that bias
+    models learn from, none: all.
     """
     options, began = options or Options(), time.time()
     transcripts = checkpointed(annotation.with_gene_tgroup(annotation.with_tid(annotation.transcript_table(exons))))
@@ -88,9 +93,10 @@ def run(spark: SparkSession, exons: DataFrame, samples: DataFrame, alignments: d
     store.write(transcripts, path, "transcripts", "overwrite")
     store.write(annotation.features(placed), path, "features", "overwrite")
     store.write(samples.select("sample", F.col("sample_name").alias("name"), "filename", "condition", "condition_name"), path, "samples", "overwrite")
+    models = transcripts if genome is None else checkpointed(library.with_sequences(transcripts, genome))
     parts, effective = [], []
     for number, rows in sorted(alignments.items()):
-        matrix, sizes, _ = likelihood(rows, transcripts, options)
+        matrix, sizes, _ = likelihood(rows, models, options, genome, training)
         parts.append(matrix.withColumn("sample", F.lit(number)))
         effective.append(sizes.withColumn("sample", F.lit(number)))
     merge = lambda frames: frames[0] if len(frames) == 1 else merge([frames[0].unionByName(frames[1]), *frames[2:]])

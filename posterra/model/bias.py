@@ -12,10 +12,16 @@ from ..functions import seq as S
 from ..operators.fragments import GC_UPPERS, capped
 from .slice import maximum
 
+#: Bases to either side of a read's start, reads that train a motif, parents of a place and their distance.
 LEFT, RIGHT = 15, 15
 MOST_READS = 50_000
 MOST_PARENTS, MOST_DISTANCE = 4, 10
 COMPLEXITY = 1.0
+#: Lengths of transcripts that train a library's 3' rate, and the range of its logarithm.
+THREE_PRIME_LENGTHS = (5000, 10000)
+THREE_PRIME_RANGE = (-100.0, -10.0)
+#: Bases of a tile of a sequence.
+TILE = 1 << 16
 
 
 # --- fragment length ----------------------------------------------------------------------------
@@ -56,17 +62,31 @@ def windows(positions: DataFrame, sequences: DataFrame, seed: int, most: int = M
     """
     chosen = capped(positions, most, seed, "seqname", "strand", "pos")
     offset = F.pmod(F.xxhash64(F.lit(seed + 1), "seqname", "strand", "pos"), F.lit(21)).cast("long") - 10
-    rows = chosen.join(sequences, "seqname").select("strand", "pos", (F.col("pos") + offset).alias("other"), "seq")
+    reach = left + right + 12
+    rows = with_tiles(chosen.withColumn("other", F.col("pos") + offset), sequences, "pos", reach)
 
     def window(at: str):
-        plus = S.padded_substring(F.col("seq"), (F.col(at) - left).cast("int"), F.lit(left + 1 + right))
-        minus = S.reverse_complement(S.padded_substring(F.col("seq"), (F.col(at) - right).cast("int"), F.lit(left + 1 + right)))
+        plus = S.padded_substring(F.col("seq"), (F.col(at) - F.col("first") - left).cast("int"), F.lit(left + 1 + right))
+        minus = S.reverse_complement(S.padded_substring(F.col("seq"), (F.col(at) - F.col("first") - right).cast("int"), F.lit(left + 1 + right)))
         return F.when(F.col("strand") == "-", minus).otherwise(plus)
 
     both = rows.select(window("pos").alias("fore"), window("other").alias("back"))
     return both.select(F.inline(F.array(F.struct(F.lit(1).alias("fore"), F.col("fore").alias("s")), F.struct(F.lit(0).alias("fore"), F.col("back").alias("s"))))).where(~F.col("s").contains("N"))
 
 
+def tiles(sequences: DataFrame, reach: int, size: int = TILE) -> DataFrame:
+    """(seqname, tile, first, seq): pieces of ``size`` bases with ``reach`` more to either side; ``first`` is the place of the piece's first base."""
+    number = F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.length("seq") - 1, F.lit(0)) / size).cast("int"))).alias("tile")
+    rows = sequences.select("seqname", "seq", number)
+    first = F.greatest(F.col("tile") * size - reach, F.lit(0))
+    return rows.select("seqname", "tile", first.alias("first"), F.substring("seq", first + 1, F.col("tile") * size + size + reach - first).alias("seq"))
+
+
+def with_tiles(rows: DataFrame, sequences: DataFrame, at: str, reach: int, size: int = TILE) -> DataFrame:
+    """Rows with the piece of sequence around them, so that none carries a chromosome; a place off its sequence finds none."""
+    return rows.withColumn("tile", F.floor(F.col(at) / size).cast("int")).join(tiles(sequences, reach, size), ["seqname", "tile"])
+
+
 _CODE = np.full(256, -1)
 for _i, _c in enumerate("ACGT"):
     _CODE[ord(_c)] = _i
@@ -193,20 +213,19 @@ def gc_windows(reads: DataFrame, sequences: DataFrame, length: int, most_count:
     reads: (seqname, strand, pos, count, start, end); positions read more than ``most_count`` times are left out.
     """
     inside = reads.where((F.col("count") <= most_count) & (F.col("pos") + length - 1 <= F.col("end")) & (F.col("pos") >= F.col("start")))
-    rows = inside.join(sequences, "seqname")
-    gc = lambda at: S.gc_count(F.substring("seq", (at + 1).cast("int"), length)) / F.lit(length)
-    fore = rows.select(F.lit(1).alias("fore"), gc(F.col("pos")).alias("gc"), F.col("count").cast("double").alias("weight"))
     other = F.col("start") + F.pmod(F.xxhash64("seqname", "strand", "pos"), F.greatest(F.col("end") - F.col("start") - length + 2, F.lit(1)))
-    back = rows.select(F.lit(0).alias("fore"), gc(other).alias("gc"), F.lit(1.0).alias("weight"))
-    return fore.unionByName(back)
+    both = inside.select("seqname", F.inline(F.array(*[F.struct(F.lit(fore).alias("fore"), at.cast("long").alias("at"), w.cast("double").alias("weight")) for fore, at, w in ((1, F.col("pos"), F.col("count")), (0, other, F.lit(1)))])))
+    rows = with_tiles(both, sequences, "at", length)
+    piece = F.substring("seq", (F.col("at") - F.col("first") + 1).cast("int"), F.lit(length))
+    return rows.select("fore", (S.gc_count(piece) / F.lit(length)).alias("gc"), "weight")
 
 
 def gc_factor(gc: np.ndarray, bias: np.ndarray) -> np.ndarray:
     return bias[np.minimum(np.searchsorted(np.array(GC_UPPERS), gc), len(GC_UPPERS) - 1)]
 
 
-def three_prime_rate(distances: DataFrame) -> float:
-    """p of the truncated geometric of (tpdist, tlen) pairs: the share of fragments lost at each base.
+def three_prime_rate(distances: DataFrame, low: float = -100.0, high: float = -1e-3) -> float:
+    """p of the truncated geometric of (tpdist, tlen) pairs: the share of fragments lost at each base; its logarithm is looked for from ``low`` to ``high``.
 
     Only counts of distinct pairs reach the driver, which are bounded by the length range squared.
     """
@@ -220,16 +239,50 @@ def three_prime_rate(distances: DataFrame) -> float:
         keep = np.log1p(-p)
         return (n * (np.log(p) + k * keep - np.log(-np.expm1(t * keep) + 1e-300))).sum(axis=1)
 
-    return float(np.exp(maximum(likelihood, 1, -100.0, -1e-3)[0]))
+    return float(np.exp(maximum(likelihood, 1, low, high)[0]))
 
 
 def three_prime_factor(p: float, distance: np.ndarray) -> np.ndarray:
     return np.exp(np.log1p(-p) * distance)
 
 
-def fragmentation_profile(length: int, lengths: LengthModel, end: int = 100) -> np.ndarray:
-    """Chance that a fragment starts at each base of a transcript, relative to an endless one."""
-    pdf = lengths.pdf
-    cdf = np.concatenate((lengths.cdf, np.ones(max(0, length + 1 - len(pdf)))))
-    room = length - np.arange(length)
-    return cdf[np.minimum(room, len(cdf) - 1)]
+#: Share of unbroken runs that is neglected, and the scale of the profile.
+LEAST_RUN, FRAGMENTATION_SCALE = 1e-5, 3e5
+
+
+def fragmentation_profile(n: int, lengths: LengthModel) -> np.ndarray:
+    """Chance that a fragment of a transcript of ``n`` bases starts at each base, over the chance that its length has room there.
+
+    Transcripts break at each base with half the inverse of the median fragment length. What holds
+    the start u is the whole transcript, a piece of its left end, a piece of its right end, or
+    a piece between two breaks; a fragment is then as likely to start at any base of the piece, and is
+    selected with the share of lengths that fit. Exact at every length; sums over pieces are
+    correlations, cut where unbroken runs become improbable.
+    """
+    p = 0.5 / max(1, lengths.median)
+    keep = 1 - p
+    most = max(1, round(np.log(LEAST_RUN) / np.log(keep)))
+    m = np.arange(1, most)
+    unbroken = np.concatenate(([1.0], keep ** (m - 1)))
+    summed = np.concatenate(([1.0], 1.0 + np.cumsum(keep ** (m - 1) / m)))
+    run = lambda k: np.where(k < most, unbroken[np.minimum(k, most - 1)], 0.0)
+    cdf = np.concatenate((lengths.cdf, np.ones(max(0, n + 2 - len(lengths.pdf)))))
+    fits = cdf[1 : n + 2] / np.arange(1, n + 2)  # fits[h - 1]: selected from a piece of h bases
+    u = np.arange(n)
+    to_end = fits[n - u]
+    whole = run(np.array(n - 1)) / n * to_end
+    j = np.arange(1, n)
+    left_piece = np.concatenate((run(j - 1) / j, [0.0]))  # [j - 1]: the piece ends before base j
+    h = min(most, n)
+    left = np.correlate(np.concatenate((left_piece, np.zeros(h))), fits[:h])[:n] * p if n > 1 else np.zeros(n)
+    right_piece = np.concatenate(([0.0], np.cumsum(run(n - u - 1) / (n - u))))
+    right = p * (right_piece[u] - right_piece[np.maximum(0, u - most)]) * to_end
+    between = np.zeros(n)
+    if min(most, n) > 1:
+        reach = np.arange(1, min(most, n))
+        chance = fits[reach - 1]
+        sums = summed[np.minimum(np.arange(1, n), most - 1)]  # [m - 1]
+        ahead = np.correlate(np.concatenate((sums, np.zeros(len(reach)))), chance)[:n]
+        own = np.concatenate(([0.0], np.cumsum(chance * summed[reach])))
+        between = p * p * (ahead - own[np.minimum(len(reach), np.maximum(0, n - u - 1))])
+    return FRAGMENTATION_SCALE * (whole + left + right + between) / cdf[n - u]

@@ -80,7 +80,7 @@ def log_normal(x, mu, sigma):
 
 def student_t(x, nu, mu, sigma):
     z = (x - mu) / sigma
-    return lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5 * math.log(nu * math.pi) - np.log(sigma) - (nu + 1) / 2 * np.log1p(z * z / nu)
+    return lgamma((nu + 1) / 2) - lgamma(nu / 2) - 0.5 * np.log(nu * math.pi) - np.log(sigma) - (nu + 1) / 2 * np.log1p(z * z / nu)
 
 
 def student_t_dx(x, nu, mu, sigma):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import cigar, seq
-from ..model import bias, densities, gibbs, weights
+from ..model import bias, densities, gibbs
 from ..model import slice as slices
 from ..operators import annotation, components, fragments, intervals, scaling
 from . import analog, summaries
@@ -521,14 +521,6 @@ def geometric_mle(spark, d):
     return spark.createDataFrame([(round(bias.three_prime_rate(lines), 9),)], "rate double")
 
 
-@query
-def transcript_weights(spark, d):
-    """Effective lengths of the orders' exon models."""
-    lengths = bias.LengthModel.fit(fragments.length_histogram(_lags(spark, d)), most=1000)
-    exons = _exons(spark, d).groupBy("tid").agg(F.sum(F.col("end") - F.col("start") + 1).alias("exonic_length"))
-    return weights.transcript_weights(exons.select(F.col("tid").cast("int").alias("tid"), "exonic_length"), lengths)
-
-
 @query
 def slice_sampler(spark, d):
     """One slice update a transcript of its mean expression, given its draws."""

@@ -19,8 +19,12 @@ FLAG_LETTERS = {"p": 1, "P": 2, "u": 4, "U": 8, "r": 16, "R": 32, "1": 64, "2":
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Records of SAM text; positions become 0-based, ``*`` stays as it is."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("@") & (F.trim("value") != ""))
+    return parse_sam(spark.read.text(path))
+
+
+def parse_sam(lines: DataFrame) -> DataFrame:
+    """Records of lines (value) of SAM text; positions become 0-based, ``*`` stays as it is."""
+    lines = lines.where(~F.col("value").startswith("@") & (F.trim("value") != ""))
     fields = F.split("value", "\t")
     p = lambda i: F.get(fields, F.lit(i))
     letters = F.create_map(*[F.lit(x) for pair in FLAG_LETTERS.items() for x in pair])

@@ -12,8 +12,12 @@ FLANK = 200
 
 
 def read_gtf(spark: SparkSession, path: str) -> DataFrame:
-    """All rows; places stay 1-based closed. A row without eight fields before the attributes is an error."""
-    lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    return parse_gtf(spark.read.text(path))
+
+
+def parse_gtf(lines: DataFrame) -> DataFrame:
+    """All rows of lines (value); places stay 1-based closed. A row without eight fields before the attributes is an error."""
+    lines = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
     parts = F.split("value", "\t", 9)
     bad = F.raise_error(F.concat(F.lit("malformed annotation line: "), F.col("value"))).cast("array<string>")
     rows = lines.select(F.when(F.size(parts) >= 9, parts).when(~F.col("value").startswith("#") & (F.trim("value") != ""), bad).alias("p"))
@@ -43,8 +47,12 @@ def exons(gtf: DataFrame, feature: str = "exon", transcript: str = "transcript_i
 
 
 def read_introns(spark: SparkSession, path: str) -> DataFrame:
-    """Pairs of introns to exon rows of two transcripts, with and without the exon between them."""
-    rows = spark.read.csv(path, sep="\t", comment="#", schema=schema.BED).select("seqname", "start", (F.col("end") - 1).alias("end"), "name", F.coalesce("strand", F.lit(".")).alias("strand"))
+    return intron_transcripts(spark.read.csv(path, sep="\t", comment="#", schema=schema.BED))
+
+
+def intron_transcripts(bed: DataFrame) -> DataFrame:
+    """Pairs of introns to exon rows of two transcripts, with and without the exon between them; the end of a BED row is exclusive."""
+    rows = bed.select("seqname", "start", (F.col("end") - 1).alias("end"), "name", F.coalesce("strand", F.lit(".")).alias("strand"))
     place = F.sort_array(F.collect_list(F.struct("start", "end")))
     pairs = rows.groupBy("name").agg(place.alias("i"), F.count_distinct("seqname", "strand").alias("n"), F.min("seqname").alias("seqname"), F.min("strand").alias("strand"))
     ok = (F.size("i") == 2) & (F.col("n") == 1) & (F.col("i")[1]["start"] > F.col("i")[0]["end"] + 1)
@@ -64,8 +72,12 @@ def read_exon_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(seqname, seq) upper case; the name ends at the first white space."""
-    records = spark.read.text(path, lineSep=">").where(F.trim("value") != "")
+    return parse_fasta(spark.read.text(path, lineSep=">"))
+
+
+def parse_fasta(records: DataFrame) -> DataFrame:
+    """(seqname, seq) upper case of records (value) without their mark; the name ends at the first white space."""
+    records = records.where(F.trim("value") != "")
     head = F.substring_index("value", "\n", 1)
     body = F.substring(F.col("value"), F.length(head) + 2, F.length("value"))
     return records.select(F.regexp_extract(head, r"^(\S+)", 1).alias("seqname"), F.upper(F.regexp_replace(body, r"\s", "")).alias("seq"))

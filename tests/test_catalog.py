@@ -6,6 +6,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from posterra.plans import reads
+
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
 QUICK = (
@@ -34,7 +36,7 @@ def test_names(entry):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", [*QUICK, *reads.QUERIES])
 def test_against_sql(spark, entry, con, name):
     df = entry.queries()[name](spark, SF)
     columns = ", ".join(f'"{c}"' for c in df.columns)
@@ -43,7 +45,7 @@ def test_against_sql(spark, entry, con, name):
     assert sorted((tuple(r) for r in df.collect()), key=key) == sorted(want, key=key)
 
 
-@pytest.mark.parametrize("name", ["geometric_mle", "transcript_weights", "slice_sampler", "gibbs_round"])
+@pytest.mark.parametrize("name", ["geometric_mle", "slice_sampler", "gibbs_round"])
 def test_models_run_and_repeat(spark, entry, name):
     one, two = (sorted(map(tuple, entry.queries()[name](spark, SF).collect())) for _ in range(2))
     assert one == two and one
