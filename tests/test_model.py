@@ -153,3 +153,83 @@ def test_streaming_summary(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.n, r["mean"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(5, 2.0)]
+
+
+def brute_fragmentation(n, lengths):
+    """The sum over pieces of a transcript, one piece after the other."""
+    p = 0.5 / lengths.median
+    keep = 1 - p
+    most = max(1, round(np.log(1e-5) / np.log(keep)))
+    unbroken = [1.0] + [keep ** (m - 1) for m in range(1, most)]
+    summed = [1.0]
+    for m in range(1, most):
+        summed.append(summed[-1] + keep ** (m - 1) / m)
+    cdf = lambda h: lengths.cdf[h] if h < len(lengths.cdf) else 1.0
+    run = lambda m: unbroken[m] if m < most else 0.0
+    out = []
+    for u in range(n):
+        end = cdf(n - u + 1) / (n - u + 1)
+        total = run(n - 1) / n * end
+        total += sum(p * run(j - 1) / j * cdf(j - u) / (j - u) for j in range(u + 1, min(n, u + most)))
+        total += sum(p * run(n - i - 1) / (n - i) * end for i in range(max(0, u - most), u))
+        total += sum(p * p * cdf(h) / h * (summed[min(u + h, most - 1)] - summed[min(h, most - 1)]) for h in range(1, min(most, n - u)))
+        out.append(3e5 * total / cdf(n - u))
+    return np.array(out)
+
+
+def test_fragmentation_profile():
+    short = bias.LengthModel(np.array([0, 0.2, 0.5, 0.3]), 2)
+    x = np.exp(-0.5 * ((np.arange(1001) - 200) / 100) ** 2)
+    x[0] = 0
+    long = bias.LengthModel(x / x.sum(), 200)
+    for n in (1, 2, 5, 40, 130):
+        for lengths in (short, long):
+            assert bias.fragmentation_profile(n, lengths) == pytest.approx(brute_fragmentation(n, lengths), rel=1e-6)
+
+
+def test_effective_length_against_every_fragment():
+    rng = np.random.default_rng(8)
+    lengths = bias.LengthModel(np.array([0, 0.0005, 0.3, 0.4, 0.2995]), 3)
+    n = 9
+    place = weights.place_factor(n, lengths, 0.05, True)
+    assert place == pytest.approx(0.95 ** np.arange(n, 0, -1) * brute_fragmentation(n, lengths), rel=1e-6)
+    sense, antisense, is_gc = rng.random(n), rng.random(n), rng.random(n) < 0.5
+    gc = rng.random(15)
+    want = 0.0005 * n
+    for size in (2, 3, 4):
+        for u in range(n - size + 1):
+            share = is_gc[u : u + size].mean()
+            want += lengths.pdf[size] * place[u] * sense[u] * antisense[u + size - 1] * bias.gc_factor(np.array([share]), gc)[0]
+    got = weights.effective_length(n, lengths, place, sense, antisense, gc, is_gc)
+    assert got == pytest.approx(max(25, want)) and got > 25
+
+
+def test_genome_bias_changes_the_weights(spark, experiment):
+    """A run with a genome: sequences are spliced and padded, models train, and every fragment keeps a finite weight."""
+    from posterra.model import library
+
+    rng = np.random.default_rng(9)
+    genome = spark.createDataFrame([("chr1", "".join(rng.choice(list("ACGT"), 200_000)))], "seqname string, seq string")
+    exons = annotation.exons(annotation.read_gtf(spark, str(experiment / "a.gtf")))
+    t = annotate.with_tid(annotate.transcript_table(exons))
+    s = {r.transcript_id: r for r in library.with_sequences(t, genome).collect()}
+    whole = genome.first().seq
+    assert s["A"].sequence == whole[85:300] + whole[400:615] and len(s["C"].sequence) == 600 + 30
+    rows = alignments.read_sam(spark, str(experiment / "0.sam"))
+    plain, _, none = analyze.likelihood(rows, t, analyze.Options(fragmentation=False))
+    matrix, sizes, models = analyze.likelihood(rows, library.with_sequences(t, genome), analyze.Options(), genome)
+    assert none.gc is None and models.gc is not None and len(models.gc) == 15 and models.motifs is not None and models.fragmentation
+    got, base = ({(r.tid, r.frag): r.w for r in m.collect()} for m in (matrix, plain))
+    assert set(got) <= set(base) and len(got) > 50 and all(np.isfinite(w) and w > 0 for w in got.values())
+    assert got != base and all(r.weight >= 25 for r in sizes.collect())
+    tiled = bias.tiles(genome, 10, 1000).collect()
+    assert all(r.seq == whole[r["first"] : r.tile * 1000 + 1010] and r["first"] == max(0, r.tile * 1000 - 10) for r in tiled) and len(tiled) == 200
+
+
+def test_training_sequences(spark, experiment):
+    exons = annotation.exons(annotation.read_gtf(spark, str(experiment / "a.gtf")))
+    t = annotate.with_tid(annotate.transcript_table(exons))
+    rows = alignments.read_sam(spark, str(experiment / "0.sam"))
+    other = spark.createDataFrame([("chr9",)], "seqname string")
+    models = analyze.likelihood(rows, t, analyze.Options(strandedness="forward"), training=other)[2]
+    assert models.specificity == 0.5 and models.three_prime == 0.0
