@@ -41,5 +41,52 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+REPEATED = rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS passage FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY passage ORDER BY doc_id, i) AS n, count(*) OVER (PARTITION BY passage) AS m FROM p),
+c AS (SELECT doc_id, unnest(range(i, i + 50)) AS word, n > 1 AS later FROM r WHERE m > 1),
+u AS (SELECT doc_id, count(DISTINCT word) AS n_repeated, count(DISTINCT word) FILTER (WHERE later) AS n_cut FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_repeated, 0) AS n_repeated, coalesce(n_cut, 0) AS n_cut FROM d LEFT JOIN u ON u.doc_id = d.doc_id
+"""
+
+PERSONAL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS e, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS i,
+  list_transform(regexp_extract_all(t, '[0-9]([ -]?[0-9])+'), lambda x: reverse(regexp_replace(x, '[^0-9]', '', 'g'))) AS c, list_transform(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), lambda x: len(regexp_replace(x, '[^0-9]', '', 'g'))) AS p FROM t)
+SELECT doc_id, CAST(len(e) AS BIGINT) AS n_email, CAST(len(list_filter(i, lambda x: list_max(list_transform(string_split(x, '.'), lambda y: coalesce(try_cast(y AS HUGEINT), 999))) <= 255)) AS BIGINT) AS n_ip,
+  CAST(len(list_filter(c, lambda x: len(x) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, len(x) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST(x[k] AS INTEGER) WHEN x[k] > '4' THEN 2 * CAST(x[k] AS INTEGER) - 9 ELSE 2 * CAST(x[k] AS INTEGER) END)) % 10 = 0)) AS BIGINT) AS n_card,
+  CAST(len(list_filter(p, lambda x: x BETWEEN 9 AND 15)) AS BIGINT) AS n_phone FROM m
+"""
+
+RULES = r"""
+WITH a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+b AS (SELECT page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM a),
+r(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+f AS (SELECT page_id, h || p AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) AS n FROM b JOIN r ON (host = h OR host LIKE '%.' || h) AND starts_with(path, p))
+SELECT b.page_id, host, path, rule, v AS ruled FROM b LEFT JOIN f ON f.page_id = b.page_id AND n = 1
+"""
+
+QUALITY = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+g AS (SELECT doc_id, i, w[i:i + 2] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+m AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM g),
+r AS (SELECT doc_id, count(DISTINCT word) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS word FROM m WHERE n > 1) GROUP BY doc_id),
+c AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+"""
+
+PACKED = rf"""
+WITH d AS (SELECT doc_id, len({WORDS}) AS n FROM documents), p AS (SELECT doc_id, n, unnest(range(0, (n + 4095) // 4096)) AS piece FROM d WHERE n > 0)
+SELECT doc_id, CAST(piece AS INTEGER) AS piece, CAST(least(4096, n - 4096 * piece) AS BIGINT) AS n_words, true AS fits FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard_join": OP4, "op7_exact_top_k": OP7}
+    return {
+        "op4_ngram_jaccard_join": OP4, "op7_exact_top_k": OP7, "repeated_words": REPEATED, "personal_data_counts": PERSONAL, "url_rules": RULES, "quality_counts": QUALITY, "packed_words": PACKED,
+    }

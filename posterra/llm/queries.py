@@ -62,6 +62,33 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(_table(spark, sf_dir, "documents"))
 
 
+def repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op1 counts, which SQL can say."""
+    return suffixes.deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_repeated", "n_cut")
+
+
+def personal_data_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3's base kinds count."""
+    return pii.find(_table(spark, sf_dir, "documents")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8's hosts, paths and rules."""
+    rows = urls.judge(_table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's base counts."""
+    return quality.assess(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def packed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces that op10 packs, each in one bin that holds it."""
+    rows = packing.best_fit(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "piece", F.col("n_words").cast("long").alias("n_words"), (F.col("bin_offset") + F.col("n_words") <= F.col("capacity")).alias("fits"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,5 +99,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_suffix_array_dedup, op2_token_counts, op3_pii, op4_ngram_jaccard_join, op5_language_id, op6_sentencepiece,
         op7_exact_top_k, op8_url_filter, op9_quality_rules, op10_best_fit_packing, pipeline,
+        repeated_words, personal_data_counts, url_rules, quality_counts, packed_words,
     )
     return {f.__name__: f for f in own}

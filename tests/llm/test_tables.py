@@ -163,7 +163,7 @@ def test_run_and_oracles(spark):
 
     assert set(oracles.oracle_sql()) <= set(queries.queries())
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in oracles.oracle_sql().items():
         df = queries.queries()[name](spark, SF)
