@@ -9,11 +9,12 @@ gram never takes the value of another (two of ``n`` grams share a hash with
 probability ``n ** 2 / 2 ** 65``). The second pass scores every text against its own
 language's model and counts the base rules. As every text was counted, every n-gram
 of the highest order is found and its probability, which has the lower orders in it,
-is all that scoring needs. A model of more than ``ENTRIES`` n-grams is dealt by hash
+is all that scoring needs. Symbols are UTF-16 units, by case, digits and blanks alike. A model of more than ``ENTRIES`` n-grams is dealt by hash
 into parts of about that many; the texts are read once for each part, of which only
 one is gathered and broadcast at a time, and what the parts add to a text is summed. The band
 of a language is its median log2 perplexity plus and minus a multiple of the
-median absolute deviation; each distinct text counts once, so copies don't move it.
+median absolute deviation, narrower below (text that says the same over and over) than above
+(noise); each distinct text counts once, so copies don't move it.
 
 Cases: a null or empty text has no words and fails the base rules; a null language
 is a language of its own; a text with fewer characters than the model's order has
@@ -40,7 +41,7 @@ ORDER = 4
 ENTRIES = 1 << 22
 #: Half width of a band in scaled median absolute deviations, and its least values in bits, below and above.
 BAND = 12.0
-LEAST_BAND = (1.5, 1.5)
+LEAST_BAND = (0.75, 1.5)
 _IS_SYMBOL = np.zeros(256, dtype=bool)
 _IS_SYMBOL[list(b"#*$%&|<>")] = True
 

@@ -330,6 +330,19 @@ def test_perplexity_rejects_noise_and_keeps_prose(spark):
     assert not any(got[i].kept for i in range(150, 155) if not got[i].base_failed)
 
 
+def test_lower_band_rejects_what_says_the_same(spark):
+    """Words of one syllable over and over, in ever new lengths, so that no three words repeat."""
+    rng = np.random.default_rng(15)
+    syllables = ["ka", "lo", "mi", "ter", "sun", "ve", "dor", "pel", "ish", "qua", "bron", "fy"]
+    prose = [" ".join("".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(120)) for _ in range(150)]
+    same = [" ".join("na" * int(k) for k in rng.integers(5, 60, 120)) for _ in range(3)]
+    got = {r.doc_id: r for r in quality.assess(frame(spark, list(enumerate(prose + same)))).collect()}
+    assert all(got[i].kept for i in range(150))
+    assert not any(got[i].kept or got[i].base_failed for i in range(150, 153)) and all(got[i].log2_ppl < got[i].ppl_low for i in range(150, 153))
+    kept = quality.kept_rows(frame(spark, list(enumerate(prose + same)))).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == list(enumerate(prose)) and kept[0].keys == 1 and kept[0].hi == "x"
+
+
 def test_symbol_heavy_clean_source_stays(spark):
     rng = np.random.default_rng(12)
     text = lambda syllables, n, least: ["".join(rng.choice(syllables, rng.integers(least, least + 3))) for _ in range(n)]
@@ -408,8 +421,8 @@ def test_verdicts_against_brute_force(spark):
     for lang in syllables:
         x = sorted({t: p for (l, t), p, f in zip(rows, ppl, failed, strict=True) if l == lang and p is not None and not f}.values())
         middle = x[(len(x) - 1) // 2]
-        half = max(1.5, 12 * 1.4826 * sorted(abs(v - middle) for v in x)[(len(x) - 1) // 2])
-        low[lang], high[lang] = middle - half, middle + half
+        spread = 12 * 1.4826 * sorted(abs(v - middle) for v in x)[(len(x) - 1) // 2]
+        low[lang], high[lang] = middle - max(0.75, spread), middle + max(1.5, spread)
     want = [not f and (p is None or low[l] <= p <= high[l]) for (l, _), p, f in zip(rows, ppl, failed, strict=True)]
     docs = spark.createDataFrame([(i, t, l) for i, (l, t) in enumerate(rows)], "doc_id long, text string, lang string")
     got = {r.doc_id: r for r in quality.assess(docs).collect()}
