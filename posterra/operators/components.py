@@ -2,22 +2,69 @@
 
 Rounds alternate between linking each node's larger neighbours and its smaller ones to the
 smallest node seen, until the edges are stars around the smallest node of their component.
-The number of rounds grows with the logarithm of the longest chain. Minima are summed
+The number of rounds grows with the logarithm of the longest chain; before the first, every
+task joins what its own edges tie together, a piece at a time. Minima are summed
 within tasks first and joins are plain equi-joins, so a hot node is no bottleneck.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
 
+#: Edges that a task joins at a time before the first round.
+PIECE = 1 << 18
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges to edges from each node to the smallest that the same piece of edges ties it to."""
+    kept: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        kept.append(batch)
+        size += batch.num_rows
+        if size >= PIECE:
+            yield _star(kept)
+            kept, size = [], 0
+    if size:
+        yield _star(kept)
+
+
+def _star(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    above: dict = {}
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            while (x := above.setdefault(u, u)) != u:
+                above[u] = u = above.setdefault(x, x)
+            while (x := above.setdefault(v, v)) != v:
+                above[v] = v = above.setdefault(x, x)
+            if u != v:
+                above[max(u, v)] = min(u, v)
+    nodes, roots = [], []
+    for node in list(above):
+        root = node
+        while above[root] != root:
+            root = above[root]
+        above[node] = root
+        if root != node:
+            nodes.append(node)
+            roots.append(root)
+    kind = batches[0].column(0).type
+    return pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(roots, kind)], names=["u", "v"])
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node on an edge; component is the smallest node reachable."""
     loops = edges.where(F.col(a) == F.col(b)).select(F.col(a).alias("node")).distinct()
-    e = checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
+    kind = pairs.schema["u"].dataType.simpleString()
+    e = checkpointed(pairs.mapInArrow(_stars, f"u {kind}, v {kind}").distinct())
     before = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

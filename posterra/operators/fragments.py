@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,6 +222,43 @@ def prune(alignments: DataFrame, read: str = "read", least: float = 0.1) -> Data
     return alignments.withColumn("share", share).where(F.col("share") >= least)
 
 
+_LETTER = np.full(256, 4, dtype=np.uint8)
+for _i, _c in enumerate(("aA", "cC", "gG", "tT")):
+    _LETTER[[ord(c) for c in _c]] = _i
+
+
+def _count_kmers(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    totals = np.zeros(4**k, dtype=np.int64)
+    for batch in batches:
+        column = batch.column(0).cast(pa.large_binary())
+        _, offsets, data = column.buffers()
+        if not len(column) or data is None:
+            continue
+        offs = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+        # a long batch is taken in pieces of whole texts
+        at = 0
+        while at < len(column):
+            last = max(at + 1, int(np.searchsorted(offs, offs[at] + (1 << 22), side="right")) - 1)
+            code = _LETTER[np.frombuffer(data, dtype=np.uint8)[offs[at] : offs[last]]]
+            text = np.repeat(np.arange(last - at), np.diff(offs[at : last + 1]))[code < 4]
+            code = code[code < 4].astype(np.int64)
+            n = len(code) - k + 1
+            if n > 0:
+                number = np.zeros(n, dtype=np.int64)
+                for j in range(k):
+                    number = number * 4 + code[j : j + n]
+                totals += np.bincount(number[text[:n] == text[k - 1 :]], minlength=4**k)
+            at = last
+    used = np.flatnonzero(totals)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(totals[used])], names=["number", "count"])
+
+
+def kmer_totals(texts: DataFrame, column: str, k: int) -> DataFrame:
+    """(number, count) of the k-mers of each text's letters A, C, G and T, others left out; a task sends at most ``4 ** k`` rows."""
+    rows = texts.where(F.col(column).isNotNull()).select(F.col(column).cast("string"))
+    return rows.mapInArrow(lambda it: _count_kmers(it, k), "number long, count long").groupBy("number").agg(F.sum("count").alias("count"))
+
+
 def kmer_distribution(kmers: DataFrame, position: str = "pos", kmer: str = "kmer") -> DataFrame:
     """(position, kmer, count, p)."""
     counts = kmers.groupBy(position, kmer).agg(F.count(F.lit(1)).alias("count"))

@@ -25,20 +25,6 @@ def quantile_scale(values: DataFrame, by: tuple[str, ...] = ("draw",), sample: s
     return joined.select(*group, (F.col("reference") / F.col("anchor")).alias("scale"))
 
 
-def unscaled(values: DataFrame, by: str = "draw", sample: str = "sample", value: str = "value", truncation: int = TRUNCATION, q: float = QUANTILE) -> DataFrame:
-    """``values`` divided by their own ``quantile_scale``, with windows alone: the rows are dealt once and not joined with themselves."""
-    w = Window.partitionBy(by, sample)
-    v = F.col(value).cast("double")
-    n = F.count(F.lit(1)).over(w)
-    m = F.least(n, F.lit(truncation))
-    rows = values.withColumn("__at", F.row_number().over(w.orderBy(value)) - 1 == n - m + F.floor(F.lit(q) * m))
-    rows = rows.withColumn("__anchor", F.max(F.when(F.col("__at"), v)).over(w))
-    whole = Window.partitionBy(by)
-    rows = rows.withColumn("__first", F.min(sample).over(whole))
-    rows = rows.withColumn("__reference", F.max(F.when(F.col(sample) == F.col("__first"), F.col("__anchor"))).over(whole))
-    return rows.withColumn(value, v / (F.col("__reference") / F.col("__anchor"))).drop("__at", "__anchor", "__first", "__reference")
-
-
 def most_abundant(values: DataFrame, n: int, by: tuple[str, ...], value: str = "value", ties: tuple[str, ...] = ()) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(F.desc(value), *ties)
     return values.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

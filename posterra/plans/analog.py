@@ -82,6 +82,13 @@ def condition_splice_mu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _share(_by_condition(spark, sf_dir), "draw", "condition", "tgroup")
 
 
+def condition_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(draw, condition, tid, tgroup, mean, mu): both tables of a condition from one cube."""
+    rows = _by_condition(spark, sf_dir)
+    share = lambda *by: (F.col("cents").cast("double") / F.sum("cents").over(Window.partitionBy(*by)).cast("double")).cast("float")
+    return rows.select("draw", "condition", "tid", "tgroup", share("draw", "condition").alias("mean"), share("draw", "condition", "tgroup").alias("mu"))
+
+
 def experiment_splice_mu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _share(_whole(spark, sf_dir), "draw", "tgroup")
 

@@ -36,7 +36,9 @@ def _rounded(df: DataFrame, digits: int, *keep: str) -> DataFrame:
 
 
 def _unscaled(spark, d):
-    return scaling.unscaled(analog.quant(spark, d))
+    """Draws with the scale of their sample divided out; the scales, a number a draw and sample, are found first."""
+    quant = analog.quant(spark, d)
+    return summaries.rescaled(quant, scaling.quantile_scale(quant))
 
 
 @query
@@ -125,17 +127,18 @@ def pairwise_splicing(spark, d):
     return _rounded(summaries.pairwise_splicing(analog.condition_splice_mu(spark, d)), 6, "tid", *PAIR)
 
 
+def _inclusion(spark, d):
+    return summaries.inclusion_rate(analog.condition_cells(spark, d), analog.features(spark, d), analog.transcripts(spark, d))
+
+
 @query
 def feature_splicing(spark, d):
-    out = summaries.differential_feature_splicing(
-        analog.condition_mean(spark, d), analog.condition_splice_mu(spark, d).drop("tgroup"), analog.features(spark, d), analog.transcripts(spark, d), 0.05, LEVEL
-    )
-    return _rounded(out, 6, "feature_id", *PAIR)
+    return _rounded(summaries.rate_changes(_inclusion(spark, d), 0.05, LEVEL), 6, "feature_id", *PAIR)
 
 
 @query
 def feature_splicing_samples(spark, d):
-    out = summaries.condition_feature_splicing_samples(analog.condition_mean(spark, d), analog.condition_splice_mu(spark, d).drop("tgroup"), analog.features(spark, d), analog.transcripts(spark, d))
+    out = summaries.rate_samples(_inclusion(spark, d))
     return out.select("feature_id", "condition", F.posexplode("samples").alias("round", "v")).select("feature_id", "condition", "round", F.round("v", 6).alias("rate"))
 
 
@@ -452,8 +455,8 @@ def _kmer_rows(spark, d, k):
 
 @query
 def kmer_counts(spark, d):
-    counts = _kmer_rows(spark, d, 4).groupBy("kmer").agg(F.count(F.lit(1)).alias("count"))
-    return counts.select("kmer", seq.kmer_number(F.col("kmer")).alias("number"), "count")
+    counts = fragments.kmer_totals(analog.table(spark, d, "documents"), "text", 4)
+    return counts.select(seq.kmer_string(F.col("number"), 4).alias("kmer"), "number", "count")
 
 
 @query

@@ -183,7 +183,13 @@ def pairwise_splicing(mu: DataFrame, low: float = 0.05, high: float = 0.95) -> D
 
 
 def feature_splicing_rate(mean: DataFrame, mu: DataFrame, features: DataFrame, transcripts: DataFrame, compat: bool = False) -> DataFrame:
-    """(draw, condition, feature_id, value): rate of inclusion.
+    """(draw, condition, feature_id, value): rate of inclusion, see ``inclusion_rate``."""
+    cells = mean.select("draw", "condition", "tid", F.col("value").alias("mean")).join(mu.select("draw", "condition", "tid", F.col("value").alias("mu")), ["draw", "condition", "tid"])
+    return inclusion_rate(cells.join(transcripts.select("tid", "tgroup"), "tid"), features, transcripts, compat)
+
+
+def inclusion_rate(cells: DataFrame, features: DataFrame, transcripts: DataFrame, compat: bool = False) -> DataFrame:
+    """(draw, condition, feature_id, value) of cells (draw, condition, tid, tgroup, mean, mu).
 
     Over the tgroups that both include and exclude a feature, the log of the tgroup's mean
     weights each transcript's log splice rate; each tgroup counts once in the denominator.
@@ -192,30 +198,35 @@ def feature_splicing_rate(mean: DataFrame, mu: DataFrame, features: DataFrame, t
     """
     side = lambda name: features.select("feature_id", F.explode(name).alias("tid"), F.lit(name).alias("side"))
     members = side("including").unionByName(side("excluding")).join(transcripts.select("tid", "tgroup"), "tid")
-    used = members.groupBy("feature_id", "tgroup").agg(F.count_distinct("side").alias("n")).where("n = 2").select("feature_id", "tgroup")
-    members = members.join(used, ["feature_id", "tgroup"])
-    total = mean.join(transcripts.select("tid", "tgroup"), "tid").groupBy("draw", "condition", "tgroup").agg(F.sum(F.col("value").cast("double")).alias("m"))
-    weight = F.col("m") if compat else safe_ln(F.col("m"))
-    rows = members.join(clamped(mu).select("draw", "condition", "tid", "value"), "tid").join(total, ["draw", "condition", "tgroup"])
-    rows = rows.select("feature_id", "side", "tgroup", "draw", "condition", (safe_ln(F.col("value")) + weight).alias("x"), weight.alias("w"))
-    keys = ["feature_id", "draw", "condition", "side"]
-    above = rows.groupBy(*keys).agg(log_sum_exp(F.col("x")).alias("top"))
-    below = (rows if compat else rows.select(*keys, "tgroup", "w").distinct()).groupBy(*keys).agg(log_sum_exp(F.col("w")).alias("bottom"))
-    value = above.join(below, keys).select(*keys, (F.col("top") - F.col("bottom")).alias("l"))
+    own = Window.partitionBy("feature_id", "tgroup")
+    both = F.size(F.collect_set("side").over(own)) == 2
+    times = F.count(F.lit(1)).over(Window.partitionBy("feature_id", "tgroup", "side"))
+    members = members.select("feature_id", "tid", "side", both.alias("both"), times.alias("times")).where("both").drop("both")
+    total = F.sum(F.col("mean").cast("double")).over(Window.partitionBy("draw", "condition", "tgroup"))
+    weighed = cells.withColumn("m", total).select("draw", "condition", "tid", safe_ln(clamp01(F.col("mu").cast("double"))).alias("rate"), (F.col("m") if compat else safe_ln(F.col("m"))).alias("w"))
+    rows = weighed.join(members, "tid")
+    once = F.col("w") if compat else F.col("w") - F.ln("times")
+    value = rows.groupBy("feature_id", "draw", "condition", "side").agg((log_sum_exp(F.col("rate") + F.col("w")) - log_sum_exp(once)).alias("l"))
     pick = lambda s: F.max(F.when(F.col("side") == s, F.col("l")))
-    both = value.groupBy("feature_id", "draw", "condition").agg(pick("including").alias("i"), pick("excluding").alias("o"))
+    pair = value.groupBy("feature_id", "draw", "condition").agg(pick("including").alias("i"), pick("excluding").alias("o"))
     none = (F.col("i") == float("-inf")) & (F.col("o") == float("-inf"))
-    return both.select("feature_id", "draw", "condition", F.when(none, 0.5).otherwise(F.exp(F.col("i") - logaddexp(F.col("i"), F.col("o")))).alias("value"))
+    return pair.select("feature_id", "draw", "condition", F.when(none, 0.5).otherwise(F.exp(F.col("i") - logaddexp(F.col("i"), F.col("o")))).alias("value"))
 
 
 def differential_feature_splicing(mean: DataFrame, mu: DataFrame, features: DataFrame, transcripts: DataFrame, effect: float = 0.2, credible: float | None = None, compat: bool = False) -> DataFrame:
-    rates = feature_splicing_rate(mean, mu, features, transcripts, compat)
+    return rate_changes(feature_splicing_rate(mean, mu, features, transcripts, compat), effect, credible)
+
+
+def rate_changes(rates: DataFrame, effect: float = 0.2, credible: float | None = None) -> DataFrame:
     return pairwise(rates, ["feature_id"], F.col("a") - F.col("b"), change_tails, effect, credible)
 
 
 def condition_feature_splicing_samples(mean: DataFrame, mu: DataFrame, features: DataFrame, transcripts: DataFrame, compat: bool = False) -> DataFrame:
     """(feature_id, condition, samples): all draws of the rate in draw order."""
-    rates = feature_splicing_rate(mean, mu, features, transcripts, compat)
+    return rate_samples(feature_splicing_rate(mean, mu, features, transcripts, compat))
+
+
+def rate_samples(rates: DataFrame) -> DataFrame:
     listed = F.transform(F.sort_array(F.collect_list(F.struct("draw", "value"))), lambda x: x["value"])
     return rates.groupBy("feature_id", "condition").agg(listed.alias("samples"))
 
