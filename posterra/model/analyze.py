@@ -124,7 +124,8 @@ def run(
         total = state.groupBy("sample").agg(F.sum(F.col("tmix") * F.col("cmix") / F.col("effective")).alias("total"))
         prior = levels.join(conditions, "condition").select("sample", "tid", F.col("mean").alias("prior_mean"), F.col("shape").alias("prior_shape"))
         full = state.join(total, "sample").join(prior, ["sample", "tid"])
-        drawn = gibbs.sample_components(matrix, full, options.seed, r, priors_on)
+        # up to the first draw that is kept, mixtures go to the maximum of their posterior
+        drawn = gibbs.sample_components(matrix, full, options.seed, r, priors_on, r <= options.optimisation_rounds)
         state = checkpointed(drawn.join(state.select("sample", "tid", "effective"), ["sample", "tid"]).select("sample", "component", "tid", "tmix", "cmix", "effective"))
         shares = weights.expression(state.withColumnRenamed("effective", "weight"))
         values = every.join(shares, ["sample", "tid"], "left").select("sample", "condition", "tid", F.greatest(F.coalesce("value", F.lit(0.0)), F.lit(least)).alias("value"))

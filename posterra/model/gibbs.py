@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 from . import densities as D
-from .slice import Counter, sample
+from .slice import Counter, maximum, sample
 
+#: The default seed, the least probability of a fragment, and the default priors below.
 SEED = 0xACA430B9
 EPSILON = 1e-14
 
@@ -40,37 +41,70 @@ class Priors:
     least_expression: float = 2e-7
 
 
-def component_draw(weights: np.ndarray, tmix: np.ndarray, cmix: float, rng: Counter, prior_mean: np.ndarray | None, prior_shape: np.ndarray | None, effective: np.ndarray, total: float) -> tuple[np.ndarray, float]:
+@dataclass
+class Sparse:
+    """Weights of a component's transcripts over its fragments: those of transcript t are ``columns`` and ``values`` from ``ptr[t]`` to ``ptr[t + 1]``."""
+
+    ptr: np.ndarray
+    columns: np.ndarray
+    values: np.ndarray
+    fragments: int
+
+    @staticmethod
+    def of(row: np.ndarray, column: np.ndarray, value: np.ndarray, rows: int, fragments: int) -> Sparse:
+        order = np.lexsort((column, row))
+        return Sparse(np.searchsorted(row[order], np.arange(rows + 1)), column[order], value[order], fragments)
+
+    @staticmethod
+    def dense(matrix: np.ndarray) -> Sparse:
+        row, column = np.nonzero(matrix)
+        return Sparse.of(row, column, matrix[row, column], *matrix.shape)
+
+    def row(self, t: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.ptr[t], self.ptr[t + 1])
+        return self.columns[own], self.values[own]
+
+
+def component_draw(
+    weights: Sparse | np.ndarray, tmix: np.ndarray, cmix: float, rng: Counter, prior_mean: np.ndarray | None, prior_shape: np.ndarray | None, effective: np.ndarray, total: float, optimise: bool = False
+) -> tuple[np.ndarray, float]:
     """One update of a component: pairs of transcripts trade mixture mass, then the component's abundance.
 
-    weights: transcripts by fragments. Returns the new mixture and abundance.
+    weights: transcripts by fragments; a pair looks at no fragment but its own. With
+    ``optimise`` each step goes to its density's maximum instead of drawing from it. Returns
+    the new mixture and abundance.
     """
+    if isinstance(weights, np.ndarray):
+        weights = Sparse.dense(weights)
     n = len(tmix)
     tmix = tmix.copy()
     order = np.argsort(np.array([rng.uniform()[0] for _ in range(n)])) if n > 1 else np.zeros(1, int)
-    mix = tmix @ weights
+    mix = np.zeros(weights.fragments)
+    np.add.at(mix, weights.columns, np.repeat(tmix, np.diff(weights.ptr)) * weights.values)
     for a, b in zip(order, np.roll(order, -1), strict=True):
         if a == b or (n == 2 and a > b):
             continue
         both = tmix[a] + tmix[b]
         if both <= 0:
             continue
-        rest = mix - tmix[a] * weights[a] - tmix[b] * weights[b]
+        (column_a, value_a), (column_b, value_b) = weights.row(a), weights.row(b)
+        at = np.union1d(column_a, column_b)
+        w = np.zeros((2, len(at)))
+        w[0, np.searchsorted(at, column_a)], w[1, np.searchsorted(at, column_b)] = value_a, value_b
+        rest = mix[at] - tmix[a] * w[0] - tmix[b] * w[1]
 
         def density(x: np.ndarray) -> np.ndarray:
-            out = np.empty(len(x))
-            for i, v in enumerate(x):
-                share = np.array([v, 1 - v]) * both
-                out[i] = np.log(np.maximum(rest + share[0] * weights[a] + share[1] * weights[b], EPSILON)).sum()
-                if prior_mean is not None:
-                    value = np.maximum(share * cmix / effective[[a, b]] / total, 1e-300)
-                    out[i] += D.gamma_mean(value, prior_mean[[a, b]], prior_shape[[a, b]]).sum()
+            share = np.stack((x, 1 - x), axis=1) * both
+            out = np.log(np.maximum(rest + share @ w, EPSILON)).sum(axis=1)
+            if prior_mean is not None:
+                value = np.maximum(share * cmix / effective[[a, b]] / total, 1e-300)
+                out = out + D.gamma_mean(value, prior_mean[[a, b]], prior_shape[[a, b]]).sum(axis=1)
             return out
 
-        x = sample(density, np.array([tmix[a] / both]), 0.0, 1.0, rng)[0]
+        x = maximum(density, 1, 1e-9, 1 - 1e-9)[0] if optimise else sample(density, np.array([tmix[a] / both]), 0.0, 1.0, rng)[0]
         tmix[a], tmix[b] = x * both, (1 - x) * both
-        mix = rest + tmix[a] * weights[a] + tmix[b] * weights[b]
-    fragments = weights.shape[1]
+        mix[at] = rest + tmix[a] * w[0] + tmix[b] * w[1]
+    fragments = weights.fragments
 
     def abundance(c: np.ndarray) -> np.ndarray:
         out = D.poisson(float(fragments), c)
@@ -79,15 +113,16 @@ def component_draw(weights: np.ndarray, tmix: np.ndarray, cmix: float, rng: Coun
             out = out + D.gamma_mean(value, prior_mean, prior_shape).sum(axis=1)
         return out
 
-    cmix = sample(abundance, np.array([cmix]), 1e-9, 10.0 * (fragments + 10), rng, width=np.sqrt(fragments + 1.0))[0]
+    most = 10.0 * (fragments + 10)
+    cmix = maximum(abundance, 1, 1e-9, most)[0] if optimise else sample(abundance, np.array([cmix]), 1e-9, most, rng, width=np.sqrt(fragments + 1.0))[0]
     return tmix, float(cmix)
 
 
-def sample_components(weights: DataFrame, state: DataFrame, seed: int, round_: int, use_priors: bool) -> DataFrame:
+def sample_components(weights: DataFrame, state: DataFrame, seed: int, round_: int, use_priors: bool, optimise: bool = False) -> DataFrame:
     """One round over all components: (sample, component, tid, tmix, cmix).
 
     weights: (sample, component, tid, frag, w); state: (sample, component, tid, tmix, cmix,
-    effective, total, prior_mean, prior_shape).
+    effective, total, prior_mean, prior_shape). A component is one group, held as sparse rows.
     """
 
     def run(key: tuple, w: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
@@ -96,11 +131,10 @@ def sample_components(weights: DataFrame, state: DataFrame, seed: int, round_: i
         s = s.sort_values("tid")
         tids = s["tid"].to_numpy()
         frags, column = np.unique(w["frag"].to_numpy(), return_inverse=True)
-        matrix = np.zeros((len(tids), len(frags)))
-        matrix[np.searchsorted(tids, w["tid"].to_numpy()), column] = w["w"].to_numpy()
+        matrix = Sparse.of(np.searchsorted(tids, w["tid"].to_numpy()), column, w["w"].to_numpy(), len(tids), len(frags))
         rng = Counter(seed, round_, np.array([hash_pair(*map(int, key))]))
         mean, shape = (s["prior_mean"].to_numpy(), s["prior_shape"].to_numpy()) if use_priors else (None, None)
-        tmix, cmix = component_draw(matrix, s["tmix"].to_numpy(), float(s["cmix"].iloc[0]), rng, mean, shape, s["effective"].to_numpy(), float(s["total"].iloc[0]))
+        tmix, cmix = component_draw(matrix, s["tmix"].to_numpy(), float(s["cmix"].iloc[0]), rng, mean, shape, s["effective"].to_numpy(), float(s["total"].iloc[0]), optimise)
         return pd.DataFrame({"sample": s["sample"], "component": s["component"], "tid": tids, "tmix": tmix, "cmix": cmix})
 
     state = state.select(*[F.col(c).alias(c) for c in state.columns])

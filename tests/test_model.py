@@ -233,3 +233,30 @@ def test_training_sequences(spark, experiment):
     other = spark.createDataFrame([("chr9",)], "seqname string")
     models = analyze.likelihood(rows, t, analyze.Options(strandedness="forward"), training=other)[2]
     assert models.specificity == 0.5 and models.three_prime == 0.0
+
+
+def test_optimising_reaches_the_maximum():
+    """Against a fine grid of the likelihood, dense and sparse alike."""
+    rng = np.random.default_rng(12)
+    w = rng.random((2, 300)) * (rng.random((2, 300)) < 0.7)
+    w[0, w.sum(axis=0) == 0] = 0.5
+    counter = lambda: Counter(1, 0, np.array([5]))
+    tmix, cmix = gibbs.component_draw(w, np.array([0.5, 0.5]), 10.0, counter(), None, None, np.ones(2), 1.0, optimise=True)
+    grid = np.linspace(0.001, 0.999, 999)
+    best = grid[np.argmax([np.log(x * w[0] + (1 - x) * w[1]).sum() for x in grid])]
+    assert tmix[0] == pytest.approx(best, abs=2e-3) and tmix.sum() == pytest.approx(1) and cmix == pytest.approx(300, rel=1e-3)
+
+
+def test_large_component_is_sparse():
+    """A component of 100,000 fragments and 2,000 transcripts, whose dense matrix would take 1.6 GB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(13)
+    frag = np.arange(100_000)
+    row, column = np.concatenate((frag % 2000, (frag * 7) % 2000)), np.concatenate((frag, frag))
+    weights_ = gibbs.Sparse.of(row, column, rng.random(200_000) + 0.1, 2000, 100_000)
+    tracemalloc.start()
+    tmix, _ = gibbs.component_draw(weights_, np.full(2000, 1 / 2000), 1e5, Counter(2, 0, np.array([1])), None, None, np.ones(2000), 1.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and tmix.sum() == pytest.approx(1) and (tmix >= 0).all()
