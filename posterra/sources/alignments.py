@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gzip
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +47,10 @@ def parse_sam(lines: DataFrame) -> DataFrame:
 
 _SEQ = "=ACMGRSVTWYHKDBN"
 _OPS = "MIDNSHP=X"
+_PAIRS = [a + b for a in _SEQ for b in _SEQ]
+_QUALITY = bytes((q + 33) % 256 for q in range(256))
+#: Records of one frame, whatever a file holds.
+FRAME = 20_000
 _TAG_FORMS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f", "d": "<d"}
 
 
@@ -133,11 +137,10 @@ def parse_records(data: bytes, at: int, names: list[str]) -> Iterator[tuple]:
         ops = struct.unpack_from(f"<{n_cigar}I", data, body)
         cigar = "".join(f"{o >> 4}{_OPS[o & 15]}" for o in ops) or "*"
         body += 4 * n_cigar
-        packed = data[body : body + (l_seq + 1) // 2]
-        seq = "".join(_SEQ[b >> 4] + _SEQ[b & 15] for b in packed)[:l_seq] or "*"
+        seq = "".join(map(_PAIRS.__getitem__, data[body : body + (l_seq + 1) // 2]))[:l_seq] or "*"
         body += (l_seq + 1) // 2
         raw = data[body : body + l_seq]
-        qual = "*" if not raw or raw[0] == 0xFF else "".join(chr(q + 33) for q in raw)
+        qual = "*" if not raw or raw[0] == 0xFF else raw.translate(_QUALITY).decode("latin-1")
         tags = _tags(data, body + l_seq, at + 4 + size)
         yield (qname, flag, name(ref), pos, mapq, cigar, name(next_ref), next_pos, tlen, seq, qual, tags)
         at += 4 + size
@@ -181,8 +184,9 @@ def _records_of(batches):
         for content in batch["content"]:
             data = inflate(content)
             names, at = parse_header(data)
-            rows = list(parse_records(data, at, names))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.ALIGNMENT.replace("map<string,string>", "map").split(", ")])
+            rows = parse_records(data, at, names)
+            while part := list(islice(rows, FRAME)):
+                yield pd.DataFrame(part, columns=[c.split()[0] for c in schema.ALIGNMENT.replace("map<string,string>", "map").split(", ")])
 
 
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
@@ -215,12 +219,7 @@ def head_of(spark: SparkSession, path: str, size: int = 65536) -> bytes:
     p = jvm.org.apache.hadoop.fs.Path(path)
     stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
     try:
-        buffer = bytearray()
-        while len(buffer) < size and (b := stream.read()) >= 0:
-            buffer.append(b)
-            if len(buffer) >= 4096 and buffer[:2] != b"\x1f\x8b":
-                break
-        return bytes(buffer)
+        return bytes(stream.readNBytes(size))
     finally:
         stream.close()
 
@@ -233,17 +232,3 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     if is_sam(head):
         return read_sam(spark, path)
     raise ValueError(f"neither BAM nor SAM: {path}")
-
-
-def write_bam(path: str, names: list[tuple[str, int]], records: list[tuple]) -> None:
-    """A small BAM file (for tests): records as (qname, flag, ref, pos, mapq, [(len, op)], seq)."""
-    body = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", len(names))
-    for name, length in names:
-        body += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", length)
-    for qname, flag, ref, pos, mapq, cigar, seq in records:
-        packed = bytes((_SEQ.index(seq[i]) << 4) | (_SEQ.index(seq[i + 1]) if i + 1 < len(seq) else 0) for i in range(0, len(seq), 2))
-        data = struct.pack("<iiBBHHHiiii", ref, pos, len(qname) + 1, mapq, 0, len(cigar), flag, len(seq), -1, -1, 0) + qname.encode() + b"\0"
-        data += b"".join(struct.pack("<I", n << 4 | _OPS.index(op)) for n, op in cigar) + packed + b"\x1e" * len(seq) + b"NMC\0"
-        body += struct.pack("<i", len(data)) + data
-    with open(path, "wb") as f:
-        f.write(gzip.compress(body))
