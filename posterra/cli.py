@@ -31,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     a.add_argument("--strand", choices=("none", "forward", "reverse"), default="none")
     a.add_argument("--min-align-pr", type=float, default=0.1)
     a.add_argument("--exclude-seqs", default="")
+    a.add_argument("--qc", help="YAML file for what was learned of each sample")
     a.add_argument("--genome", help="FASTA file, from which sequence and GC bias are learned")
     a.add_argument("--bias-training-seqs", help="file of names of the sequences that bias models learn from")
     a.add_argument("--no-fragmentation", action="store_true", help="no correction for random fragmentation")
@@ -88,7 +89,9 @@ def main(argv: list[str] | None = None) -> int:
         )
         genome = annotation.read_fasta(spark, args.genome) if args.genome else None
         training = annotation.read_names(spark, args.bias_training_seqs) if args.bias_training_seqs else None
-        analyze.run(spark, _exons(spark, args), samples, reads, args.output, options, " ".join(argv or sys.argv), genome, training)
+        analyze.run(spark, _exons(spark, args), samples, reads, args.output, options, " ".join(argv or sys.argv), genome, training, quality := {} if args.qc else None)
+        if args.qc:
+            store.write_yaml(args.qc, quality)
     elif args.command == "summarize":
         out = registry.summarize(spark, args.store, args.strategy, registry.Choices(args.credible, args.effect_size, args.normalize, args.groups))
         store.write_tsv(out, args.output or f"{args.strategy}.tsv")

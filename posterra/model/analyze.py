@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import __version__
 from ..functions import cigar as C
 from ..operators import annotation, components, fragments, scaling
+from ..plans import registry
 from ..session import checkpointed
 from ..sources import store
 from . import gibbs, library, weights
@@ -78,13 +79,13 @@ def likelihood(alignments: DataFrame, transcripts: DataFrame, options: Options,
 
 def run(
     spark: SparkSession, exons: DataFrame, samples: DataFrame, alignments: dict[int, DataFrame], path: str, options: Options | None = None, command: str = "",
-    genome: DataFrame | None = None, training: DataFrame | None = None,
+    genome: DataFrame | None = None, training: DataFrame | None = None, quality: dict | None = None,
 ) -> None:
     """Analyse an experiment and write every draw to the store at ``path``.
 
     samples: the design table; alignments: alignment rows by sample number; genome: (seqname,
     seq), without which sequence and GC bias are not corrected; training: (seqname) that bias
-    models learn from, none: all.
+    models learn from, none: all; quality: gets a report for each sample.
     """
     options, began = options or Options(), time.time()
     transcripts = checkpointed(annotation.with_gene_tgroup(annotation.with_tid(annotation.transcript_table(exons))))
@@ -96,7 +97,9 @@ def run(
     models = transcripts if genome is None else checkpointed(library.with_sequences(transcripts, genome))
     parts, effective = [], []
     for number, rows in sorted(alignments.items()):
-        matrix, sizes, _ = likelihood(rows, models, options, genome, training)
+        matrix, sizes, learned = likelihood(rows, models, options, genome, training)
+        if quality is not None:
+            quality[number] = registry.quality_report(matrix.select("frag", "tid"), learned)
         parts.append(matrix.withColumn("sample", F.lit(number)))
         effective.append(sizes.withColumn("sample", F.lit(number)))
     merge = lambda frames: frames[0] if len(frames) == 1 else merge([frames[0].unionByName(frames[1]), *frames[2:]])

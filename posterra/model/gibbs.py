@@ -16,7 +16,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
 from . import densities as D
 from .slice import Counter, maximum, sample
 
@@ -225,10 +224,3 @@ def sample_sigma(state: DataFrame, sigma: float, seed: int, round_: int, alpha:
         return sigma
     density = lambda s: -n * np.log(s) - 0.5 * squares / s**2 + D.gamma_rate(s, alpha, rate)
     return float(sample(density, np.array([sigma]), 1e-3, 10.0, rng, width=0.1)[0])
-
-
-def cube_round(values: DataFrame, state: DataFrame, seed: int, round_: int, shape_beta: float, priors: Priors | None = None) -> tuple[DataFrame, float]:
-    """One round of the levels above the samples, for expression values that are given."""
-    priors = priors or Priors()
-    beta = sample_beta(state, "shape", priors.condition_shape_alpha, priors.shape_beta_alpha, priors.shape_beta_beta, shape_beta, seed, round_)
-    return checkpointed(sample_means(values, state, seed, round_, shape_beta, priors)), beta

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar, seq
 from ..model import bias, densities, weights
-from ..operators import annotation, components, fragments, scaling
+from ..operators import annotation, components, fragments, intervals, scaling
 from ..sources import alignments, annotation as sources
-from . import analog, oracles, summaries
+from . import analog, oracles, registry, summaries
 from .catalog import LEVEL, _exons, _lags, _rounded, _weights
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,6 +141,29 @@ def index_in_group(spark, d):
     return annotation.within_tgroup(rows).select("tid", F.col("tgroup").alias("n"), "index")
 
 
+@query(
+    f"""WITH {oracles.EXON}, b AS (SELECT tid, s, e, 'exon' AS kind FROM ex UNION ALL SELECT tid, e + 1, ns - 1, 'intron' FROM nx WHERE ns - 1 >= e + 1)
+SELECT tid, s AS start, e AS "end", kind, CAST(row_number() OVER (PARTITION BY tid ORDER BY s, e) - 1 AS INTEGER) AS rank FROM b"""
+)
+def exons_and_introns(spark, d):
+    """Exons and introns of every transcript in turn."""
+    return intervals.alternating(_exons(spark, d)).select("tid", "start", "end", "kind", "rank")
+
+
+@query(
+    f"""WITH {oracles.EXON}, g AS (SELECT DISTINCT seqname, strand, s, e FROM ex), p AS (SELECT seqname, strand, s AS p FROM g UNION SELECT seqname, strand, e + 1 FROM g),
+n AS (SELECT *, lead(p) OVER (PARTITION BY seqname, strand ORDER BY p) - 1 AS q FROM p), c AS (SELECT DISTINCT n.seqname, n.strand, n.p AS s, n.q AS e FROM n JOIN g ON g.seqname = n.seqname AND g.strand = n.strand AND g.s <= n.p AND g.e >= n.p WHERE q IS NOT NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY s, e) AS i, row_number() OVER (PARTITION BY tid ORDER BY s DESC, e DESC) AS j FROM ex),
+h AS (SELECT tid, seqname, strand, s, e, CASE WHEN strand = '-' THEN 3 ELSE 5 END AS prime FROM k WHERE i = 1 UNION ALL SELECT tid, seqname, strand, s, e, CASE WHEN strand = '-' THEN 5 ELSE 3 END FROM k WHERE j = 1)
+SELECT h.tid AS gene_id, h.seqname, h.strand, h.s AS start, h.e AS "end", h.prime FROM h JOIN c ON c.seqname = h.seqname AND c.strand = h.strand AND c.s = h.s AND c.e = h.e"""
+)
+def consensus_end_exons(spark, d):
+    """First and last exons that are segments of their strand's consensus as they stand."""
+    exons = _exons(spark, d)
+    consensus = intervals.segments(exons.select("seqname", "strand", "start", "end").distinct(), ["seqname", "strand"])
+    return intervals.consensus_ends(exons.withColumn("gene_id", F.col("tid")), consensus).select("gene_id", "seqname", "strand", "start", "end", "prime")
+
+
 # --- pairing and compatibility ------------------------------------------------------------------
 
 
@@ -206,6 +229,43 @@ def fragment_compatibility(spark, d):
     return fragments.compatibility(rows, models, "forward").select("frag", "tid", "frag_len").distinct()
 
 
+@query(
+    """WITH r AS (SELECT l_suppkey AS rname, l_partkey AS pos, l_orderkey * 8 + l_linenumber AS place, lag(l_partkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey * 8 + l_linenumber, l_partkey) AS before FROM lineitem)
+SELECT rname, pos, place FROM r WHERE before > pos"""
+)
+def unsorted_reads(spark, d):
+    """Reads before whose place in the file one of a later position stands."""
+    at = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    rows = analog.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("rname"), F.col("l_partkey").alias("pos"), at.alias("place"), F.struct(at, F.col("l_partkey")).alias("order"))
+    return fragments.unsorted_rows(rows, "rname", "order").select("rname", "pos", "place")
+
+
+HEADER = ("chr3", "chr0", "chr4", "chr1", "chr2")
+
+
+@query(
+    f"""WITH {SAM}, h AS (SELECT unnest({list(HEADER)}) AS rname, unnest(range({len(HEADER)})) AS i), k AS (SELECT DISTINCT rname, pos FROM sam)
+SELECT k.rname, pos, row_number() OVER (ORDER BY i, pos) AS place FROM k JOIN h ON h.rname = k.rname"""
+)
+def header_order(spark, d):
+    """Places of reads by the order of sequences in a header, then by position: counted within a sequence, sequences added up."""
+    rows = alignments.parse_sam(_sam_lines(spark, d).select("value")).select("rname", "pos").distinct()
+    ranked = alignments.with_header_rank(rows, HEADER).withColumn("n", F.row_number().over(Window.partitionBy("header_rank").orderBy("pos")))
+    before = ranked.groupBy("header_rank").agg(F.count(F.lit(1)).alias("size"))
+    before = before.select("header_rank", F.coalesce(F.sum("size").over(Window.orderBy("header_rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return ranked.join(before, "header_rank").select("rname", "pos", (F.col("before") + F.col("n")).alias("place"))
+
+
+@query(
+    """WITH s AS (SELECT l_linenumber AS position, l_returnflag AS sample, 1 + avg(l_discount) AS bias FROM lineitem GROUP BY ALL)
+SELECT a.sample AS sample_a, b.sample AS sample_b, round(avg(abs(log2(a.bias) - log2(b.bias))), 9) + 0.0 AS difference FROM s a JOIN s b ON a.position = b.position AND a.sample < b.sample GROUP BY ALL"""
+)
+def motif_difference(spark, d):
+    """Mean absolute log ratio of two samples' bias over positions."""
+    rows = analog.table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("position"), F.col("l_returnflag").alias("sample")).agg((1 + F.avg("l_discount")).alias("bias"))
+    return _rounded(registry.motif_difference(rows), 9, "sample_a", "sample_b")
+
+
 # --- weights ------------------------------------------------------------------------------------
 
 PDF = f"""{oracles.HIST}, tot AS (SELECT coalesce(sum(c), 0) AS n FROM h),

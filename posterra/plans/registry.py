@@ -89,18 +89,15 @@ def trace(spark: SparkSession, path: str, transcript_id: str) -> DataFrame:
     return store.wide(rows, ["round"], "condition", {-1: "ex_mu", **{i: f"mu{i}" for i in range(n)}}, {"value": ""})
 
 
-def quality_report(fragments_: DataFrame, alignments: DataFrame, histogram: DataFrame, gc: DataFrame, three_prime: float, specificity: float) -> dict:
-    """What the QC file holds of one sample; each part is a bounded table."""
-    total = histogram.agg(F.sum("count")).first()[0] or 1
-    pmf, upto = [], 0
-    for row in histogram.orderBy("length").collect():
-        pmf.append([int(row["length"]), row["count"] / total])
-        upto += row["count"]
-        if upto >= (1 - 1e-5) * total:
-            break
+def quality_report(pairs: DataFrame, models) -> dict:
+    """What the QC file holds of one sample: its compatible ``pairs`` counted, and its ``Library``'s models; each part is bounded."""
+    upto = models.lengths.cdf.searchsorted(1 - 1e-5)
+    counts = pairs.agg(F.count_distinct("frag").alias("f"), F.count(F.lit(1)).alias("p")).first()
     return {
-        "fragments": fragments_.count(), "alignments": alignments.count(), "strand_specificity": specificity, "fragment_length_pmf": pmf,
-        "gc_bins": [[int(r["bin"]), float(r["bias"])] for r in gc.orderBy("bin").collect()], "three_prime": three_prime,
+        "fragments": counts.f, "compatible_pairs": counts.p, "strand_specificity": float(models.specificity), "three_prime": float(models.three_prime), "fragmentation": models.fragmentation,
+        "fragment_length_pmf": [[i, float(p)] for i, p in enumerate(models.lengths.pdf[: upto + 1]) if p > 0],
+        "gc_bins": None if models.gc is None else [[i, float(b)] for i, b in enumerate(models.gc)],
+        "motif_places": None if models.motifs is None else [sorted(m.parents) for m in models.motifs],
     }
 
 

@@ -232,3 +232,9 @@ def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     if is_sam(head):
         return read_sam(spark, path)
     raise ValueError(f"neither BAM nor SAM: {path}")
+
+
+def with_header_rank(rows: DataFrame, names: list[str] | tuple[str, ...], column: str = "rname") -> DataFrame:
+    """``header_rank``: place of the sequence in the file's header, after all others if it isn't there."""
+    ranks = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
+    return rows.withColumn("header_rank", F.coalesce(F.try_element_at(ranks, F.col(column)), F.lit(len(names))))

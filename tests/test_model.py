@@ -260,3 +260,38 @@ def test_large_component_is_sparse():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100e6 and tmix.sum() == pytest.approx(1) and (tmix >= 0).all()
+
+
+def test_quality_report(spark, experiment):
+    exons = annotation.exons(annotation.read_gtf(spark, str(experiment / "a.gtf")))
+    samples = design.from_arguments(spark, [f"{experiment}/0.sam"])
+    found = {}
+    analyze.run(spark, exons, samples, {0: alignments.read_sam(spark, f"{experiment}/0.sam")}, str(experiment / "qc"), analyze.Options(dry_run=True), quality=found)
+    assert found[0]["fragments"] == 81 and found[0]["gc_bins"] is None and 0.99 < sum(p for _, p in found[0]["fragment_length_pmf"]) <= 1
+    from posterra.sources import store
+
+    store.write_yaml(str(experiment / "qc.yaml"), found)
+    import yaml
+
+    assert yaml.safe_load((experiment / "qc.yaml").read_text())[0]["strand_specificity"] == 0.5
+
+
+def test_simplex_densities():
+    a, x = np.array([2.0, 3.0, 1.5]), np.array([0.2, 0.5, 0.3])
+    from math import gamma, log, pi
+
+    assert D.dirichlet(x, a) == pytest.approx(log(gamma(6.5) / (gamma(2) * gamma(3) * gamma(1.5)) * 0.2 * 0.5**2 * 0.3**0.5))
+    y = np.log(x[:2] / x[2])
+    assert D.logistic_normal(x, np.zeros(2), np.ones(2)) == pytest.approx(-log(2 * pi) - 0.5 * (y**2).sum() - log(0.2 * 0.5 * 0.3))
+
+
+def test_sessions_of_a_stream(spark, tmp_path):
+    from posterra.streaming import running
+
+    rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:04:00"), ("a", "2024-01-01 01:00:00"), ("b", "2024-01-01 00:01:00")]
+    spark.createDataFrame(rows, "k string, t string").selectExpr("k", "cast(t as timestamp) as t").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, t timestamp").parquet(str(tmp_path / "in"))
+    q = running.clusters(stream, "t", "k", "10 minutes", "1 day").writeStream.outputMode("complete").format("memory").queryName("sessions_seen").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.k, r.n) for r in spark.sql("select * from sessions_seen").collect()) == [("a", 1), ("a", 2), ("b", 1)]
