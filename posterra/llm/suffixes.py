@@ -48,6 +48,8 @@ SEED = 8
 SLOTS = 1 << 24
 #: Suffixes of a slot beyond which they are dealt by passage.
 HOT = 1 << 12
+#: Bytes of texts that are taken at a time; a longer text is taken whole.
+BLOCK = 1 << 19
 #: Words of suffixes that one task compares.
 TASK_WORDS = 1 << 23
 _NULL_ID = np.int64(np.iinfo(np.int64).max)
@@ -113,7 +115,7 @@ def _settled(batches: Iterator[pa.RecordBatch], length: int, seed: int):
     for batch in batches:
         ids = batch.column(0).fill_null(int(_NULL_ID)).to_numpy(zero_copy_only=False)
         fps = batch.column(1).to_numpy(zero_copy_only=False)
-        for block in blocks(batch.column(2)):
+        for block in blocks(batch.column(2), BLOCK):
             got = passages(block, length, seed)
             if got is not None:
                 own = slice(block.first, block.first + len(block))
@@ -176,7 +178,7 @@ def _map(batches: Iterator[pa.RecordBatch], shared, parts: int, length: int, see
     for batch in batches:
         ids = batch.column(0).fill_null(int(_NULL_ID)).to_numpy(zero_copy_only=False)
         fps = batch.column(1).to_numpy(zero_copy_only=False)
-        for block in blocks(batch.column(2)):
+        for block in blocks(batch.column(2), BLOCK):
             got = passages(block, length, seed)
             if got is None:
                 continue

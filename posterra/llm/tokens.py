@@ -78,9 +78,11 @@ def segment_starts(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.searchsorted(starts, offs)
 
 
-def _cuts_before(text: str) -> bool:
-    """Whether a segment may begin with ``text`` whatever stands before it, but for ideographs after full-width marks."""
-    return len(text) > 1 and text[0] == " " and not text[1].isspace() and not 0x2000 <= ord(text[1]) <= 0x206F and text[1] != "\0"
+def _begins(before: str, text: str) -> bool:
+    """Whether ``text`` begins a segment after ``before``."""
+    if text[:1] == " ":
+        return len(text) > 1 and not text[1].isspace() and not 0x2000 <= ord(text[1]) <= 0x206F and text[1] != "\0"
+    return before[-1:] in _MARKS and "\u4e00" <= text[:1] <= "\u9fff"
 
 
 class TokenTree:
@@ -149,11 +151,11 @@ class TokenTree:
         last, last_at = self._leaf(max(start, end - 1))
         old = "".join(self.leaves[first : last + 1])
         new = old[: start - at] + replacement + old[end - at :]
-        while first > 0 and not _cuts_before(new):
+        while first > 0 and not _begins(self.leaves[first - 1], new):
             first -= 1
             new = self.leaves[first] + new
         # what follows began a segment after a mark that may be gone
-        while last + 1 < len(self.leaves) and not _cuts_before(self.leaves[last + 1]) and new[-1:] not in _MARKS:
+        while last + 1 < len(self.leaves) and not _begins(new, self.leaves[last + 1]):
             last += 1
             new += self.leaves[last]
         for leaf in range(first + 1, last + 1):

@@ -158,6 +158,27 @@ def test_pipeline_against_brute_force(spark):
     assert packed == {i: len(r.text.split()) for i, r in red.items() if r.text.split()}
 
 
+def test_stages_of_odd_tables(spark):
+    """Empty tables, nulls in any column, repeated rows, and more columns with names that operators use."""
+    import corpus_pipeline
+
+    text = " ".join(f"word{i}" for i in range(120))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, n_words string, kept_text int, id string, __doc string"
+    rows = [(1, text), (1, text), (None, text), (None, None), (2, None), (3, ""), (4, "mail a@b.cd now"), (None, text.upper()), (5, text.replace("word60", "other"))]
+    docs = spark.createDataFrame([(i, t, None if i == 2 else "en", None, None, "a", None, "b", "c") for i, t in rows], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        for table in (docs, docs.limit(0)):
+            out = stage(spark, table, SF)
+            if name != "best_fit_packing":
+                assert out.columns == docs.columns
+            n = out.count()
+            assert n > 0 or table is not docs
+            if table is not docs:
+                assert n == 0
+    one = corpus_pipeline.ngram_jaccard_join(spark, docs, SF).collect()
+    assert [r.doc_id for r in one if r.text and r.text.startswith("word")] == [1] and len(one) == 5
+
+
 def test_run_and_oracles(spark):
     import duckdb
 

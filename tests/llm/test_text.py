@@ -86,6 +86,32 @@ def test_repeats_across_blocks_and_tables(spark, monkeypatch, texts):
     assert {r.doc_id: r.n_cut for r in null_key} == {None: 300, 5: 0}
 
 
+def test_hot_seeds_go_by_passage(spark, monkeypatch, texts):
+    """A common line with a thousand continuations, repeated passages among them; every seed counts as hot."""
+    monkeypatch.setattr(suffixes, "HOT", 2)
+    line = words(8, 70)
+    many = [(i, " ".join(words(30, 1000 + i) + line + words(45, 3000 + i // 3))) for i in range(60)]
+    rows = many + [(500 + i, t) for i, t in texts]
+    want = brute_repeats(rows, 50)
+    got = suffixes.deduplicate(frame(spark, rows).repartition(6)).collect()
+    assert all((r.n_words, r.n_repeated, r.n_cut) == want[r.doc_id, r.text][:3] for r in got if r.text is not None)
+    assert sum(r.n_repeated > 0 for r in got) > 60
+
+
+def test_extension_stops_at_a_difference():
+    words_ = np.array([9, 1, 2, 3, 4, 5, 8, 9, 1, 2, 3, 4, 6, 8], dtype="<u4")
+    at = lambda x, y, left, right: suffixes.extended(words_, *(np.array([v]) for v in (x, y, left, right)))[0]
+    assert at(2, 9, 2, 3) and not at(2, 9, 2, 4) and at(2, 9, 0, 1) and not at(3, 9, 0, 1)
+
+
+def test_results_replace_columns_of_their_name(spark, texts):
+    docs = frame(spark, texts).withColumns({"n_words": F.lit("old"), "kept_text": F.lit(1)})
+    got = suffixes.deduplicate(docs)
+    assert got.columns.count("n_words") == 1 and dict(got.dtypes)["n_words"] == "bigint"
+    kept = suffixes.first_passages(docs)
+    assert kept.columns == docs.columns and {r.n_words for r in kept.collect()} == {"old"}
+
+
 # --- Jaccard ------------------------------------------------------------------------------------
 
 
@@ -232,6 +258,51 @@ def test_native_plan(spark):
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
 
 
+def test_long_texts_and_empty_table(spark):
+    """A text of 200,000 numbers, and one of 4,000 of every kind, in seconds; both placed as a plain search places them."""
+    import time
+
+    numbers = ", ".join(str(i % 90 + 10) for i in range(200_000))
+    mixed = " ".join(f"user{i}@host{i}.com call +49 30 {1000000 + i} at 10.0.0.{i % 250} or phone (555) 201-{1000 + i} \u00e9" for i in range(4000))
+    docs = frame(spark, [(1, numbers), (2, mixed)])
+    pii.fitted(spark)
+    began = time.time()
+    got = {r.doc_id: r for r in pii.find(docs).collect()}
+    red = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert time.time() - began < 120
+    for i, t in ((1, numbers), (2, mixed)):
+        base = brute_pii(t)
+        assert got[i].base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert set(base) <= set(got[i].spans.split(","))
+        assert not brute_pii(red[i])
+    assert got[2].n_added > 1000 and red[2].count("\u00e9") == 4000
+    assert pii.find(docs.limit(0)).count() == pii.redact(docs.limit(0)).count() == 0
+
+
+def brute_choice(spans):
+    """Spans that no base span touches and that no better one among these touches."""
+    free = [c for c in spans if c[3] is not None and not any(b[3] is None and c[0] < b[1] and b[0] < c[1] for b in spans)]
+    better = lambda o, c: (-o[3], o[0], -o[1], o[2]) < (-c[3], c[0], -c[1], c[2])
+    return sorted({c for c in free if not any(o[0] < c[1] and c[0] < o[1] and better(o, c) for o in free)})
+
+
+def test_groups_of_spans_that_touch(spark):
+    rng = np.random.default_rng(17)
+    rows = []
+    for i in range(30):
+        spans = [(int(a), int(a + rng.integers(1, 12)), int(k), None if rng.random() < 0.2 else float(rng.integers(0, 4))) for a, k in zip(rng.integers(0, 40 * (i + 1), 25 * i), rng.integers(0, 8, 25 * i), strict=True)]
+        rows.append((i, sorted(spans, key=lambda s: (s[0], s[1], s[2], s[3] is not None, s[3] or 0))))
+    df = spark.createDataFrame(rows, f"doc_id int, spans {pii._PLACE}")
+    got = {r.doc_id: r for r in pii._clustered(df.withColumn("__spans", F.col("spans")), [F.col("doc_id"), F.col("spans")], "__spans").collect()}
+    for i, spans in rows:
+        clusters = [[tuple(x) for x in c] for c in got[i]["__clusters"] or []]
+        assert [x for c in clusters for x in c] == spans
+        ends = [max(x[1] for x in c) for c in clusters]
+        assert all(c[0][0] >= e for c, e in zip(clusters[1:], ends, strict=False))
+        assert all(any(y[0] < x[0] < y[1] or y[:1] == x[:1] for y in c[:n]) for c in clusters for n, x in enumerate(c) if n)
+        assert sorted(x for c in clusters for x in brute_choice(c)) == brute_choice(spans)
+
+
 def test_boosting():
     rng = np.random.default_rng(1)
     x = rng.random((400, 3))
@@ -261,6 +332,52 @@ def test_language_accuracy_and_cases(spark):
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_against_brute_force(spark):
+    """Predictions are the largest corrected popcount, counted gram by gram."""
+    rng = np.random.default_rng(16)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "\u0436\u0437\u0438\u043a\u043b\u043c\u043d\u043e", "dd": "\u4e00\u4e01\u4e03\u4e07\u4e08\u4e09\u4e0a\u4e0b"}
+    made = lambda lang, n: " ".join("".join(rng.choice(list(letters[lang]), 5)) for _ in range(n))
+    rows = [(i, made(lang, 60), lang) for i, lang in enumerate(list(letters) * 12)]
+    rows += [(100 + i, made(a, 20) + " " + made(b, 9), "aa") for i, (a, b) in enumerate((("aa", "bb"), ("cc", "aa"), ("dd", "cc"), ("bb", "dd")))]
+    rows += [rows[0], rows[0], (None, rows[1][1], "bb"), (200, "\u4e00\u4e01\u4e03\u4e07" * 40_000, None)]
+    docs = spark.createDataFrame([(i, t, l, 1.0, "x") for i, t, l in rows], "doc_id long, text string, lang string, score double, lang_pred string")
+    model = langid.fit(docs, ~langid.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
+    owners = [set(g.tolist()) for g in _trained_grams(rows)]
+    got = langid.predict(docs, model).collect()
+    assert len(got) == len(rows)
+    by_text = {}
+    for r, (i, t, _) in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id or 0)), sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)), strict=True):
+        s = symbols_of(t)
+        grams = [sum(x << (16 * (3 - j)) for j, x in enumerate(s[k : k + 4])) for k in range(len(s) - 3)]
+        held = model.holders(np.array(grams, dtype=np.uint64), 0)
+        estimate = []
+        for k in range(4):
+            hits = int(((held >> np.uint64(k)) & np.uint64(1)).sum())
+            assert hits >= sum(g in owners[k] for g in grams)
+            estimate.append((hits / len(grams) - model.false_positive[k]) / (1 - model.false_positive[k]))
+        best = int(np.argmax(estimate))
+        assert (r.doc_id, r.lang_pred) == (i, model.languages[best]) and r.score == pytest.approx(min(1, max(0, estimate[best])))
+        assert by_text.setdefault(t, (r.lang_pred, r.score)) == (r.lang_pred, r.score)
+
+
+def _trained_grams(rows):
+    """Grams of each language that reach the least share and the least ratio, by counting."""
+    import zlib
+
+    counts = {l: collections.Counter() for l in ("aa", "bb", "cc", "dd")}
+    for i, t, l in rows:
+        if l is not None and i is not None and zlib.crc32(str(i).encode()) % 5:
+            s = symbols_of(t)
+            counts[l].update(sum(x << (16 * (3 - j)) for j, x in enumerate(s[k : k + 4])) for k in range(len(s) - 3))
+    share = {l: {g: n / sum(c.values()) for g, n in c.items()} for l, c in counts.items()}
+    share = {l: {g: x for g, x in c.items() if x >= langid.LEAST_SHARE} for l, c in share.items()}
+    most = collections.Counter()
+    for c in share.values():
+        for g, x in c.items():
+            most[g] = max(most[g], x)
+    return [np.array([g for g, x in share[l].items() if x >= langid.LEAST_RATIO * most[g]], dtype=np.uint64) for l in counts]
+
+
 def test_many_languages_in_slices():
     names = [f"l{i:03d}" for i in range(70)]
     grams = np.arange(1, 7001, dtype=np.uint64)
@@ -528,6 +645,36 @@ def test_pieces_match_the_library(spark):
             assert got[i].ids == sp.encode(t) and got[i].decoded == sp.decode(sp.encode(t))
 
 
+def test_long_units_match_the_library():
+    import time
+
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = np.random.default_rng(18)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    encoder = pieces.Encoder(pieces.Vocabulary.load())
+
+    def ids(t):
+        raw = t.encode()
+        return encoder(*pieces._with_blank(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)])))[0].tolist()
+
+    for t in (draw("abcdefghijklmnopqrstuvwxyz", 3000), "ab" * 2000, "a" * 3001, "the" * 900, draw("etaoin", 4000), "\u00df\u4e2d\u00e9" * 700, draw("theq", 600) + " x " + draw("an", 700)):
+        assert ids(t) == sp.encode(t)
+    began = time.time()
+    assert len(ids(draw("abcdefghijklmnopqrstuvwxyz", 300_000))) > 100_000 and time.time() - began < 20
+
+
+def test_long_texts_of_tokens(spark):
+    text = "\u0441\u043b\u043e\u0432\u043e \u0438 \u0434\u0435\u043b\u043e " * 40_000
+    rows = frame(spark, [(1, text), (2, "\u4e00\u4e8c\u3002\u4e09\u56db\uff0c" * 50_000)])
+    edits = F.array(F.struct(F.lit(100).alias("start"), F.lit(105).alias("end"), F.lit("x").alias("replacement")))
+    got = {r.doc_id: r for r in tokens.count(rows, edits=edits).collect()}
+    encode = tokens.encoder()
+    assert got[1].n_tokens == len(encode(text)) and got[1].n_reencoded < 60 and got[2].n_reencoded < 60
+    assert pieces.encode(rows.limit(0)).count() == 0
+
+
 def test_unigram_relaxation():
     body = ["▁", "a", "b", "c", "ab", "bc", "abc", "▁a", "▁abc", "é"]
     scores = np.array([-3.0, -2.0, -2.5, -2.5, -3.0, -2.8, -6.5, -2.2, -6.0, -2.0])
