@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from . import slots
-from .session import checkpointed, partitions, release
+from .session import checkpointed, numbered, partitions, release
 from .textblocks import ASCII_LOWER, Block, RangeHasher, blocks, mix
 
 SHINGLE = 5
@@ -414,7 +414,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     first = rows.where("n > 0").join(classes, "id").groupBy("component").agg(_head()).select("head.doc_id", "head.th")
     alone = rows.where("n = 0").select("doc_id", "th")
     stay = checkpointed(first.unionByName(alone).distinct())
-    keyed = docs.withColumns({"__doc": F.col(f"`{key}`").cast("long"), "__th": F.xxhash64(F.col(f"`{text}`").cast("string"))})
+    plain, (key, text) = numbered(docs, key, text)
+    keyed = plain.withColumns({"__doc": F.col(key).cast("long"), "__th": F.xxhash64(F.col(text).cast("string"))})
     same = keyed["__doc"].eqNullSafe(stay["doc_id"]) & (keyed["__th"] == stay["th"])
     kept = keyed.join(stay, same, "left_semi")
-    return kept.dropDuplicates(["__doc", "__th"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.dropDuplicates(["__doc", "__th"]).select(*plain.columns).toDF(*docs.columns)

@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, fit, threshold
+from .session import numbered
 
 PRECISION = 0.98
 CONTEXT = 24
@@ -338,15 +339,16 @@ def redact(docs: DataFrame, text: str = "text", precision: float = PRECISION) ->
 
     Of overlapping spans the first is named, and what the others cover goes with it.
     """
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    rows = annotated(docs, text, precision)
+    plain, (text,) = numbered(docs, text)
+    own = [F.col(c) for c in plain.columns]
+    rows = annotated(plain, text, precision)
     place = F.transform("__all", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["k"].alias("k"), c["score"].alias("score"))).cast(_PLACE)
     rows = _clustered(rows.select(*own, F.array_sort(place).alias("__spans")), own, "__spans")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     whole = F.transform("__clusters", lambda c: F.struct(c[0]["s"].alias("s"), F.array_max(F.transform(c, lambda x: x["e"])).alias("e"), F.get(names, c[0]["k"]).alias("name")))
     rows = rows.select(*own, whole.alias("__r"))
     rows = rows.select(*own, F.zip_with("__r", F.concat(F.array(F.lit(0)), F.transform("__r", lambda r: r["e"])), lambda r, p: F.struct(r["s"].alias("s"), r["e"].alias("e"), r["name"].alias("name"), p.alias("p"))).alias("__r"))
-    body = F.col(f"`{text}`").cast("string")
+    body = F.col(text).cast("string")
     # the text is cut at every RUN-th region first, so that no region is looked for from the start of a long text
     numbers = F.sequence(F.lit(0), F.floor((F.size("__r") - 2) / RUN).cast("int"))
     rows = rows.select(*own, "__r", F.when(F.size("__r") > 1, F.transform(numbers, lambda i: F.filter(F.slice("__r", i * RUN + 1, F.lit(RUN)), lambda r: r["s"].isNotNull()))).alias("__c"))
@@ -355,4 +357,4 @@ def redact(docs: DataFrame, text: str = "text", precision: float = PRECISION) ->
     piece = lambda c: lambda r: F.concat(F.substring(c["t"], r["p"] - c["r"][0]["p"] + 1, r["s"] - r["p"]), r["name"])
     done = F.concat(F.array_join(F.transform("__c", lambda c: F.array_join(F.transform(c["r"], piece(c)), "")), ""), F.substring(body, F.col("__end") + 1, F.length(body)))
     out = F.when(F.col("__c").isNotNull(), done).otherwise(body)
-    return rows.select(*[out.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return rows.select(*[out.alias(c) if c == text else F.col(c) for c in plain.columns]).toDF(*docs.columns)

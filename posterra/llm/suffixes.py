@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import slots
-from .session import partitions, release
+from .session import numbered, partitions, release
 from .textblocks import Block, RangeHasher, blocks, mix
 
 LENGTH = 50
@@ -378,7 +378,7 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
                 new[row] = _without(block, words.starts[a:b], words.ends[a:b], later, i)
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[:-2], pa.array(new, pa.string()), *(pa.array(c) for c in counts), *(pa.array([w[j] for w in where], pa.string()) for j in (0, 1))],
-            names=[*batch.schema.names[:-2], *(f"__{name}" for name in RESULTS)],
+            names=[*batch.schema.names[:-2], *RESULTS],
         )
 
 
@@ -393,23 +393,24 @@ def _without(block: Block, starts: np.ndarray, ends: np.ndarray, later: np.ndarr
 
 
 def _cut_rows(docs: DataFrame, key: str, text: str, length: int, seed: int) -> DataFrame:
-    """The columns of ``docs`` and the results, their names behind two underscores."""
-    runs = repeated_runs(docs, key, text, length, seed)
+    """The columns of ``docs`` as c0, c1 and so on, and the results."""
+    rows, (key, text) = numbered(docs, key, text)
+    runs = repeated_runs(rows, key, text, length, seed)
     body = F.col(text).cast("string")
-    keyed = docs.select("*", F.coalesce(F.col(key).cast("long"), F.lit(int(_NULL_ID))).alias("__doc"), F.xxhash64(body).alias("__fp"), body.alias("__text"))
+    keyed = rows.select("*", F.coalesce(F.col(key).cast("long"), F.lit(int(_NULL_ID))).alias("__doc"), F.xxhash64(body).alias("__fp"), body.alias("__text"))
     joined = keyed.join(runs.select(F.col("doc").alias("__doc"), F.col("fp").alias("__fp"), F.col("runs").alias("__runs")), ["__doc", "__fp"], "left")
-    joined = joined.select(*[F.col(f"`{c}`") for c in docs.columns], "__text", "__runs")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return joined.mapInArrow(lambda it: _cut(it, length), f"{kinds}, __kept_text string, __n_words long, __n_repeated long, __n_cut long, __repeated_spans string, __cut_spans string")
+    joined = joined.select(*rows.columns, "__text", "__runs")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return joined.mapInArrow(lambda it: _cut(it, length), f"{kinds}, kept_text string, n_words long, n_repeated long, n_cut long, repeated_spans string, cut_spans string")
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """The columns of ``docs`` that bear no result's name, then kept_text, n_words, n_repeated, n_cut and both span lists (word numbers)."""
     rows = _cut_rows(docs, key, text, length, seed)
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c not in RESULTS], *[F.col(f"__{name}").alias(name) for name in RESULTS])
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in RESULTS], *RESULTS)
 
 
 def first_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """``docs`` with later passages cut from ``text``; rows that are left without a word go, rows that had none stay."""
-    rows = _cut_rows(docs, key, text, length, seed).where((F.col("__n_cut") == 0) | (F.col("__n_cut") < F.col("__n_words")))
-    return rows.select(*[F.col("__kept_text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    rows = _cut_rows(docs, key, text, length, seed).where((F.col("n_cut") == 0) | (F.col("n_cut") < F.col("n_words")))
+    return rows.select(*[(F.col("kept_text") if c == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)])
