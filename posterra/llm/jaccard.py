@@ -414,6 +414,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     first = rows.where("n > 0").join(classes, "id").groupBy("component").agg(_head()).select("head.doc_id", "head.th")
     alone = rows.where("n = 0").select("doc_id", "th")
     stay = checkpointed(first.unionByName(alone).distinct())
+    del rows, classes, first, alone
+    release(docs.sparkSession)
     plain, (key, text) = numbered(docs, key, text)
     keyed = plain.withColumns({"__doc": F.col(key).cast("long"), "__th": F.xxhash64(F.col(text).cast("string"))})
     same = keyed["__doc"].eqNullSafe(stay["doc_id"]) & (keyed["__th"] == stay["th"])

@@ -8,13 +8,14 @@ a small multiple of the block, whatever the batch or the partition holds.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 #: Bytes that separate words: space and \t \n \v \f \r.
 IS_SEPARATOR = np.zeros(256, dtype=bool)
@@ -145,6 +146,16 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return buf, offs - offs[0], np.asarray(column.is_valid())
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def release_unused() -> None:
+    """Give freed memory back, which a worker would else keep for as long as it waits for its next task."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
     """Blocks of consecutive whole texts; a null text is an empty one with ``valid`` false."""
     buf, offs, valid = strings(column)
@@ -154,6 +165,7 @@ def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
         last = min(max(last, first + 1), n)
         yield Block(first, buf[offs[first] : offs[last]], offs[first : last + 1] - offs[first], valid[first:last])
         first = last
+    release_unused()
 
 
 # --- characters ---------------------------------------------------------------------------------
