@@ -412,17 +412,15 @@ def align_sums(spark, d):
 
 @query
 def connected_components(spark, d):
-    """Orders and parts tied by lines of fifty pieces."""
-    lines = analog.table(spark, d, "lineitem").where("l_quantity >= 50")
-    edges = lines.select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"))
+    """Orders and parts tied by any line."""
+    edges = analog.table(spark, d, "lineitem").select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"))
     return components.connected_components(edges)
 
 
 @query
 def connected_components_of_all_lines(spark, d):
-    """Orders and parts tied by any line; too many edges for recursive SQL, so it has none."""
-    edges = analog.table(spark, d, "lineitem").select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"))
-    return components.connected_components(edges)
+    """The same under its former name."""
+    return connected_components(spark, d)
 
 
 # --- sequences, attributes, CIGAR ---------------------------------------------------------------
@@ -440,7 +438,7 @@ def gc_content(spark, d):
 @query
 def gc_bias_bins(spark, d):
     rows = _sequences(spark, d).where("length(s) > 0").select("lang", (seq.gc_count(F.col("s")) / F.length("s")).alias("gc"), F.lit(1).alias("weight"))
-    return _rounded(fragments.gc_bias(rows.where("lang = 'en'"), rows.where("lang = 'fr'")), 9, "bin")
+    return _rounded(fragments.gc_bias(rows.where("lang <=> 'en'"), rows.where("not lang <=> 'en'")), 9, "bin")
 
 
 @query
@@ -470,7 +468,7 @@ def kmer_conditional(spark, d):
 @query
 def js_divergence(spark, d):
     rows = _kmer_rows(spark, d, 2)
-    fore, back = (fragments.kmer_distribution(rows.where(F.col("lang") == x)) for x in ("en", "fr"))
+    fore, back = (fragments.kmer_distribution(rows.where(x)) for x in ("lang <=> 'en'", "not lang <=> 'en'"))
     return _rounded(fragments.symmetric_divergence(fore, back), 9, "pos")
 
 

@@ -219,14 +219,17 @@ SQL["best_alignment"] = f"""WITH {WT}, r AS (SELECT *, row_number() OVER (PARTIT
 SQL["align_prune"] = f"""WITH {WT}, m AS (SELECT read, tid, max(align_pr) AS align_pr FROM wt GROUP BY ALL), s AS (SELECT *, CAST(align_pr AS DOUBLE) / CAST(sum(align_pr) OVER (PARTITION BY read) AS DOUBLE) AS share FROM m)
 SELECT read, tid, align_pr, round(share, 9) + 0.0 AS share FROM s WHERE share >= 0.1"""
 SQL["align_sums"] = f"WITH {WT}, m AS (SELECT read, tid, max(align_pr) AS p FROM wt GROUP BY ALL) SELECT read, CAST(sum(p) AS BIGINT) AS align_sum FROM m GROUP BY read"
-SQL["connected_components"] = """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem WHERE l_quantity >= 50), l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r(x, y) AS (SELECT a, a FROM l UNION SELECT r.x, l.b FROM r JOIN l ON l.a = r.y) SELECT x AS node, min(y) AS component FROM r GROUP BY x"""
+SQL["connected_components"] = """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem), l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(node, component) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM l GROUP BY a
+  UNION SELECT l.b, min(r.component) FROM r JOIN l ON l.a = r.node JOIN recurring.r AS o ON o.node = l.b WHERE r.component < o.component GROUP BY l.b)
+SELECT node, component FROM r"""
+SQL["connected_components_of_all_lines"] = SQL["connected_components"]
 SQ = "sq AS (SELECT doc_id, lang, regexp_replace(lower(text), '[^acgt]', '', 'g') AS s FROM documents)"
 SQL["gc_content"] = f"WITH {SQ} SELECT doc_id, CAST(length(s) AS INTEGER) AS bases, CAST(length(replace(replace(s, 'a', ''), 't', '')) AS INTEGER) AS gc FROM sq"
-SQL["gc_bias_bins"] = f"""WITH {SQ}, f AS (SELECT lang, CAST(length(replace(replace(s, 'a', ''), 't', '')) AS DOUBLE) / length(s) AS gc FROM sq WHERE length(s) > 0 AND lang IN ('en', 'fr')),
+SQL["gc_bias_bins"] = f"""WITH {SQ}, f AS (SELECT lang IS NOT DISTINCT FROM 'en' AS en, CAST(length(replace(replace(s, 'a', ''), 't', '')) AS DOUBLE) / length(s) AS gc FROM sq WHERE length(s) > 0),
 u AS (SELECT unnest([0.29, 0.32, 0.35, 0.37, 0.39, 0.41, 0.43, 0.45, 0.48, 0.51, 0.53, 0.57, 0.60, 0.64, 1.00]::DOUBLE[]) AS up, unnest(range(15)) AS bin),
-b AS (SELECT f.lang, min(u.bin) AS bin FROM (SELECT *, row_number() OVER () AS i FROM f) f JOIN u ON f.gc <= u.up GROUP BY f.lang, f.i), s AS (SELECT lang, bin, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY lang) AS p FROM b GROUP BY lang, bin),
-j AS (SELECT bin, coalesce(max(p) FILTER (WHERE lang = 'en'), 0) AS fore, coalesce(max(p) FILTER (WHERE lang = 'fr'), 0) AS back FROM s GROUP BY bin)
+b AS (SELECT f.en, min(u.bin) AS bin FROM (SELECT *, row_number() OVER () AS i FROM f) f JOIN u ON f.gc <= u.up GROUP BY f.en, f.i), s AS (SELECT en, bin, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY en) AS p FROM b GROUP BY en, bin),
+j AS (SELECT bin, coalesce(max(p) FILTER (WHERE en), 0) AS fore, coalesce(max(p) FILTER (WHERE NOT en), 0) AS back FROM s GROUP BY bin)
 SELECT CAST(bin AS INTEGER) AS bin, round(fore, 9) + 0.0 AS fore, round(back, 9) + 0.0 AS back, round(CASE WHEN back > 0 THEN least(greatest(fore / back, 0.01), 100) ELSE 1 END, 9) + 0.0 AS bias FROM j"""
 SQL["revcomp"] = f"WITH {SQ} SELECT doc_id, md5(reverse(translate(s, 'acgt', 'tgca'))) AS revcomp_md5 FROM sq"
 
@@ -239,8 +242,8 @@ SQL["kmer_counts"] = f"""WITH {_kmers(4)}, c AS (SELECT kmer, count(*) AS count
 SELECT kmer, CAST(64 * (instr('acgt', kmer[1]) - 1) + 16 * (instr('acgt', kmer[2]) - 1) + 4 * (instr('acgt', kmer[3]) - 1) + instr('acgt', kmer[4]) - 1 AS BIGINT) AS number, count FROM c"""
 SQL["kmer_conditional"] = f"""WITH {_kmers(3)}, c AS (SELECT CAST(pos AS INTEGER) AS pos, kmer, count(*) AS count FROM km GROUP BY ALL)
 SELECT pos, kmer, count, round(CAST(count AS DOUBLE) / sum(count) OVER (PARTITION BY pos, left(kmer, 2)), 9) + 0.0 AS p FROM c"""
-SQL["js_divergence"] = f"""WITH {_kmers(2)}, n AS (SELECT lang, CAST(pos AS INTEGER) AS pos, kmer, count(*) AS n FROM km WHERE lang IN ('en', 'fr') GROUP BY ALL), c AS (SELECT lang, pos, kmer, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY lang, pos) AS p FROM n)
-SELECT a.pos, round(sum((a.p - b.p) * (log2(a.p) - log2(b.p))), 9) + 0.0 AS divergence FROM c a JOIN c b ON a.lang = 'en' AND b.lang = 'fr' AND a.pos = b.pos AND a.kmer = b.kmer GROUP BY a.pos"""
+SQL["js_divergence"] = f"""WITH {_kmers(2)}, n AS (SELECT lang IS NOT DISTINCT FROM 'en' AS en, CAST(pos AS INTEGER) AS pos, kmer, count(*) AS n FROM km GROUP BY ALL), c AS (SELECT en, pos, kmer, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY en, pos) AS p FROM n)
+SELECT a.pos, round(sum((a.p - b.p) * (log2(a.p) - log2(b.p))), 9) + 0.0 AS divergence FROM c a JOIN c b ON a.en AND NOT b.en AND a.pos = b.pos AND a.kmer = b.kmer GROUP BY a.pos"""
 SQL["rolling_gc"] = """WITH g AS (SELECT l_suppkey AS tid, l_orderkey AS pos, max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS gc FROM lineitem GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY tid ORDER BY pos) AS i FROM g)
 SELECT a.tid, a.pos, CAST(sum(b.gc) AS BIGINT) AS gc_count FROM n a JOIN n b ON b.tid = a.tid AND b.i BETWEEN a.i - 4 AND a.i GROUP BY a.tid, a.pos"""
