@@ -1,18 +1,13 @@
-"""SAM text and BAM alignments; BAM is a Python data source that reads BGZF blocks."""
+"""SAM text, and either of SAM and BAM."""
 
 from __future__ import annotations
 
-import struct
 import zlib
-from collections.abc import Iterator
-from itertools import islice
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .. import schema
+from .bam import head_of, read_bam
 
 #: Symbolic flags of old SAM files.
 FLAG_LETTERS = {"p": 1, "P": 2, "u": 4, "U": 8, "r": 16, "R": 32, "1": 64, "2": 128, "s": 256, "f": 512, "d": 1024}
@@ -43,157 +38,6 @@ def parse_sam(lines: DataFrame) -> DataFrame:
     )
 
 
-# --- BAM ----------------------------------------------------------------------------------------
-
-_SEQ = "=ACMGRSVTWYHKDBN"
-_OPS = "MIDNSHP=X"
-_PAIRS = [a + b for a in _SEQ for b in _SEQ]
-_QUALITY = bytes((q + 33) % 256 for q in range(256))
-#: Records of one frame, whatever a file holds.
-FRAME = 20_000
-_TAG_FORMS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f", "d": "<d"}
-
-
-def block_offsets(data: bytes) -> list[tuple[int, int]]:
-    """(offset, size) of the BGZF blocks of a file, from the size each block's header states."""
-    out, at = [], 0
-    while at + 18 <= len(data):
-        if data[at : at + 4] != b"\x1f\x8b\x08\x04":
-            raise ValueError(f"no BGZF block at {at}")
-        extra = struct.unpack_from("<H", data, at + 10)[0]
-        field, end, size = at + 12, at + 12 + extra, None
-        while field < end:
-            kind, length = data[field : field + 2], struct.unpack_from("<H", data, field + 2)[0]
-            if kind == b"BC":
-                size = struct.unpack_from("<H", data, field + 4)[0] + 1
-            field += 4 + length
-        if size is None:
-            raise ValueError(f"BGZF block at {at} does not state its size")
-        out.append((at, size))
-        at += size
-    return out
-
-
-def inflate(data: bytes) -> bytes:
-    """The whole contents of BGZF (or plain gzip) data."""
-    out = []
-    while data:
-        z = zlib.decompressobj(31)
-        out.append(z.decompress(data))
-        data = z.unused_data
-    return b"".join(out)
-
-
-def parse_header(data: bytes) -> tuple[list[str], int]:
-    """Reference names and where the records start."""
-    if data[:4] != b"BAM\1":
-        raise ValueError("not a BAM file")
-    at = 8 + struct.unpack_from("<i", data, 4)[0]
-    n = struct.unpack_from("<i", data, at)[0]
-    at += 4
-    names = []
-    for _ in range(n):
-        length = struct.unpack_from("<i", data, at)[0]
-        names.append(data[at + 4 : at + 3 + length].decode())
-        at += 8 + length
-    return names, at
-
-
-def _tags(data: bytes, at: int, end: int) -> dict[str, str]:
-    out = {}
-    while at + 3 <= end:
-        key, kind = data[at : at + 2].decode(), chr(data[at + 2])
-        at += 3
-        if kind == "A":
-            out[key] = chr(data[at])
-            at += 1
-        elif kind in _TAG_FORMS:
-            form = _TAG_FORMS[kind]
-            out[key] = str(struct.unpack_from(form, data, at)[0])
-            at += struct.calcsize(form)
-        elif kind in "ZH":
-            stop = data.index(0, at)
-            out[key] = data[at:stop].decode()
-            at = stop + 1
-        elif kind == "B":
-            form, n = _TAG_FORMS[chr(data[at])], struct.unpack_from("<i", data, at + 1)[0]
-            size = struct.calcsize(form)
-            out[key] = ",".join([chr(data[at]), *(str(struct.unpack_from(form, data, at + 5 + i * size)[0]) for i in range(n))])
-            at += 5 + n * size
-        else:
-            raise ValueError(f"unknown tag type {kind!r}")
-    return out
-
-
-def parse_records(data: bytes, at: int, names: list[str]) -> Iterator[tuple]:
-    """Rows of the alignment schema from inflated data."""
-    name = lambda i: names[i] if i >= 0 else "*"
-    while at + 4 <= len(data):
-        size = struct.unpack_from("<i", data, at)[0]
-        ref, pos, l_name, mapq, _, n_cigar, flag, l_seq, next_ref, next_pos, tlen = struct.unpack_from("<iiBBHHHiiii", data, at + 4)
-        body = at + 36
-        qname = data[body : body + l_name - 1].decode()
-        body += l_name
-        ops = struct.unpack_from(f"<{n_cigar}I", data, body)
-        cigar = "".join(f"{o >> 4}{_OPS[o & 15]}" for o in ops) or "*"
-        body += 4 * n_cigar
-        seq = "".join(map(_PAIRS.__getitem__, data[body : body + (l_seq + 1) // 2]))[:l_seq] or "*"
-        body += (l_seq + 1) // 2
-        raw = data[body : body + l_seq]
-        qual = "*" if not raw or raw[0] == 0xFF else raw.translate(_QUALITY).decode("latin-1")
-        tags = _tags(data, body + l_seq, at + 4 + size)
-        yield (qname, flag, name(ref), pos, mapq, cigar, name(next_ref), next_pos, tlen, seq, qual, tags)
-        at += 4 + size
-
-
-class _Whole(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class BamReader(DataSourceReader):
-    """One partition a file: records cross block borders, and a file is sorted as a whole."""
-
-    def __init__(self, options: dict[str, str]):
-        self.paths = [p for p in options["path"].split(",") if p]
-
-    def partitions(self) -> list[_Whole]:
-        return [_Whole(p) for p in self.paths]
-
-    def read(self, partition: _Whole) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            data = inflate(f.read())
-        names, at = parse_header(data)
-        yield from parse_records(data, at, names)
-
-
-class BamSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "bam"
-
-    def schema(self) -> str:
-        return schema.ALIGNMENT
-
-    def reader(self, schema) -> BamReader:
-        return BamReader(self.options)
-
-
-def _records_of(batches):
-    for batch in batches:
-        for content in batch["content"]:
-            data = inflate(content)
-            names, at = parse_header(data)
-            rows = parse_records(data, at, names)
-            while part := list(islice(rows, FRAME)):
-                yield pd.DataFrame(part, columns=[c.split()[0] for c in schema.ALIGNMENT.replace("map<string,string>", "map").split(", ")])
-
-
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of BAM files on any store that Spark reads; for local files ``format("bam")`` works too."""
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(_records_of, schema.ALIGNMENT)
-
-
 def is_bam(head: bytes) -> bool:
     if head[:2] != b"\x1f\x8b":
         return False
@@ -213,17 +57,6 @@ def is_sam(head: bytes) -> bool:
     return line[:3] in ("@HD", "@SQ", "@RG", "@PG", "@CO") or (len(fields) >= 11 and fields[3].lstrip("-").isdigit())
 
 
-def head_of(spark: SparkSession, path: str, size: int = 65536) -> bytes:
-    """First bytes of a file, by Spark's own file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
-    try:
-        return bytes(stream.readNBytes(size))
-    finally:
-        stream.close()
-
-
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:
     """BAM or SAM, told apart by the first bytes."""
     head = head_of(spark, path, 8192)

@@ -1,13 +1,14 @@
 """Readers and writers on small files."""
 
 import gzip
+import random
 import struct
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from posterra.sources import alignments, annotation, design, store
+from posterra.sources import alignments, annotation, bam, design, store
 
 GTF = """#comment
 chr1\tsrc\tgene\t101\t600\t.\t+\t.\tgene_id "G1";
@@ -67,42 +68,121 @@ def test_sam(spark, tmp_path):
     assert alignments.is_sam(b"@SQ\tSN:x") and not alignments.is_sam(b"a: [x.bam]\n")
 
 
-def write_bam(path, names, records):
-    """A small BAM file: records as (qname, flag, ref, pos, mapq, [(len, op)], seq)."""
+def bam_bytes(names, records):
+    """Contents of a BAM file: records as (qname, flag, ref, pos, mapq, [(len, op)], seq)."""
     body = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", len(names))
     for name, length in names:
         body += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", length)
     for qname, flag, ref, pos, mapq, cigar, seq in records:
-        packed = bytes((alignments._SEQ.index(seq[i]) << 4) | (alignments._SEQ.index(seq[i + 1]) if i + 1 < len(seq) else 0) for i in range(0, len(seq), 2))
+        packed = bytes((bam._SEQ.index(seq[i]) << 4) | (bam._SEQ.index(seq[i + 1]) if i + 1 < len(seq) else 0) for i in range(0, len(seq), 2))
         data = struct.pack("<iiBBHHHiiii", ref, pos, len(qname) + 1, mapq, 0, len(cigar), flag, len(seq), -1, -1, 0) + qname.encode() + b"\0"
-        data += b"".join(struct.pack("<I", n << 4 | alignments._OPS.index(op)) for n, op in cigar) + packed + b"\x1e" * len(seq) + b"NMC\0"
+        data += b"".join(struct.pack("<I", n << 4 | bam._OPS.index(op)) for n, op in cigar) + packed + b"\x1e" * len(seq) + b"NMC\0"
         body += struct.pack("<i", len(data)) + data
-    with open(path, "wb") as f:
-        f.write(gzip.compress(body))
+    return body
 
 
-def test_bam_both_ways(spark, tmp_path):
+def bgzf_block(data):
+    z = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = z.compress(data) + z.flush()
+    return bam.BLOCK_HEAD + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+def bgzf(data, sizes):
+    """``data`` in blocks whose sizes come from an iterator, and the empty block at the end."""
+    out, at = [], 0
+    while at < len(data):
+        n = next(sizes)
+        out.append(bgzf_block(data[at : at + n]))
+        at += n
+    return b"".join(out) + bgzf_block(b"")
+
+
+def reads(n, seed=1, longest=400):
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        size = rng.choice([0, 5, rng.randint(1, longest)])
+        out.append((f"read{i}/{rng.random()}", rng.randint(0, 4095), rng.randint(-1, 1), rng.randint(-1, 10**8), 7, [(size, "M")] if size else [], "".join(rng.choice("ACGTN") for _ in range(size))))
+    return out
+
+
+def test_bam_of_plain_gzip(spark, tmp_path):
     path = str(tmp_path / "a.bam")
-    write_bam(path, [("chr1", 1000), ("chr2", 500)], [("q1", 0, 1, 10, 7, [(3, "M"), (20, "N"), (2, "M")], "ACGTN"), ("q2", 4, -1, -1, 0, [], "AC")])
-    spark.dataSource.register(alignments.BamSource)
-    by_source = spark.read.format("bam").load(path)
-    for rows in (by_source, alignments.read_alignments(spark, path)):
-        got = {r.qname: r for r in rows.collect()}
+    content = bam_bytes([("chr1", 1000), ("chr2", 500)], [("q1", 0, 1, 10, 7, [(3, "M"), (20, "N"), (2, "M")], "ACGTN"), ("q2", 4, -1, -1, 0, [], "AC")])
+    for data in (gzip.compress(content), bgzf(content, iter([10**6])), gzip.compress(content[:40]) + gzip.compress(content[40:])):
+        (tmp_path / "a.bam").write_bytes(data)
+        got = {r.qname: r for r in alignments.read_alignments(spark, path).collect()}
+        assert set(got) == {"q1", "q2"}
         assert (got["q1"].rname, got["q1"].pos, got["q1"].cigar, got["q1"].seq, got["q1"].qual, got["q1"].tags) == ("chr2", 10, "3M20N2M", "ACGTN", "?????", {"NM": "0"})
         assert (got["q2"].rname, got["q2"].cigar) == ("*", "*")
 
 
-def test_bgzf_blocks():
-    def block(data):
-        z = zlib.compressobj(6, zlib.DEFLATED, -15)
-        body = z.compress(data) + z.flush()
-        head = b"\x1f\x8b\x08\x04" + b"\0" * 4 + b"\0\xff" + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, len(body) + 25)
-        return head + body + struct.pack("<II", zlib.crc32(data), len(data))
-
-    whole = block(b"abc") + block(b"defg")
-    assert len(alignments.block_offsets(whole)) == 2 and alignments.inflate(whole) == b"abcdefg"
-    with pytest.raises(ValueError):
-        alignments.block_offsets(b"x" * 40)
+@pytest.mark.parametrize("largest", [300, 5000, 65280])
+def test_bam_in_ranges(spark, tmp_path, largest):
+    """One file as few and as many ranges gives equal rows, whatever the block borders cut."""
+    rng = random.Random(largest)
+    own = reads(3000)
+    (tmp_path / "x y%").mkdir()
+    names = [(f"chr{i}", 10**8) for i in range(2)]
+    data = bgzf(bam_bytes(names, own), iter(lambda: rng.randint(1, largest), None))
+    (tmp_path / "x y%" / "a.bam").write_bytes(data)
+    (tmp_path / "x y%" / "b.bam").write_bytes(bgzf(bam_bytes([("other", 5), *names], [("b", 0, 0, 1, 2, [], "A")]), iter([50] * 100)))
+    want = sorted([(r[0], r[1], f"chr{r[2]}" if r[2] >= 0 else "*", r[3], r[6] or "*") for r in own] + [("b", 0, "other", 1, "A")])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for ranges in (1, 4, 50):
+            for k in before:
+                spark.conf.set(k, str(-(-len(data) // ranges) + 1))
+            rows = bam.read_bam(spark, str(tmp_path / "x y%"))
+            assert sorted((r.qname, r.flag, r.rname, r.pos, r.seq) for r in rows.collect()) == want
+            for k in before:
+                spark.conf.set(k, str(max(64, len(data) // ranges)))
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            assert bam.read_bam(spark, str(tmp_path / "x y%")).count() == len(want)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_range_parts_at_every_border():
+    """Cut anywhere, the ends of ranges meet in whole records; a range without a start gives all to its neighbours."""
+    own = reads(60, 3, 60)
+    content = bam_bytes([("chr1", 9), ("chr2", 9)], own)
+    opens = bam.parse_header(content)[1]
+    for cut in range(opens + 1, len(content), 7):
+        left = list(bam.parts(iter([content[:cut]]), 2, True))
+        right = list(bam.parts(iter([content[cut:][i : i + 50] for i in range(0, len(content) - cut, 50)]), 2, False))
+        assert left[0] == (bam.HEAD, b"") and left[-1][0] == bam.TAIL
+        records = b"".join(d for k, d in left if k == bam.RECORDS) + left[-1][1] + b"".join(d for k, d in right if k != bam.TAIL)
+        assert bam.whole(records) == len(records) and records + right[-1][1] * (right[-1][0] == bam.TAIL) == content[opens:]
+        if right[0][0] == bam.HEAD:
+            joined = left[-1][1] + right[0][1]
+            assert bam.whole(joined) == len(joined)
+
+
+def test_bam_faults(spark, tmp_path):
+    content = bam_bytes([("chr1", 9)], reads(50, 5))
+    (tmp_path / "cut.bam").write_bytes(bgzf(content[:-5], iter([1000] * 1000)))
+    with pytest.raises(Exception, match="cut off"):
+        bam.read_bam(spark, str(tmp_path / "cut.bam")).count()
+    whole = bytearray(bgzf(content, iter([3000] * 1000)))
+    whole[-40] ^= 1
+    (tmp_path / "sum.bam").write_bytes(bytes(whole))
+    with pytest.raises(Exception, match="checksum|invalid|Error"):
+        bam.read_bam(spark, str(tmp_path / "sum.bam")).count()
+    (tmp_path / "head.bam").write_bytes(bgzf(content[:20], iter([1000])))
+    with pytest.raises(ValueError, match="header"):
+        bam.read_bam(spark, str(tmp_path / "head.bam"))
+    names = [(f"sequence{i:06}", 1) for i in range(40_000)]
+    (tmp_path / "long.bam").write_bytes(bgzf(bam_bytes(names, [("q", 0, 39_999, 1, 0, [], "A")] * 20), iter([60000] * 1000)))
+    assert {r.rname for r in bam.read_bam(spark, str(tmp_path / "long.bam")).collect()} == {"sequence039999"}
+
+
+def test_block_contents():
+    data = bgzf_block(b"abc")
+    assert bam.block(data[len(bam.BLOCK_HEAD) :]) == b"abc" and bam.inflate(data + bgzf_block(b"defg")) == b"abcdefg"
+    with pytest.raises(ValueError, match="states"):
+        bam.block(data[len(bam.BLOCK_HEAD) :] + b"x")
 
 
 def test_design(spark):
