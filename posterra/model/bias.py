@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seq as S
 from ..operators.fragments import GC_UPPERS, capped
+from ..sources import fasta
 from .slice import maximum
 
 #: Bases to either side of a read's start, reads that train a motif, parents of a place and their distance.
@@ -20,8 +21,6 @@ COMPLEXITY = 1.0
 #: Lengths of transcripts that train a library's 3' rate, and the range of its logarithm.
 THREE_PRIME_LENGTHS = (5000, 10000)
 THREE_PRIME_RANGE = (-100.0, -10.0)
-#: Bases of a tile of a sequence.
-TILE = 1 << 16
 
 
 # --- fragment length ----------------------------------------------------------------------------
@@ -74,15 +73,16 @@ def windows(positions: DataFrame, sequences: DataFrame, seed: int, most: int = M
     return both.select(F.inline(F.array(F.struct(F.lit(1).alias("fore"), F.col("fore").alias("s")), F.struct(F.lit(0).alias("fore"), F.col("back").alias("s"))))).where(~F.col("s").contains("N"))
 
 
-def tiles(sequences: DataFrame, reach: int, size: int = TILE) -> DataFrame:
-    """(seqname, tile, first, seq): pieces of ``size`` bases with ``reach`` more to either side; ``first`` is the place of the piece's first base."""
-    number = F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.length("seq") - 1, F.lit(0)) / size).cast("int"))).alias("tile")
-    rows = sequences.select("seqname", "seq", number)
-    first = F.greatest(F.col("tile") * size - reach, F.lit(0))
-    return rows.select("seqname", "tile", first.alias("first"), F.substring("seq", first + 1, F.col("tile") * size + size + reach - first).alias("seq"))
+def tiles(sequences: DataFrame, reach: int, size: int = fasta.TILE) -> DataFrame:
+    """(seqname, tile, first, seq) of sequences (seqname, seq), or of tiles as they were read; these reach far enough or are refused."""
+    if "tile" not in sequences.columns:
+        return fasta.tiles_of(sequences, size, reach)
+    if reach > fasta.REACH or size != fasta.TILE:
+        raise ValueError(f"tiles of {fasta.TILE} bases that reach {fasta.REACH} further are too small for {reach}")
+    return sequences
 
 
-def with_tiles(rows: DataFrame, sequences: DataFrame, at: str, reach: int, size: int = TILE) -> DataFrame:
+def with_tiles(rows: DataFrame, sequences: DataFrame, at: str, reach: int, size: int = fasta.TILE) -> DataFrame:
     """Rows with the piece of sequence around them, so that none carries a chromosome; a place off its sequence finds none."""
     return rows.withColumn("tile", F.floor(F.col(at) / size).cast("int")).join(tiles(sequences, reach, size), ["seqname", "tile"])
 

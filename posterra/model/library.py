@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import seq as S
 from ..operators import fragments
+from ..sources import fasta
 from . import bias, weights
 from .bias import LEFT, RIGHT, LengthModel, Motif
 
@@ -37,18 +38,19 @@ class Library:
 def with_sequences(transcripts: DataFrame, genome: DataFrame) -> DataFrame:
     """``transcripts`` (seqname, strand, exons) with their spliced ``sequence``, 5' to 3', padded by what a motif sees; without their sequence they are all N.
 
-    A chromosome is cut to the transcripts of each of its tiles before anything is spliced.
+    ``genome`` has tiles (seqname, tile, first, seq) or sequences (seqname, seq). Each exon fetches its bases from
+    the tiles that it touches, the outer ones with what a motif sees.
     """
     flank = max(LEFT, RIGHT)
-    size = F.col("max_end") - F.col("min_start") + 1
-    first = F.greatest(F.col("min_start") - flank, F.lit(0))
-    piece = F.substring("seq", (first + 1).cast("int"), (F.col("max_end") + flank - first + 1).cast("int"))
-    own = transcripts.select("tid", "seqname", "strand", "exons", "min_start", "max_end").join(genome, "seqname").select("tid", "strand", "exons", first.alias("first"), piece.alias("piece"))
-    moved = F.transform("exons", lambda e: F.struct((e["start"] - F.col("first")).cast("int").alias("start"), (e["end"] - F.col("first")).cast("int").alias("end")))
-    forward = S.spliced(F.col("piece"), moved, flank, flank)
-    made = own.select("tid", F.when(F.col("strand") == "-", S.reverse_complement(forward)).otherwise(forward).alias("sequence"))
-    blank = F.repeat(F.lit("N"), (F.col("exonic_length") + 2 * flank).cast("int"))
-    return transcripts.join(made, "tid", "left").withColumn("sequence", F.coalesce("sequence", F.when(size > 0, blank), F.lit("")))
+    outer = lambda i, at: F.when(i == at, flank).otherwise(0)
+    padded = F.transform("exons", lambda e, i: F.struct((e["start"] - outer(i, F.lit(0))).alias("start"), (e["end"] + outer(i, F.size("exons") - 1)).alias("end")))
+    exon = transcripts.select("tid", "seqname", F.posexplode(padded).alias("k", "e")).select(F.struct("tid", "k").alias("id"), "seqname", F.col("e.start").cast("long").alias("start"), F.col("e.end").cast("long").alias("end"))
+    found = fasta.fetch(exon, bias.tiles(genome, 0 if "tile" in genome.columns else flank))
+    forward = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("id.k").alias("k"), "seq"))), lambda x: x["seq"]), "")
+    made = found.groupBy(F.col("id.tid").alias("tid")).agg(forward.alias("forward"))
+    rows = transcripts.join(made, "tid", "left")
+    sequence = F.when(F.col("strand") == "-", S.reverse_complement(F.col("forward"))).otherwise(F.col("forward"))
+    return rows.withColumn("sequence", F.coalesce(sequence, F.lit(""))).drop("forward")
 
 
 def placed(pairs: DataFrame) -> DataFrame:
