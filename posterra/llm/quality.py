@@ -1,20 +1,19 @@
 """Quality rules: base counts and an n-gram perplexity band per language.
 
-Two passes read the texts. The first counts character n-grams by language (exact,
-merged as sorted arrays within each task, then summed by Spark) over every text,
-so that no text is scored by a model that never saw it. From the counts
-Spark derives an interpolated modified Kneser-Ney model. Each of its n-grams is held
-under a 64-bit hash of language and n-gram, and looked up by the whole hash, so a
-gram never takes the value of another (two of ``n`` grams share a hash with
-probability ``n ** 2 / 2 ** 65``). The second pass scores every text against its own
-language's model and counts the base rules. As every text was counted, every n-gram
-of the highest order is found and its probability, which has the lower orders in it,
-is all that scoring needs. Symbols are UTF-16 units, by case, digits and blanks alike. A model of more than ``ENTRIES`` n-grams is dealt by hash
+Two passes read the texts. The first counts character n-grams (exact, merged as sorted arrays
+within each task, then summed by Spark) by language and fold; a text's fold comes from its hash, so
+equal texts share one. From the counts Spark derives an interpolated modified Kneser-Ney model for each fold,
+from the texts of all other folds: no text is judged by a model that saw it, and every text is
+counted towards some model. Every n-gram that a fold's own texts have gets its probability under that fold's model,
+lower orders included, so that scoring is one look-up: it is held under a 64-bit hash of language, fold and n-gram, and looked up by the
+whole hash (two of ``n`` grams share a hash with probability ``n ** 2 / 2 ** 65``). The second pass scores every text
+and counts the base rules. Symbols are UTF-16 units, by case, digits and blanks alike. A model of more than ``ENTRIES`` n-grams is dealt by hash
 into parts of about that many; the texts are read once for each part, of which only
 one is gathered and broadcast at a time, and what the parts add to a text is summed. The band
 of a language is its median log2 perplexity plus and minus a multiple of the
 median absolute deviation, narrower below (text that says the same over and over) than above
-(noise); each distinct text counts once, so copies don't move it.
+(noise); each distinct text counts once, so copies don't move it. A language of fewer than ``LEAST_TEXTS`` distinct texts
+that pass the base rules has no band: a few texts say nothing of what is usual.
 
 Cases: a null or empty text has no words and fails the base rules; a null language
 is a language of its own; a text with fewer characters than the model's order has
@@ -37,11 +36,15 @@ from .session import checkpointed
 from .textblocks import SYMBOL_BITS, Block, Characters, Words, blocks, byte_hasher, count_grams, mix
 
 ORDER = 4
+#: Parts of the texts, each of which is judged by a model of the others.
+FOLDS = 2
+#: Distinct texts of a language from which on it has a band.
+LEAST_TEXTS = 20
 #: N-grams of one part of the model: 12 bytes each on the driver, at most 48 in a task's table.
 ENTRIES = 1 << 22
 #: Half width of a band in scaled median absolute deviations, and its least values in bits, below and above.
 BAND = 12.0
-LEAST_BAND = (0.75, 1.5)
+LEAST_BAND = (0.75, 2.0)
 _IS_SYMBOL = np.zeros(256, dtype=bool)
 _IS_SYMBOL[list(b"#*$%&|<>")] = True
 
@@ -49,42 +52,49 @@ _IS_SYMBOL[list(b"#*$%&|<>")] = True
 # --- the language model -------------------------------------------------------------------------
 
 
-def kneser_ney(counts: DataFrame, order: int = ORDER) -> list[DataFrame]:
-    """(grp, gram, ctx, p, gamma) of each order, from 1, of an interpolated modified Kneser-Ney model.
+def kneser_ney(counts: DataFrame, order: int = ORDER, models: tuple[str, ...] = ("cnt",), keep: tuple[str, ...] = ()) -> list[DataFrame]:
+    """(grp, gram, ctx, p0, p1, ..., gamma0, gamma1, ...) of each order, from 1, of interpolated modified Kneser-Ney models.
 
-    ``counts`` has (grp, gram, cnt) for the highest order. Lower orders count the distinct
-    symbols to the left. ``p`` has the lower orders in it; ``gamma`` is the weight of the
-    lower order after the context ``ctx``. Each order is cut off from the plan of those
-    before it, which would else be planned again with every order.
+    ``counts`` has (grp, gram) of the highest order and a column of counts for each of ``models``, which may be 0. Lower
+    orders count the distinct symbols to the left. ``p`` has the lower orders in it; ``gamma`` is the weight of the
+    lower order after the context ``ctx``, 1 if the model never saw that. Each order is cut off from the plan of those
+    before it, which would else be planned again with every order. The last has the columns ``keep`` too.
     """
     mask = lambda k: (1 << (SYMBOL_BITS * k)) - 1
-    level = {order: counts.select("grp", "gram", F.col("cnt").cast("double").alias("c"))}
+    own = range(len(models))
+    level = {order: counts.select("grp", "gram", *[F.col(m).cast("double").alias(f"c{i}") for i, m in enumerate(models)], *keep)}
     for k in range(order - 1, 0, -1):
-        level[k] = checkpointed(level[k + 1].groupBy("grp", F.col("gram").bitwiseAND(F.lit(mask(k))).alias("gram")).agg(F.count(F.lit(1)).cast("double").alias("c")))
-    few = [F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)]
-    of = reduce(DataFrame.unionByName, [level[k].select("grp", F.lit(k).alias("k"), "c") for k in level]).groupBy("grp", "k").agg(*few)
-    y = F.coalesce(F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2")), F.lit(0.5))
-    discount = lambda i: F.greatest(
-        F.lit(0.1), F.least(F.lit(float(i)), F.coalesce(i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(0.5 * i)))
-    )
+        shorter = level[k + 1].groupBy("grp", F.col("gram").bitwiseAND(F.lit(mask(k))).alias("gram"))
+        level[k] = checkpointed(shorter.agg(*[F.count_if(F.col(f"c{i}") > 0).cast("double").alias(f"c{i}") for i in own]))
+    few = [F.count_if(F.col(f"c{i}") == n).cast("double").alias(f"n{i}_{n}") for i in own for n in (1, 2, 3, 4)]
+    of = reduce(DataFrame.unionByName, [level[k].select("grp", F.lit(k).alias("k"), *[f"c{i}" for i in own]) for k in level]).groupBy("grp", "k").agg(*few)
+
+    def discount(i: int, n: int):
+        one, two = F.col(f"n{i}_1"), F.col(f"n{i}_2")
+        y = F.coalesce(F.try_divide(one, one + 2 * two), F.lit(0.5))
+        value = n - (n + 1) * y * F.try_divide(F.col(f"n{i}_{n + 1}"), F.col(f"n{i}_{n}"))
+        return F.greatest(F.lit(0.1), F.least(F.lit(float(n)), F.coalesce(value, F.lit(0.5 * n)))).alias(f"d{i}_{n}")
+
     # one row a language and order
-    of = checkpointed(of.select("grp", "k", *[discount(i).alias(f"d{i}") for i in (1, 2, 3)]))
-    models: list[DataFrame] = []
+    of = checkpointed(of.select("grp", "k", *[discount(i, n) for i in own for n in (1, 2, 3)]))
+    out: list[DataFrame] = []
     for k in range(1, order + 1):
         t = level[k].join(F.broadcast(of.where(F.col("k") == k)), "grp")
-        d = F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3"))
-        t = t.select("grp", "gram", "c", d.alias("d"), F.shiftrightunsigned("gram", SYMBOL_BITS).alias("ctx"))
+        d = [F.when(F.col(f"c{i}") == 0, 0.0).when(F.col(f"c{i}") == 1, F.col(f"d{i}_1")).when(F.col(f"c{i}") == 2, F.col(f"d{i}_2")).otherwise(F.col(f"d{i}_3")).alias(f"d{i}") for i in own]
+        more = keep if k == order else ()
+        t = t.select("grp", "gram", *[f"c{i}" for i in own], *d, F.shiftrightunsigned("gram", SYMBOL_BITS).alias("ctx"), *more)
         # a context has at most as many rows as there are symbols
         context = Window.partitionBy("grp", "ctx")
-        t = t.withColumns({"tot": F.sum("c").over(context), "gamma": F.sum("d").over(context)}).withColumn("gamma", F.col("gamma") / F.col("tot"))
+        t = t.withColumns({f"tot{i}": F.sum(f"c{i}").over(context) for i in own} | {f"held{i}": F.sum(f"d{i}").over(context) for i in own})
         if k == 1:
-            t = t.withColumn("low", F.lit(1.0 / (1 << SYMBOL_BITS)))
+            t = t.withColumns({f"low{i}": F.lit(1.0 / (1 << SYMBOL_BITS)) for i in own})
         else:
-            lower = models[-1].select("grp", F.col("gram").alias("suffix"), F.col("p").alias("low"))
+            lower = out[-1].select("grp", F.col("gram").alias("suffix"), *[F.col(f"p{i}").alias(f"low{i}") for i in own])
             t = t.withColumn("suffix", F.col("gram").bitwiseAND(F.lit(mask(k - 1)))).join(lower, ["grp", "suffix"])
-        p = F.greatest(F.col("c") - F.col("d"), F.lit(0.0)) / F.col("tot") + F.col("gamma") * F.col("low")
-        models.append(checkpointed(t.select("grp", "gram", "ctx", p.alias("p"), "gamma")))
-    return models
+        gamma = {i: F.when(F.col(f"tot{i}") > 0, F.col(f"held{i}") / F.col(f"tot{i}")).otherwise(1.0) for i in own}
+        p = [(F.when(F.col(f"tot{i}") > 0, F.greatest(F.col(f"c{i}") - F.col(f"d{i}"), F.lit(0.0)) / F.col(f"tot{i}")).otherwise(0.0) + gamma[i] * F.col(f"low{i}")).alias(f"p{i}") for i in own]
+        out.append(checkpointed(t.select("grp", "gram", "ctx", *p, *[gamma[i].alias(f"gamma{i}") for i in own], *more)))
+    return out
 
 
 def gram_keys(grams: np.ndarray, group_hash: np.ndarray) -> np.ndarray:
@@ -99,13 +109,24 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(gram_keys(gram, g).view(np.int64)), b.column(2)], names=["key", "logp"])
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER) -> DataFrame:
-    """(key, logp) of every n-gram of the highest order, counted over all texts."""
-    source = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("grp"), F.col(text).cast("string").alias("text"))
+def fold_of(text, folds: int):
+    """The part of the texts that a text belongs to."""
+    return F.pmod(F.xxhash64(text), F.lit(folds)).cast("int")
+
+
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", order: int = ORDER, folds: int = FOLDS) -> DataFrame:
+    """(key, logp) of every n-gram of the highest order that a fold's texts have, under the model of all other folds."""
+    body = F.col(text).cast("string")
+    source = docs.select(F.concat(fold_of(body, folds).cast("string"), F.lit(":"), F.coalesce(F.col(lang).cast("string"), F.lit(""))).alias("part"), body.alias("text"))
     counted = source.mapInArrow(lambda it: count_grams(it, order), "grp string, gram long, cnt long")
-    counted = counted.groupBy("grp", "gram").agg(F.sum("cnt").alias("cnt"))
-    model = kneser_ney(checkpointed(counted), order)[-1]
-    return checkpointed(model.select(F.xxhash64("grp").alias("g"), "gram", F.log2("p").cast("float").alias("logp")).mapInArrow(_keyed, "key long, logp float"))
+    fold, grp = F.substring_index("grp", ":", 1).cast("int"), F.expr("substring(grp, instr(grp, ':') + 1)")
+    counted = counted.groupBy(grp.alias("grp"), "gram").agg(*[F.coalesce(F.sum(F.when(fold == i, F.col("cnt"))), F.lit(0)).alias(f"own{i}") for i in range(folds)])
+    others = {f"others{i}": reduce(lambda a, b: a + b, [F.col(f"own{j}") for j in range(folds) if j != i], F.lit(0)) for i in range(folds)}
+    own = tuple(f"own{i}" for i in range(folds))
+    model = kneser_ney(checkpointed(counted).withColumns(others), order, tuple(others), own)[-1]
+    each = F.array(*[F.struct(F.xxhash64("grp", F.lit(i)).alias("g"), F.col("gram"), F.log2(f"p{i}").cast("float").alias("logp"), F.col(f"own{i}").alias("own")) for i in range(folds)])
+    rows = model.select(F.inline(each)).where("own > 0").select("g", "gram", "logp")
+    return checkpointed(rows.mapInArrow(_keyed, "key long, logp float"))
 
 
 @dataclass
@@ -267,8 +288,8 @@ def _score(batches: Iterator[pa.RecordBatch], part) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*named.values()], names=[*named])
 
 
-def scored(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", entries: int = ENTRIES, carry: bool = False) -> DataFrame:
-    """Base counts and log2 perplexity a symbol of every row; ``model`` was fitted to the same documents.
+def scored(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", entries: int = ENTRIES, carry: bool = False, folds: int = FOLDS) -> DataFrame:
+    """Base counts and log2 perplexity a symbol of every row; ``model`` was fitted to the same documents and folds.
 
     With ``carry`` the columns of ``docs`` follow as ``c0``, ``c1`` and so on.
     """
@@ -277,7 +298,7 @@ def scored(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "
     body = F.col(text).cast("string")
     own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)] if carry else []
     kinds = "".join(f", c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema)) if carry else ""
-    source = docs.select(F.col(key).cast("long").alias("doc_id"), grp.alias("lang"), F.xxhash64(body).alias("text_hash"), F.xxhash64(grp).alias("grp"), body.alias("text"), *own)
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), grp.alias("lang"), F.xxhash64(body).alias("text_hash"), F.xxhash64(grp, fold_of(body, folds)).alias("grp"), body.alias("text"), *own)
     rows, more = None, []
     for part in parts(model, entries=entries):
         shared = spark.sparkContext.broadcast(part)
@@ -299,7 +320,7 @@ def bands(rows: DataFrame, width: float = BAND, least: tuple[float, float] = LEA
     """(lang, ppl_low, ppl_high) over the distinct texts that pass the base rules."""
     texts = rows.where(F.col("log2_ppl").isNotNull() & ~base_failed()).groupBy("lang", "text_hash").agg(F.min("log2_ppl").alias("x"))
     texts = checkpointed(texts.select("lang", "x"))
-    middle = texts.groupBy("lang").agg(F.percentile_approx("x", 0.5, 10000).alias("mid"))
+    middle = texts.groupBy("lang").agg(F.percentile_approx("x", 0.5, 10000).alias("mid"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TEXTS).drop("n")
     spread = texts.join(F.broadcast(middle), "lang").groupBy("lang", "mid").agg(F.percentile_approx(F.abs(F.col("x") - F.col("mid")), 0.5, 10000).alias("mad"))
     half = lambda i: F.greatest(F.lit(least[i]), width * 1.4826 * F.col("mad"))
     return checkpointed(spread.select("lang", (F.col("mid") - half(0)).alias("ppl_low"), (F.col("mid") + half(1)).alias("ppl_high")))
