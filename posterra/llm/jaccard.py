@@ -93,10 +93,24 @@ def fingerprints(codes: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
-def class_ids(codes: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """A number for each set, of its size and fingerprint."""
+def class_ids(codes: np.ndarray, offs: np.ndarray, shared: np.ndarray | None = None, bits: int = 64) -> np.ndarray:
+    """A number for each set, of its size and fingerprint.
+
+    ``shared`` lists the numbers that different sets have in common, in order: those sets get another one.
+    ``bits`` is there for tests, which can't wait for such sets.
+    """
     hi, lo = fingerprints(codes, offs)
-    return mix(hi.view(np.uint64) + mix(lo.view(np.uint64) + np.diff(offs).astype(np.uint64))).view(np.int64)
+    return numbered_classes(hi, lo, np.diff(offs), shared, bits)
+
+
+def numbered_classes(hi: np.ndarray, lo: np.ndarray, n: np.ndarray, shared: np.ndarray | None = None, bits: int = 64) -> np.ndarray:
+    own = mix(hi.view(np.uint64) + mix(lo.view(np.uint64) + n.astype(np.uint64)))
+    ids = (own >> np.uint64(64 - bits)).view(np.int64)
+    if shared is not None and len(shared):
+        other = mix(lo.view(np.uint64) + mix(hi.view(np.uint64) ^ np.uint64(0xD1B54A32D192ED03) + n.astype(np.uint64)))
+        at = np.minimum(np.searchsorted(shared, ids), len(shared) - 1)
+        ids = np.where(shared[at] == ids, other.view(np.int64), ids)
+    return ids
 
 
 def shared_prefix(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -134,7 +148,7 @@ def bitmaps(codes: np.ndarray, offs: np.ndarray) -> np.ndarray:
 _MARKED = "doc_id long, th long, n long, hi long, lo long, id long, chunk int, packed binary"
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _mark(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Size, fingerprint and class of every text; then, in rows of their own, the task's counts of shingles by slot."""
     counts = np.zeros(SLOTS, dtype=np.uint32)
     for batch in batches:
@@ -145,7 +159,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts[slot] += count.astype(np.uint32)
             n = len(block)
             own = [batch.column(i).slice(block.first, n) for i in (0, 2)]
-            numbers = [pa.array(x) for x in (np.diff(offs).astype(np.int64), hi, lo, class_ids(codes, offs))]
+            numbers = [pa.array(x) for x in (np.diff(offs).astype(np.int64), hi, lo, numbered_classes(hi, lo, np.diff(offs), bits=bits))]
             yield pa.RecordBatch.from_arrays([*own, *numbers, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=[x.split()[0] for x in _MARKED.split(", ")])
     if (rows := slots.packed(counts)) is not None:
         yield pa.RecordBatch.from_arrays([pa.nulls(rows.num_rows, pa.int64())] * 6 + rows.columns, names=[x.split()[0] for x in _MARKED.split(", ")])
@@ -156,9 +170,16 @@ def _level(usual: float):
     return lambda total: np.log2(np.maximum(total / (usual + 4 * usual**0.5 + 4), 1))
 
 
-def _unseen(codes: np.ndarray, offs: np.ndarray, seen: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _renumbered(batches: Iterator[pa.RecordBatch], shared: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """Marked rows with the ids that sets get whose first is shared."""
+    for batch in batches:
+        hi, lo, n = (batch.column(i).to_numpy() for i in (3, 4, 2))
+        yield batch.set_column(5, "id", pa.array(numbered_classes(hi, lo, n, shared, bits)))
+
+
+def _unseen(codes: np.ndarray, offs: np.ndarray, seen: set[int], common: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Those sets of a block that are not empty and whose class the task has not met: codes, offsets, classes."""
-    ids, n = class_ids(codes, offs), np.diff(offs)
+    ids, n = class_ids(codes, offs, common, bits), np.diff(offs)
     new = np.array([k > 0 and not (name in seen or seen.add(name)) for name, k in zip(ids.tolist(), n.tolist(), strict=True)], dtype=bool)
     return codes[np.repeat(new, n)], np.concatenate(([0], np.cumsum(n[new]))), ids[new]
 
@@ -169,11 +190,11 @@ def _post(batches: Iterator[pa.RecordBatch], shared, percent: int) -> Iterator[p
     With a filter of the lists that several texts are in: the plain prefix of those classes
     alone that have enough of the longer one in such lists.
     """
-    levels, lists = shared.value
+    (levels, lists), common, bits = shared.value
     seen: set[int] = set()
     for batch in batches:
         for block in blocks(batch.column(0)):
-            codes, offs, ids = _unseen(*shingle_sets(block), seen)
+            codes, offs, ids = _unseen(*shingle_sets(block), seen, common, bits)
             keys, upto = prefixes(codes, offs, 0, levels, percent)
             size = np.diff(upto)
             of = np.repeat(ids, size)
@@ -193,11 +214,11 @@ _SETS = "id long, n long, codes binary, bitmap array<long>, prefix2 array<int>,
 
 def _sets(batches: Iterator[pa.RecordBatch], shared, percent: int) -> Iterator[pa.RecordBatch]:
     """Set, bitmap and prefixes under the other orders of every class that the filter lets through, once a task; 32 bits of each shingle of the prefixes, which can only add candidates."""
-    levels, wanted = shared.value
+    (levels, wanted), common, bits = shared.value
     seen: set[int] = set()
     for batch in batches:
         for block in blocks(batch.column(0)):
-            codes, offs, ids = _unseen(*shingle_sets(block), seen)
+            codes, offs, ids = _unseen(*shingle_sets(block), seen, common, bits)
             able = slots.may_hold(wanted, ids)
             n = np.diff(offs)
             codes, offs, ids = codes[np.repeat(able, n)], np.concatenate(([0], np.cumsum(n[able]))), ids[able]
@@ -351,7 +372,13 @@ def _head():
     return F.min(F.struct(F.col("doc_id").isNull().alias("loose"), "doc_id", "th")).alias("head")
 
 
-def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def _shared(rows: DataFrame) -> DataFrame:
+    """Ids that sets of different fingerprint or size have in common."""
+    print_ = F.struct("hi", "lo", "n")
+    return rows.where("n > 0").groupBy("id").agg(F.min(print_).alias("least"), F.max(print_).alias("most")).where("least <> most").select("id")
+
+
+def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th, n, id) of every row (th: ``xxhash64`` of the text), and (id, component, component_id) of every class of equal sets.
 
     ``component_id`` is the least key in the component, null if there is none; ``component`` tells those apart.
@@ -359,11 +386,19 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     spark = docs.sparkSession
     body = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     body = body.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    marked = checkpointed(body.mapInArrow(_mark, _MARKED))
-    rows = marked.where("chunk is null").select("doc_id", "th", "n", "id")
+    marked = checkpointed(body.mapInArrow(lambda it: _mark(it, bits), _MARKED))
+    rows = marked.where("chunk is null").drop("chunk", "packed")
+    # different sets that share 64 bits (in a corpus of n sets, n^2 / 2^65 pairs) are told apart by the other 64 and their size
+    common = np.array([], dtype=np.int64)
+    if shared_ids := [r["id"] for r in _shared(rows).collect()]:
+        common = np.sort(np.array(shared_ids, dtype=np.int64))
+        rows = checkpointed(rows.mapInArrow(lambda it: _renumbered(it, common, bits), "doc_id long, th long, n long, hi long, lo long, id long"))
+        if not _shared(rows).isEmpty():
+            raise RuntimeError("different sets share 128 bits")
+    rows = rows.select("doc_id", "th", "n", "id")
     usual = (rows.agg(F.sum("n")).first()[0] or 0) / SLOTS
     levels = slots.gathered(marked.where("chunk is not null").select("chunk", "packed"), SLOTS, "u4", _level(usual))
-    share = lambda *tables: spark.sparkContext.broadcast(tables)
+    share = lambda *tables: spark.sparkContext.broadcast((tables, common, bits))
     classes = checkpointed(rows.where("n > 0").groupBy("id").agg(_head()).select("id", "head.doc_id"))
 
     texts = body.select("text")
@@ -401,9 +436,9 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     return rows, found.join(least, "component").select("id", "component", "component_id")
 
 
-def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def similarity_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, bits: int = 64) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
-    rows, classes = linked_classes(docs, key, text, percent)
+    rows, classes = linked_classes(docs, key, text, percent, bits)
     rows = rows.withColumn("id", F.when(F.col("n") > 0, F.col("id")))
     return rows.join(classes, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -417,7 +452,9 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     del rows, classes, first, alone
     release(docs.sparkSession)
     plain, (key, text) = numbered(docs, key, text)
-    keyed = plain.withColumns({"__doc": F.col(key).cast("long"), "__th": F.xxhash64(F.col(text).cast("string"))})
-    same = keyed["__doc"].eqNullSafe(stay["doc_id"]) & (keyed["__th"] == stay["th"])
-    kept = keyed.join(stay, same, "left_semi")
-    return kept.dropDuplicates(["__doc", "__th"]).select(*plain.columns).toDF(*docs.columns)
+    # keys without nulls, so that rows are dealt once for the join and for what is left of equal ones
+    names = lambda doc, th: {"__no": doc.isNull(), "__doc": F.coalesce(doc, F.lit(0).cast("long")), "__th": th}
+    stay = stay.select(*[c.alias(n) for n, c in names(F.col("doc_id"), F.col("th")).items()])
+    keyed = plain.withColumns(names(F.col(key).cast("long"), F.xxhash64(F.col(text).cast("string"))))
+    own = ["__no", "__doc", "__th"]
+    return keyed.join(stay, own, "left_semi").dropDuplicates(own).select(*plain.columns).toDF(*docs.columns)

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .session import checkpointed
 from .textblocks import blocks
 
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -120,8 +121,9 @@ def best_fit(
 ) -> DataFrame:
     """(bin_id, capacity, doc_id, piece, bin_offset, n_words, opened): one row per item, n_words words from ``piece * max(capacities)``."""
     body = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    items = body.mapInArrow(lambda it: _items(it, max(capacities)), "doc_id long, piece int, size int")
-    shards = max(1, -(-docs.count() // shard_items))
+    # an item is a few bytes, whatever its text; they are counted, as one text may make many
+    items = checkpointed(body.mapInArrow(lambda it: _items(it, max(capacities)), "doc_id long, piece int, size int"))
+    shards = max(1, -(-items.count() // shard_items))
     items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
     schema = "bin_id long, capacity int, doc_id long, piece int, bin_offset int, n_words int, opened int"
     return items.groupBy("shard").applyInPandas(_packed(tuple(sorted(capacities)), attention, bin_cost), schema)

@@ -141,11 +141,7 @@ class TokenTree:
         end = max(start, min(end, n))
         if not self.leaves or n == 0:
             if replacement:
-                if not self.leaves:
-                    self.__init__([replacement], np.array([len(self.encode(replacement))]), self.encode)
-                else:
-                    self._set(0, replacement, len(self.encode(replacement)))
-                self.encoded_chars += len(replacement)
+                self._put(0, len(self.leaves), replacement)
             return self.total
         first, at = self._leaf(start)
         last, last_at = self._leaf(max(start, end - 1))
@@ -158,13 +154,25 @@ class TokenTree:
         while last + 1 < len(self.leaves) and not _begins(new, self.leaves[last + 1]):
             last += 1
             new += self.leaves[last]
-        for leaf in range(first + 1, last + 1):
-            if self.leaves[leaf]:
-                self._set(leaf, "", 0)
-        self._set(first, new, len(self.encode(new)))
-        self.encoded_chars += len(new)
+        self._put(first, last + 1, new)
         return self.total
 
+    def _put(self, first: int, stop: int, new: str) -> None:
+        """Leaves first:stop become the segments of ``new``; where those are more, the sums above are built anew, but nothing else is encoded."""
+        pieces = split(new)
+        tokens = [len(self.encode(x)) for x in pieces]
+        self.encoded_chars += len(new)
+        if len(pieces) <= stop - first:
+            for leaf in range(first, stop):
+                at = leaf - first
+                if at < len(pieces) or self.leaves[leaf]:
+                    self._set(leaf, *((pieces[at], tokens[at]) if at < len(pieces) else ("", 0)))
+            return
+        size, encoded = self.size, self.encoded_chars
+        kept = self.tokens[size : size + len(self.leaves)]
+        self.__init__([*self.leaves[:first], *pieces, *self.leaves[stop:]], np.concatenate((kept[:first], tokens, kept[stop:])).astype(np.int64), self.encode)
+        self.encoded_chars = encoded
+
 
 def split(text: str) -> list[str]:
     if not text:

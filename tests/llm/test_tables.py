@@ -84,6 +84,14 @@ def test_best_fit_cases(spark):
     assert packing.best_fit(docs.limit(0)).count() == 0
 
 
+def test_shards_hold_items_not_documents(spark):
+    """Two long documents make as many shards as their items need."""
+    docs = spark.createDataFrame([(i, "w " * 2_000_000) for i in range(2)] + [(9, "a b")], "doc_id long, text string")
+    got = packing.best_fit(docs, shard_items=64).withColumn("shard", F.shiftright("bin_id", 32))
+    sizes = [r["count"] for r in got.groupBy("shard").count().collect()]
+    assert sum(sizes) == 2 * 489 + 1 and max(sizes) < 128 and len(sizes) > 8
+
+
 def brute(vectors, k):
     ok = [(i, [int(np.floor(1024 * float(x))) for x in v]) for i, v in vectors if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []

@@ -390,6 +390,14 @@ def test_many_languages_in_slices():
     assert f.false_positive.max() < 0.01
 
 
+def test_sets_that_share_an_id(spark, texts):
+    """With ids of one bit nearly all classes share one, and are told apart by the rest of their fingerprints."""
+    rows = texts + [(200 + i, " ".join(words(30, 50 + i // 2))) for i in range(12)]
+    want = sorted(tuple(r) for r in jaccard.similarity_components(frame(spark, rows)).collect())
+    assert sorted(tuple(r) for r in jaccard.similarity_components(frame(spark, rows), bits=1).collect()) == want
+    assert len({c for _, _, c in want}) > 6
+
+
 # --- quality ------------------------------------------------------------------------------------
 
 
@@ -600,6 +608,22 @@ def test_token_counts_and_edits(spark):
         assert (got[i].n_tokens, got[i].n_tokens_edited) == (len(encode(t)), len(encode(u))), (t, u)
 
 
+def test_inserted_text_is_split():
+    """An edit within text that an edit brought in encodes its surroundings only, and later edits keep the sums right."""
+    encode = tokens.encoder()
+    rng = np.random.default_rng(21)
+    for start in ("", "a few words stand here"):
+        tree = tokens.TokenTree.of(start, encode)
+        text = start
+        new = " ".join(f"w{x}" for x in rng.integers(0, 10_000, 80_000))
+        for a, b, c in ((2, 5, new), (200_000, 200_001, "x"), (300, 390_000, "short"), (10, 10, " and more"), (0, 3, new[:5000])):
+            a, b = min(a, len(text)), min(b, len(text))
+            before = tree.encoded_chars
+            text = text[:a] + c + text[b:]
+            assert tree.edit(a, b, c) == len(encode(text)) and tree.text() == text
+            assert tree.encoded_chars - before <= len(c) + 200
+
+
 def test_tree_re_encodes_only_what_changes():
     encode = tokens.encoder()
     text = " ".join(words(2000, 40))
