@@ -15,7 +15,7 @@ from ..operators import annotation, components, fragments, scaling
 from ..plans import registry
 from ..session import checkpointed
 from ..sources import store
-from . import gibbs, library, weights
+from . import giants, gibbs, library, weights
 
 
 @dataclass
@@ -31,17 +31,18 @@ class Options:
     exclude: tuple[str, ...] = ()
     dry_run: bool = False
     fragmentation: bool = True
+    largest_component: int = giants.LARGEST
     priors: gibbs.Priors = field(default_factory=gibbs.Priors)
 
 
 def fragment_rows(alignments: DataFrame, library: str = "FR") -> DataFrame:
-    """(frag, qname, seqname, strand, start, end, blocks1, blocks2, align_pr) of the valid pairs and single reads."""
+    """(frag, qname, seqname, strand, start, end, blocks1, blocks2, align_pr, plain) of the valid pairs and single reads; ``plain`` pairs align in one piece each."""
     ops = C.operations(F.col("cigar"))
     hit = F.coalesce(F.try_element_at("tags", F.lit("HI")).try_cast("int"), F.lit(0))
     rows = alignments.withColumn("ops", ops).withColumns({"alnnum": hit, "blocks": C.aligned_blocks(F.col("pos"), F.col("ops"))})
     wrong = C.misaligned_probability(C.mismatches(F.col("tags"), F.try_element_at("tags", F.lit("MD"))), F.length("seq"))
     rows = rows.where(F.size("blocks") > 0).select(
-        "qname", "rname", "flag", "pos", (F.element_at("blocks", -1)["end"]).alias("end"), "alnnum", F.struct("blocks", (1 - wrong).alias("pr")).alias("cigar")
+        "qname", "rname", "flag", "pos", (F.element_at("blocks", -1)["end"]).alias("end"), "alnnum", F.struct("blocks", (1 - wrong).alias("pr"), (F.size("ops") == 1).alias("plain")).alias("cigar")
     )
     pairs = fragments.mate_pairs(rows, library)
     second = F.col("mate2")
@@ -50,6 +51,7 @@ def fragment_rows(alignments: DataFrame, library: str = "FR") -> DataFrame:
         F.concat_ws(":", "qname", "rname", "mate1.pos", "mate1.alnnum", F.coalesce(second["pos"], F.lit(-1))).alias("frag"), "qname", F.col("rname").alias("seqname"), strand.alias("strand"),
         F.least("mate1.pos", F.coalesce(second["pos"], F.col("mate1.pos"))).alias("start"), F.greatest("mate1.end", F.coalesce(second["end"], F.col("mate1.end"))).alias("end"),
         F.col("mate1.cigar.blocks").alias("blocks1"), second["cigar"]["blocks"].alias("blocks2"), (F.col("mate1.cigar.pr") * F.coalesce(second["cigar"]["pr"], F.lit(1.0))).alias("align_pr"),
+        (F.col("mate1.cigar.plain") & F.coalesce(second["cigar"]["plain"], F.lit(False))).alias("plain"),
     )
 
 
@@ -66,7 +68,7 @@ def likelihood(alignments: DataFrame, transcripts: DataFrame, options: Options,
     usable = fragments.properly_paired(fragments.mapped(alignments, options.exclude))
     t = transcripts.select("tid", "gene_id", "seqname", F.col("strand").alias("t_strand"), "min_start", "max_end", "exons")
     pairs = library.placed(fragments.compatibility(fragment_rows(usable, options.library), t, options.strandedness))
-    pairs = checkpointed(pairs.select("frag", "qname", "seqname", "strand", "start", "end", "tid", "t_strand", "frag_len", "five", "align_pr"))
+    pairs = checkpointed(pairs.select("frag", "qname", "seqname", "strand", "start", "end", "tid", "t_strand", "frag_len", "five", "align_pr", "plain"))
     models = library.train(pairs, transcripts, options.strandedness != "none", genome, options.fragmentation, training, options.seed)
     effective = library.effective_lengths(transcripts, models)
     rows = pairs.select("frag", "qname", "tid", F.col("seqname").alias("locus"), "align_pr", "frag_len", (F.col("strand") == F.col("t_strand")).alias("agrees"))
@@ -83,7 +85,7 @@ def run(
 ) -> None:
     """Analyse an experiment and write every draw to the store at ``path``.
 
-    samples: the design table; alignments: alignment rows by sample number; genome: (seqname,
+    samples: the design table; alignments: alignment rows by sample number; genome: tiles or (seqname,
     seq), without which sequence and GC bias are not corrected; training: (seqname) that bias
     models learn from, none: all; quality: gets a report for each sample.
     """
@@ -108,6 +110,7 @@ def run(
         return
     labels = components.fragment_components(matrix, transcripts.select("tid", "tgroup"))
     matrix = checkpointed(matrix.join(labels, ["sample", "tid"]))
+    fitting, large, large_keys = giants.split(matrix, options.largest_component)
     loads = matrix.groupBy("sample", "component").agg(F.count_distinct("frag").alias("fragments"))
     base = matrix.select("sample", "component", "tid").distinct().join(loads, ["sample", "component"]).join(sizes, ["sample", "tid"])
     n_in = F.count(F.lit(1)).over(Window.partitionBy("sample", "component"))
@@ -118,6 +121,7 @@ def run(
     every = transcripts.select("tid").crossJoin(conditions)
     levels = checkpointed(transcripts.select("tid").crossJoin(conditions.select("condition").distinct()).select("tid", "condition", F.lit(1.0 / n).alias("mean"), F.lit(1.0).alias("shape"), F.lit(1.0 / n).alias("experiment_mean")))
     splicing = None
+    sink = store.Draws(spark, path)
     shape_beta = splice_beta = 1.0
     sigma = 0.5
     rounds = options.optimisation_rounds + 1 + options.burn_in + max(0, options.draws - 1)
@@ -128,7 +132,9 @@ def run(
         prior = levels.join(conditions, "condition").select("sample", "tid", F.col("mean").alias("prior_mean"), F.col("shape").alias("prior_shape"))
         full = state.join(total, "sample").join(prior, ["sample", "tid"])
         # up to the first draw that is kept, mixtures go to the maximum of their posterior
-        drawn = gibbs.sample_components(matrix, full, options.seed, r, priors_on, r <= options.optimisation_rounds)
+        drawn = gibbs.sample_components(fitting, full if large is None else full.join(large_keys, giants.KEY, "left_anti"), options.seed, r, priors_on, r <= options.optimisation_rounds)
+        if large is not None:
+            drawn = drawn.unionByName(giants.sample_giants(large, checkpointed(full.join(large_keys, giants.KEY, "left_semi")), options.seed, r, priors_on, r <= options.optimisation_rounds))
         state = checkpointed(drawn.join(state.select("sample", "tid", "effective"), ["sample", "tid"]).select("sample", "component", "tid", "tmix", "cmix", "effective"))
         shares = weights.expression(state.withColumnRenamed("effective", "weight"))
         values = every.join(shares, ["sample", "tid"], "left").select("sample", "condition", "tid", F.greatest(F.coalesce("value", F.lit(0.0)), F.lit(least)).alias("value"))
@@ -139,7 +145,8 @@ def run(
         levels = checkpointed(gibbs.sample_means(values, levels, options.seed, r, shape_beta, options.priors, priors_on))
         splicing, splice_beta, sigma = _splice(values, transcripts, splicing, options, r, splice_beta, sigma, priors_on)
         if draw == 0 and r == options.optimisation_rounds or draw > 0:
-            _write(path, draw, values, scale, levels, splicing, sigma)
+            sink.add(_tables(draw, values, scale, levels, splicing, sigma))
+    sink.flush()
     stamp = datetime.datetime.now(datetime.timezone.utc).strftime("%a, %d %b %Y %T %z")
     info = [(command, __version__, "", stamp, f"{time.time() - began:.1f}", options.seed)]
     store.write(spark.createDataFrame(info, "command_line string, version string, commit string, date string, elapsed_seconds string, rng_seed long"), path, "run_metadata", "overwrite")
@@ -157,14 +164,18 @@ def _splice(values, transcripts, state, options, r, beta, sigma, on):
     return checkpointed(gibbs.sample_splicing(rows, state, options.seed, r, beta, sigma, options.priors).join(transcripts.select("tid", "tgroup"), "tid")), beta, sigma
 
 
-def _write(path, draw, values, scale, levels, splicing, sigma) -> None:
+def _tables(draw, values, scale, levels, splicing, sigma) -> dict[str, DataFrame]:
+    """The rows of one draw, by table of the store; all come from frames that are kept in the shared folder."""
     at = F.lit(draw).alias("draw")
-    store.write(values.select(at, "sample", "tid", "value"), path, "quant")
-    store.write(scale.select(at, "sample", "scale"), path, "scaling")
-    store.write(levels.select(at, "condition", "tid", F.col("mean").alias("value")), path, "condition_mean")
-    store.write(levels.select(at, "tid", F.col("shape").alias("value")).distinct(), path, "condition_shape")
-    store.write(levels.select(at, "tid", F.col("experiment_mean").alias("value")).distinct(), path, "experiment_mean")
-    store.write(splicing.select(at, "condition", "tgroup", "tid", F.col("mu").alias("value")), path, "condition_splice_mu")
-    store.write(splicing.select(at, "tgroup", "tid", F.col("spread").alias("value")).distinct(), path, "condition_splice_sigma")
-    store.write(splicing.select(at, "tgroup", "tid", F.col("experiment_mu").alias("value")).distinct(), path, "experiment_splice_mu")
-    store.write(splicing.select(at, "tgroup", "tid", F.lit(sigma).alias("value")).distinct(), path, "experiment_splice_sigma")
+    by_transcript = lambda rows, *columns: rows.select(at, *columns).distinct()
+    return {
+        "quant": values.select(at, "sample", "tid", "value"),
+        "scaling": checkpointed(scale.select(at, "sample", "scale")),
+        "condition_mean": levels.select(at, "condition", "tid", F.col("mean").alias("value")),
+        "condition_shape": by_transcript(levels, "tid", F.col("shape").alias("value")),
+        "experiment_mean": by_transcript(levels, "tid", F.col("experiment_mean").alias("value")),
+        "condition_splice_mu": splicing.select(at, "condition", "tgroup", "tid", F.col("mu").alias("value")),
+        "condition_splice_sigma": by_transcript(splicing, "tgroup", "tid", F.col("spread").alias("value")),
+        "experiment_splice_mu": by_transcript(splicing, "tgroup", "tid", F.col("experiment_mu").alias("value")),
+        "experiment_splice_sigma": by_transcript(splicing, "tgroup", "tid", F.lit(sigma).alias("value")),
+    }

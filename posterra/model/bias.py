@@ -20,6 +20,8 @@ MOST_PARENTS, MOST_DISTANCE = 4, 10
 COMPLEXITY = 1.0
 #: Lengths of transcripts that train a library's 3' rate, and the range of its logarithm.
 THREE_PRIME_LENGTHS = (5000, 10000)
+#: Fixed value: transcripts that train it at most, the first in order.
+THREE_PRIME_TRANSCRIPTS = 200_000
 THREE_PRIME_RANGE = (-100.0, -10.0)
 
 
@@ -224,20 +226,32 @@ def gc_factor(gc: np.ndarray, bias: np.ndarray) -> np.ndarray:
     return bias[np.minimum(np.searchsorted(np.array(GC_UPPERS), gc), len(GC_UPPERS) - 1)]
 
 
+def three_prime_sums(distances: DataFrame) -> DataFrame:
+    """(tlen, n, total) of (tpdist, tlen) pairs: how many, and the sum of their distances; a row a length, of which a range of lengths bounds the number."""
+    return distances.groupBy("tlen").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("tpdist").cast("long")).alias("total"))
+
+
+def three_prime_likelihood(distances: DataFrame, rates: DataFrame) -> DataFrame:
+    """(rate, likelihood): log likelihood of the truncated geometric of (tpdist, tlen) pairs at each of a list of rates."""
+    each = rates.crossJoin(F.broadcast(three_prime_sums(distances)))
+    terms = F.col("n") * F.log("rate") + F.col("total") * F.log(1 - F.col("rate")) - F.col("n") * F.log(1 - F.pow(1 - F.col("rate"), F.col("tlen")))
+    return each.groupBy("rate").agg(F.sum(terms).alias("likelihood"))
+
+
 def three_prime_rate(distances: DataFrame, low: float = -100.0, high: float = -1e-3) -> float:
     """p of the truncated geometric of (tpdist, tlen) pairs: the share of fragments lost at each base; its logarithm is looked for from ``low`` to ``high``.
 
-    Only counts of distinct pairs reach the driver, which are bounded by the length range squared.
+    The likelihood depends on sums by length alone, which are all that reaches the driver.
     """
-    counts = distances.groupBy("tpdist", "tlen").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = three_prime_sums(distances).collect()
     if not counts:
         return 0.0
-    k, t, n = (np.array([r[i] for r in counts], dtype=float) for i in range(3))
+    t, n, total = (np.array([r[i] for r in counts], dtype=float) for i in range(3))
 
     def likelihood(log_p: np.ndarray) -> np.ndarray:
         p = np.exp(np.asarray(log_p))[:, None]
         keep = np.log1p(-p)
-        return (n * (np.log(p) + k * keep - np.log(-np.expm1(t * keep) + 1e-300))).sum(axis=1)
+        return (n * (np.log(p) - np.log(-np.expm1(t * keep) + 1e-300)) + total * keep).sum(axis=1)
 
     return float(np.exp(maximum(likelihood, 1, low, high)[0]))
 

@@ -103,7 +103,11 @@ def component_draw(
         x = maximum(density, 1, 1e-9, 1 - 1e-9)[0] if optimise else sample(density, np.array([tmix[a] / both]), 0.0, 1.0, rng)[0]
         tmix[a], tmix[b] = x * both, (1 - x) * both
         mix[at] = rest + tmix[a] * w[0] + tmix[b] * w[1]
-    fragments = weights.fragments
+    return tmix, abundance_draw(weights.fragments, tmix, cmix, rng, prior_mean, prior_shape, effective, total, optimise)
+
+
+def abundance_draw(fragments: int, tmix: np.ndarray, cmix: float, rng: Counter, prior_mean: np.ndarray | None, prior_shape: np.ndarray | None, effective: np.ndarray, total: float, optimise: bool = False) -> float:
+    """The abundance of a component of ``fragments`` with a given mixture."""
 
     def abundance(c: np.ndarray) -> np.ndarray:
         out = D.poisson(float(fragments), c)
@@ -113,15 +117,14 @@ def component_draw(
         return out
 
     most = 10.0 * (fragments + 10)
-    cmix = maximum(abundance, 1, 1e-9, most)[0] if optimise else sample(abundance, np.array([cmix]), 1e-9, most, rng, width=np.sqrt(fragments + 1.0))[0]
-    return tmix, float(cmix)
+    return float(maximum(abundance, 1, 1e-9, most)[0] if optimise else sample(abundance, np.array([cmix]), 1e-9, most, rng, width=np.sqrt(fragments + 1.0))[0])
 
 
 def sample_components(weights: DataFrame, state: DataFrame, seed: int, round_: int, use_priors: bool, optimise: bool = False) -> DataFrame:
     """One round over all components: (sample, component, tid, tmix, cmix).
 
     weights: (sample, component, tid, frag, w); state: (sample, component, tid, tmix, cmix,
-    effective, total, prior_mean, prior_shape). A component is one group, held as sparse rows.
+    effective, total, prior_mean, prior_shape). A component is one group, held as sparse rows; larger ones are drawn by ``giants``.
     """
 
     def run(key: tuple, w: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from ..operators import fragments
+from ..operators import fragments, prefix
+from ..session import checkpointed
 from ..sources import fasta
 from . import bias, weights
 from .bias import LEFT, RIGHT, LengthModel, Motif
@@ -61,25 +62,32 @@ def placed(pairs: DataFrame) -> DataFrame:
 
 
 def train(pairs: DataFrame, transcripts: DataFrame, stranded: bool, genome: DataFrame | None = None, fragmentation: bool = False, sequences: DataFrame | None = None, seed: int = 0) -> Library:
-    """Models of a library from its compatible ``pairs`` (frag, seqname, strand, start, end, tid, t_strand, frag_len, five, ...).
+    """Models of a library from its compatible ``pairs`` (frag, seqname, strand, start, end, tid, t_strand, frag_len, five, plain, ...).
 
     With ``genome`` sequence and GC bias are learned too; ``sequences`` (seqname) names those to learn from, none: all.
     """
     used = pairs if sequences is None else pairs.join(sequences.select("seqname").distinct(), "seqname", "left_semi")
-    first = used.where("frag_len > 0").groupBy("frag").agg(F.min("frag_len").alias("length"))
-    lengths = LengthModel.fit(fragments.length_histogram(first))
-    agrees = F.when(F.col("strand") == F.col("t_strand"), 1.0).otherwise(0.0)
-    specificity = (used.agg(F.avg(agrees)).first()[0] or 0.5) if stranded else 0.5
+    # one pass over the pairs; a fragment has one place and strand
+    agrees = (F.col("strand") == F.col("t_strand")).cast("int")
+    measured = F.when((F.col("frag_len") > 0) & F.col("plain"), F.col("frag_len"))
+    frags = checkpointed(
+        used.groupBy("frag").agg(
+            F.min(measured).alias("length"), F.sum(agrees).alias("agree"), F.count("t_strand").alias("n"), F.min("tid").alias("tid"), F.max("tid").alias("other"), F.min("five").alias("five"),
+            *[F.min(c).alias(c) for c in ("seqname", "strand", "start", "end")],
+        )
+    )
+    lengths = LengthModel.fit(fragments.length_histogram(frags.where("length is not null")))
+    specificity = (frags.agg(F.sum("agree") / F.sum("n")).first()[0] or 0.5) if stranded else 0.5
     # fragments of one transcript only tell where in it they lie
-    one = used.groupBy("frag").agg(F.min("tid").alias("tid"), F.max("tid").alias("other"), F.min("five").alias("five")).where("tid = other")
     long = transcripts.where(F.col("exonic_length").between(*bias.THREE_PRIME_LENGTHS)).select("tid", "exonic_length")
-    distances = one.join(long, "tid").select((F.col("exonic_length") - 1 - F.col("five")).alias("tpdist"), F.col("exonic_length").alias("tlen"))
+    long = prefix.until(long, ["tid"], F.lit(1), bias.THREE_PRIME_TRANSCRIPTS)
+    distances = frags.where("tid = other").join(long, "tid").select((F.col("exonic_length") - 1 - F.col("five")).alias("tpdist"), F.col("exonic_length").alias("tlen"))
     library = Library(lengths, specificity, bias.three_prime_rate(distances.where("tpdist >= 0"), *bias.THREE_PRIME_RANGE), fragmentation)
     if genome is not None:
-        starts = used.select("frag", "seqname", "strand", F.when(F.col("strand") == "-", F.col("end")).otherwise(F.col("start")).alias("pos")).distinct()
-        counted = starts.groupBy("seqname", "strand", "pos").agg(F.count(F.lit(1)).alias("count"))
-        ends = used.select("frag", "seqname", F.when(F.col("strand") == "-", "+").otherwise("-").alias("strand"), F.when(F.col("strand") == "-", F.col("start")).otherwise(F.col("end")).alias("pos")).distinct()
-        opposite = ends.groupBy("seqname", "strand", "pos").agg(F.count(F.lit(1)).alias("count"))
+        first, last = F.when(F.col("strand") == "-", F.col("end")).otherwise(F.col("start")), F.when(F.col("strand") == "-", F.col("start")).otherwise(F.col("end"))
+        tally = lambda strand, pos: frags.groupBy("seqname", strand.alias("strand"), pos.alias("pos")).agg(F.count(F.lit(1)).alias("count"))
+        counted = checkpointed(tally(F.col("strand"), first))
+        opposite = tally(F.when(F.col("strand") == "-", "+").otherwise("-"), last)
         library.motifs = tuple(bias.train_motif(bias.windows(rows, genome, seed)) for rows in (counted, opposite))
         exon = transcripts.select("seqname", F.explode("exons").alias("e")).select("seqname", F.col("e.start").alias("x_start"), F.col("e.end").alias("x_end")).where(F.col("x_end") - F.col("x_start") + 1 >= LEAST_GC_INTERVAL).distinct()
         inside = fragments.overlap_join(counted.withColumn("at", F.col("pos")), exon, ["seqname"], ("pos", "at"), ("x_start", "x_end"), 16384, contained=True)

@@ -53,6 +53,30 @@ def segments(df: DataFrame, by: Sequence[str], start: str = "start", end: str =
     return out.where("depth > 0")
 
 
+def labelled_segments(df: DataFrame, by: Sequence[str], member: str, start: str = "start", end: str = "end", bin_width: int = 1024) -> DataFrame:
+    """The pieces of ``segments`` with their ``members``, sorted: no interval begins or ends inside a piece.
+
+    Pieces meet the intervals that cover them in bins, so a busy sequence spreads over tasks; what is put together is a piece's own members.
+    """
+    pieces = segments(df, by, start, end).select(*by, "start", "end")
+    own = df.select(*by, F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(member).alias("__m"))
+    met = overlap_join(pieces, own, by, ("start", "end"), ("__s", "__e"), bin_width, contained=True)
+    return met.groupBy(*by, "start", "end").agg(F.sort_array(F.collect_set("__m")).alias("members"))
+
+
+def subtract(left: DataFrame, right: DataFrame, by: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
+    """Stretches that some interval of ``left`` covers and none of ``right``, as few as there can be."""
+    def events(df: DataFrame, a: int, b: int) -> DataFrame:
+        step = lambda at, sign: F.struct(at.alias("at"), F.lit(sign * a).alias("a"), F.lit(sign * b).alias("b"))
+        return df.select(*by, F.inline(F.array(step(F.col(start).cast("long"), 1), step(F.col(end).cast("long") + 1, -1))))
+
+    steps = events(left, 1, 0).unionByName(events(right, 0, 1)).groupBy(*by, "at").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    w = _ordered(by, "at")
+    upto = w.rowsBetween(FIRST, 0)
+    pieces = steps.select(*by, F.col("at").alias("start"), (F.lead("at").over(w) - 1).alias("end"), F.sum("a").over(upto).alias("in_left"), F.sum("b").over(upto).alias("in_right"))
+    return union(pieces.where("in_left > 0 and in_right = 0").select(*by, "start", "end"), by)
+
+
 def introns(exons: DataFrame, by: Sequence[str] = ("seqname", "strand", "tid"), start: str = "start", end: str = "end") -> DataFrame:
     """Stretches between consecutive exons of a transcript."""
     w = _ordered(by, start, end)

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import intervals, prefix
+from ..model import bias
+from ..operators import intervals, prefix, sets
 from ..sources import fasta
-from . import analog, oracles
-from .catalog import _shipments
+from . import analog, oracles, summaries
+from .catalog import _rounded, _shipments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,3 +86,94 @@ def running_totals(spark, d):
     by = ["o_orderdate", "o_orderkey"]
     rows = prefix.running(orders, by, {"spent": F.col("cents")}, keys=["o_custkey"])
     return prefix.ranked(rows, by, "place").select("o_orderkey", "o_custkey", "spent", "place")
+
+
+# --- pieces with their members ----------------------------------------------------------------------
+
+
+@query(f"""WITH {oracles.IV}, k AS (SELECT seqname, s, e, l_orderkey AS m FROM (SELECT l_suppkey AS seqname, l_orderkey, {oracles.DAY} AS s, {oracles.DAY} + CAST(l_quantity AS INTEGER) AS e FROM lineitem)),
+b AS (SELECT seqname, s AS p FROM k UNION SELECT seqname, e + 1 FROM k), n AS (SELECT seqname, p, lead(p) OVER (PARTITION BY seqname ORDER BY p) AS x FROM b)
+SELECT n.seqname, n.p AS start, n.x - 1 AS "end", CAST(count(DISTINCT m) AS INTEGER) AS n, sha256(string_agg(DISTINCT CAST(m AS VARCHAR), ',' ORDER BY CAST(m AS VARCHAR))) AS members
+FROM n JOIN k ON k.seqname = n.seqname AND k.s <= n.p AND k.e >= n.x - 1 WHERE n.x IS NOT NULL GROUP BY ALL""")
+def labelled_pieces(spark, d):
+    """Disjoint pieces of each supplier's shipping days and the orders that are under way in each."""
+    day = F.datediff("l_shipdate", F.lit("1992-01-01"))
+    lines = analog.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("seqname"), day.alias("start"), (day + F.col("l_quantity").cast("int")).alias("end"), F.col("l_orderkey").cast("string").alias("order"))
+    rows = intervals.labelled_segments(lines, ["seqname"], "order", bin_width=64)
+    return rows.select("seqname", "start", "end", F.size("members").alias("n"), F.sha2(F.array_join("members", ","), 256).alias("members"))
+
+
+@query(f"""WITH k AS (SELECT l_suppkey AS seqname, l_linenumber = 1 AS one, {oracles.DAY} AS s, {oracles.DAY} + CAST(l_quantity AS INTEGER) AS e FROM lineitem),
+a AS (SELECT DISTINCT seqname, unnest(range(s, e + 1)) AS d FROM k WHERE NOT one), b AS (SELECT DISTINCT seqname, unnest(range(s, e + 1)) AS d FROM k WHERE one),
+f AS (SELECT * FROM a EXCEPT SELECT * FROM b), i AS (SELECT seqname, d, d - row_number() OVER (PARTITION BY seqname ORDER BY d) AS g FROM f)
+SELECT seqname, CAST(min(d) AS BIGINT) AS start, CAST(max(d) AS BIGINT) AS "end" FROM i GROUP BY seqname, g""")
+def subtracted_intervals(spark, d):
+    """Days on which later lines of orders were under way from a supplier and no first line was."""
+    day = F.datediff("l_shipdate", F.lit("1992-01-01"))
+    lines = analog.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("seqname"), "l_linenumber", day.alias("start"), (day + F.col("l_quantity").cast("int")).alias("end"))
+    return intervals.subtract(lines.where("l_linenumber <> 1"), lines.where("l_linenumber = 1"), ["seqname"])
+
+
+# --- sets and sparse rows ---------------------------------------------------------------------------
+
+
+@query("""WITH o AS (SELECT DISTINCT o_custkey, l_suppkey % 7 AS m, o_orderpriority < '3' AS early FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+k AS (SELECT early, o_custkey, count(*) AS n, string_agg(CAST(m AS VARCHAR), ',' ORDER BY m) AS key FROM o GROUP BY early, o_custkey), a AS (SELECT * FROM k WHERE early), b AS (SELECT * FROM k WHERE NOT early)
+SELECT CASE WHEN a.key IS NULL THEN 'right' WHEN b.key IS NULL THEN 'left' ELSE 'same' END AS relation, CAST(coalesce(a.n, b.n) AS INTEGER) AS size, count(*) AS n, CAST(coalesce(sum(a.o_custkey), 0) AS BIGINT) AS of_left, CAST(coalesce(sum(b.o_custkey), 0) AS BIGINT) AS of_right
+FROM a FULL JOIN b ON a.key = b.key GROUP BY ALL""")
+def equal_sets(spark, d):
+    """Customers of urgent and of other orders who meet in the set of supplier groups that they buy from."""
+    orders = analog.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", (F.col("o_orderpriority") < "3").alias("early"))
+    rows = analog.table(spark, d, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 7).alias("m")).join(orders, "l_orderkey")
+    met = sets.join_by_set(rows.where("early"), rows.where("not early"), "o_custkey", "m")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return met.groupBy("relation", "size").agg(F.count(F.lit(1)).alias("n"), total("left_owner").alias("of_left"), total("right_owner").alias("of_right"))
+
+
+STORES = """q AS (SELECT CASE WHEN l_linestatus = 'F' THEN 1 ELSE 2 END AS store, date_trunc('quarter', l_shipdate) AS draw, p_brand AS gene, p_type AS t, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS v
+  FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size <= 20 GROUP BY ALL)"""
+
+
+@query(f"""WITH {STORES}, k AS (SELECT store, gene, count(DISTINCT t) AS n, string_agg(DISTINCT t, '|' ORDER BY t) AS key FROM q GROUP BY store, gene),
+m AS (SELECT coalesce(a.gene, b.gene) AS gene, coalesce(a.n, b.n) AS size, CASE WHEN a.gene IS NULL THEN 'right' WHEN b.gene IS NULL THEN 'left' WHEN a.key = b.key THEN 'same' ELSE 'different' END AS relation
+  FROM (SELECT * FROM k WHERE store = 1) a FULL JOIN (SELECT * FROM k WHERE store = 2) b ON a.gene = b.gene),
+s AS (SELECT store, gene, draw, sum(v) AS v FROM q GROUP BY ALL),
+d AS (SELECT m.gene, log2(CAST(x.v AS DOUBLE)) - log2(CAST(y.v AS DOUBLE)) AS r FROM m JOIN s x ON x.store = 1 AND x.gene = m.gene JOIN s y ON y.store = 2 AND y.gene = m.gene AND y.draw = x.draw WHERE relation = 'same'),
+u AS (SELECT gene, list_sort(list(r)) AS r FROM d GROUP BY gene)
+SELECT m.gene AS gene_id, m.relation, CAST(m.size AS INTEGER) AS size, round(u.r[len(u.r) // 2 + 1], 6) + 0.0 AS log2_ratio FROM m LEFT JOIN u ON u.gene = m.gene""")
+def compared_stores(spark, d):
+    """Two runs compared gene by gene where their transcript sets agree; the other genes are named."""
+    part = analog.table(spark, d, "part").where("p_size <= 20").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("gene_id"), F.col("p_type").alias("transcript_id"))
+    lines = analog.table(spark, d, "lineitem").join(part, "l_partkey")
+    draw = F.date_trunc("quarter", "l_shipdate").alias("draw")
+    cells = lines.groupBy((F.col("l_linestatus") == "F").alias("first"), draw, "gene_id", "transcript_id").agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("value"))
+    return _rounded(summaries.compared_stores(cells.where("first"), cells.where("not first")), 6, "gene_id", "relation", "size")
+
+
+@query("""WITH r AS (SELECT l_suppkey AS row, l_partkey % 200 AS i, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY ALL),
+p AS (SELECT row, row + 1 AS other FROM (SELECT DISTINCT row FROM r) WHERE row % 2 = 1 AND row + 1 IN (SELECT row FROM r)),
+a AS (SELECT p.row, i, v FROM p JOIN r ON r.row = p.row), b AS (SELECT p.row, i, v FROM p JOIN r ON r.row = p.other)
+SELECT coalesce(a.row, b.row) AS row, CAST(coalesce(a.i, b.i) AS BIGINT) AS index, coalesce(a.v, 0) AS "left", coalesce(b.v, 0) AS "right" FROM a FULL JOIN b ON a.row = b.row AND a.i = b.i""")
+def sparse_pairs(spark, d):
+    """Sparse rows of neighbouring suppliers over groups of parts, side by side."""
+    cells = analog.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("row"), (F.col("l_partkey") % 200).alias("i")).agg(F.sum("l_quantity").alias("v"))
+    rows = cells.groupBy("row").agg(F.collect_list(F.struct(F.col("i").cast("long").alias("index"), F.col("v").cast("double").alias("value"))).alias("values"))
+    pairs = rows.where("row % 2 = 1").withColumnRenamed("values", "a").join(rows.select((F.col("row") - 1).alias("row"), F.col("values").alias("b")), "row")
+    return sets.sparse_union(pairs, "a", "b").select("row", F.inline("both"))
+
+
+# --- 3' loss ----------------------------------------------------------------------------------------
+
+
+@query("""WITH x AS (SELECT l_linenumber - 1 AS k, 5 + l_orderkey % 40 AS t FROM lineitem), n AS (SELECT count(*) AS n, sum(k) AS k FROM x), h AS (SELECT t, count(*) AS c FROM x GROUP BY t),
+g AS (SELECT exp(-unnest(range(1, 121)) * 0.05::DOUBLE) AS p), l AS (SELECT p, max(n.n) * ln(p) + max(n.k) * ln(1 - p) - sum(h.c * ln(1 - pow(1 - p, h.t))) AS l FROM g, n, h GROUP BY p)
+SELECT round(p, 9) + 0.0 AS rate, round(l / (SELECT n FROM n), 6) + 0.0 AS likelihood, l = max(l) OVER () AS best FROM l""")
+def geometric_likelihood(spark, d):
+    """Likelihood a row of rates of 3' loss, from the sums that alone it depends on, and the best of them."""
+    rows = analog.table(spark, d, "lineitem").select((F.col("l_linenumber") - 1).alias("tpdist"), (5 + F.col("l_orderkey") % 40).alias("tlen"))
+    grid = spark.range(1, 121).select(F.exp(-F.col("id") * F.lit(0.05)).alias("rate"))
+    found = bias.three_prime_likelihood(rows, grid)
+    most = found.agg(F.max("likelihood").alias("most"))
+    n = rows.agg(F.count(F.lit(1)).alias("n"))
+    found = found.crossJoin(F.broadcast(most)).crossJoin(F.broadcast(n))
+    return found.select((F.round("rate", 9) + 0.0).alias("rate"), (F.round(F.col("likelihood") / F.col("n"), 6) + 0.0).alias("likelihood"), (F.col("likelihood") == F.col("most")).alias("best"))

@@ -281,3 +281,19 @@ def switch_divergence(mu: DataFrame, transcripts: DataFrame) -> DataFrame:
     term = F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("p") - F.col("q")) * (F.log2("p") - F.log2("q"))).otherwise(F.lit(0.0))
     by_draw = both.groupBy("tgroup", "condition_a", "condition_b", "draw").agg(F.sum(term).alias("value"))
     return by_draw.groupBy("tgroup", "condition_a", "condition_b").agg(upper_median(draws("value")).alias("divergence"))
+
+
+def compared_stores(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(gene_id, relation, size, log2_ratio) of two runs' (draw, gene_id, transcript_id, value).
+
+    A gene of one set of transcripts in both runs is ``same`` and has the median over draws of the ratio of its
+    expression; one whose sets differ is ``different``, and one of a single run ``left`` or ``right``.
+    """
+    keys = lambda rows, side: sets.set_keys(rows, "gene_id", "transcript_id").select("gene_id", F.col("size").alias(f"{side}_size"), F.col("key").alias(f"{side}_key"))
+    met = keys(left, "left").join(keys(right, "right"), "gene_id", "full")
+    relation = F.when(F.col("left_key").isNull(), "right").when(F.col("right_key").isNull(), "left").when(F.col("left_key") == F.col("right_key"), "same").otherwise("different")
+    met = met.select("gene_id", relation.alias("relation"), F.coalesce("left_size", "right_size").alias("size"))
+    total = lambda rows, name: rows.groupBy("gene_id", "draw").agg(F.sum("value").cast("double").alias(name))
+    ratio = total(left, "a").join(total(right, "b"), ["gene_id", "draw"]).select("gene_id", (F.log2("a") - F.log2("b")).alias("value"))
+    ratio = ratio.groupBy("gene_id").agg(upper_median(draws("value")).alias("ratio"))
+    return met.join(ratio, "gene_id", "left").select("gene_id", "relation", "size", F.when(F.col("relation") == "same", F.col("ratio")).alias("log2_ratio"))

@@ -13,6 +13,7 @@ GROUPS = "group int, position int, transcript_id string"
 STORE = {
     "transcripts": "tid int, transcript_id string, gene_id string, gene_name string, tgroup int",
     "samples": "sample int, name string, filename string, condition int, condition_name string",
+    "committed": "draw int",
     "quant": "draw int, sample int, tid int, value float",
     "scaling": "draw int, sample int, scale float",
     "condition_mean": "draw int, condition int, tid int, value float",

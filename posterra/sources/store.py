@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,9 +13,22 @@ from pyspark.sql import functions as F
 from .. import schema
 
 
+#: Draws that are written together, and rows of a file.
+BATCH, FILE_ROWS = 25, 1 << 22
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def read(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A table by its schema; filters on its partition column prune files."""
-    return spark.read.schema(schema.STORE[table]).parquet(f"{path}/{table}")
+    """A table by its schema; filters on its partition column prune files. Of a run that was stopped, only draws that are whole are read."""
+    rows = spark.read.schema(schema.STORE[table]).parquet(f"{path}/{table}")
+    if "draw" in rows.columns and table != "committed" and _exists(spark, f"{path}/committed"):
+        last = spark.read.schema(schema.STORE["committed"]).parquet(f"{path}/committed").agg(F.max("draw")).first()[0]
+        return rows.where(F.col("draw") <= (-1 if last is None else last))
+    return rows
 
 
 def write(df: DataFrame, path: str, table: str, mode: str = "append") -> None:
@@ -29,6 +43,41 @@ def write(df: DataFrame, path: str, table: str, mode: str = "append") -> None:
     writer.parquet(f"{path}/{table}")
 
 
+class Draws:
+    """Draws of a run, which wait until ``batch`` of them are written at once, a job and a few files a table.
+
+    A new run empties the tables. Draws count once all of their tables are written, which the table
+    ``committed`` says; what a stopped run leaves of others is not read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, batch: int = BATCH, file_rows: int = FILE_ROWS):
+        self.spark, self.path, self.batch, self.file_rows = spark, path, batch, file_rows
+        self.waiting: dict[str, list[DataFrame]] = {}
+        self.draws = 0
+        write(spark.createDataFrame([], schema.STORE["committed"]), path, "committed", "overwrite")
+        self.fresh = True
+
+    def add(self, tables: dict[str, DataFrame]) -> None:
+        for name, rows in tables.items():
+            self.waiting.setdefault(name, []).append(rows)
+        self.draws += 1
+        if self.draws == self.batch:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.draws:
+            return
+        for name, frames in self.waiting.items():
+            rows = reduce(DataFrame.unionByName, frames)
+            # the first frame stands for the others, which have as many rows
+            files = max(1, -(-frames[0].count() * len(frames) // self.file_rows))
+            by = ["tid"] if "tid" in rows.columns else []
+            write(rows.repartition(files, *by), self.path, name, "overwrite" if self.fresh else "append")
+        draws = reduce(DataFrame.unionByName, [f.select("draw").distinct() for f in self.waiting["scaling"]])
+        write(draws.coalesce(1), self.path, "committed")
+        self.waiting, self.draws, self.fresh = {}, 0, False
+
+
 def inflated_floats(column):
     """zlib-deflated float arrays (an older sample format) to arrays."""
     @F.pandas_udf("array<float>")

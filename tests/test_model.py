@@ -295,3 +295,70 @@ def test_sessions_of_a_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.k, r.n) for r in spark.sql("select * from sessions_seen").collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_giant_components_agree_with_one_task(spark):
+    """A component drawn by assigning its fragments has the posterior means of the sampler that sees it whole, with and without priors."""
+    from posterra.model import giants
+
+    rng = np.random.default_rng(5)
+    n, fragments_ = 6, 300
+    truth = rng.dirichlet(np.ones(n))
+    rows = [(0, 0, int(t), f"f{i}", float(w)) for i in range(fragments_) for t in rng.choice(n, 3, replace=False, p=truth) for w in [rng.uniform(0.2, 1.0)]]
+    weights_ = spark.createDataFrame(rows, "sample int, component long, tid int, frag string, w double").cache()
+    state = spark.createDataFrame(
+        [(0, 0, t, 1 / n, 300.0, 1.0, 300.0, 0.2, 2.0) for t in range(n)], "sample int, component long, tid int, tmix double, cmix double, effective double, total double, prior_mean double, prior_shape double"
+    )
+    small, large, keys = giants.split(weights_, 100)
+    assert small.count() == 0 and large.count() == len(rows) and keys.count() == 1 and giants.split(weights_)[1] is None
+    got = weights_.toPandas()
+    matrix = gibbs.Sparse.of(got["tid"].to_numpy(), np.unique(got["frag"], return_inverse=True)[1], got["w"].to_numpy(), n, fragments_)
+    ones = np.ones(n)
+    p = got.assign(p=0.0)
+    for priors in (False, True):
+        mean, shape = (np.full(n, 0.2), np.full(n, 2.0)) if priors else (None, None)
+        whole, split_, cmix = [], [], 300.0
+        tmix = np.full(n, 1 / n)
+        for r in range(1500):
+            tmix, cmix = gibbs.component_draw(matrix, tmix, cmix, Counter(3, r, np.array([1])), mean, shape, ones, 300.0)
+            whole.append(tmix)
+        tmix, cmix = np.full(n, 1 / n), 300.0
+        for r in range(3000):
+            # the assignment of one sweep, in numpy, by the rule that the columns follow
+            p["p"] = np.log(tmix[p["tid"]] * p["w"]) - np.log(-np.log(rng.uniform(size=len(p))))
+            counts = np.bincount(p.loc[p.groupby("frag")["p"].idxmax(), "tid"], minlength=n).astype(float)
+            tmix = giants.traded(counts, tmix, cmix, np.arange(n), 4, r, mean, shape, ones, 300.0, False)
+            cmix = gibbs.abundance_draw(fragments_, tmix, cmix, Counter(6, r, np.array([1])), mean, shape, ones, 300.0)
+            split_.append(tmix)
+        assert np.mean(split_[100:], axis=0) == pytest.approx(np.mean(whole[100:], axis=0), abs=0.02)
+        assert np.std(split_[100:], axis=0) == pytest.approx(np.std(whole[100:], axis=0), abs=0.015)
+    out = giants.sample_giants(large, state, 1, 0, True, sweeps=1).toPandas()
+    assert out["tmix"].sum() == pytest.approx(1) and sorted(out["tid"]) == list(range(n)) and out["cmix"].nunique() == 1
+    again = giants.sample_giants(large.repartition(3), state.repartition(2), 1, 0, True, sweeps=1).toPandas()
+    assert out.sort_values("tid")["tmix"].tolist() == again.sort_values("tid")["tmix"].tolist()
+    counts = giants.assigned(large, state, 1, 0, False)
+    assert counts.agg(F.sum("got")).first()[0] == fragments_
+    expected = giants.assigned(large, state, 1, 0, True).agg(F.sum("got")).first()[0]
+    assert expected == pytest.approx(fragments_)
+
+
+def test_draws_are_written_in_batches_and_whole(spark, tmp_path):
+    from posterra.sources import store
+
+    path = str(tmp_path / "s")
+    frame = lambda draw: {t: spark.range(4).selectExpr(f"{draw} as draw", "cast(id % 2 as int) as sample", "cast(id as int) as tid", "0.5D as value", "1.0D as scale") for t in ("quant", "scaling")}
+    sink = store.Draws(spark, path, batch=3)
+    for draw in range(7):
+        sink.add(frame(draw))
+    assert {r.draw for r in store.read(spark, path, "quant").collect()} == set(range(6))
+    # a run that stops while it writes leaves draws that are not read
+    store.write(frame(6)["quant"], path, "quant")
+    assert store.read(spark, path, "quant").count() == 24
+    files = list((tmp_path / "s" / "quant").rglob("*.parquet"))
+    assert len(files) <= 2 * 2 + 2 * 8
+    sink = store.Draws(spark, path, batch=3)
+    assert store.read(spark, path, "quant").count() == 0
+    sink.add(frame(0))
+    sink.flush()
+    sink.flush()
+    assert {r.draw for r in store.read(spark, path, "quant").collect()} == {0} and store.read(spark, path, "scaling").count() == 4
