@@ -298,7 +298,7 @@ def _merged(part: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component) after links between nodes of different components; nodes not listed are their own."""
     of = lambda side: part.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
     between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
-    joined = checkpointed(connected_components(between))
+    joined = checkpointed(connected_components(between, few=0))
     renamed = part.join(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
     # a component's own name may be no node of ``part``
     return checkpointed(renamed.unionByName(joined.join(part, "node", "left_anti")))
