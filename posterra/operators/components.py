@@ -11,15 +11,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
 
-#: Edges that a task joins at a time before the first round.
-PIECE = 1 << 18
+#: Edges that a task joins at a time before the first round; so many or fewer need no round.
+PIECE = 1 << 20
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,35 +38,37 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _star(kept)
 
 
+def _least_reachable(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of the numbers 0 to n - 1 that each is tied to by edges (u, v)."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[u], label[v])
+        # the roots of both ends go below the smaller one, and every number to its root's root
+        np.minimum.at(label, label[u], least)
+        np.minimum.at(label, label[v], least)
+        while not np.array_equal(up := label[label], label):
+            label = up
+        left = label[u] != label[v]
+        if not left.any():
+            return label
+        u, v = u[left], v[left]
+
+
 def _star(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-    above: dict = {}
-    for batch in batches:
-        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            while (x := above.setdefault(u, u)) != u:
-                above[u] = u = above.setdefault(x, x)
-            while (x := above.setdefault(v, v)) != v:
-                above[v] = v = above.setdefault(x, x)
-            if u != v:
-                above[max(u, v)] = min(u, v)
-    nodes, roots = [], []
-    for node in list(above):
-        root = node
-        while above[root] != root:
-            root = above[root]
-        above[node] = root
-        if root != node:
-            nodes.append(node)
-            roots.append(root)
-    kind = batches[0].column(0).type
-    return pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(roots, kind)], names=["u", "v"])
-
-
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node on an edge; component is the smallest node reachable."""
-    loops = edges.where(F.col(a) == F.col(b)).select(F.col(a).alias("node")).distinct()
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
-    kind = pairs.schema["u"].dataType.simpleString()
-    e = checkpointed(pairs.mapInArrow(_stars, f"u {kind}, v {kind}").distinct())
+    ends = [pa.concat_arrays([b.column(i) for b in batches]) for i in range(2)]
+    coded = pa.concat_arrays(ends).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    number = rank[coded.indices.to_numpy()]
+    root = _least_reachable(number[: len(ends[0])], number[len(ends[0]) :], len(order))
+    moved = np.flatnonzero(root != np.arange(len(order)))
+    nodes = coded.dictionary.take(pa.array(order))
+    return pa.RecordBatch.from_arrays([nodes.take(pa.array(moved)), nodes.take(pa.array(root[moved]))], names=["u", "v"])
+
+
+def _settled(e: DataFrame, most_rounds: int) -> DataFrame:
+    """Edges (u, v), u > v, to stars around the smallest node of each component."""
     before = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -75,10 +79,25 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
         e = checkpointed(small.where("u <> v").distinct())
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
-            break
+            return e
         before = state
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60, few: int = PIECE) -> DataFrame:
+    """(node, component) of every node on an edge; component is the smallest node reachable.
+
+    Once there are ``few`` edges or fewer, which a piece holds, one task joins them; more are settled in rounds.
+    """
+    loops = edges.where(F.col(a) == F.col(b)).select(F.col(a).alias("node")).distinct()
+    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
+    kind = pairs.schema["u"].dataType.simpleString()
+    e = checkpointed(pairs.mapInArrow(_stars, f"u {kind}, v {kind}").distinct())
+    if few and e.count() <= min(few, PIECE):
+        # so few edges are one piece
+        e = checkpointed(e.coalesce(1).mapInArrow(_stars, f"u {kind}, v {kind}"))
     else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        e = _settled(e, most_rounds)
     stars = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = stars.select(F.col("component").alias("node"), "component").distinct()
     found = stars.unionByName(roots)

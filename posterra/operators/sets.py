@@ -37,14 +37,10 @@ def sparse_union(rows: DataFrame, left: str, right: str, name: str = "both") ->
     a = F.transform(left, lambda x: entry(x["index"], x["value"], zero))
     b = F.transform(right, lambda x: entry(x["index"], zero, x["value"]))
     nothing = F.array().cast("array<struct<index:bigint,left:double,right:double>>")
-    # a projection of its own, so that it is not sorted anew for each element
+    # projections of their own: none is put into a lambda and done anew for each element
     rows = rows.withColumn("__both", F.array_sort(F.concat(F.coalesce(a, nothing), F.coalesce(b, nothing))))
-
-    def merged(x, i):
-        before, after = F.get("__both", i - 1), F.get("__both", i + 1)
-        same = F.coalesce(after["index"] == x["index"], F.lit(False))
-        more = lambda side: F.when(same, after[side]).otherwise(zero)
-        whole = entry(x["index"], x["left"] + more("left"), x["right"] + more("right"))
-        return F.when(F.coalesce(before["index"] != x["index"], F.lit(True)), whole)
-
-    return rows.withColumn(name, F.filter(F.transform("__both", merged), lambda x: x.isNotNull())).drop("__both")
+    add = lambda x, after: F.when(x["index"] == after["index"], entry(x["index"], x["left"] + after["left"], x["right"] + after["right"])).otherwise(x)
+    rows = rows.withColumn("__sums", F.zip_with("__both", F.slice("__both", F.lit(2), F.greatest(F.size("__both"), F.lit(1))), add))
+    before = F.concat(F.array(F.lit(None).cast("struct<index:bigint,left:double,right:double>")), F.col("__both"))
+    first = F.zip_with("__sums", before, lambda x, y: F.when(y.isNull() | (x["index"] != y["index"]), x))
+    return rows.withColumn(name, F.filter(first, lambda x: x.isNotNull())).drop("__both", "__sums")

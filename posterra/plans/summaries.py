@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import bounds, change_tails, clamp01, draws, fold_tails, log2_fold_change, log_sum_exp, logaddexp, nearest_rank, safe_ln, safe_log2, truncated_rank, upper_median
+from ..operators import sets
 
 MILLION = 1e6
 

@@ -94,7 +94,8 @@ def test_tss_groups(spark):
     assert rows(annotation.with_tss_tgroup(t), "tid", "tgroup") == [(0, 0), (1, 0), (2, 0), (3, 1), (4, 2)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components(spark, few):
     rng = random.Random(7)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1060)] + [(5000, 5000)]
     parent = {x: x for e in edges for x in e}
@@ -107,7 +108,7 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    got = rows(components.connected_components(spark.createDataFrame(edges, "a long, b long")), "node", "component")
+    got = rows(components.connected_components(spark.createDataFrame(edges, "a long, b long"), few=few), "node", "component")
     assert got == sorted((x, find(x)) for x in parent)
 
 
