@@ -87,7 +87,8 @@ def run(
 
     samples: the design table; alignments: alignment rows by sample number; genome: tiles or (seqname,
     seq), without which sequence and GC bias are not corrected; training: (seqname) that bias
-    models learn from, none: all; quality: gets a report for each sample.
+    models learn from, none: all; quality: gets a report for each sample and, with a genome, how their
+    sequence bias differs.
     """
     options, began = options or Options(), time.time()
     transcripts = checkpointed(annotation.with_gene_tgroup(annotation.with_tid(annotation.transcript_table(exons))))
@@ -97,13 +98,16 @@ def run(
     store.write(annotation.features(placed), path, "features", "overwrite")
     store.write(samples.select("sample", F.col("sample_name").alias("name"), "filename", "condition", "condition_name"), path, "samples", "overwrite")
     models = transcripts if genome is None else checkpointed(library.with_sequences(transcripts, genome))
-    parts, effective = [], []
+    parts, effective, libraries = [], [], {}
     for number, rows in sorted(alignments.items()):
         matrix, sizes, learned = likelihood(rows, models, options, genome, training)
+        libraries[number] = learned
         if quality is not None:
             quality[number] = registry.quality_report(matrix.select("frag", "tid"), learned)
         parts.append(matrix.withColumn("sample", F.lit(number)))
         effective.append(sizes.withColumn("sample", F.lit(number)))
+    if quality is not None and genome is not None:
+        quality["motif_difference"] = [[a, b, x] for a, b, x in library.motif_differences(placed, genome, libraries)]
     merge = lambda frames: frames[0] if len(frames) == 1 else merge([frames[0].unionByName(frames[1]), *frames[2:]])
     matrix, sizes = checkpointed(merge(parts)), checkpointed(merge(effective))
     if options.dry_run:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import seq as S
-from ..operators import fragments, prefix
+from ..operators import fragments, intervals, prefix
 from ..session import checkpointed
 from ..sources import fasta
 from . import bias, weights
@@ -18,6 +18,8 @@ from .bias import LEFT, RIGHT, LengthModel, Motif
 
 #: Fixed value: least length of an interval whose GC content trains.
 LEAST_GC_INTERVAL = 500
+#: Fixed value: positions at which the sequence bias of libraries is compared, the first in order.
+COMPARED_POSITIONS = 100_000
 
 
 @dataclass
@@ -97,6 +99,40 @@ def train(pairs: DataFrame, transcripts: DataFrame, stranded: bool, genome: Data
     return library
 
 
+def _differences(batches, motifs: list[tuple[Motif, Motif]]):
+    """(a, b, total, n) of a task: sums of absolute log2 ratios of every two libraries' bias, over both ends of the windows without an N."""
+    totals, seen = np.zeros((len(motifs), len(motifs))), 0
+    for batch in batches:
+        text = [s for s in batch.column(0).to_pylist() if s is not None and len(s) == LEFT + 1 + RIGHT and not s.strip("ACGT")]
+        seen += len(text)
+        if text:
+            codes = bias.encode(text)
+            for end in range(2):
+                logs = np.stack([pair[end].log_ratio(codes) for pair in motifs]) / np.log(2)
+                for a in range(len(motifs)):
+                    totals[a] += np.abs(logs - logs[a]).sum(axis=1)
+    a, b = np.triu_indices(len(motifs), 1)
+    yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(totals[a, b]), pa.array(np.full(len(a), seen))], names=["a", "b", "total", "n"])
+
+
+def motif_differences(exons: DataFrame, genome: DataFrame, libraries: dict[int, Library], most: int = COMPARED_POSITIONS) -> list[tuple[int, int, float]]:
+    """(sample, other, difference) of every two libraries: the mean over exonic positions of the absolute log2 ratio of their bias, both ends added up.
+
+    Exonic stretches are taken in natural order up to the one that brings them to ``most`` positions. What reaches the driver is a row a pair.
+    """
+    numbers = [n for n, one in sorted(libraries.items()) if one.motifs is not None]
+    if len(numbers) < 2:
+        return []
+    motifs = [libraries[n].motifs for n in numbers]
+    stretches = prefix.until(intervals.union(exons.select("seqname", "start", "end"), ["seqname"]), [S.natural_number(F.col("seqname")), "seqname", "start"], F.col("end") - F.col("start") + 1, most)
+    places = stretches.select("seqname", F.explode(F.sequence("start", "end")).alias("at"))
+    rows = bias.with_tiles(places, genome, "at", LEFT + RIGHT + 1)
+    window = F.substring("seq", (F.col("at") - F.col("first") - LEFT + 1).cast("int"), F.lit(LEFT + 1 + RIGHT))
+    parts = rows.where(F.col("at") - F.col("first") >= LEFT).select(window.alias("s")).mapInArrow(lambda it: _differences(it, motifs), "a int, b int, total double, n long")
+    found = parts.groupBy("a", "b").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).orderBy("a", "b").collect()
+    return [(numbers[r["a"]], numbers[r["b"]], r["total"] / r["n"] if r["n"] else 0.0) for r in found]
+
+
 def effective_lengths(transcripts: DataFrame, library: Library) -> DataFrame:
     """(tid, weight) under all models; ``transcripts`` has ``sequence`` where the library reads it."""
     return weights.transcript_weights(transcripts, library.lengths, library.three_prime, library.fragmentation, library.gc, library.motifs)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seq import natural_number
-from . import intervals
+from . import intervals, prefix
 
 SITE = ("seqname", "strand")
 
@@ -55,14 +55,14 @@ def with_tss_tgroup(transcripts: DataFrame, distance: int = 150) -> DataFrame:
     opens = F.when(long & F.lag(long).over(w) & (F.col("__tss") - F.lag("__tss").over(w) <= distance), 0).otherwise(1)
     rows = rows.withColumn("__o", opens).withColumn("__run", F.sum("__o").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = rows.groupBy("seqname", "strand", "__run").agg(F.min("tid").alias("__least"))
-    numbered = runs.withColumn("tgroup", F.row_number().over(Window.orderBy("__least")) - 1).drop("__least")
+    numbered = prefix.ranked(runs, ["__least"], "tgroup").withColumn("tgroup", F.col("tgroup").cast("int")).drop("__least")
     return rows.join(numbered, ["seqname", "strand", "__run"]).drop("__tss", "__o", "__run")
 
 
 def spliced_tgroups(transcripts: DataFrame) -> DataFrame:
     """tgroups with two transcripts or more, numbered ascending."""
     groups = transcripts.groupBy("tgroup").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return groups.withColumn("spliced", F.row_number().over(Window.orderBy("tgroup")) - 1)
+    return prefix.ranked(groups, ["tgroup"], "spliced").withColumn("spliced", F.col("spliced").cast("int"))
 
 
 def within_tgroup(transcripts: DataFrame) -> DataFrame:
@@ -99,5 +99,5 @@ def retained_introns(exons: DataFrame) -> DataFrame:
 def features(exons: DataFrame) -> DataFrame:
     """Both kinds; ``feature_id`` is their order by kind and place."""
     both = cassette_exons(exons).unionByName(retained_introns(exons))
-    order = Window.orderBy("type", "seqname", "strand", "start", "end", "link_start", "link_end")
-    return both.withColumn("feature_id", F.row_number().over(order) - 1)
+    order = ["type", "seqname", "strand", "start", "end", "link_start", "link_end"]
+    return prefix.ranked(both, order, "feature_id").withColumn("feature_id", F.col("feature_id").cast("int"))

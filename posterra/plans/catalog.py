@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import cigar, seq
 from ..model import bias, densities, gibbs
 from ..model import slice as slices
-from ..operators import annotation, components, fragments, intervals, scaling
+from ..operators import annotation, components, fragments, intervals, prefix, scaling
 from . import analog, summaries
 
 LEVEL = 0.95
@@ -204,7 +204,8 @@ def spliced_tgroups(spark, d):
 def natural_sort(spark, d):
     """Place of each supplier name among all in natural order."""
     names = analog.table(spark, d, "supplier").select(F.col("s_name").alias("seqname")).distinct()
-    return names.select("seqname", F.row_number().over(Window.orderBy(seq.natural_number(F.col("seqname")), "seqname")).alias("place"))
+    placed = prefix.ranked(names, [seq.natural_number(F.col("seqname")), "seqname"], "place")
+    return placed.select("seqname", (F.col("place") + 1).cast("int").alias("place"))
 
 
 @query

@@ -397,14 +397,14 @@ BASE = "list_position(['a', 'c', 'g', 't'], {0}) - 1"
 
 
 @query(
-    f"""WITH {oracles.SQ}, x AS (SELECT doc_id, left(s, 40) AS s FROM sq WHERE length(s) >= 8)
+    f"""WITH {oracles.SQ}, x AS (SELECT doc_id, s FROM sq WHERE length(s) >= 8)
 SELECT doc_id, CAST(64 * ({BASE.format("s[1]")}) + 16 * ({BASE.format("s[3]")}) + 4 * ({BASE.format("s[4]")}) + {BASE.format("s[8]")} AS BIGINT) AS masked, CAST({BASE.format("s[2]")} AS INTEGER) AS code, s[1:4] AS back,
   repeat('N', 3) || s[1:4] AS left_padded, rpad(s[length(s) - 2:length(s)], 7, 'N') AS right_padded, s[1:3] || s[5:6] || rpad(s[7:8], 2, 'N') AS joined FROM x"""
 )
 def sequence_pieces(spark, d):
     """Codes, masked k-mers, padded windows and spliced pieces of the letters a, c, g and t of each text."""
     s = F.col("s")
-    rows = analog.table(spark, d, "documents").select("doc_id", F.substring(F.regexp_replace(F.lower("text"), "[^acgt]", ""), 1, 40).alias("s")).where("length(s) >= 8")
+    rows = analog.table(spark, d, "documents").select("doc_id", F.regexp_replace(F.lower("text"), "[^acgt]", "").alias("s")).where("length(s) >= 8")
     mask = F.array(*[F.lit(i in (0, 2, 3, 7)) for i in range(8)])
     exon = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
     return rows.select(

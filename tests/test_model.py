@@ -362,3 +362,26 @@ def test_draws_are_written_in_batches_and_whole(spark, tmp_path):
     sink.flush()
     sink.flush()
     assert {r.draw for r in store.read(spark, path, "quant").collect()} == {0} and store.read(spark, path, "scaling").count() == 4
+
+
+def test_motif_differences(spark):
+    """How two libraries' bias differs over the first exonic positions, against a loop over them."""
+    from posterra.model import library
+    from posterra.sources import fasta
+
+    rng = np.random.default_rng(8)
+    seqs = {f"chr{i}": "".join(rng.choice(list("ACGTN"), 90_000, p=[0.3, 0.2, 0.2, 0.29, 0.01])) for i in (2, 10)}
+    tiles = fasta.tiles_of(spark.createDataFrame(list(seqs.items()), "seqname string, seq string"))
+    one = lambda *w: bias.Motif({15: ()}, {15: (np.log(np.array([w])), np.log(np.full((1, 4), 0.25)))}, 31)
+    lengths = bias.LengthModel(np.array([0, 1.0]), 1)
+    libraries = {
+        0: library.Library(lengths, motifs=(one(0.4, 0.1, 0.2, 0.3), one(0.25, 0.25, 0.25, 0.25))), 1: library.Library(lengths),
+        4: library.Library(lengths, motifs=(one(0.1, 0.4, 0.2, 0.3), one(0.3, 0.2, 0.25, 0.25))), 7: library.Library(lengths, motifs=(one(0.25, 0.25, 0.25, 0.25),) * 2),
+    }
+    exons = [("chr2", 0, 99, 1), ("chr2", 50, 300, 2), ("chr2", 65_400, 65_700, 1), ("chr10", 10, 500, 3), ("chr10", 600, 700, 3)]
+    got = library.motif_differences(spark.createDataFrame(exons, "seqname string, start long, end long, tid int"), tiles, libraries, 1000)
+    windows = [seqs[c][p - 15 : p + 16] for c, s, e in (("chr2", 0, 300), ("chr2", 65_400, 65_700), ("chr10", 10, 500)) for p in range(s, e + 1) if p >= 15]
+    windows = bias.encode([w for w in windows if "N" not in w])
+    want = [(a, b, sum(np.abs(x.log_ratio(windows) - y.log_ratio(windows)) / np.log(2) for x, y in zip(libraries[a].motifs, libraries[b].motifs, strict=True)).mean()) for a, b in ((0, 4), (0, 7), (4, 7))]
+    assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want])
+    assert library.motif_differences(spark.createDataFrame(exons, "seqname string, start long, end long, tid int"), tiles, {0: libraries[0], 1: libraries[1]}) == []
