@@ -161,7 +161,7 @@ def test_range_parts_at_every_border():
 
 
 def test_bam_faults(spark, tmp_path):
-    content = bam_bytes([("chr1", 9)], reads(50, 5))
+    content = bam_bytes([("chr1", 9), ("chr2", 9)], reads(50, 5))
     (tmp_path / "cut.bam").write_bytes(bgzf(content[:-5], iter([1000] * 1000)))
     with pytest.raises(Exception, match="cut off"):
         bam.read_bam(spark, str(tmp_path / "cut.bam")).count()
