@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from posterra.plans import reads
+from posterra.plans import places, reads
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
@@ -36,7 +36,7 @@ def test_names(entry):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", [*QUICK, *reads.QUERIES])
+@pytest.mark.parametrize("name", [*QUICK, *reads.QUERIES, *places.QUERIES])
 def test_against_sql(spark, entry, con, name):
     df = entry.queries()[name](spark, SF)
     columns = ", ".join(f'"{c}"' for c in df.columns)
