@@ -87,7 +87,7 @@ def main(argv: list[str] | None = None) -> int:
         options = analyze.Options(
             args.num_samples, args.burn_in, args.rounds, args.seed, args.strand, "FR", args.min_align_pr, not args.no_priors, tuple(x for x in args.exclude_seqs.split(",") if x), args.dry_run, not args.no_fragmentation, priors
         )
-        genome = fasta.read_tiles(spark, args.genome) if args.genome else None
+        genome = sessions.checkpointed(fasta.read_tiles(spark, args.genome)) if args.genome else None
         training = annotation.read_names(spark, args.bias_training_seqs) if args.bias_training_seqs else None
         analyze.run(spark, _exons(spark, args), samples, reads, args.output, options, " ".join(argv or sys.argv), genome, training, quality := {} if args.qc else None)
         if args.qc:

@@ -385,3 +385,18 @@ def test_motif_differences(spark):
     want = [(a, b, sum(np.abs(x.log_ratio(windows) - y.log_ratio(windows)) / np.log(2) for x, y in zip(libraries[a].motifs, libraries[b].motifs, strict=True)).mean()) for a, b in ((0, 4), (0, 7), (4, 7))]
     assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want])
     assert library.motif_differences(spark.createDataFrame(exons, "seqname string, start long, end long, tid int"), tiles, {0: libraries[0], 1: libraries[1]}) == []
+
+
+def test_command_line_with_a_genome(spark, experiment):
+    """A dry run from files: the genome is read in lines, both libraries train, and the report compares their sequence bias."""
+    import yaml
+
+    from posterra import cli
+
+    rng = np.random.default_rng(12)
+    letters = "".join(rng.choice(list("ACGT"), 200_000))
+    (experiment / "g.fa").write_text(">chr1 made\n" + "\n".join(letters[i : i + 70] for i in range(0, len(letters), 70)) + "\n")
+    reads_ = f"{experiment}/0.sam,{experiment}/1.sam"
+    assert cli.main(["analyze", str(experiment / "a.gtf"), reads_, "-o", str(experiment / "dry"), "--genome", str(experiment / "g.fa"), "--qc", str(experiment / "dry.yaml"), "-n", "--no-fragmentation"]) == 0
+    found = yaml.safe_load((experiment / "dry.yaml").read_text())
+    assert [x[:2] for x in found["motif_difference"]] == [[0, 1]] and len(found[0]["gc_bins"]) == 15 and found[1]["motif_places"] == [[], []]
