@@ -184,16 +184,21 @@ def _unseen(codes: np.ndarray, offs: np.ndarray, seen: set[int], common: np.ndar
     return codes[np.repeat(new, n)], np.concatenate(([0], np.cumsum(n[new]))), ids[new]
 
 
+def _heads(batch: pa.RecordBatch, heads: np.ndarray) -> pa.Array:
+    """The texts of a batch of (name, text) that stand for their class, and few others."""
+    return batch.column(1).filter(pa.array(slots.may_hold(heads, batch.column(0).to_numpy())))
+
+
 def _post(batches: Iterator[pa.RecordBatch], shared, percent: int) -> Iterator[pa.RecordBatch]:
-    """(k, id): the first-order prefix of every class that the task meets, once.
+    """(k, id): the first-order prefix of every class that the task meets a head of, once.
 
     With a filter of the lists that several texts are in: the plain prefix of those classes
     alone that have enough of the longer one in such lists.
     """
-    (levels, lists), common, bits = shared.value
+    (levels, heads, lists), common, bits = shared.value
     seen: set[int] = set()
     for batch in batches:
-        for block in blocks(batch.column(0)):
+        for block in blocks(_heads(batch, heads)):
             codes, offs, ids = _unseen(*shingle_sets(block), seen, common, bits)
             keys, upto = prefixes(codes, offs, 0, levels, percent)
             size = np.diff(upto)
@@ -214,10 +219,10 @@ _SETS = "id long, n long, codes binary, bitmap array<long>, prefix2 array<int>,
 
 def _sets(batches: Iterator[pa.RecordBatch], shared, percent: int) -> Iterator[pa.RecordBatch]:
     """Set, bitmap and prefixes under the other orders of every class that the filter lets through, once a task; 32 bits of each shingle of the prefixes, which can only add candidates."""
-    (levels, wanted), common, bits = shared.value
+    (levels, heads, wanted), common, bits = shared.value
     seen: set[int] = set()
     for batch in batches:
-        for block in blocks(batch.column(0)):
+        for block in blocks(_heads(batch, heads)):
             codes, offs, ids = _unseen(*shingle_sets(block), seen, common, bits)
             able = slots.may_hold(wanted, ids)
             n = np.diff(offs)
@@ -395,24 +400,33 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", per
         rows = checkpointed(rows.mapInArrow(lambda it: _renumbered(it, common, bits), "doc_id long, th long, n long, hi long, lo long, id long"))
         if not _shared(rows).isEmpty():
             raise RuntimeError("different sets share 128 bits")
-    rows = rows.select("doc_id", "th", "n", "id")
     usual = (rows.agg(F.sum("n")).first()[0] or 0) / SLOTS
     levels = slots.gathered(marked.where("chunk is not null").select("chunk", "packed"), SLOTS, "u4", _level(usual))
-    share = lambda *tables: spark.sparkContext.broadcast((tables, common, bits))
-    classes = checkpointed(rows.where("n > 0").groupBy("id").agg(_head()).select("id", "head.doc_id"))
-
-    texts = body.select("text")
+    # the tasks' counts, a few MB each, go with the marked rows
+    rows = checkpointed(rows.select("doc_id", "th", "n", "id"))
+    del marked
+    release(spark)
+    classes = checkpointed(rows.where("n > 0").groupBy("id").agg(_head()).select("id", "head.doc_id", "head.th"))
+    # of a class one text is worked on, however many copies lie in however many tasks: lists would count copies, and shuffles carry them
+    name = F.xxhash64("doc_id", "th")
+    heads = slots.key_filter(classes.select(name.alias("name")))
+    classes = classes.select("id", "doc_id")
+    share = lambda table: spark.sparkContext.broadcast(((levels, heads, table), common, bits))
+
+    texts = body.select(name.alias("name"), "text")
     posts = lambda tables: texts.mapInArrow(lambda it: _post(it, tables, percent), "k long, id long")
-    several = checkpointed(posts(share(levels, None)).groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("k"))
+    several = checkpointed(posts(share(None)).groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("k"))
     release(spark)
-    # tasks may post one class each: that a list has one class only is seen once those are one
-    posted = checkpointed(posts(share(levels, slots.key_filter(several))).distinct())
+    lists = share(slots.key_filter(several))
+    del several
     release(spark)
+    # a class may still be posted twice: that a list has one class only is seen once those are one
+    posted = posts(lists).distinct()
     posted = posted.join(posted.groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "k")
     posted = checkpointed(posted.join(posted.groupBy("id").agg(F.sum("size").alias("weight")), "id").select("k", "id", "weight"))
     release(spark)
-    wanted = posted.select("id").distinct()
-    found = texts.mapInArrow(lambda it, tables=share(levels, slots.key_filter(wanted)): _sets(it, tables, percent), _SETS).join(wanted, "id")
+    wanted = checkpointed(posted.select("id").distinct())
+    found = texts.mapInArrow(lambda it, tables=share(slots.key_filter(wanted)): _sets(it, tables, percent), _SETS).join(wanted, "id")
     sets = checkpointed(found.groupBy("id").agg(*[F.first(x.split()[0]).alias(x.split()[0]) for x in _SETS.split(", ")[1:]]))
     release(spark)
 
@@ -420,15 +434,23 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     best = posted.select("k", "id").join(leads, "k").where("id <> lead").groupBy("id", "lead").agg(F.count(F.lit(1)).alias("n"))
     best = best.groupBy("id").agg(F.max_by("lead", F.struct("n", "lead")).alias("lead"))
     tried = checkpointed(plausible(best.select(F.col("lead").alias("a"), F.col("id").alias("b")), sets, percent))
+    del best, leads
+    release(spark)
     # weights grow from a set to its leader, so these links are a forest
-    part = _roots(checkpointed(verified(tried, sets, percent).select(F.col("b").alias("node"), F.col("a").alias("up"))))
+    links = checkpointed(verified(tried, sets, percent).select(F.col("b").alias("node"), F.col("a").alias("up")))
+    release(spark)
+    part = _roots(links)
+    del links
     tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     for most in (BEST, 0):
         release(spark)
         cross = checkpointed(plausible(across_components(posted, sets, part, percent, most).join(tried, ["a", "b"], "left_anti"), sets, percent))
         if cross.isEmpty():
             continue
-        part = _merged(part, checkpointed(verified(cross, sets, percent)))
+        release(spark)
+        links = checkpointed(verified(cross, sets, percent))
+        release(spark)
+        part = _merged(part, links)
         tried = tried.unionByName(cross.select("a", "b"))
     release(spark)
     found = classes.join(part.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
