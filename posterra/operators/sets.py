@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def set_keys(rows: DataFrame, owner: str, member: str) -> DataFrame:
-    """(owner, size, key): a key that two owners share exactly if their sets of members are equal.
+def set_keys(rows: DataFrame, owner: str | Sequence[str], member: str) -> DataFrame:
+    """(owner, size, key): a key that two owners share exactly if their sets of members are equal; an owner may be several columns.
 
     The key is the digest of the sorted members, each behind its length, so no members can be read as others. A null member is none.
     """
-    members = F.sort_array(F.collect_set(F.col(member).cast("string")))
-    written = F.array_join(F.transform(members, lambda m: F.concat(F.octet_length(m).cast("string"), F.lit(":"), m)), "")
-    return rows.groupBy(owner).agg(F.size(F.collect_set(member)).alias("size"), F.sha2(written, 256).alias("key"))
+    owner = [owner] if isinstance(owner, str) else list(owner)
+    # members are made distinct by a plain aggregation first: sets are then gathered from few rows
+    rows = rows.select(*owner, F.col(member).cast("string").alias("__member")).distinct()
+    sets = rows.groupBy(*owner).agg(F.sort_array(F.collect_list("__member")).alias("__members"))
+    written = F.array_join(F.transform("__members", lambda m: F.concat(F.octet_length(m).cast("string"), F.lit(":"), m)), "")
+    return sets.select(*owner, F.size("__members").alias("size"), F.sha2(written, 256).alias("key"))
 
 
 def join_by_set(left: DataFrame, right: DataFrame, owner: str, member: str) -> DataFrame:
@@ -27,6 +32,23 @@ def join_by_set(left: DataFrame, right: DataFrame, owner: str, member: str) -> D
     return a.join(b, "key", "full").select("left_owner", "right_owner", F.coalesce("left_size", "right_size").alias("size"), relation.alias("relation"))
 
 
+def classes_by_set(rows: DataFrame, in_left: str, owner: str, member: str, value: str) -> DataFrame:
+    """(relation, size, n, of_left, of_right): a row for each set that owners of either side hold, where ``in_left`` says the side.
+
+    ``n`` is how many rows ``join_by_set`` has of the set's owners, and ``of_left`` and ``of_right`` what ``value``, a number that an owner's rows
+    share, comes to over those rows; the pairs, which grow with the square of the owners, are not made.
+    """
+    kept = rows.select(F.col(in_left).alias("__left"), F.col(owner).alias("__owner"), F.col(value).cast("decimal(38,0)").alias("__value"), F.col(member).alias("__own")).where("__left is not null")
+    keys = set_keys(kept, ["__left", "__owner", "__value"], "__own")
+    side = lambda left, name: [F.count_if(F.col("__left") == left).alias(f"__n_{name}"), F.coalesce(F.sum(F.when(F.col("__left") == left, F.col("__value"))), F.lit(0)).alias(f"__of_{name}")]
+    met = keys.groupBy("key", "size").agg(*side(True, "left"), *side(False, "right"))
+    both = (F.col("__n_left") > 0) & (F.col("__n_right") > 0)
+    relation = F.when(both, "same").when(F.col("__n_left") > 0, "left").otherwise("right")
+    times = lambda c: F.greatest(F.col(c), F.lit(1)).cast("decimal(19,0)")
+    of = lambda name, other: (F.col(f"__of_{name}").cast("decimal(19,0)") * times(f"__n_{other}")).cast("decimal(38,0)").alias(f"of_{name}")
+    return met.select(relation.alias("relation"), "size", (times("__n_left") * times("__n_right")).cast("decimal(38,0)").alias("n"), of("left", "right"), of("right", "left"))
+
+
 def sparse_union(rows: DataFrame, left: str, right: str, name: str = "both") -> DataFrame:
     """Two sparse rows, arrays of (index, value) with distinct indices, as one array ``name`` of (index, left, right), 0 where absent, by index.
 

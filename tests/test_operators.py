@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from posterra.operators import annotation, components, fragments, intervals, scaling
+from posterra.operators import annotation, components, fragments, intervals, scaling, sets
 
 T1, T2, T3 = [(100, 199), (300, 399), (500, 599)], [(100, 199), (500, 599)], [(100, 399), (500, 599)]
 
@@ -154,3 +154,17 @@ def test_valid_fragment(spark):
     assert ok("FF", True, False, False, True) and not ok("FF", True, False, True, True) and not ok("FR", False, False, True, True)
     with pytest.raises(ValueError):
         fragments.valid_fragment("XX", F.lit(True), F.lit(True), F.lit(True), F.lit(True))
+
+
+def test_classes_by_set_count_pairs(spark):
+    """As many as join_by_set makes, with nulls, and the pairs of a million owners with a million."""
+    rng = random.Random(9)
+    data = [(rng.random() < 0.5, rng.randrange(40), rng.choice([None, 0, 1, 2])) for _ in range(200)]
+    df = spark.createDataFrame(data, "early boolean, owner long, m long")
+    met = sets.join_by_set(df.where("early"), df.where("not early"), "owner", "m").groupBy("relation", "size")
+    want = rows(met.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("left_owner"), F.lit(0)).alias("l"), F.coalesce(F.sum("right_owner"), F.lit(0)).alias("r")), "relation", "size", "n", "l", "r")
+    total = [F.sum(c).cast("long").alias(c) for c in ("n", "of_left", "of_right")]
+    assert rows(sets.classes_by_set(df, "early", "owner", "m", "owner").groupBy("relation", "size").agg(*total), "relation", "size", "n", "of_left", "of_right") == want
+    many = spark.range(2_000_000).select((F.col("id") % 2 == 0).alias("early"), F.col("id").alias("owner"), F.lit(1).alias("m"))
+    (one,) = sets.classes_by_set(many, "early", "owner", "m", "owner").collect()
+    assert (one.relation, one.n, one.of_left, one.of_right) == ("same", 10**12, 999_999 * 10**12, 10**18)
