@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import checkpointed, shared_checkpoints
+from ..session import checkpointed, release, shared_checkpoints
 
 __all__ = ["checkpointed", "numbered", "partitions", "release", "shared_checkpoints"]
 
@@ -15,12 +13,6 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps, which it does when their plans are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def numbered(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
     """``docs`` with its columns called c0, c1 and so on, which no operator's own columns are, and what ``names`` are called there."""
     return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), [f"c{docs.columns.index(n)}" for n in names]

@@ -14,10 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, release
+from . import prefix
 
 
 #: Edges that a task joins at a time before the first round; so many or fewer need no round.
@@ -108,14 +109,26 @@ def fragment_components(weights: DataFrame, tgroups: DataFrame) -> DataFrame:
     """Components of the transcript-fragment graph, where transcripts of one tgroup hang together.
 
     weights: (sample, tid, frag); tgroups: (tid, tgroup). Returns (sample, tid, component) with
-    components numbered from 0 by their smallest transcript.
+    components numbered from 0 by their smallest transcript. A null fragment ties nothing.
+
+    A tgroup is one node, so that only fragments of several tgroups are edges; a transcript without a tgroup is a node of its own.
     """
-    node = lambda kind, column: F.concat_ws(":", F.lit(kind), F.col("sample"), F.lpad(F.col(column).cast("string"), 12, "0"))
-    grouped = weights.select("sample", "tid").distinct().join(tgroups, "tid")
-    edges = weights.select(node("t", "tid").alias("a"), node("f", "frag").alias("b")).unionByName(grouped.select(node("t", "tid").alias("a"), node("g", "tgroup").alias("b")))
-    parts = connected_components(edges).where("node like 't:%'")
-    split = F.split("node", ":")
-    rows = parts.select(split[1].cast("int").alias("sample"), split[2].cast("int").alias("tid"), "component")
+    group = F.coalesce(F.col("tgroup").cast("int"), -1 - F.col("tid"))
+    node = F.shiftleft(F.col("sample").cast("long"), 33) + F.col("group")
+    of = tgroups.select(F.col("tid").cast("int").alias("tid"), "tgroup")
+    placed = weights.select(F.col("sample").cast("int").alias("sample"), F.col("tid").cast("int").alias("tid"), "frag").join(of, "tid", "left").select("sample", "tid", "frag", group.alias("group"))
+    ends = placed.where("frag is not null").groupBy("sample", "frag").agg(F.min("group").alias("least"), F.max("group").alias("most"))
+    several = checkpointed(ends.where("least < most").select("sample", "frag", F.col("least").alias("root")))
+    release(weights.sparkSession)
+    members = placed.select("sample", "tid", "group", node.alias("node")).distinct()
+    if several.isEmpty():
+        rows = members.withColumn("component", F.col("node"))
+    else:
+        edges = placed.join(several, ["sample", "frag"]).where("group <> root").select(node.alias("a"), (node - F.col("group") + F.col("root")).alias("b"))
+        rows = members.join(connected_components(edges), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        release(weights.sparkSession)
     first = rows.groupBy("sample", "component").agg(F.min("tid").alias("least"))
-    number = first.withColumn("number", F.dense_rank().over(Window.partitionBy("sample").orderBy("least")) - 1)
-    return rows.join(number, ["sample", "component"]).select("sample", "tid", F.col("number").alias("component"))
+    number = prefix.ranked(first, ["least"], "number", keys=["sample"]).select("component", F.col("number").cast("int").alias("number"))
+    release(weights.sparkSession)
+    # of a transcript in several tgroups one row
+    return rows.select("sample", "tid", "component").distinct().join(number, "component").select("sample", "tid", F.col("number").alias("component"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 
@@ -36,3 +37,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The rows of ``df`` in the shared folder: lineage is cut and lost executors cost nothing."""
     shared_checkpoints(df.sparkSession)
     return df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps, which it does when their plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
