@@ -81,5 +81,21 @@ def attribute_map(s: Column) -> Column:
     return F.map_from_entries(last)
 
 
+_PAIRS = r"""([^\s;]+)\s+("[^"]*"|'[^']*'|[^;]*)"""
+
+
+def attribute_lists(s: Column) -> tuple[Column, Column]:
+    """Keys and values of ``attribute_map``, from the last to the first, for ``attribute_in``; values have their quotes still."""
+    return tuple(F.reverse(F.regexp_extract_all(s, F.lit(_PAIRS), F.lit(i))) for i in (1, 2))
+
+
+def attribute_in(keys: Column, values: Column, name: str) -> Column:
+    """What ``attribute_map`` has under a name, without a map of all; null if there is none."""
+    value = F.get(values, F.nullif(F.array_position(keys, F.lit(name)), F.lit(0)).cast("int") - 1)
+    # of a value over several lines the map has nothing
+    plain = F.when(value.rlike(r"[\n\r\u0085\u2028\u2029]"), F.regexp_extract(value, r"^(.*)$", 1)).otherwise(value)
+    return F.trim(F.regexp_replace(plain, r"""^["']|["']\s*$""", ""))
+
+
 def locus(seqname: Column, start: Column, end: Column, strand: Column) -> Column:
     return F.format_string("%s:%d-%d(%s)", seqname, start, end, strand)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions.seq import attribute_map
+from ..functions.seq import attribute_in, attribute_lists, attribute_map
 
 FLANK = 200
 
@@ -25,25 +25,28 @@ def parse_gtf(lines: DataFrame) -> DataFrame:
     return rows.select(
         F.get("p", F.lit(0)).alias("seqname"), F.get("p", F.lit(1)).alias("source"), F.get("p", F.lit(2)).alias("feature"), F.get("p", F.lit(3)).cast("long").alias("start"), F.get("p", F.lit(4)).cast("long").alias("end"),
         F.coalesce(value(5).cast("double"), F.lit(0.0)).alias("score"), F.when(F.get("p", F.lit(6)).isin("+", "-"), F.get("p", F.lit(6))).otherwise(".").alias("strand"),
-        F.coalesce(value(7).cast("int"), F.lit(-1)).alias("frame"), attribute_map(F.get("p", F.lit(8))).alias("attributes"),
+        F.coalesce(value(7).cast("int"), F.lit(-1)).alias("frame"), attribute_map(F.get("p", F.lit(8))).alias("attributes"), F.get("p", F.lit(8)).alias("attribute_text"),
     )
 
 
 def exons(gtf: DataFrame, feature: str = "exon", transcript: str = "transcript_id", gene: str = "gene_id") -> DataFrame:
     """Exon rows, 0-based closed; rows of genes and rows without a transcript id are dropped.
 
-    What a transcript is called and where it lies comes from its first row in genomic order.
+    What a transcript is called and where it lies comes from its first row in genomic order; of rows at the same place, the least names.
+    A transcript's rows meet once, in a group of its own.
     """
-    attr = lambda k: F.try_element_at("attributes", F.lit(k))
-    rows = gtf.where(F.col("feature") != "gene").select(
-        attr(transcript).alias("transcript_id"), attr(gene).alias("gene_id"), attr("gene_name").alias("gene_name"), attr("gene_biotype").alias("biotype"),
-        "seqname", "strand", "source", "feature", (F.col("start") - 1).alias("start"), (F.col("end") - 1).alias("end"),
-    ).where("transcript_id is not null")
+    keys, values = attribute_lists(F.col("attribute_text"))
+    place = [F.col("start") - 1, F.col("end") - 1]
+    rows = gtf.where(F.col("feature") != "gene").select("seqname", "strand", "source", "feature", place[0].alias("start"), place[1].alias("end"), F.inline(F.array(F.struct(keys.alias("__keys"), values.alias("__values")))))
+    attr = lambda k: attribute_in(F.col("__keys"), F.col("__values"), k)
+    # a generator, so that the attributes are looked up once and not again for the filter
+    named = F.struct(attr(transcript).alias("transcript_id"), attr(gene).alias("gene_id"), attr("gene_name").alias("gene_name"), attr("gene_biotype").alias("biotype"))
+    rows = rows.select("seqname", "strand", "source", "feature", "start", "end", F.inline(F.array(named))).where("transcript_id is not null")
     names = ["gene_id", "gene_name", "biotype", "seqname", "strand", "source"]
-    first = rows.groupBy("transcript_id").agg(F.min_by(F.struct(*names), F.struct("start", "end", "feature")).alias("n"))
-    own = rows.where(F.col("feature") == feature).select("transcript_id", "start", "end").distinct()
-    joined = own.join(first, "transcript_id").select("transcript_id", "n.*", "start", "end")
-    return joined.withColumn("gene_name", F.coalesce("gene_name", F.lit("")))
+    own = F.collect_set(F.when(F.col("feature") == feature, F.struct("start", "end")))
+    whole = rows.groupBy("transcript_id").agg(F.min(F.struct("start", "end", "feature", *names)).alias("n"), own.alias("own"))
+    out = whole.select("transcript_id", *[F.col(f"n.{c}").alias(c) for c in names], F.inline("own"))
+    return out.withColumn("gene_name", F.coalesce("gene_name", F.lit("")))
 
 
 def read_introns(spark: SparkSession, path: str) -> DataFrame:

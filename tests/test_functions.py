@@ -1,6 +1,7 @@
 """Column functions on hand-worked cases."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +95,18 @@ def test_mismatches_prefer_md(spark):
     tags = F.create_map(F.lit("NM"), F.lit("7"))
     none = F.lit(None).cast("string")
     assert one(spark, C.mismatches(tags, F.lit("10A5^AC6T1")), C.mismatches(tags, none)) == (2, 7)
+
+
+def test_attribute_in_is_attribute_map(spark):
+    """On odd texts: repeated and missing keys, either quote, marks within quotes, line ends, no blanks."""
+    rng = random.Random(8)
+    parts = ["a", "b", "gene", " ", "  ", ";", "; ", '"', "'", '"x y"', "'p;q'", '"r;s"', "\t", "\n", "\r", " ", "-", '"" ', "1"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(1500)] + ['a "1"; b "2"; a \'3\';', "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    keys, values = S.attribute_lists(F.col("t"))
+    pairs = [(F.try_element_at(S.attribute_map(F.col("t")), F.lit(k)), S.attribute_in(keys, values, k)) for k in ("a", "b", "gene", "none")]
+    found = df.select("t", *[x.alias(f"x{i}_{j}") for i, p in enumerate(pairs) for j, x in enumerate(p)]).collect()
+    for r in found:
+        for i in range(4):
+            assert r[f"x{i}_0"] == r[f"x{i}_1"], (r, i)
+    assert sum(r.x0_1 is not None for r in found) > 30

@@ -209,3 +209,13 @@ def test_store_and_text(spark, tmp_path):
 def test_deflated_samples(spark):
     df = spark.createDataFrame([(bytearray(zlib.compress(struct.pack("<2f", 1.5, 2.0))),)], "b binary")
     assert df.select(store.inflated_floats(F.col("b")).alias("v")).first().v == [1.5, 2.0]
+
+
+def test_exons_are_parsed_once(spark):
+    """Lines are read and looked up in one pass; of rows at one place the least names count."""
+    line = lambda feature, start, end, gene: f'c\ts\t{feature}\t{start}\t{end}\t.\t+\t.\tgene_id "{gene}"; transcript_id "T";'
+    df = spark.createDataFrame([(line(*x),) for x in (("exon", 11, 20, "G2"), ("exon", 11, 20, "G1"), ("CDS", 11, 20, "G3"), ("exon", 31, 40, "G0"), ("gene", 1, 99, "G"))], "value string")
+    got = annotation.exons(annotation.parse_gtf(df))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2
+    assert sorted((r.gene_id, r.start, r.end, r.gene_name) for r in got.collect()) == [("G3", 10, 19, ""), ("G3", 30, 39, "")]
