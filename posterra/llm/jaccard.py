@@ -421,7 +421,8 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     del several
     release(spark)
     # a class may still be posted twice: that a list has one class only is seen once those are one
-    posted = posts(lists).distinct()
+    posted = checkpointed(posts(lists).distinct())
+    release(spark)
     posted = posted.join(posted.groupBy("k").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "k")
     posted = checkpointed(posted.join(posted.groupBy("id").agg(F.sum("size").alias("weight")), "id").select("k", "id", "weight"))
     release(spark)
